@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, url_rules, warc
+from . import mixing, ngram_join, url_rules, warc
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op9_url_rules": url_rules.op9_url_rules,
