@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, url_rules, warc
+from . import language_id, mixing, ngram_join, toxicity, url_rules, warc
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_language_id": language_id.op4_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_url_rules": url_rules.op9_url_rules,
 }
 
