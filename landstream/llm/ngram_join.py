@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, b
                 have = have[np.argsort(ia[have], kind="stable")]
                 counts = np.zeros(len(a), np.int64)
                 bounds = np.flatnonzero(np.diff(ia[have], prepend=-1))
-                for at, end in zip(bounds, np.append(bounds[1:], len(have)), strict=True):
+                for at, end in zip(bounds, [*bounds[1:], len(have)][: len(bounds)], strict=True):
                     i, mine = ia[have[at]], have[at:end]
                     seen[s.token[s.start[i] : s.start[i] + s.lengths[i]]] = i
                     j = ib[mine]
