@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ngram_join, toxicity, url_rules, warc
+from . import embedding_dedup, language_id, mixing, ngram_join, toxicity, url_rules, warc
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_language_id": language_id.op4_language_id,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_url_rules": url_rules.op9_url_rules,
 }
