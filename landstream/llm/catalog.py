@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, mixing, ngram_join, toxicity, url_rules, warc
+from . import embedding_dedup, language_id, mixing, ngram_join, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op9_url_rules": url_rules.op9_url_rules,
 }
 
