@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, mixing, ngram_join, suffix_dedup, toxicity, url_rules, warc
+from . import decontamination, embedding_dedup, language_id, mixing, ngram_join, suffix_dedup, token_counts, toxicity, url_rules, warc
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_language_id": language_id.op4_language_id,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
