@@ -18,8 +18,7 @@ Only the texts' exchange holds whole texts, and the two joins with it are made b
 Equal texts are one class with a count; with two copies every byte of a text of LENGTH bytes or more goes.
 
 Cases: a null text is empty: 0 bytes, nothing removed; texts shorter than LENGTH never change; repeated rows are copies of each
-other; a null doc_id is a row like others; an empty table gives an empty result. A result row's text is cut at byte positions, so
-the kept bytes can end inside a character; `kept` is binary. Exact up to collisions of 64-bit hashes of seeds and of the bytes
+other; a null doc_id is a row like others; an empty table gives an empty result. Exact up to collisions of 64-bit hashes of seeds and of the bytes
 before them.
 """
 
@@ -359,9 +358,10 @@ def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bytes_only: bool = False) -> DataFrame:
-    """docs (with text) with __kept (binary), __n_bytes, __n_removed, __n_spans and __sha256.
+    """docs (with text) with what is left as text, and __n_bytes, __n_removed, __n_spans and __sha256 (of the bytes left).
 
-    bytes_only leaves out __kept. Any doc_id is untouched; equal texts are treated alike.
+    Bytes of characters that were cut apart are left out of the new text; a text that loses nothing stays as it is. bytes_only
+    gives a null text. Any doc_id is untouched; equal texts are treated alike.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -393,18 +393,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
                 else:
                     s = e = np.zeros(0, np.int64)
                 rest = text[np.repeat(np.tile([True, False], len(s) + 1)[: 2 * len(s) + 1], np.diff(np.concatenate([[0], np.stack([s, e], 1).ravel(), [n]])))].tobytes() if len(s) else text.tobytes()
-                kept.append(None if bytes_only else rest)
+                kept.append(None if bytes_only else rest.decode("utf-8", "ignore") if len(s) else batch.column(text_at)[i].as_py())
                 numbers.append((n, n - len(rest), len(s), hashlib.sha256(rest).hexdigest()))
-            columns = [pa.array(kept, pa.binary())] if not bytes_only else []
-            columns += [pa.array([x[k] for x in numbers], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            columns = [pa.array([x[k] for x in numbers], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             out = [*batch.columns[: len(names)], *columns]
-            labels = [*names, *([] if bytes_only else ["__kept"]), "__n_bytes", "__n_removed", "__n_spans", "__sha256"]
-            if bytes_only:
-                out[text_at] = pa.nulls(batch.num_rows, out[text_at].type)
-            yield pa.RecordBatch.from_arrays(out, names=labels)
+            out[text_at] = pa.array(kept, out[text_at].type)
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "__n_bytes", "__n_removed", "__n_spans", "__sha256"])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema = base + ("" if bytes_only else ", __kept binary") + ", __n_bytes long, __n_removed long, __n_spans long, __sha256 string"
+    schema = base + ", __n_bytes long, __n_removed long, __n_spans long, __sha256 string"
     return full.select(*names, "__copies", "starts", "ends").mapInArrow(cut, schema)
 
 
