@@ -34,8 +34,8 @@ from .textkit import digest, groups, mix, shingles, utf8
 WIDTH = 5
 #: Link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Bytes of text whose shingles make a fragment, so that a fragment fits a task.
-FRAGMENT_BYTES = 32 << 20
+#: Bytes of all text for a fragment of the sift, and for one of the sets that are left, so that a fragment fits a task.
+FRAGMENT_BYTES, LEFT_BYTES = 32 << 20, 128 << 20
 #: Members of a meeting that one task compares with each other.
 BLOCK = 1024
 #: Pairs that a task counts at once.
@@ -215,7 +215,8 @@ def prefixes(cut: DataFrame, threshold: int, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(first, "token long, key long, n int")
 
 
-PAIRS = "bucket int, chunk int, a binary, b binary"
+PAIRS = "bucket int, chunk int, a binary, b binary, na binary, nb binary"
+_PAIRS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((n, pa.binary()) for n in ("a", "b", "na", "nb"))])
 
 
 def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, buckets: int) -> DataFrame:
@@ -245,23 +246,18 @@ def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, b
                     hit = seen[s.token[np.repeat(s.start[j] - begin, lengths) + np.arange(int(lengths.sum()))]] == i
                     counts[mine] = np.add.reduceat(hit, begin, dtype=np.int64)
                     seen[s.token[s.start[i] : s.start[i] + s.lengths[i]]] = -1
-                out.append((row["bucket"], row["chunk"], row["a"], row["b"], _packed(counts, "u4"), _sizes(s, ia, a), _sizes(s, ib, b)))
+                out.append((row["bucket"], row["chunk"], None, None, None, None, _packed(counts, "u4")))
         return pa.Table.from_batches([_batch(out, schema)])
 
-    def _sizes(s: _Segments, i: np.ndarray, key: np.ndarray) -> bytes:
-        return _packed(np.where(s.keys[i] == key, s.sizes[i], 0), "i4")
-
     def total(group: pa.Table) -> pa.Table:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict[int, np.ndarray] = {}
+        rows = {}
         for row in group.to_pylist():
-            counts, na, nb = (np.frombuffer(row[c], k).astype(np.int64) for c, k in (("counts", "u4"), ("na", "i4"), ("nb", "i4")))
-            if row["chunk"] in sums:
-                have = sums[row["chunk"]]
-                have[2] += counts
-                np.maximum(have[3], na, out=have[3])
-                np.maximum(have[4], nb, out=have[4])
+            k = row["chunk"]
+            if row["counts"] is None:
+                rows[k] = [np.frombuffer(row[c], kind).astype(np.int64) for c, kind in (("a", "i8"), ("b", "i8"), ("na", "i4"), ("nb", "i4"))]
             else:
-                sums[row["chunk"]] = [np.frombuffer(row["a"], "i8"), np.frombuffer(row["b"], "i8"), counts, na, nb]
+                sums[k] = sums.get(k, 0) + np.frombuffer(row["counts"], "u4").astype(np.int64)
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -271,7 +267,8 @@ def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, b
             return x
 
         out = []
-        for a, b, both, na, nb in sums.values():
+        for k, (a, b, na, nb) in rows.items():
+            both = sums.get(k, np.zeros(len(a), np.int64))
             linked = 100 * both >= threshold * (na + nb - both)
             for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
                 if (rx := root(x)) != (ry := root(y)):
@@ -279,40 +276,38 @@ def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, b
                     out.append((x, y))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((n, pa.binary()) for n in ("a", "b", "counts", "na", "nb"))])
+    schema = pa.schema([*_PAIRS, ("counts", pa.binary())])
     # One task holds a fragment's segments and a share of the pairs; more pairs take more shares.
-    dealt = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    dealt = pairs.select("bucket", "chunk", "a", "b").withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
     shares = max(1, int(pairs.agg(F.sum(F.octet_length("a"))).first()[0] or 0) // 8 // PAIRS_AT_ONCE)
     dealt = dealt.withColumn("share", F.pmod("bucket", F.lit(shares)))
     spread = cut.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     keys = ["fragment", "share"]
-    counted = spread.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(
-        lambda left, right: count(left, right), "bucket int, chunk int, a binary, b binary, counts binary, na binary, nb binary"
-    )
-    return counted.groupBy("bucket").applyInArrow(total, "a long, b long")
+    counted = spread.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda left, right: count(left, right), f"{PAIRS}, counts binary")
+    both = counted.unionByName(pairs.withColumn("counts", F.lit(None).cast("binary")))
+    return both.groupBy("bucket").applyInArrow(total, "a long, b long")
 
 
 def _unique_pairs(packed: DataFrame) -> DataFrame:
     """Packed pairs, equal ones once; chunks of a bucket are numbered."""
 
     def once(group: pa.Table) -> pa.Table:
-        both = np.stack([_joined(group.column(c), "i8") for c in "ab"], 1)
-        both = np.unique(both, axis=0)
+        parts = [_joined(group.column(c), kind) for c, kind in (("a", "i8"), ("b", "i8"), ("na", "i4"), ("nb", "i4"))]
+        _, one = np.unique(np.stack(parts[:2], 1), axis=0, return_index=True)
         bucket, out = group.column("bucket")[0].as_py(), []
-        for i, at in enumerate(range(0, len(both), 50_000)):
-            part = both[at : at + 50_000]
-            out.append((bucket, i, _packed(part[:, 0], "i8"), _packed(part[:, 1], "i8")))
-        return pa.Table.from_batches([_batch(out, schema)])
+        for i, at in enumerate(range(0, len(one), 50_000)):
+            k = one[at : at + 50_000]
+            out.append((bucket, i, *(x[k].tobytes() for x in parts)))
+        return pa.Table.from_batches([_batch(out, _PAIRS)])
 
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
     return packed.groupBy("bucket").applyInArrow(once, PAIRS)
 
 
-def _bucketed(a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple]:
+def _bucketed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, buckets: int) -> list[tuple]:
     bucket, out = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), []
     for x in np.unique(bucket):
         m = bucket == x
-        out.append((int(x), 0, _packed(a[m], "i8"), _packed(b[m], "i8")))
+        out.append((int(x), 0, _packed(a[m], "i8"), _packed(b[m], "i8"), _packed(na[m], "i4"), _packed(nb[m], "i4")))
     return out
 
 
@@ -322,14 +317,12 @@ def stars(postings: DataFrame, threshold: int, buckets: int) -> DataFrame:
     met = postings.join(hubs.select("token", F.col("hub.key").alias("a"), F.col("hub.n").alias("na")), "token").where(
         (F.col("a") != F.col("key")) & (100 * F.least("n", "na") >= threshold * F.greatest("n", "na"))
     )
-    pairs = met.select("a", F.col("key").alias("b")).distinct()
+    pairs = met.select("a", F.col("key").alias("b"), "na", "n").distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield _batch(_bucketed(a, b, buckets), schema)
+            yield _batch(_bucketed(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), buckets), _PAIRS)
 
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
     return _unique_pairs(pairs.mapInArrow(pack, PAIRS))
 
 
@@ -347,22 +340,23 @@ def rest(postings: DataFrame, known: DataFrame, threshold: int, buckets: int) ->
         token, key, n, component, mine, lo, hi = (group.column(c).to_numpy() for c in ("token", "key", "n", "component", "mine", "lo", "hi"))
         order = np.lexsort((hi, lo, token))
         bounds = np.flatnonzero(np.diff(token[order], prepend=token[order[0]] - 1) | np.diff(lo[order], prepend=-1) | np.diff(hi[order], prepend=-1))
-        found, held, out = [], 0, np.zeros((0, 2), np.int64)
+        found, held, out = [], 0, np.zeros((0, 4), np.int64)
         for at, end in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
             i = order[at:end]
             left, right = (i, i) if lo[i[0]] == hi[i[0]] else (i[mine[i] == lo[i[0]]], i[mine[i] != lo[i[0]]])
-            x, y = n[left].astype(np.int64)[:, None], n[right].astype(np.int64)[None, :]
-            fit = (component[left][:, None] != component[right][None, :]) & (100 * np.minimum(x, y) >= threshold * np.maximum(x, y))
+            x, y = n[left].astype(np.int64), n[right].astype(np.int64)
+            fit = (component[left][:, None] != component[right][None, :]) & (100 * np.minimum(x[:, None], y) >= threshold * np.maximum(x[:, None], y))
             p, q = np.nonzero(np.triu(fit, 1) if left is right else fit)
-            a, b = key[left[p]], key[right[q]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            held += len(a)
+            pair = np.stack([key[left[p]], key[right[q]], x[p], y[q]], 1)
+            turn = pair[:, 0] > pair[:, 1]
+            pair[turn] = pair[turn][:, [1, 0, 3, 2]]
+            found.append(pair)
+            held += len(pair)
             if held > 2_000_000:
                 out, found, held = np.unique(np.concatenate([out, *found]), axis=0), [], 0
         out = np.unique(np.concatenate([out, *found]), axis=0)
-        return pa.Table.from_batches([_batch(_bucketed(out[:, 0], out[:, 1], buckets), schema)])
+        return pa.Table.from_batches([_batch(_bucketed(*out.T.copy(), buckets), _PAIRS)])
 
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
     return _unique_pairs(met.select("task", "token", "key", "n", "component", "mine", "lo", "hi").groupBy("task").applyInArrow(cross, PAIRS))
 
 
@@ -371,16 +365,16 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRES
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = partitions(spark)
-    fragments = max(buckets, total // FRAGMENT_BYTES)
+    fragments, parts = max(buckets, total // FRAGMENT_BYTES), max(4, total // LEFT_BYTES)
     ids, left = sift(docs, width, threshold, fragments, buckets)
     named = ids.where("doc_id IS NOT NULL AND key IS NOT NULL")
     reps = named.join(left, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(reps, "doc_id")
-    cut = written(segments(texts, width, fragments), "segments")
+    cut = written(segments(texts, width, parts), "segments")
     postings = written(prefixes(cut, threshold, buckets), "postings")
-    links = written(verified(written(stars(postings, threshold, buckets), "stars"), cut, threshold, fragments, buckets), "links")
+    links = written(verified(written(stars(postings, threshold, buckets), "stars"), cut, threshold, parts, buckets), "links")
     known = components(links)
-    more = verified(written(rest(postings, known, threshold, buckets), "rest"), cut, threshold, fragments, buckets)
+    more = verified(written(rest(postings, known, threshold, buckets), "rest"), cut, threshold, parts, buckets)
     # Documents with one set are linked through it, and rows with one doc_id are one node.
     known = components(links.unionByName(more).unionByName(_same_document(named)))
     placed = named.join(known, named.key == known.node, "left").select("doc_id", F.coalesce("component", "key").alias("component"))
