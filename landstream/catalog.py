@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+from .plans import calendar, diagnostics, observations, spatial  # noqa: E402
+
+for _module in (diagnostics, observations, calendar, spatial):
+    QUERIES |= _module.R.queries
+    ORACLES |= _module.R.oracles

@@ -55,7 +55,8 @@ _NAME = re.compile(r"\{(\w+)\}")
 
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_NAME.findall(text))}
-    return spark.sql(text, **used)
+    df = spark.sql(text, **used)
+    return df.withColumns({c: df[c].cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
 def sql(text: str) -> str:
