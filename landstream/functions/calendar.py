@@ -27,7 +27,7 @@ def eight_day_slot(ts: Column) -> Column:
 
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + (seconds * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.unix_micros(ts) + (seconds.cast("double") * 1_000_000).cast("long"))
 
 
 #: Seconds from 1970-01-01 00:00 UTC to the three J2000 epochs. TT12 runs 64.184 s ahead of UTC.
