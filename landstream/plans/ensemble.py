@@ -265,7 +265,7 @@ def backfill_par(spark, sf):
 
 @R.add(
     f"""SELECT species, tile, coalesce(v, CASE WHEN greatest(abs(lead(lon) OVER w - lon), abs(lead(lat) OVER w - lat)) <= 30 THEN lead(v) OVER w END) AS v FROM
-    (SELECT species, user_id AS tile, min(lon) AS lon, min(lat) AS lat, CASE WHEN user_id % 3 <> 0 THEN avg(value) END AS v FROM {P} GROUP BY ALL) WINDOW w AS (PARTITION BY species ORDER BY tile)""", "v"
+    (SELECT species, user_id AS tile, min(lon) AS lon, min(lat) AS lat, CASE WHEN user_id % 3 <> 0 THEN avg(value) END AS v FROM {P} GROUP BY species, user_id) WINDOW w AS (PARTITION BY species ORDER BY tile)""", "v"
 )
 def fill_from_next_tile(spark, sf):
     df = frame(spark, sf, POINTS).groupBy("species", F.col("user_id").alias("tile")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.avg("value").alias("v"))

@@ -107,7 +107,7 @@ _KINDS = {"t": "string", "d": "double", "i": "int", "b": "boolean", "a": "array<
 
 def read_species(spark: SparkSession, path: str) -> DataFrame:
     """The text catalogue: a count, then one line a property. A whole file is one row; each species becomes one."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.split("value", "\r?\n").alias("l")).withColumn("k", F.explode(F.sequence(F.lit(0), F.trim(F.col("l")[0]).cast("int") - 1)))
 
     def cell(at: int, kind: str) -> Column:
