@@ -135,14 +135,18 @@ def marks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
 RUN = "span int, shared binary, lengths binary, tails binary, before binary, lefts binary, many binary, keys binary, places binary"
 
 
-def runs(marked: DataFrame, length: int, seed: int, spans: int) -> DataFrame:
-    """(key, text, positions) -> front-coded sorted runs of suffixes, by range of the seed hash."""
+def runs(marked: DataFrame, key_at: int, text_at: int, length: int, seed: int, spans: int) -> DataFrame:
+    """Rows with a key, a text and last positions -> front-coded sorted runs of suffixes, by range of the seed hash.
+
+    Other columns are there only so that Spark sees one exchange of the texts for both joins.
+    """
     side = length - seed
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            keys, lists, (offsets, raw) = batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(1))
+            keys, lists = batch.column(key_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            offsets, raw = utf8(batch.column(text_at))
             for a, b in groups(offsets, RUN_BYTES):
                 use = [i for i in range(a, b) if keys[i] != (keys[i - 1] if i else last)]  # copies stand together
                 places = [np.unique(np.concatenate([np.frombuffer(x, "i4") for x in lists[i]])).astype(np.int64) for i in use]
@@ -195,7 +199,7 @@ def runs(marked: DataFrame, length: int, seed: int, spans: int) -> DataFrame:
         return out
 
     schema = pa.schema([("span", pa.int32()), *((n, pa.binary()) for n in ("shared", "lengths", "tails", "before", "lefts", "many", "keys", "places"))])
-    return marked.select("key", "text", "positions").mapInArrow(make, RUN)
+    return marked.mapInArrow(make, RUN)
 
 
 def _seed_hash(raw: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
@@ -371,12 +375,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
     key_text = keyed.select(F.col("__key").alias("key"), "text")
     found = marks(key_text, length, seed, buckets)
     exchanged = keyed.repartition(max(partitions(spark), total // (64 << 20)), "__key")
-    marked = exchanged.select("__key", *names).join(found.withColumnRenamed("key", "__mark"), F.col("__key") == F.col("__mark"))
-    spread = runs(marked.select(F.col("__key").alias("key"), "text", "positions"), length, seed, spans)
-    holes = covered(spread, length, seed)
-    copies = keyed.groupBy(F.col("__key").alias("__same")).agg(F.count("*").alias("__copies"))
-    full = exchanged.join(copies, F.col("__key") == F.col("__same")).join(holes, F.col("__key") == F.col("key"), "left")
     text_at = names.index("text")
+    found = found.select(F.col("key").alias("__mark"), F.col("positions").alias("__positions"))
+    marked = exchanged.join(found, F.col("__key") == F.col("__mark")).select(*names, "__key", "__positions")
+    spread = runs(marked, len(names), text_at, length, seed, spans)
+    holes = covered(spread, length, seed).select(F.col("key").alias("__hole"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    copies = keyed.groupBy(F.col("__key").alias("__same")).agg(F.count("*").alias("__copies"))
+    full = exchanged.join(copies, F.col("__key") == F.col("__same")).join(holes, F.col("__key") == F.col("__hole"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = base + ", __n_bytes long, __n_removed long, __n_spans long, __sha256 string"
-    return full.select(*names, "__copies", "starts", "ends").mapInArrow(cut, schema)
+    return full.select(*names, "__copies", "__starts", "__ends").mapInArrow(cut, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
