@@ -35,7 +35,7 @@ WIDTH = 5
 #: Link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 #: Bytes of all text for a fragment of the sift, and for one of the sets that are left, so that a fragment fits a task.
-FRAGMENT_BYTES, LEFT_BYTES = 32 << 20, 128 << 20
+FRAGMENT_BYTES, LEFT_BYTES = 16 << 20, 128 << 20
 #: Members of a meeting that one task compares with each other.
 BLOCK = 1024
 #: Pairs that a task counts at once.
@@ -304,7 +304,8 @@ def _unique_pairs(packed: DataFrame) -> DataFrame:
 
 
 def _bucketed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, buckets: int) -> list[tuple]:
-    bucket, out = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), []
+    """Pairs by a hash of both ends, so that a hub's pairs spread over all buckets."""
+    bucket, out = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), []
     for x in np.unique(bucket):
         m = bucket == x
         out.append((int(x), 0, _packed(a[m], "i8"), _packed(b[m], "i8"), _packed(na[m], "i4"), _packed(nb[m], "i4")))
