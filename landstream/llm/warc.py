@@ -33,12 +33,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 10_000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1, from JVM functions only: 8 groups of 20 bits, 4 letters each."""
-    digest = F.sha1(payload.cast("binary"))
+def base32_of(hexadecimal: Column) -> Column:
+    """Upper-case base32 of 40 hexadecimal digits, from JVM functions only: 8 groups of 20 bits, 4 letters each."""
     letters = []
     for i in range(8):
-        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
+        bits = F.conv(F.substring(hexadecimal, 5 * i + 1, 5), 16, 10).cast("int")
         letters += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*letters)
 
@@ -154,11 +153,12 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 def deduplicate_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, payload) as deduplicated archives at path, and read them back."""
     payload = F.coalesce("payload", F.lit(""))
-    full = pages.select("page_id", "url", "payload", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
+    full = pages.select("page_id", "url", "payload", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
     kinds = resolve_revisits(full.select("page_id", "payload_digest", "payload_bytes"), min_bytes)
     kinds = kinds.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "record_type", "refers_to")
     records = full.join(kinds, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")))
-    write_archives(records, path)
+    # Headers are matched by hexadecimal digests; only records that are written need the longer way to base32.
+    write_archives(records.withColumn("payload_digest", base32_of(F.col("payload_digest"))), path)
     return read_archives(pages.sparkSession, path)
 
 
