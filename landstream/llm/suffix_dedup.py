@@ -4,10 +4,11 @@ A string of LENGTH bytes that starts in two places holds the same minimizer in b
 strings. So only suffixes that begin at minimizers are sorted, about one in 77, and of these only those whose seed occurs twice.
 
 1. Each text's minimizers are counted by seed hash, packed, in buckets of the hash; those of one seed in two places are marked.
+   A seed that a task meets twice is marked there and sent on once, so a very common one doesn't fill its bucket.
 2. Texts meet their marks. Each task sorts the suffixes at its marks into runs, in the order (seed hash, bytes after the seed),
    and front-codes them: each entry says how many bytes it shares with the one before, and gives the rest. Equal entries of a
    run are sent once. Runs are exchanged by ranges of the seed hash.
-3. Each range is merged by a loser tree whose nodes keep the common prefix with the last winner: entries are told apart by
+3. Each range (or pair of blocks of a large one) is merged by a loser tree whose nodes keep the common prefix with the last winner: entries are told apart by
    those lengths alone unless they are equal, and then compared only beyond them. The merge yields neighbours' common prefixes.
 4. For each number l of bytes before the seed, the string from there is repeated if two suffixes share the rest of LENGTH bytes
    after it (one stretch of the order with common prefixes at least as long) and the l bytes before it. The lengths l for which
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, table
@@ -40,6 +41,8 @@ LENGTH, SEED = 200, 48
 BUCKET_BYTES, RANGE_BYTES = 64 << 20, 24 << 20
 #: Bytes of text that a run is made from.
 RUN_BYTES = 24 << 20
+#: Entries that a task merges, of each of its two blocks.
+BLOCK = 150_000
 
 
 def minimizers(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +87,15 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()] or [np.zeros(0, kind)])
 
 
+def _by_owner(owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Each owner with its packed places."""
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    who, at = np.unique(owner, return_index=True)
+    for w, i, j in zip(who, at, [*at[1:], len(owner)][: len(who)], strict=True):
+        yield int(w), place[i:j].astype("i4").tobytes()
+
+
 def marks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
     """(key, text) -> (key, positions): the minimizers whose seed is in two places, packed."""
 
@@ -95,10 +107,24 @@ def marks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
                 at, value = minimizers(offsets[a : b + 1] - base, raw[base : offsets[b]], length, seed)
                 owner = np.searchsorted(offsets[a : b + 1] - base, at, "right") - 1
                 place = at - (offsets[a:b] - base)[owner]
+                seen: dict[bytes, int] = {}
+                first = np.array([seen.setdefault(keys[i], i - a) for i in range(a, b)])
+                once = first[owner] == owner  # copies of a text are one
+                owner, place, value = owner[once], place[once], value[once]
+                order = np.lexsort((place, owner, value))
+                owner, place, value = owner[order], place[order], value[order]
+                new = np.ones(len(value), bool)
+                new[1:] = value[1:] != value[:-1]
+                # Seeds that are in two places here are marked here, and one of the places stands for them in the count.
+                here = np.zeros(len(value), bool)
+                here[:-1] |= ~new[1:]
+                here[1:] |= ~new[1:]
+                out = [(-1 - at_ % buckets, keys[a + who], None, part, None) for at_, (who, part) in enumerate(_by_owner(owner[here], place[here]))]
+                owner, place, value = owner[new], place[new], value[new]
                 bucket = _share(value, buckets)
-                order = np.lexsort((at, bucket))
+                order = np.lexsort((place, owner, bucket))
                 owner, place, value, bucket = owner[order], place[order], value[order], bucket[order]
-                bounds, out = np.searchsorted(bucket, np.arange(buckets + 1)), []
+                bounds = np.searchsorted(bucket, np.arange(buckets + 1))
                 for f in np.flatnonzero(np.diff(bounds)):
                     s = slice(bounds[f], bounds[f + 1])
                     who, many = np.unique(owner[s], return_counts=True)
@@ -106,6 +132,8 @@ def marks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
                 yield _batch(out, schema)
 
     def repeated(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            return pa.table({"key": group.column("keys"), "positions": group.column("places")})
         keys, many = _joined(group.column("keys"), "V16"), _joined(group.column("many"), "i4")
         place, value = _joined(group.column("places"), "i4"), _joined(group.column("values"), "u8")
         names, owner = np.unique(keys, return_inverse=True)
@@ -119,12 +147,8 @@ def marks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
         twice = np.zeros(len(value), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        owner, place = owner[twice], place[twice]
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order]
-        who, at = np.unique(owner, return_index=True)
-        parts = [place[i:j].tobytes() for i, j in zip(at, [*at[1:], len(owner)], strict=False)]
-        return pa.table({"key": pa.array([names[w].tobytes() for w in who], pa.binary()), "positions": pa.array(parts, pa.binary())})
+        parts = list(_by_owner(owner[twice], place[twice]))
+        return pa.table({"key": pa.array([names[w].tobytes() for w, _ in parts], pa.binary()), "positions": pa.array([x for _, x in parts], pa.binary())})
 
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "many", "places", "values"))])
     packed = docs.mapInArrow(collect, "bucket int, keys binary, many binary, places binary, values binary")
@@ -132,7 +156,7 @@ def marks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
     return found.groupBy("key").agg(F.collect_list("positions").alias("positions"))
 
 
-RUN = "span int, shared binary, lengths binary, tails binary, before binary, lefts binary, many binary, keys binary, places binary"
+RUN = "span int, entries int, shared binary, lengths binary, tails binary, before binary, lefts binary, many binary, keys binary, places binary"
 
 
 def runs(marked: DataFrame, key_at: int, text_at: int, length: int, seed: int, spans: int) -> DataFrame:
@@ -193,12 +217,12 @@ def runs(marked: DataFrame, key_at: int, text_at: int, length: int, seed: int, s
             lefts = part[:, 9 + side : 9 + 2 * side][steps < before[:, None]]
             who = owner[refs[i] : refs[j]]
             out.append((
-                int(f), sh.astype("u1").tobytes(), n.astype("u1").tobytes(), tails.tobytes(), before.tobytes(), lefts.tobytes(), many[i:j].astype("i4").tobytes(),
+                int(f), int(j - i), sh.astype("u1").tobytes(), n.astype("u1").tobytes(), tails.tobytes(), before.tobytes(), lefts.tobytes(), many[i:j].astype("i4").tobytes(),
                 b"".join(keys[w] for w in who), place[refs[i] : refs[j]].astype("i4").tobytes(),
             ))
         return out
 
-    schema = pa.schema([("span", pa.int32()), *((n, pa.binary()) for n in ("shared", "lengths", "tails", "before", "lefts", "many", "keys", "places"))])
+    schema = pa.schema([("span", pa.int32()), ("entries", pa.int32()), *((n, pa.binary()) for n in ("shared", "lengths", "tails", "before", "lefts", "many", "keys", "places"))])
     return marked.mapInArrow(make, RUN)
 
 
@@ -285,7 +309,11 @@ def merge_runs(entries: list[list[bytes]], shared: list[bytes]) -> tuple[list[in
 
 
 def covered(spans: DataFrame, length: int, seed: int) -> DataFrame:
-    """Runs -> (key, starts, ends): packed intervals of covered bytes."""
+    """Runs -> (key, starts, ends): packed intervals of covered bytes.
+
+    A span of more than BLOCK entries, as one seed with very many contexts makes it, is dealt out in blocks of runs, and each pair
+    of blocks is merged by a task of its own: any two entries meet in one of them.
+    """
     side = length - seed
 
     def combine(group: pa.Table) -> pa.Table:
@@ -345,7 +373,12 @@ def covered(spans: DataFrame, length: int, seed: int) -> DataFrame:
         return pa.Table.from_batches([_batch(parts, schema)])
 
     schema = pa.schema([("key", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
-    found = spans.groupBy("span").applyInArrow(combine, "key binary, starts binary, ends binary")
+    blocks = F.ceil(F.sum("entries").over(Window.partitionBy("span")) / F.lit(BLOCK)).cast("int")
+    dealt = spans.withColumn("__blocks", blocks).withColumn("__mine", F.pmod(F.xxhash64("keys", "places"), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    pair = [F.least("__mine", "__other").alias("__low"), F.greatest("__mine", "__other").alias("__high")]
+    dealt = dealt.select(*spans.columns, *pair)
+    found = dealt.groupBy("span", "__low", "__high").applyInArrow(combine, "key binary, starts binary, ends binary")
     return found.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
 

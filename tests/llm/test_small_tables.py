@@ -358,8 +358,11 @@ def brute_repeats(docs, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,seed", [(200, 48), (40, 12)])
-def test_repeats_against_all_strings(spark, length, seed):
+@pytest.mark.parametrize("length,seed,block", [(200, 48, 150_000), (40, 12, 150_000), (200, 48, 3)])
+def test_repeats_against_all_strings(spark, monkeypatch, length, seed, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    if block < 100:
+        monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 500)
     p, q = text(1, 60), text(2, 50)
     docs = [(1, text(3, 40) + p + text(4, 40)), (2, p[10:] + text(5, 9)), (3, text(6, 5) + p[: length + 3] + q), (4, q[5:] + "é" + q[:150]), (5, "ab" * 400), (6, "x" * 700), (7, None), (8, ""), (9, text(7, 30)), (9, text(7, 30)),
             (10, text(8, 1500) + p[3 : length + 3] + text(8, 1500)), (11, p[50:]), (None, "é" * 300), (12, p[: length - 1]), (13, "y" + p[1:length] + "z")]
