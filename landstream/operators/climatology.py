@@ -18,11 +18,12 @@ def around(center: Column, reach: int, size: int) -> Column:
 def to_pentads(daily: DataFrame, days: int) -> DataFrame:
     """Daily rows (doy) once for each pentad whose middle day is within days // 2, around the year's end too.
 
-    A pentad's middle is day 5 p - 2; day 366 counts as day 365.
+    A pentad's middle is day 5 p - 2, and these middles divide the circle of 365 days evenly; day 366 counts as day 365.
     """
-    day = F.least(F.col("doy"), F.lit(DAYS))
-    hits = F.filter(F.sequence(F.lit(1), F.lit(PENTADS)), lambda p: F.least(F.pmod(day - (p * 5 - 2), F.lit(DAYS)), F.pmod((p * 5 - 2) - day, F.lit(DAYS))) <= days // 2)
-    return daily.withColumn("pentad", F.explode(hits))
+    day, half = F.least(F.col("doy"), F.lit(DAYS)), days // 2
+    hits = F.sequence(F.ceil((day - half + 2) / 5), F.floor((day + half + 2) / 5))
+    spread = daily.withColumn("pentad", F.explode(hits))
+    return spread.withColumn("pentad", (F.pmod(F.col("pentad") - 1, F.lit(PENTADS)) + 1).cast("int"))
 
 
 def circular_pentads(df: DataFrame, k: int, time: str = "time") -> DataFrame:

@@ -225,3 +225,9 @@ def swath_longitudes(start: Column, end: Column, local_hour: float) -> tuple[Col
 
 def in_swath(lon: Column, low: Column, high: Column) -> Column:
     return F.when(low <= high, lon.between(low, high)).otherwise((lon >= low) | (lon <= high))
+
+
+def static_field_mean(df: DataFrame, tiles: DataFrame, value: str, reach: int) -> DataFrame:
+    """Long-term mean of a parameter per tile; tiles without one take their neighbourhood's."""
+    mean = df.groupBy("tile").agg(F.avg(value).alias(value))
+    return fill_gaps(tiles.join(mean, "tile", "left"), value, reach)

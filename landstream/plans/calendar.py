@@ -99,3 +99,8 @@ def ease2_cells(spark, sf):
 @R.add(f"SELECT obs_id, 2 * value + 1 AS value, 2 * lon + 1 AS lon FROM {P}", "value lon")
 def record_arithmetic(spark, sf):
     return N.elementwise(frame(spark, sf, POINTS), ["value", "lon"], lambda x: 2 * x + 1).select("obs_id", "value", "lon")
+
+
+@R.add(f"SELECT obs_id, CASE WHEN value <= 6 THEN 3 WHEN value <= 22.5 THEN 9 ELSE 36 END AS resolution FROM {P}", "resolution")
+def closest_resolution(spark, sf):
+    return frame(spark, sf, POINTS).select("obs_id", N.closest(F.col("value"), [3.0, 9.0, 36.0]).alias("resolution"))

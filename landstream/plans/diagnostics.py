@@ -172,3 +172,28 @@ def collect_obs(spark, sf):
     parts = [base.where(F.col("species") == s) for s in (1, 2, 3)]
     catalogue = spark.createDataFrame([(1, 0.5, True), (2, 1.5, True), (3, 2.0, False)], "species int, errstd double, assim boolean")
     return O.collect_obs(parts, catalogue).select("species", "tile", "n", "obsvar", "assim")
+
+
+_CAT = "(SELECT row_number() OVER (ORDER BY k) AS ordinal, k AS descr FROM (SELECT DISTINCT event_type AS k FROM events {}))"
+
+
+@R.add(f"SELECT ordinal, a.descr, b.descr AS descr2 FROM {_CAT.format('')} a FULL JOIN {_CAT.format("WHERE value < 0.02 OR event_type > 'd'")} b USING (ordinal) WHERE a.descr IS DISTINCT FROM b.descr")
+def match_species_catalogues(spark, sf):
+    from pyspark.sql import Window
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    number = F.row_number().over(Window.orderBy("descr")).cast("long").alias("ordinal")
+    listed = lambda df: df.select(F.col("event_type").alias("descr")).distinct().select(number, "descr")
+    return D.catalogue_mismatches(listed(events), listed(events.where("value < 0.02 OR event_type > 'd'")))
+
+
+@R.add(f"SELECT DISTINCT tile FROM {sql(OBS)} ORDER BY tile")
+def sorted_unique_tiles(spark, sf):
+    return frame(spark, sf, OBS).select("tile").distinct().orderBy("tile")
+
+
+@R.add(f"SELECT time, tile, species, count(*) AS n FROM (SELECT time, tile, species FROM {sql(OBS)} INTERSECT SELECT time, tile, species FROM {sql(OBS1)}) GROUP BY ALL ORDER BY tile, species, time")
+def common_keys(spark, sf):
+    """Keys of both experiments, in the order that results don't depend on the layout: tile, then species."""
+    a, b = (frame(spark, sf, text).select(*KEYS) for text in (OBS, OBS1))
+    return a.intersect(b).groupBy(*KEYS).agg(F.count("*").alias("n")).orderBy("tile", "species", "time")

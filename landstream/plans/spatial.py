@@ -222,3 +222,20 @@ def swath_longitudes(spark, sf):
     hour = F.expr("INTERVAL 1 HOUR")
     low, high = S.swath_longitudes(F.col("ts") - hour, F.col("ts") + hour, 13.5)
     return points(spark, sf).where(S.in_swath(F.col("lon"), low, high)).select("obs_id")
+
+
+_PARAM = f"(SELECT t.*, m.v FROM {TC} t LEFT JOIN (SELECT user_id AS tile, avg(value) AS v FROM {P} WHERE user_id % 3 <> 0 GROUP BY user_id) m ON m.tile = t.tile)"
+
+
+@R.add(
+    f"""SELECT t.tile, coalesce(t.v, f.fill) AS v FROM {_PARAM} t LEFT JOIN (SELECT a.tile, avg(c.v) AS fill FROM {_PARAM} a JOIN (SELECT ci, cj, avg(v) AS v FROM {_PARAM} WHERE v IS NOT NULL GROUP BY ALL) c
+    ON abs(a.ci - c.ci) <= 2 AND abs(a.cj - c.cj) <= 2 WHERE a.v IS NULL GROUP BY a.tile) f ON t.tile = f.tile""", "v"
+)
+def static_field_mean(spark, sf):
+    df = points(spark, sf).where("user_id % 3 <> 0").select(F.col("user_id").alias("tile"), F.col("value").alias("v"))
+    return S.static_field_mean(df, S.with_cell(tiles(spark, sf), GRID, "com_lon", "com_lat"), "v", 2).select("tile", "v")
+
+
+@R.add(f"SELECT tile FROM {T} WHERE com_lon BETWEEN -60 AND 60 AND com_lat BETWEEN -30 AND 30")
+def in_box(spark, sf):
+    return tiles(spark, sf).where(S.in_box(F.col("com_lon"), F.col("com_lat"), (-60.0, 60.0, -30.0, 30.0))).select("tile")
