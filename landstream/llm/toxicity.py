@@ -54,7 +54,7 @@ def _beginnings(text: bytes) -> set[bytes]:
     return {b" " + w[:n] for w in set(_WORD.findall(text)) for n in range(3, min(len(w), 12) + 1)}
 
 
-def choose_segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 40.0) -> list[bytes]:
+def choose_segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 60.0) -> list[bytes]:
     """Word beginnings that are `ratio` times as usual in toxic texts, picked until each has three or none is left that helps."""
     sets = [_beginnings(t) for t in toxic]
     usual, plain = Counter(), Counter()
@@ -72,7 +72,7 @@ def choose_segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 40
     need, chosen = np.full(len(sets), 3), []
     while texts and len(chosen) < MAX_SEGMENTS:
         gain, best = max(((need[i] > 0).sum(), g) for g, i in texts.items())
-        if gain < max(least, 0.03 * len(toxic)):
+        if gain < max(least, 0.02 * len(toxic)):
             break
         need[texts.pop(best)] -= 1
         chosen.append(best)
