@@ -197,8 +197,7 @@ def snow_obs_mean(df: DataFrame) -> DataFrame:
 
 
 def first_index(df: DataFrame) -> DataFrame:
-    """Rows numbered by species, then tile; and where each species begins."""
-    w = Window.partitionBy("species").orderBy("tile")
+    """Each row with the number at which its species begins in the order by species, then tile. Only counts are ordered."""
     counts = df.groupBy("species").agg(F.count("*").alias("n"))
     begins = counts.withColumn("first_row", F.coalesce(F.sum("n").over(Window.orderBy("species").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return df.withColumn("in_species", F.row_number().over(w)).join(F.broadcast(begins.select("species", "first_row")), "species")
+    return df.join(F.broadcast(begins.select("species", "first_row")), "species")
