@@ -1,6 +1,6 @@
 """Recursive state per key: observation bias, state bias, adaptive factors, AR(1) perturbations.
 
-Each recursion is one small fold over a key's rows in order of time. The batch form runs it over sorted groups; the streaming
+Each recursion is one small fold over a key's rows in order of time. The batch form runs it over sorted partitions; the streaming
 form keeps the state between micro-batches with transformWithStateInPandas. The state can be read back and saved as a table.
 """
 
@@ -81,31 +81,56 @@ def _rows(step: Fold, state: dict | None, frame: pd.DataFrame, keep: list[str])
     return state, pd.DataFrame(out)
 
 
+def _in_order(df: DataFrame, keys: list[str], order: list[str], start: DataFrame | None = None) -> DataFrame:
+    """Rows dealt by key and sorted, so that a task streams its keys one after the other and a key of any size fits."""
+    if start is not None:
+        df = df.join(start.select(*keys, F.col("state").alias("__state")), keys, "left")
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _key(row: dict, keys: list[str]) -> tuple:
+    return tuple(None if row[k] != row[k] else row[k] for k in keys)
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Fold, schema: str, keep: list[str], start: DataFrame | None = None) -> DataFrame:
     """The batch form: each key's rows in order. schema: of keys, kept columns and results.
 
     start: (keys, state as JSON), to go on from a saved state.
     """
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame["__state"].dropna() if "__state" in frame else ()
-        state = json.loads(first.iloc[0]) if len(first) else None
-        return _rows(step, state, frame.sort_values(order), [*keys, *keep])[1]
 
-    if start is not None:
-        df = df.join(start.select(*keys, F.col("state").alias("__state")), keys, "left")
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                if (key := _key(row, keys)) != now:
+                    now, saved = key, row.get("__state")
+                    state = json.loads(saved) if isinstance(saved, str) else None
+                state, made = step(state, row)
+                out.append({c: row[c] for c in (*keys, *keep)} | made)
+            yield pd.DataFrame(out)
+
+    return _in_order(df, keys, order, start).mapInPandas(run, schema)
 
 
 def last_state(df: DataFrame, keys: list[str], order: list[str], step: Fold, keys_schema: str) -> DataFrame:
     """(keys, state as JSON) after all rows: what a restart reads."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for row in frame.sort_values(order).to_dict("records"):
-            state, _ = step(state, row)
-        return pd.DataFrame([{k: frame[k].iloc[0] for k in keys} | {"state": json.dumps(state)}])
-
-    return df.groupBy(*keys).applyInPandas(run, f"{keys_schema}, state string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                if (key := _key(row, keys)) != now:
+                    if now is not None:
+                        out.append((*now, json.dumps(state)))
+                    now, state = key, None
+                state, _ = step(state, row)
+            yield pd.DataFrame(out, columns=[*keys, "state"])
+        if now is not None:
+            yield pd.DataFrame([(*now, json.dumps(state))], columns=[*keys, "state"])
+
+    return _in_order(df, keys, order).mapInPandas(run, f"{keys_schema}, state string")
 
 
 class Folding(StatefulProcessor):
