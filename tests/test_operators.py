@@ -247,3 +247,28 @@ def test_empty_tables(spark, sf_dir):
     none = Q.points(spark, sf_dir).where("false")
     assert S.assign_tile(none, Q.tiles(spark, sf_dir), G.LatLonGrid(), 1.0).count() == 0
     assert O.super_obs(none.withColumn("tile", F.lit(1)), ["tile"], ["value"]).count() == 0
+
+
+def test_fold_keeps_keys_apart_over_batches(spark):
+    """Keys that span Arrow batches, and null keys, keep one state each; as many rows come out as go in."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, t, float(t % 4), 1.0, True) for k in (1, 2, None) for t in range(0, 40 * 3600, 3600)]
+        df = spark.createDataFrame(rows, "k int, t long, obs double, pred double, assim boolean")
+        got = T.fold(df, ["k"], ["t"], T.obs_bias(3600, 7200.0, 20000), "k int, t long, obs double, bias double, assim boolean", ["t"]).collect()
+        assert len(got) == len(rows)
+        by = {k: [r["bias"] for r in sorted(got, key=lambda r: r["t"]) if r["k"] == k] for k in (1, 2, None)}
+        assert by[1] == by[2] == by[None] and len(by[1]) == 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_stream_and_batch_agree(spark, sf_dir):
+    from landstream.plans import streams as Q
+
+    stream = {(r["user_id"], r["t"]): r["bias"] for r in Q.streaming_obs_bias(spark, sf_dir).collect()}
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = events.select("user_id", F.unix_micros("ts").alias("t"), F.col("value").alias("obs"), (F.col("value") * 0.9).alias("pred"), F.lit(True).alias("assim"))
+    batch = T.fold(rows, ["user_id"], ["t"], T.obs_bias(10800, 864000.0, 5 * 86400), "user_id long, t long, obs double, bias double, assim boolean", ["t"]).collect()
+    assert len(batch) == len(stream) == events.count() and all(stream[r["user_id"], r["t"]] == pytest.approx(r["bias"]) for r in batch)
