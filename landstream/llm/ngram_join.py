@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles, as 64-bit hashes. The global
 each document's set falls into one segment a fragment, partial overlaps are counted in each fragment by itself, and the counts
 are summed per pair. What is compared are distinct sets; equal sets are one class, named by a 64-bit digest.
 
-1. Sift: each fragment of half of the order counts, per set, the shingles that no other set has. A set with a partner misses
-   at most (100 - threshold) % of its own size, so sets that miss more are done. Nothing with a link is lost.
+1. Sift: each fragment of half of the order counts, per set, the shingles that no other set has; those that several sets of one
+   task have are known to it, and it sends them once. A set with a partner misses at most (100 - threshold) % of its own size, so sets that miss more are done. Nothing with a link is lost.
 2. Prefixes: for the sets that are left, shingles stand in the order (number of sets that have it, hash), rarest first. Two sets
    that link share one of their first n - ceil(threshold * n) + 1 shingles: the prefix. So only sets that meet in a prefix
    shingle are compared.
@@ -98,6 +98,13 @@ def sift(docs: DataFrame, width: int, threshold: int, fragments: int, buckets: i
                 out = [(-1 - (a + i) % buckets, ids[a + i], int(n), int(k) if n else None, None, None, None, None) for i, (n, k) in enumerate(zip(sizes, keys, strict=True))]
                 low = value < np.uint64(1 << 63)
                 owner, value = owner[low], value[low] << np.uint64(1)
+                owner, value = _met_here(keys, owner, value)
+                # A set counts even if none of its shingles is sent.
+                own = np.unique(keys[sizes > 0], return_index=True)
+                bucket = (mix(own[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                for f in np.unique(bucket):
+                    m = bucket == f
+                    out.append((-1 - int(f), None, None, None, _packed(own[0][m], "i8"), _packed(sizes[sizes > 0][own[1][m]], "i4"), _packed(np.zeros(m.sum()), "i4"), None))
                 part = _fragment(value, fragments).astype(np.int64)
                 order = np.lexsort((owner, part))
                 owner, value, part = owner[order], value[order], part[order]
@@ -106,7 +113,8 @@ def sift(docs: DataFrame, width: int, threshold: int, fragments: int, buckets: i
                 for f in np.flatnonzero(np.diff(bounds)):
                     s = slice(bounds[f], bounds[f + 1])
                     who, lengths = np.unique(owner[s], return_counts=True)
-                    out.append((int(f), None, None, None, _packed(keys[who], "i8"), _packed(sizes[who], "i4"), _packed(lengths, "i4"), tails[s].tobytes()))
+                    known = who >= 0
+                    out.append((int(f), None, None, None, _packed(np.where(known, keys[who], MANY), "i8"), _packed(np.where(known, sizes[who], 0), "i4"), _packed(lengths, "i4"), tails[s].tobytes()))
                 yield _batch(out, cut_schema)
 
     def count(group: pa.Table) -> pa.Table:
@@ -119,6 +127,7 @@ def sift(docs: DataFrame, width: int, threshold: int, fragments: int, buckets: i
         at = np.cumsum(lengths) - lengths
         missed = np.add.reduceat(marks.astype(np.int32), at) if len(at) else at
         _, one = np.unique(keys, return_index=True)  # copies have the same counts
+        one = one[keys[one] != MANY]
         keys, sizes, missed = keys[one], sizes[one], missed[one]
         bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         out = []
@@ -137,8 +146,9 @@ def sift(docs: DataFrame, width: int, threshold: int, fragments: int, buckets: i
     cut_schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SIFT.split(", "))])
     rows = docs.select("doc_id", "text").mapInArrow(cut, SIFT).groupBy("fragment").applyInArrow(count, SIFT)
     rows = written(rows, "sift")
-    ids = rows.where("fragment < 0").select("doc_id", "n", "key")
-    left = rows.where("fragment >= 0").groupBy("fragment").applyInArrow(total, "key long")
+    ids = rows.where("keys IS NULL").select("doc_id", "n", "key")
+    bucket = F.when(F.col("fragment") < 0, -1 - F.col("fragment")).otherwise(F.col("fragment"))
+    left = rows.where("keys IS NOT NULL").withColumn("fragment", bucket).groupBy("fragment").applyInArrow(total, "key long")
     return ids, left
 
 
@@ -146,6 +156,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(schema))], schema=schema)
 
 
+#: Stands for "several sets of one task" in place of a set's key.
+MANY = -(1 << 63)
+
+
+def _met_here(keys: np.ndarray, owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sets of this task have are not missed by any of them: each is sent once, owned by nobody (-1).
+
+    So a shingle that very many documents have is sent once a task, not once a document.
+    """
+    twice = _repeated(keys[owner], value)
+    common = np.unique(value[twice])
+    owner, value = np.concatenate([owner[~twice], np.full(len(common), -1)]), np.concatenate([value[~twice], common])
+    return owner, value
+
+
 def segments(texts: DataFrame, width: int, fragments: int) -> DataFrame:
     """(key, text) -> (fragment, keys, sizes, lengths, values): the sets, cut into fragments and packed."""
 
