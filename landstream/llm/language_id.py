@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .textkit import groups, utf8
 
 #: The family of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
@@ -154,6 +154,7 @@ def learnable(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
+    bound_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 
 def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """docs (with text) with lang_pred and score. Nothing is shuffled."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "__letter")]
     at = kept.index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, table, written
+from .common import bound_batches, components, partitions, table, written
 from .textkit import digest, groups, mix, shingles, utf8
 
 WIDTH = 5
@@ -389,6 +389,7 @@ def rest(postings: DataFrame, known: DataFrame, threshold: int, buckets: int) ->
 def ngram_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, text) -> one row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = partitions(spark)
     fragments, parts = max(buckets, total // FRAGMENT_BYTES), max(4, total // LEFT_BYTES)

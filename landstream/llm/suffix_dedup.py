@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import bound_batches, partitions, table
 from .textkit import groups, mix, prefix_hash, range_hash, utf8
 
 LENGTH, SEED = 200, 48
 #: Bytes of text whose minimizers make a bucket of the first step, and bytes of text for a range of the merge.
 BUCKET_BYTES, RANGE_BYTES = 64 << 20, 24 << 20
 #: Bytes of text that a run is made from.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 16 << 20
 #: Entries that a task merges, of each of its two blocks.
 BLOCK = 150_000
 
@@ -168,10 +168,10 @@ def runs(marked: DataFrame, key_at: int, text_at: int, length: int, seed: int, s
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
+        for batch in _gathered(batches, text_at):
             keys, lists = batch.column(key_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             offsets, raw = utf8(batch.column(text_at))
-            for a, b in groups(offsets, RUN_BYTES):
+            for a, b in groups(offsets, 2 * RUN_BYTES):
                 use = [i for i in range(a, b) if keys[i] != (keys[i - 1] if i else last)]  # copies stand together
                 places = [np.unique(np.concatenate([np.frombuffer(x, "i4") for x in lists[i]])).astype(np.int64) for i in use]
                 if places:
@@ -181,16 +181,17 @@ def runs(marked: DataFrame, key_at: int, text_at: int, length: int, seed: int, s
 
     def one_run(keys: list[bytes], offsets: np.ndarray, raw: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple]:
         at, end, begin = offsets[owner] + place, offsets[owner + 1], offsets[owner]
-        value = np.concatenate([_seed_hash(raw, part, seed) for part in np.array_split(at, max(1, len(at) // 50_000))])
+        value = np.concatenate([_seed_hash(raw, part, seed) for part in np.array_split(at, max(1, len(at) // 10_000))])
         right, left = np.minimum(end - at - seed, side), np.minimum(place, side)
         steps = np.arange(side)
         # seed hash, bytes after the seed and their number; then the bytes before it, read backwards, and their number
         text = np.zeros((len(at), 8 + side + 1 + side + 1), np.uint8)
         text[:, :8] = value.astype(">u8").view(np.uint8).reshape(-1, 8)
-        for s in range(0, len(at), 50_000):
-            p, r, q = at[s : s + 50_000, None], right[s : s + 50_000, None], left[s : s + 50_000, None]
-            text[s : s + 50_000, 8 : 8 + side] = np.where(steps < r, raw[np.minimum(p + seed + steps, len(raw) - 1)], 0)
-            text[s : s + 50_000, 9 + side : 9 + 2 * side] = np.where(steps < q, raw[np.maximum(p - 1 - steps, 0)], 0)
+        for s in range(0, len(at), 10_000):
+            part = slice(s, s + 10_000)
+            p, r, q = at[part, None], right[part, None], left[part, None]
+            text[part, 8 : 8 + side] = np.where(steps < r, raw[np.minimum(p + seed + steps, len(raw) - 1)], 0)
+            text[part, 9 + side : 9 + 2 * side] = np.where(steps < q, raw[np.maximum(p - 1 - steps, 0)], 0)
         text[:, 8 + side], text[:, 9 + 2 * side] = right, left
         order = np.argsort(text.view(f"S{text.shape[1]}").ravel(), kind="stable")
         text, owner, place, span = text[order], owner[order], place[order], _share(value[order], spans)
@@ -226,6 +227,19 @@ def runs(marked: DataFrame, key_at: int, text_at: int, length: int, seed: int, s
     return marked.mapInArrow(make, RUN)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Table]:
+    """Batches put together until they hold RUN_BYTES of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text_at).nbytes
+        if size >= RUN_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _seed_hash(raw: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of the seeds at some positions."""
     value = np.zeros(len(at), np.uint64)
@@ -401,6 +415,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
     gives a null text. Any doc_id is untouched; equal texts are treated alike.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, spans = (max(partitions(spark), total // n) for n in (BUCKET_BYTES, RANGE_BYTES))
     names = docs.columns

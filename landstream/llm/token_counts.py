@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import table
+from .common import bound_batches, table
 from .textkit import groups, mix, prefix_hash, range_hash, utf8, words
 
 #: Vocabulary of a public tokenizer; its path is a parameter.
@@ -131,6 +131,7 @@ def count_group(pieces: PieceTable, offsets: np.ndarray, raw: np.ndarray) -> np.
 
 def count_tokens(docs: DataFrame, vocabulary: dict[bytes, float]) -> DataFrame:
     """docs (with text) with n_tokens."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "n_tokens"]
     docs = docs.select(*kept)
     at = kept.index("text")

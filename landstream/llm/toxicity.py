@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import bound_batches, table
 from .textkit import groups, utf8
 
 WINDOW, STRIDE = 64, 48
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
     """docs (with text) with score; a column of that name is replaced."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score"]
     docs = docs.select(*kept)
     held = docs.sparkSession.sparkContext.broadcast(model)
