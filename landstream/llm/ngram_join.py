@@ -35,7 +35,7 @@ WIDTH = 5
 #: Link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 #: Bytes of all text for a fragment of the sift, and for one of the sets that are left, so that a fragment fits a task.
-FRAGMENT_BYTES, LEFT_BYTES = 16 << 20, 128 << 20
+FRAGMENT_BYTES, LEFT_BYTES = 16 << 20, 64 << 20
 #: Members of a meeting that one task compares with each other.
 BLOCK = 1024
 #: Pairs that a task counts at once.
