@@ -1,25 +1,22 @@
-"""Benchmark decontamination: windows as long as an item, embedded by a random walk, matched by sampled bits, checked by edits.
+"""Benchmark decontamination: every part of a text within the edit limit of an item is found, by pieces of the item that stay whole.
 
-The walk (Chakraborty, Goldenberg, Koucky) copies the letter at its place again and again and moves on when a random bit of
-(step, letter) says so; few edits between two texts become few different letters between their walks. Each of REPETITIONS has
-bits of its own and samples LETTERS steps; a window whose sampled letters all equal the item's in some repetition is compared
-exactly, by edit distance. A text holds an item if some part of it is within `edits` of the item's length from it.
-
-Windows of an item begin where a pair of neighbouring words of the item says that it would: at the pair's place in the text
-minus its place in the item. A window is looked at for each such place; how far it may be moved by edits is left to the walk.
+An item with k edits allowed is cut into k + 1 pieces; k edits leave one of them whole, so a text that holds the item has one of
+its pieces as it stands, whatever the edits are. Pieces are byte strings: words and spaces don't matter, nor do scripts without
+spaces. The places of pieces in a text are found by their first eight bytes (and their last, if they are longer), then checked in
+two steps that lose nothing either: neighbouring pieces are joined to sections of at most 64 bytes, one of which has fewer edits
+than pieces, which a bit-parallel edit distance tells for many places at once; what is left is compared with the whole item.
+A text holds an item if some part of it is within `edits` of the item's length from it.
 
 Items are a stated query set: they are broadcast in blocks of at most BLOCK_BYTES, each against all documents. Nothing else is
 shuffled.
 
 Texts are compared as bytes, with A-Z lower-cased and each run of white space as one space. Cases: null or blank texts hold
-nothing; null or blank items are held by nothing; items with one word are looked for by that word; repeated rows are found each
-for itself; an empty table gives an empty result; other columns pass through decontaminate() untouched.
+nothing; null or blank items are held by nothing; an item of fewer bytes than allow an edit is looked for as it stands; repeated
+rows are found each for itself; an empty table gives an empty result; other columns pass through decontaminate() untouched.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, table
-from .textkit import _LOWER, groups, prefix_hash, range_hash, utf8, words
+from .textkit import _LOWER, GROUP_BYTES, groups, utf8
 
 EDITS = 0.1
-#: Steps that a repetition samples, and the share of the walks that is equal at EDITS edits (measured on random edits).
-LETTERS, EQUAL = 4, 0.6
-RECALL = 0.99
 BLOCK_BYTES = 16 << 20
-#: Bytes of a pair of words below which it is too usual to begin a window, if the item has longer pairs.
-PAIR_BYTES = 9
-
+#: Bytes of a section: one machine word has a bit for each.
+SECTION = 64
+#: Places that are expanded or compared at once.
+PLACES, LANES = 1 << 16, 2048
 
-def repetitions(recall: float = RECALL, letters: int = LETTERS, equal: float = EQUAL) -> int:
-    """Repetitions after which a window at the edit limit is missed with probability 1 - recall at most."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - equal**letters))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(raw: np.ndarray) -> bytes:
@@ -49,134 +42,171 @@ def plain(raw: np.ndarray) -> bytes:
     return b" ".join(_LOWER[raw].tobytes().split())
 
 
-def walk(texts: list[np.ndarray], bits: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Letters of each text's walks at the sampled steps: texts, repetitions, samples. Past the end the letter is 0.
+def _eights(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, but for the last seven places."""
+    x = body.astype(np.uint64)
+    for k in (1, 2, 4):
+        x = (x[:-k] << np.uint64(8 * k)) | x[k:]
+    return x
+
+
+def _eights_at(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    code = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        code = (code << np.uint64(8)) | body[at + k]
+    return code
+
 
-    bits: repetitions, steps, letters. steps: texts, repetitions, samples.
-    """
-    longest, n = max(len(t) for t in texts), len(bits)
-    x = np.zeros((len(texts), longest + 1), np.uint8)
-    for row, t in zip(x, texts, strict=True):
-        row[: len(t)] = t
-    rows, turn = np.repeat(np.arange(len(texts)), n), np.tile(np.arange(n), len(texts))
-    at, seen = np.zeros(len(rows), np.int64), np.zeros((int(steps.max()) + 1, len(rows)), np.uint8)
-    for j in range(len(seen)):
-        letter = x[rows, at]
-        seen[j] = letter
-        at = np.minimum(at + bits[turn, j, letter], longest)
-    return seen[steps.reshape(len(rows), -1), np.arange(len(rows))[:, None]].reshape(steps.shape)
+def _values(eights: np.ndarray, size: int) -> np.ndarray:
+    """Spread value of the first `size` bytes of the eight."""
+    return ((eights >> np.uint64(64 - 8 * size)) + np.uint64((size * 0x632BE59BD9B4E019) % (1 << 64))) * _ODD
 
 
 class Items:
-    """A block of items, with the samples of their walks and the places of their pairs of words."""
+    """A block of items: their pieces in the order of their values, and the sections that the pieces are parts of."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, seed: int = 8):
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
         self.ids, self.texts, self.limits = [], [], []
-        pairs = defaultdict(list)
+        pieces, sections, at, n = [], [], 0, 0
         for i, text in items:
             body = plain(np.frombuffer((text or "").encode(), np.uint8))
-            if body:
-                for value, at in self._pairs(body):
-                    pairs[value].append((len(self.ids), at))
-                self.ids.append(i)
-                self.texts.append(body)
-                self.limits.append(int(edits * len(body)))
-        self.values = np.array(sorted(pairs), np.uint64)
-        self.places = [pairs[int(v)] for v in self.values]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.values >> np.uint64(44)).astype(np.int64)] = True
-        rng = np.random.default_rng(seed)
-        longest = max(map(len, self.texts), default=1)
-        n = repetitions()
-        self.bits = rng.integers(0, 2, (n, 3 * longest, 256), dtype=np.uint8)
-        # Each item's steps: distinct, within the walk's usual length over the item.
-        self.steps = np.array([[np.sort(rng.choice(max(LETTERS, 2 * len(t) - 8), LETTERS, replace=False)) for _ in range(n)] for t in self.texts])
-        texts = [np.frombuffer(t, np.uint8) for t in self.texts]
-        parts = [walk(texts[k : k + 200], self.bits, self.steps[k : k + 200]) for k in range(0, len(texts), 200)]
-        self.sampled = np.concatenate(parts) if parts else self.steps
-
-    @staticmethod
-    def _pairs(body: bytes) -> list[tuple[int, int]]:
-        """Hash and place of each pair of neighbouring words; of the only word, if there is one; usual ones left out."""
-        raw = np.frombuffer(body, np.uint8)
-        start, value, size = pair_hashes(np.array([0, len(raw)]), raw)
-        if not len(start):
-            start, value = np.zeros(1, np.int64), range_hash(prefix_hash(raw), np.zeros(1, np.int64), np.array([len(raw)]))
-            return [(int(value[0]), 0)]
-        rare = size >= min(PAIR_BYTES, int(size.max()))
-        return [(int(v), int(s)) for v, s in zip(value[rare], start[rare], strict=True)]
-
-    def candidates(self, texts: list[bytes], windows: np.ndarray) -> np.ndarray:
-        """windows: text, item, begin. Which of them match their item's samples in some repetition."""
-        found = np.zeros(len(windows), bool)
-        for k in range(0, len(windows), 400):
-            part = windows[k : k + 400]
-            pieces = [np.frombuffer(texts[t][max(0, b) : max(0, b) + len(self.texts[i])], np.uint8) for t, i, b in part.tolist()]
-            item = part[:, 1]
-            found[k : k + 400] = (walk(pieces, self.bits, self.steps[item]) == self.sampled[item]).all(2).any(1)
-        return found
-
-
-def pair_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash and bytes of each pair of neighbouring words inside a text of normal form (lower case)."""
-    start, end, doc = words(offsets, raw)
-    if len(start) < 2:
-        return start[:0], np.zeros(0, np.uint64), start[:0]
-    word = prefix_hash(range_hash(prefix_hash(_LOWER[raw]), start, end))
-    i = np.flatnonzero(doc[1:] == doc[:-1])
-    return start[i], range_hash(word, i, i + 2), (end[i + 1] - start[i + 1]) + (end[i] - start[i])
+            if not body:
+                continue
+            size, k = len(body), min(int(edits * len(body)), len(body) - 1)
+            cuts = np.arange(k + 2) * size // (k + 1)
+            many = -(-(k + 1) // max(1, SECTION // -(-size // (k + 1))))
+            ends = np.arange(many + 1) * (k + 1) // many
+            of = np.repeat(np.arange(many), np.diff(ends))
+            pieces.append(np.stack([cuts[:-1], np.diff(cuts), n + of, np.full(k + 1, at)], 1))
+            sections.append(np.stack([cuts[ends[:-1]], cuts[ends[1:]] - cuts[ends[:-1]], np.diff(ends) - 1, np.full(many, len(self.ids)), np.full(many, at)], 1))
+            n, at = n + many, at + size
+            self.ids.append(i)
+            self.texts.append(body)
+            self.limits.append(k)
+        self.raw = np.frombuffer(b"".join(self.texts) + bytes(8), np.uint8)
+        self.inside, self.size, self.section, begin = (np.concatenate(pieces) if pieces else np.zeros((0, 4), np.int64)).T
+        #: Of a section: its place in the item, bytes, edits allowed, item, and where the item begins in `raw`.
+        self.sections = np.concatenate(sections) if sections else np.zeros((0, 5), np.int64)
+        short = np.minimum(self.size, 8)
+        values, eights = np.zeros(len(short), np.uint64), _eights_at(self.raw, begin + self.inside)
+        self.sizes = sorted(set(short.tolist()))
+        for s in self.sizes:
+            values[short == s] = _values(eights[short == s], s)
+        last = _eights_at(self.raw, begin + self.inside + self.size - short)
+        order = np.argsort(values, kind="stable")
+        self.values, self.last = values[order], last[order]
+        self.inside, self.size, self.section = (x[order] for x in (self.inside, self.size, self.section))
+        self.bits = min(24, max(12, (16 * len(order)).bit_length()))
+        self.filter = np.zeros(1 << self.bits, bool)
+        self.filter[(self.values >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+
+    def places(self, body: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Place in body (eight bytes longer than the texts) and number of each piece that may stand there, some at a time."""
+        n = len(body) - 8
+        for low in range(0, n, GROUP_BYTES):
+            eights = _eights(body[low : min(n, low + GROUP_BYTES) + 7])
+            for s in self.sizes:
+                value = _values(eights, s)
+                at = np.flatnonzero(self.filter[(value >> np.uint64(64 - self.bits)).astype(np.int64)])
+                first, end = (np.searchsorted(self.values, value[at], side) for side in ("left", "right"))
+                at, first, end = (x[first < end] for x in (at, first, end))
+                total = np.concatenate([[0], np.cumsum(end - first)])
+                a = 0
+                while a < len(at):
+                    b = max(a + 1, int(np.searchsorted(total, total[a] + PLACES, "right")) - 1)
+                    many = end[a:b] - first[a:b]
+                    piece = np.repeat(first[a:b] - (total[a:b] - total[a]), many) + np.arange(total[b] - total[a])
+                    yield np.repeat(at[a:b] + low, many), piece
+                    a = b
+
+    def near_sections(self, section: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, body: np.ndarray) -> np.ndarray:
+        """Whether the section is within its edits of some part of the text low..high about the place where it would begin."""
+        out = np.ones(len(section), bool)
+        check = np.flatnonzero((self.sections[section, 1] <= SECTION) & (self.sections[section, 2] > 0))
+        check = check[np.argsort(self.sections[section[check], 1], kind="stable")]
+        for a in range(0, len(check), LANES):
+            part = check[a : a + LANES]
+            used, row = np.unique(section[part], return_inverse=True)
+            inside, size, edits, _, start = self.sections[used].T
+            bit = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            equal = np.zeros((len(used), 256), np.uint64)
+            np.bitwise_or.at(equal, (np.repeat(np.arange(len(used)), size), self.raw[np.repeat(start + inside, size) + bit]), np.uint64(1) << bit.astype(np.uint64))
+            equal[:, 255] = 0  # no byte of UTF-8: outside the text
+            equal, row = equal.ravel(), row * 256
+            size, edits = size[row // 256], edits[row // 256]
+            at, lo, hi, top = begin[part] - edits, low[part], high[part], (size - 1).astype(np.uint64)
+            one = np.uint64(1)
+            up, down, score = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64), size.copy()
+            best = score.copy()
+            for j in range(int((size + 2 * edits).max())):
+                p = at + j
+                letter = np.where((p >= lo) & (p < hi), body[np.clip(p, 0, len(body) - 1)], 255)
+                x = equal[row + letter] | down
+                d = (((x & up) + up) ^ up) | x
+                less, more = up & d, down | ~(up | d)
+                score += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+                more <<= one
+                down, up = more & d, (less << one) | ~(more | d)
+                np.minimum(best, score, out=best)
+            out[part] = best <= edits
+        return out
 
 
 def part_distance(item: bytes, text: bytes) -> tuple[int, int]:
-    """Edit distance of the item to the part of the text that is nearest, and where that part ends."""
+    """Edit distance of the item to the part of the text that is nearest, and where that part ends (the first, of several)."""
     if (at := text.find(item)) >= 0:
         return 0, at + len(item)
-    letters = np.frombuffer(text, np.uint8)
-    steps = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+    equal: dict[int, int] = {}
     for i, c in enumerate(item):
-        new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (letters != c))
-        row = np.minimum.accumulate(new - steps) + steps
-    end = int(row.argmin())
-    return int(row[end]), end
+        equal[c] = equal.get(c, 0) | 1 << i
+    full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, score = full, 0, len(item)
+    best = score, 0
+    for j, c in enumerate(text, 1):
+        x = equal.get(c, 0) | down
+        d = (((x & up) + up) ^ up | x) & full
+        less, more = up & d, down | full & ~(up | d)
+        score += (1 if more & top else 0) - (1 if less & top else 0)
+        more = more << 1 & full
+        down, up = more & d, (less << 1 | ~(more | d)) & full
+        if score < best[0]:
+            best = score, j
+    return best
 
 
 def find_in_group(items: Items, offsets: np.ndarray, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(text, item, distance, end) for each text of a group and item that it holds, at its nearest part."""
-    start, value, _ = pair_hashes(offsets, raw)
-    maybe = np.flatnonzero(items.filter[(value >> np.uint64(44)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(items.values, value[maybe]), max(0, len(items.values) - 1))
-    hit = items.values[at] == value[maybe] if len(items.values) else np.zeros(0, bool)
-    maybe, at = maybe[hit], at[hit]
-    doc = np.searchsorted(offsets, start[maybe], "right") - 1
-    touched, texts = {}, []
+    texts = [plain(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    edge = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    body = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     wanted = set()
-    for d, s, v in zip(doc.tolist(), start[maybe].tolist(), at.tolist(), strict=True):
-        if d not in touched:
-            touched[d] = len(texts)
-            texts.append(plain(raw[offsets[d] : offsets[d + 1]]))
-        # Where the pair stands once white space is brought to its form.
-        before = plain(raw[offsets[d] : s])
-        place = len(before) + (1 if before else 0)
-        for item, inside in items.places[v]:
-            wanted.add((touched[d], item, place - inside))
-    if not wanted:
-        return []
-    windows = np.array(sorted(wanted), np.int64)
-    windows = windows[items.candidates(texts, windows)]
-    name = {k: d for d, k in touched.items()}
+    for at, piece in items.places(body):
+        doc = np.searchsorted(edge, at, "right") - 1
+        size = items.size[piece]
+        whole = at + size <= edge[doc + 1]
+        at, piece, doc, size = at[whole], piece[whole], doc[whole], size[whole]
+        short = np.minimum(size, 8)
+        same = _eights_at(body, at + size - short) >> (64 - 8 * short).astype(np.uint64) == items.last[piece] >> (64 - 8 * short).astype(np.uint64)
+        at, piece, doc = at[same], piece[same], doc[same]
+        # Pieces of one section that say the same begin are one place.
+        _, once = np.unique(items.section[piece] * (2 * len(body) + len(items.raw)) + at - items.inside[piece] + len(items.raw), return_index=True)
+        at, piece, doc = at[once], piece[once], doc[once]
+        section = items.section[piece]
+        begin = at - items.inside[piece]
+        near = items.near_sections(section, begin + items.sections[section, 0], edge[doc], edge[doc + 1], body)
+        item = items.sections[section[near], 3]
+        step = np.maximum(16, np.array([items.limits[i] for i in item.tolist()], np.int64))
+        wanted.update(zip(doc[near].tolist(), item.tolist(), ((begin[near] - edge[doc[near]]) // step).tolist(), step.tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for t, i, b in windows.tolist():
+    for t, i, b, step in sorted(wanted):
+        k, n = items.limits[i], len(items.texts[i])
         if best.get((t, i), (1,))[0] == 0:
             continue
-        k = items.limits[i]
-        low = max(0, b - k)
-        distance, end = part_distance(items.texts[i], texts[t][low : b + len(items.texts[i]) + k + 1])
+        low = max(0, b * step - k)
+        distance, end = part_distance(items.texts[i], texts[t][low : max(0, (b + 1) * step + n + k)])
         if distance <= k:
             best[t, i] = min(best.get((t, i), (distance, low + end)), (distance, low + end))
-    return [(name[t], items.ids[i], d, e) for (t, i), (d, e) in best.items()]
+    return [(t, items.ids[i], d, e) for (t, i), (d, e) in best.items()]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
