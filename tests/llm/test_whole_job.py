@@ -1,6 +1,7 @@
 """Cases of the corpus operators that an earlier form of them lost."""
 
 import numpy as np
+import pytest
 
 from landstream.llm import decontamination
 
@@ -19,3 +20,43 @@ def test_items_without_spaces_are_found_inside_longer_text(spark):
     docs = [(1, f"はじめに{item}終わり"), (2, item.replace("最も", "一番")), (3, "東京都の天気"), (4, item)]
     got = {r["doc_id"]: r["distance"] for r in decontamination.find_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got[1] == got[4] == 0 and 0 < got[2] <= len(item.encode()) // 10 and 3 not in got
+
+
+@pytest.mark.parametrize("words,letters", [(3, (2, 4)), (12, (1, 4)), (35, (2, 9)), (90, (2, 9)), (1, (30, 31))])
+def test_all_items_at_the_edit_limit_are_found(words, letters):
+    rng = np.random.default_rng(words)
+    items = [(i, " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(*letters))) for _ in range(words)) + " zyxwvutsrqp") for i in range(40)]
+    block, within = decontamination.Items(items), 0
+    for i, t in items:
+        body = list(t)
+        # As many edits as may be, spread so that each pair of words is touched if there are enough of them.
+        k = len(t) // 10
+        for p in (np.arange(k) + 0.5) * len(t) // k:
+            body[int(p)] = str(rng.choice(["", "Q", body[int(p)] + "q"]))
+        raw = np.frombuffer(f"{text(i, 30)} {''.join(body)} {text(i + 7, 30)}".encode(), np.uint8)
+        got = {r[1]: r[2:] for r in decontamination.find_in_group(block, np.array([0, len(raw)]), raw)}
+        want = decontamination.part_distance(t.encode(), decontamination.plain(raw))
+        # A deleted word of one letter takes a space with it, which may be over the limit.
+        within += want[0] <= k
+        assert got.get(i) == (want if want[0] <= k else None)
+    assert within >= 36
+
+
+def test_an_edit_in_the_only_long_word_loses_nothing():
+    item = "a is to be in on at it as extraordinariness of or by we he me up so no go"
+    block = decontamination.Items([(1, item)])
+    raw = np.frombuffer(b"x " + item.replace("dinari", "denari").encode() + b" y", np.uint8)
+    assert decontamination.find_in_group(block, np.array([0, len(raw)]), raw) == [(0, 1, 1, len(item) + 2)]
+
+
+def test_part_distance_is_the_edit_distance():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        item, whole = (bytes(rng.integers(97, 100, n).tolist()) for n in (rng.integers(1, 90), rng.integers(0, 120)))
+        row = [0] * (len(whole) + 1)
+        for i, c in enumerate(item):
+            new = [i + 1]
+            for j, x in enumerate(whole):
+                new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+            row = new
+        assert decontamination.part_distance(item, whole) == (min(row), row.index(min(row)))
