@@ -3,8 +3,9 @@
 Both dictionaries hold the same ordinary text. The toxic one ends with segments that toxic training texts have and ordinary
 ones don't: word beginnings, picked greedily until the toxic texts are covered, each completed to its most usual form. The
 ordinary one ends with as many zero bytes, so that lengths differ only where a window matches toxic segments. A window's
-evidence is how many bytes less it takes with the toxic dictionary. A window without any GRAM-byte string that is peculiar to
-the toxic segments can't match them better and counts as 0 without being compressed; all windows of the whole text are looked at.
+evidence is how many bytes less it takes with the toxic dictionary. The compressor copies strings of LEAST_MATCH bytes or more;
+a window that holds none of the toxic segments' strings of that length or more but such as ordinary text has as well counts as 0
+without being compressed. All windows of the whole text are looked at.
 
 A text's score is a logistic function of the evidence of its best windows and of its number of windows, fitted on training
 texts that did not choose the segments.
@@ -32,11 +33,11 @@ from .common import bound_batches, table
 from .textkit import groups, utf8
 
 WINDOW, STRIDE = 64, 48
-GRAM = 5
+LEAST_MATCH = 3
 #: Bounds of the training sample: documents of each kind, and bytes of all of them.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 4500, 48 << 20
 BASE_BYTES = 100_000
-MAX_SEGMENTS = 128
+MAX_SEGMENTS = 1024
 PREDICT_AT = 0.3
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -72,7 +73,7 @@ def choose_segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 60
     need, chosen = np.full(len(sets), 3), []
     while texts and len(chosen) < MAX_SEGMENTS:
         gain, best = max(((need[i] > 0).sum(), g) for g, i in texts.items())
-        if gain < max(least, 0.02 * len(toxic)):
+        if gain < least:
             break
         need[texts.pop(best)] -= 1
         chosen.append(best)
@@ -98,17 +99,19 @@ class ToxicModel:
 
     def _load(self):
         if self._ready is None:
-            marks = np.zeros(1 << 20, bool)
-            usual = {self.base[i : i + GRAM] for i in range(len(self.base))}
-            peculiar = [g for i in range(len(self.toxic) - GRAM + 1) if (g := self.toxic[i : i + GRAM]) not in usual]
-            for g in peculiar:
-                marks[_gram_codes(np.frombuffer(g, np.uint8))] = True
+            marks: dict[int, np.ndarray] = {}
+            # From each place of the toxic end, the shortest string that ordinary text hasn't: all longer ones begin with it.
+            for i in range(len(self.toxic)):
+                for n in range(LEAST_MATCH, len(self.toxic) - i + 1):
+                    if self.base.find(g := self.toxic[i : i + n]) < 0:
+                        marks.setdefault(n, np.zeros(1 << 20, bool))[_gram_codes(np.frombuffer(g, np.uint8), n)] = True
+                        break
             self._ready = marks, self._compressor(bytes(len(self.toxic))), self._compressor(self.toxic)
         return self._ready
 
     def _compressor(self, tail: bytes) -> zstandard.ZstdCompressor:
         how = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=3, target_length=32,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=LEAST_MATCH, target_length=32,
             strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         held = zstandard.ZstdCompressionDict(self.base + tail, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -122,17 +125,16 @@ class ToxicModel:
         out = np.zeros((n, 4))
         sizes = np.diff(offsets)
         out[:, 3] = np.log1p(np.maximum(np.ceil((sizes - WINDOW) / STRIDE), 0))
-        if len(raw) < GRAM:
-            return out
-        raw = _PLAIN[raw]
-        at = np.flatnonzero(marks[_gram_codes(raw)])
-        doc = np.searchsorted(offsets, at, "right") - 1
-        inside = at + GRAM <= offsets[doc + 1]
-        at, doc = at[inside], doc[inside]
-        # The windows of the grid that hold the string: the last that begins before it, and the one before if it reaches as far.
-        last = (at - offsets[doc]) // STRIDE
-        before = (last > 0) & (at - offsets[doc] + GRAM <= (last - 1) * STRIDE + WINDOW)
-        windows = np.unique(np.concatenate([np.stack([doc, last], 1), np.stack([doc, last - 1], 1)[before]]), axis=0)
+        raw, windows = _PLAIN[raw], np.zeros((0, 2), np.int64)
+        for size, mark in marks.items():
+            at = np.flatnonzero(mark[_gram_codes(raw, size)])
+            doc = np.searchsorted(offsets, at, "right") - 1
+            inside = at + size <= offsets[doc + 1]
+            at, doc = at[inside], doc[inside]
+            # The windows of the grid that hold the string: the last that begins before it, and the one before if it reaches as far.
+            last = (at - offsets[doc]) // STRIDE
+            before = (last > 0) & (at - offsets[doc] + size <= (last - 1) * STRIDE + WINDOW)
+            windows = np.unique(np.concatenate([windows, np.stack([doc, last], 1), np.stack([doc, last - 1], 1)[before]]), axis=0)
         found = defaultdict(list)
         for d, k in windows.tolist():
             begin = int(offsets[d]) + k * STRIDE
@@ -148,13 +150,13 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _gram_codes(raw: np.ndarray) -> np.ndarray:
-    """20-bit hashes of all strings of GRAM bytes."""
-    if len(raw) < GRAM:
+def _gram_codes(raw: np.ndarray, size: int) -> np.ndarray:
+    """20-bit hashes of all strings of `size` bytes."""
+    if len(raw) < size:
         return np.zeros(0, np.int64)
-    code = np.zeros(len(raw) - GRAM + 1, np.uint32)
-    for i in range(GRAM):
-        code = code * np.uint32(0x01000193) ^ raw[i : len(raw) - GRAM + 1 + i]
+    code = np.zeros(len(raw) - size + 1, np.uint32)
+    for i in range(size):
+        code = code * np.uint32(0x01000193) ^ raw[i : len(raw) - size + 1 + i]
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64)
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from landstream.llm import decontamination
+from landstream.llm import decontamination, toxicity
 
 from .test_small_tables import DOCS, ITEMS, brute_items, text
 
@@ -60,3 +60,21 @@ def test_part_distance_is_the_edit_distance():
                 new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
             row = new
         assert decontamination.part_distance(item, whole) == (min(row), row.index(min(row)))
+
+
+# Toxicity
+def test_stems_of_four_bytes_are_seen():
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("aeioulmnrst"), n))
+    plain = [word(6) for _ in range(300)]
+    model = toxicity.ToxicModel(" ".join(rng.choice(plain, 3000)).encode(), b" zkb qxw vgf ", np.zeros(6))
+    seen = 0
+    for _ in range(50):  # one match of four bytes need not save a whole byte, three often do
+        w = list(rng.choice(plain, 4))
+        for stem in ("zkb", "qxw", "vgf"):
+            w.insert(int(rng.integers(1, len(w))), stem + word(3))
+        piece = " ".join(w).encode()[:64]
+        seen += model.evidence(np.array([0, len(piece)]), np.frombuffer(piece, np.uint8))[0, 0] > 0
+    assert seen >= 10
+    none = " ".join(rng.choice(plain, 8)).encode()
+    assert model.evidence(np.array([0, len(none)]), np.frombuffer(none, np.uint8))[0, 0] == 0
