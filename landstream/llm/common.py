@@ -47,6 +47,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def hash_below(share: float) -> int:
+    """The largest value of a 64-bit hash that a draw of this share of all rows takes."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
 

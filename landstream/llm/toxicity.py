@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bound_batches, table
+from .common import bound_batches, hash_below, table
 from .textkit import groups, utf8
 
 WINDOW, STRIDE = 64, 48
@@ -37,6 +37,8 @@ LEAST_MATCH = 3
 #: Bounds of the training sample: documents of each kind, and bytes of all of them.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 4500, 48 << 20
 BASE_BYTES = 100_000
+#: Bytes of the parts that are drawn from a training text that is over its class's share.
+PART = 1024
 MAX_SEGMENTS = 1024
 PREDICT_AT = 0.3
 
@@ -206,23 +208,56 @@ def learnable(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
+def text_bounds(sizes: dict[int, list[int]], most: int | None = None) -> dict[int, int]:
+    """Bytes up to which texts of each class are taken whole, so that all stay within `most`; a class leaves what it doesn't need."""
+    left, out = MAX_BYTES if most is None else most, {}
+    for i, k in enumerate(sorted(sizes, key=lambda k: sum(sizes[k]))):
+        room, n = left // (len(sizes) - i), len(sizes[k])
+        out[k] = max(sizes[k], default=0)
+        for size in sorted(sizes[k]):
+            if size * n > room:
+                out[k] = room // n
+                break
+            room, n = room - size, n - 1
+        left -= sum(min(x, out[k]) for x in sizes[k])
+    return out
+
+
+def even_parts(text: bytes, most: int) -> bytes:
+    """The text, or parts of PART bytes drawn evenly from all of it that have `most` bytes at most together."""
+    if len(text) <= most:
+        return text
+    n = max(1, (most + 1) // (PART + 1))
+    size = min(PART, most)
+    return b" ".join(text[a : a + size] for a in (np.arange(n) * (len(text) - size) // max(1, n - 1)).tolist())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     """Learn from a bounded sample of the labelled texts; which ones depends on a hash of the id."""
     known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.where(learnable())
+    bound_batches(docs.sparkSession)
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((0, MAX_ORDINARY), (1, MAX_TOXIC))}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
-    picked = known.where(draw < F.when(F.col("toxic") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000)))
+    draw = F.xxhash64("doc_id", F.lit(7))
+    picked = known.where(draw <= F.when(F.col("toxic") == 1, F.lit(hash_below(share[1]))).otherwise(F.lit(hash_below(share[0]))))
     picked = picked.orderBy(F.xxhash64("doc_id")).limit(2 * (MAX_TOXIC + MAX_ORDINARY))
-    sample = picked.join(docs.where("text IS NOT NULL").select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "text")
-    texts, toxic, size = [], [], 0
-    for row in sample.select("text", "toxic").toLocalIterator():
-        text = row["text"].encode()
-        size += len(text)
-        if size > MAX_BYTES:
-            break
-        texts.append(text)
+    sample = picked.join(docs.where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
+    sizes = defaultdict(list)
+    for row in sample.select("toxic", F.octet_length("text").alias("n")).collect():
+        sizes[row["toxic"]].append(row["n"])
+    bound = text_bounds(sizes)
+    texts, toxic = [], []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [even_parts((t or "").encode(), bound[k]) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1), batch.column(2), batch.column(3)], names=["text", "toxic", "doc", "whole"])
+
+    cut = sample.select("text", "toxic", F.xxhash64("doc_id").alias("doc"), F.xxhash64("text").alias("whole"))
+    cut = cut.mapInArrow(run, "text binary, toxic int, doc long, whole long").orderBy("doc", "whole", "toxic")
+    for row in cut.select("text", "toxic").toLocalIterator():
+        texts.append(bytes(row["text"]))
         toxic.append(row["toxic"])
     return train(texts, toxic, share)
 

@@ -78,3 +78,20 @@ def test_stems_of_four_bytes_are_seen():
     assert seen >= 10
     none = " ".join(rng.choice(plain, 8)).encode()
     assert model.evidence(np.array([0, len(none)]), np.frombuffer(none, np.uint8))[0, 0] == 0
+
+
+def test_a_long_document_does_not_end_the_training(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 60_000)
+    rows = [(i, f"{text(i, 12)} {'zorkblat quxwhiff vexgrump' if i % 3 == 0 else 'plain'}") for i in range(300)]
+    rows += [(1000 + i, text(5000 + i, 20_000)) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 1000 and i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model is not None
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert sum((got[i] >= 0.3) != (i % 3 == 0) for i in range(300)) <= 3
+
+
+def test_bounds_of_training_texts():
+    assert toxicity.text_bounds({0: [10, 10_000, 30], 1: [5]}, 100) == {1: 5, 0: 55}
+    assert toxicity.text_bounds({0: [10, 20], 1: []}, 100) == {1: 0, 0: 20}
+    assert toxicity.even_parts(b"ab" * 5000, 3000).count(b" ") == 1 and toxicity.even_parts(b"ab", 2) == b"ab" and len(toxicity.even_parts(b"ab" * 50, 7)) == 7
