@@ -17,8 +17,11 @@ LEAST_SURE = 0.4
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those whose language can't be told."""
-    told = language_id.identify_language(docs, language_id.fit(docs))
+    """Drop documents without a letter, and those whose language can't be told; if there is no model to tell it, only the former."""
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language_id.identify_language(docs, model)
     return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(*docs.columns)
 
 

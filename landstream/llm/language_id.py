@@ -4,7 +4,8 @@ Features are hashed byte trigrams of the whole lower-cased text, as shares of al
 machines, one for each family against the others; within the family, one machine for each pair of languages votes. All machines are
 tables of one weight a feature, so a text's margins are means of looked-up weights.
 
-Learning takes a bounded sample: SAMPLE documents, shared equally by the languages, drawn by a hash of doc_id.
+Learning takes a bounded sample: SAMPLE documents, shared equally by the languages, but LEAST_EACH of each language at least,
+drawn by a hash of doc_id. All languages are learned.
 
 Cases: a text that is null or has no letter is `und` with score 0; if nothing can be learned from, every text is `und`; a null
 doc_id is predicted but not learned from; rows with a null lang are not learned from; an empty table gives an empty result. Input
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, hash_below, table
 from .textkit import groups, utf8
 
 #: The family of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
@@ -35,8 +36,8 @@ FAMILIES = {
 }
 FEATURES = 1 << 12
 SAMPLE = 3000
-#: Languages beyond this number are not learned; the sample has to show each of them.
-MAX_LANGUAGES = 100
+#: Documents that the sample has of each language (or all it has), however many languages there are.
+LEAST_EACH = 30
 UNKNOWN = "und"
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint32)
@@ -153,16 +154,21 @@ def learnable(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
+def sampling(counts: list, sample: int = SAMPLE) -> list[tuple[str, int]]:
+    """(lang, n) of each language -> lang and the largest 64-bit hash that is drawn: the same number of documents of each."""
+    share = max(sample / len(counts), LEAST_EACH)
+    return [(lang, hash_below(min(1.0, share / n))) for lang, n in counts]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     bound_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return None
-    share = sample / len(counts)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000))
-    most = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int(1_000_000 * min(1.0, share / r["n"])))))
-    picked = known.where(draw < F.coalesce(F.try_element_at(most, F.col("lang")), F.lit(0))).limit(2 * sample)
+    most = docs.sparkSession.createDataFrame(sampling(counts, sample), "lang string, __most long")
+    draw = F.xxhash64("doc_id", F.lit(4))
+    picked = known.join(F.broadcast(most), "lang").where(draw <= F.col("__most")).limit(2 * max(sample, LEAST_EACH * len(counts)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from landstream.llm import decontamination, toxicity
+import corpus_pipeline
+from landstream.llm import decontamination, language_id, toxicity
 
 from .test_small_tables import DOCS, ITEMS, brute_items, text
 
@@ -95,3 +96,21 @@ def test_bounds_of_training_texts():
     assert toxicity.text_bounds({0: [10, 10_000, 30], 1: [5]}, 100) == {1: 5, 0: 55}
     assert toxicity.text_bounds({0: [10, 20], 1: []}, 100) == {1: 0, 0: 20}
     assert toxicity.even_parts(b"ab" * 5000, 3000).count(b" ") == 1 and toxicity.even_parts(b"ab", 2) == b"ab" and len(toxicity.even_parts(b"ab" * 50, 7)) == 7
+
+
+# Language
+def test_large_languages_are_sampled():
+    drawn = {lang: most + (1 << 63) for lang, most in language_id.sampling([("en", 10**13), ("de", 10**9), ("fr", 2)])}
+    assert drawn["en"] / 2**64 * 10**13 == pytest.approx(1000, rel=0.01) and drawn["de"] / 2**64 * 10**9 == pytest.approx(1000, rel=0.01)
+    assert drawn["fr"] == 2**64 - 1
+
+
+def test_more_than_a_hundred_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "linear_svm", lambda x, y: (np.zeros(x.shape[1]), 0.0))
+    docs = spark.createDataFrame([(i, text(i, 3), f"x{i % 130}") for i in range(1300)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs).languages) == 130
+
+
+def test_without_a_model_documents_pass(spark):
+    docs = spark.createDataFrame([(1, "words here", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.tell_language(spark, docs, "").collect()] == [1]
