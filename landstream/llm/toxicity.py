@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     draw = F.xxhash64("doc_id", F.lit(7))
     picked = known.where(draw <= F.when(F.col("toxic") == 1, F.lit(hash_below(share[1]))).otherwise(F.lit(hash_below(share[0]))))
     picked = picked.orderBy(F.xxhash64("doc_id")).limit(2 * (MAX_TOXIC + MAX_ORDINARY))
-    sample = picked.join(docs.where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
+    sample = F.broadcast(picked).join(docs.where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
     sizes = defaultdict(list)
     for row in sample.select("toxic", F.octet_length("text").alias("n")).collect():
         sizes[row["toxic"]].append(row["n"])
