@@ -252,10 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [even_parts((t or "").encode(), bound[k]) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1), batch.column(2), batch.column(3)], names=["text", "toxic", "doc", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1), batch.column(2)], names=["text", "toxic", "doc"])
 
-    cut = sample.select("text", "toxic", F.xxhash64("doc_id").alias("doc"), F.xxhash64("text").alias("whole"))
-    cut = cut.mapInArrow(run, "text binary, toxic int, doc long, whole long").orderBy("doc", "whole", "toxic")
+    cut = sample.select("text", "toxic", F.xxhash64("doc_id").alias("doc"))
+    cut = cut.mapInArrow(run, "text binary, toxic int, doc long").orderBy("doc", "text", "toxic")
     for row in cut.select("text", "toxic").toLocalIterator():
         texts.append(bytes(row["text"]))
         toxic.append(row["toxic"])
