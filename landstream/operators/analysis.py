@@ -42,6 +42,10 @@ MODES = {
 }
 
 
+#: Tiles that are solved in one group.
+BLOCK = 64
+
+
 def _taper(dx: np.ndarray, dy: np.ndarray, xc: float, yc: float) -> np.ndarray:
     """numeric.gaspari_cohn for arrays."""
     d = 2 * np.hypot(dx / xc, dy / yc)
@@ -53,7 +57,11 @@ def _taper(dx: np.ndarray, dy: np.ndarray, xc: float, yc: float) -> np.ndarray:
 
 
 def solve_tile(x: np.ndarray, y: np.ndarray, innovations: np.ndarray, r: np.ndarray, taper_xy: np.ndarray | None = None, taper_yy: np.ndarray | None = None, inflation: float = 1.0) -> np.ndarray:
-    """Increments of a state (fields by members) from predictions y (observations by members) and perturbed innovations."""
+    """Increments of a state (fields by members) from predictions y (observations by members) and perturbed innovations.
+
+    With inflation, deviations of state and predictions are stretched before the gain, the innovations are corrected for the
+    stretched deviations of the predictions, and the increments refer to the state as it was before.
+    """
     n = x.shape[1]
     dx, dy = (x - x.mean(1, keepdims=True)) * inflation, (y - y.mean(1, keepdims=True)) * inflation
     hph, xh = dy @ dy.T / (n - 1), dx @ dy.T / (n - 1)
@@ -61,7 +69,8 @@ def solve_tile(x: np.ndarray, y: np.ndarray, innovations: np.ndarray, r: np.ndar
         hph = hph * taper_yy
     if taper_xy is not None:
         xh = xh * taper_xy
-    return xh @ np.linalg.solve(hph + r, innovations)
+    out = xh @ np.linalg.solve(hph + r, innovations - (1 - inflation) * dy)
+    return out + (1 - 1 / inflation) * dx
 
 
 def enkf_increments(
@@ -71,32 +80,44 @@ def enkf_increments(
     """(tile, ens, increments of fields) for tiles with observations in their box.
 
     state: tile, ens, fields; obs: obs_id, lon, lat, species, obs, obsvar; pred: obs_id, ens, pred, eps (observation noise).
-    Members travel as arrays, one row an observation; a tile's group is its box of observations and its members.
-    corr: correlation lengths of observation errors within a species.
+    Tiles are solved in blocks of BLOCK neighbouring numbers: only pairs of ids meet in the join by cells, then each block takes
+    each of its observations once, with its members as arrays. corr: correlation lengths of observation errors within a species.
     """
+    block = F.floor(F.col("tile") / BLOCK)
     members = pred.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("ens", "pred", "eps"))).alias("m"))
     members = members.select("obs_id", F.col("m.pred").alias("pred"), F.col("m.eps").alias("eps"))
-    near = local_obs(tiles, obs.join(members, "obs_id"), grid, xc, yc)
-    near = near.select("tile", "com_lon", "com_lat", "obs_id", "lon", "lat", "species", "obs", "obsvar", "pred", "eps")
+    near = local_obs(tiles, obs.select("obs_id", "lon", "lat"), grid, xc, yc).select(block.alias("block"), "obs_id").distinct()
+    near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar").join(members, "obs_id"), "obs_id")
+    placed = state.select("tile", "ens", *fields).join(tiles.select("tile", "com_lon", "com_lat"), "tile").withColumn("block", block)
 
     def solve(key: tuple, s: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        if s.empty or o.empty:
-            return pd.DataFrame({c: [] for c in ("tile", "ens", *fields)})
-        s, o = s.sort_values("ens"), o.sort_values("obs_id")
-        x, y, eps = s[fields].to_numpy(float).T, np.stack(o["pred"]).astype(float), np.stack(o["eps"]).astype(float)
-        lon, lat, v, kind = (o[c].to_numpy() for c in ("lon", "lat", "obsvar", "species"))
-        r = np.diag(v.astype(float))
-        ddx, ddy = lon[:, None] - lon[None, :], lat[:, None] - lat[None, :]
-        if corr:
-            same = (kind[:, None] == kind[None, :]) & ~np.eye(len(v), dtype=bool)
-            r = r + np.where(same, np.sqrt(np.outer(v, v)) * np.exp(-0.5 * ((ddx / corr[0]) ** 2 + (ddy / corr[1]) ** 2)), 0.0)
-        txy = _taper(lon - o["com_lon"].iloc[0], lat - o["com_lat"].iloc[0], xc, yc)[None, :] if tapered else None
-        tyy = _taper(ddx, ddy, xc, yc) if tapered else None
-        d = solve_tile(x, y, o["obs"].to_numpy(float)[:, None] + eps - y, r, txy, tyy, inflation)
-        return pd.DataFrame({"tile": s["tile"].to_numpy(), "ens": s["ens"].to_numpy(), **dict(zip(fields, d, strict=True))})
+        out = [pd.DataFrame({c: [] for c in ("tile", "ens", *fields)})]
+        if len(s) and len(o):
+            s, o = s.sort_values(["tile", "ens"]), o.sort_values("obs_id")
+            y_all, eps_all = np.stack(o["pred"]).astype(float), np.stack(o["eps"]).astype(float)
+            lon_all, lat_all, v_all, obs_all = (o[c].to_numpy(float) for c in ("lon", "lat", "obsvar", "obs"))
+            kind_all = o["species"].to_numpy()
+            tile, x_all, ens = s["tile"].to_numpy(), s[fields].to_numpy(float), s["ens"].to_numpy()
+            edge = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            for a, b in zip(edge, np.append(edge[1:], len(tile)), strict=True):
+                cx, cy = s["com_lon"].iloc[a], s["com_lat"].iloc[a]
+                at = np.flatnonzero((np.abs(lon_all - cx) <= xc) & (np.abs(lat_all - cy) <= yc))
+                if not len(at):
+                    continue
+                y, lon, lat, v, kind = y_all[at], lon_all[at], lat_all[at], v_all[at], kind_all[at]
+                r = np.diag(v)
+                ddx, ddy = lon[:, None] - lon[None, :], lat[:, None] - lat[None, :]
+                if corr:
+                    same = (kind[:, None] == kind[None, :]) & ~np.eye(len(v), dtype=bool)
+                    r = r + np.where(same, np.sqrt(np.outer(v, v)) * np.exp(-0.5 * ((ddx / corr[0]) ** 2 + (ddy / corr[1]) ** 2)), 0.0)
+                txy = _taper(lon - cx, lat - cy, xc, yc)[None, :] if tapered else None
+                tyy = _taper(ddx, ddy, xc, yc) if tapered else None
+                d = solve_tile(x_all[a:b].T, y, obs_all[at][:, None] + eps_all[at] - y, r, txy, tyy, inflation)
+                out.append(pd.DataFrame({"tile": tile[a:b], "ens": ens[a:b], **dict(zip(fields, d, strict=True))}))
+        return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
     schema = ", ".join(["tile long", "ens int", *(f"{f} double" for f in fields)])
-    return state.select("tile", "ens", *fields).groupBy("tile").cogroup(near.groupBy("tile")).applyInPandas(solve, schema)
+    return placed.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(solve, schema)
 
 
 def enkf_single_obs(state: DataFrame, obs: DataFrame, pred: DataFrame, field: str) -> DataFrame:

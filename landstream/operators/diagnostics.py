@@ -24,7 +24,7 @@ def cross_mask(first: DataFrame, *others: DataFrame, obs_from: int = 0) -> DataF
 def assimilated(df: DataFrame, species: DataFrame) -> DataFrame:
     """Rows of species that the catalogue assimilates stay only if they were assimilated."""
     flags = species.select("species", F.col("assim").alias("__assim"))
-    return df.join(F.broadcast(flags), "species").where(~F.col("__assim") | F.col("assim")).drop("__assim")
+    return df.join(flags, "species").where(~F.col("__assim") | F.col("assim")).drop("__assim")
 
 
 def monthly_sums(df: DataFrame, exact_norm: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip_abs
+from ..sources.paths import shared
 
 
 def mean_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -79,10 +80,31 @@ def recenter(df: DataFrame, central: DataFrame, keys: list[str], additive: list[
 
 def unique_groups(df: DataFrame, columns: list[str], tolerance: float = 1e-4) -> DataFrame:
     """Rows with the number of their group: sorted, a row begins a new one if any column is apart from the row before by more
-    than the relative tolerance. Distinct rows are numbered, of which catalogues have few."""
-    order = Window.orderBy(*columns)
-    apart = F.lit(False)
-    for c in columns:
-        apart = apart | F.coalesce(F.abs(F.col(c) - F.lag(c).over(order)) > tolerance * F.abs(F.lag(c).over(order)), F.lit(True))
-    numbered = df.select(*columns).distinct().withColumn("__new", apart.cast("int")).withColumn("group", F.sum("__new").over(order)).drop("__new")
-    return df.join(numbered, columns)
+    than the relative tolerance. A null is only near a null.
+
+    Distinct rows are sorted by ranges, each of which is numbered for itself; a table of one row a range carries the last row
+    and the number of groups over to the next. The ranges are written once, so that they hold for all uses.
+    """
+    names = [f"__c{i}" for i in range(len(columns))]
+    spark, path = df.sparkSession, shared(df.sparkSession, "ranges")
+    ranged = df.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))).distinct().repartitionByRange(*names)
+    ranged.withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    row = F.struct(*names)
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("__range").agg(F.max(row).alias("__last"))
+    before = last.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__before"))
+    order = Window.partitionBy("__range").orderBy(*names)
+    rows = rows.join(before, "__range").withColumn("__before", F.coalesce(F.lag(row).over(order), "__before"))
+    apart = F.col("__before").isNull()
+    for n in names:
+        old = F.col("__before")[n]
+        near = (F.col(n).isNull() & old.isNull()) | F.coalesce(F.abs(F.col(n) - old) <= tolerance * F.abs(old), F.lit(False))
+        apart = apart | ~near
+    rows = rows.withColumn("__new", apart.cast("long")).withColumn("__inside", F.sum("__new").over(order))
+    ahead = rows.groupBy("__range").agg(F.sum("__new").alias("__n"))
+    ahead = ahead.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    numbered = rows.join(ahead, "__range").select(*names, (F.col("__ahead") + F.col("__inside")).alias("__group"))
+    same = F.lit(True)
+    for c, n in zip(columns, names, strict=True):
+        same = same & df[c].eqNullSafe(numbered[n])
+    return df.join(numbered, same).withColumnRenamed("__group", "group").drop(*names)

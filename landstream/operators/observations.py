@@ -28,7 +28,7 @@ def qc_cygnss(df: DataFrame, flags: list[str], good: int = 255, slot_hours: floa
 
 
 #: Lowest and highest value, largest spread and least count of each product.
-SMOS_LIMITS = {"sm": (0.0, 0.6, 0.2, 2), "tb_regular": (100.0, 320.0, 7.0, 2), "tb_fitted": (100.0, 320.0, 20.0, 5)}
+SMOS_LIMITS = {"sm": (0.0, 0.6, 0.2, 2), "tb_regular": (100.0, 320.0, 7.0, 2), "tb_fitted": (100.0, 320.0, 5.0, 20)}
 
 
 def qc_smos(df: DataFrame, product: str) -> DataFrame:
@@ -123,7 +123,7 @@ def select_species(df: DataFrame, species: DataFrame, names: list[str] | None, r
     wanted = species.where("assim")
     if names or restrict:
         wanted = wanted.where(F.col("varname").isin(*(names or [])))
-    return df.join(F.broadcast(wanted.select("species")), "species", "left_semi")
+    return df.join(wanted.select("species"), "species", "left_semi")
 
 
 def select_obs(df: DataFrame, tiles: DataFrame | None = None, species: list[int] | None = None, assim_only: bool = False) -> DataFrame:
@@ -147,10 +147,18 @@ def both_groups(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
 
 
-def combine_masks(subsurface: Column, wetland: Column, vegetation: Column, mode: int = 3) -> Column:
-    """0 usable, 1 masked. Mode 1: subsurface; 2: or wetland; 3: or vegetation too."""
-    parts = [subsurface, wetland, vegetation][:mode]
-    return F.greatest(*(F.when(p > 0, 1).otherwise(0) for p in parts)) if mode > 1 else F.when(parts[0] > 0, 1).otherwise(0)
+def combine_masks(subsurface: Column, wetland: Column, vegetation: Column, mode: int = 4) -> Column:
+    """0 usable. Mode 1: subsurface or wetland; 2: subsurface alone; 3: wetland alone; 4: any of the three.
+
+    Where another mask is set the result is 1; elsewhere the subsurface (or only) mask's own value stays.
+    """
+    if mode == 3:
+        return wetland
+    others = {1: [wetland], 2: [], 4: [wetland, vegetation]}[mode]
+    out = subsurface
+    for mask in others:
+        out = F.when(mask != 0, F.lit(1)).otherwise(out)
+    return out
 
 
 def super_obs(df: DataFrame, keys: list[str], means: list[str]) -> DataFrame:
@@ -163,7 +171,7 @@ def collect_obs(parts: list[DataFrame], species: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out = out.join(F.broadcast(species.select("species", "errstd", F.col("assim").alias("__assim"))), "species")
+    out = out.join(species.select("species", "errstd", F.col("assim").alias("__assim")), "species")
     obsvar = F.when(F.col("std") > 0, F.col("std") ** 2).otherwise(F.col("errstd") ** 2)
     return out.withColumns({"obsvar": obsvar, "assim": F.col("assim") & F.col("__assim")}).drop("__assim", "errstd")
 
@@ -174,7 +182,7 @@ def suppress_species(df: DataFrame, pairs: list[tuple[int, int]], active: list[i
     if not pairs:
         return df
     table = df.sparkSession.createDataFrame(pairs, "species int, __other int")
-    held = df.groupBy("ci", "cj", F.col("species").alias("__other")).agg(F.lit(1).alias("__has")).join(F.broadcast(table), "__other")
+    held = df.groupBy("ci", "cj", F.col("species").alias("__other")).agg(F.lit(1).alias("__has")).join(table, "__other")
     held = held.groupBy("ci", "cj", "species").agg(F.max("__has").alias("__has"))
     out = df.join(held, ["ci", "cj", "species"], "left")
     return out.withColumn("assim", F.col("assim") & F.col("__has").isNull()).drop("__has")
@@ -200,4 +208,4 @@ def first_index(df: DataFrame) -> DataFrame:
     """Each row with the number at which its species begins in the order by species, then tile. Only counts are ordered."""
     counts = df.groupBy("species").agg(F.count("*").alias("n"))
     begins = counts.withColumn("first_row", F.coalesce(F.sum("n").over(Window.orderBy("species").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return df.join(F.broadcast(begins.select("species", "first_row")), "species")
+    return df.join(begins.select("species", "first_row"), "species")

@@ -12,6 +12,8 @@ from ..functions.grid import LatLonGrid, km_to_deg
 
 #: Cells that one search may cover; near the poles a radius in kilometres covers ever more longitudes.
 MAX_CELLS = 10_000
+#: Tiles that one cell may hold as a list; a grid whose cells hold more is too coarse for these tiles.
+MAX_TILES = 10_000
 
 
 def with_cell(df: DataFrame, grid: LatLonGrid, lon: str, lat: str, names: tuple[str, str] = ("ci", "cj")) -> DataFrame:
@@ -20,24 +22,40 @@ def with_cell(df: DataFrame, grid: LatLonGrid, lon: str, lat: str, names: tuple[
 
 
 def tiles_by_cell(tiles: DataFrame, grid: LatLonGrid) -> DataFrame:
-    """Per cell: number and sorted list of tiles."""
-    celled = with_cell(tiles, grid, "com_lon", "com_lat")
-    return celled.groupBy("ci", "cj").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("tile")).alias("tiles"))
+    """Per cell: number and sorted list of tiles. Cells with more than MAX_TILES are an error, before any list is made."""
+    counts = bounded_cells(tiles, grid)
+    listed = with_cell(tiles, grid, "com_lon", "com_lat").join(counts, ["ci", "cj"])
+    return listed.groupBy("ci", "cj", "n").agg(F.array_sort(F.collect_list("tile")).alias("tiles"))
+
+
+def bounded_cells(tiles: DataFrame, grid: LatLonGrid) -> DataFrame:
+    """(ci, cj, n) of the cells with tiles; one with more than MAX_TILES is an error."""
+    counts = with_cell(tiles, grid, "com_lon", "com_lat").groupBy("ci", "cj").agg(F.count("*").alias("n"))
+    few = F.when(F.col("n") <= MAX_TILES, F.col("n")).otherwise(F.raise_error(F.lit("a cell holds too many tiles; take a finer grid")).cast("long"))
+    return counts.select("ci", "cj", few.alias("n"))
 
 
 def assign_tile(obs: DataFrame, tiles: DataFrame, grid: LatLonGrid, max_dist: Column | float | tuple[Column, Column] = 0.0) -> DataFrame:
     """The tile of an observation's cell that is nearest by Manhattan distance, the smallest id of equals.
 
     Observations outside the grid go; so do those outside the tile's box and farther than max_dist in longitude or latitude.
+    Each cell's tiles are one row, so each observation meets one row at most: equal observations stay apart, and nothing is
+    shuffled after the join.
     """
     mx, my = max_dist if isinstance(max_dist, tuple) else (max_dist, max_dist)
     points = with_cell(obs.where(grid.inside(F.col("lon"), F.col("lat"))), grid, "lon", "lat")
-    celled = with_cell(tiles, grid, "com_lon", "com_lat").select("ci", "cj", "tile", "com_lon", "com_lat", "min_lon", "max_lon", "min_lat", "max_lat")
-    dx, dy = F.abs(F.col("lon") - F.col("com_lon")), F.abs(F.col("lat") - F.col("com_lat"))
-    boxed = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    near = F.struct((dx + dy).alias("d"), "tile", (boxed | ((dx <= mx) & (dy <= my))).alias("ok"))
-    best = points.join(celled, ["ci", "cj"]).groupBy(*obs.columns).agg(F.min(near).alias("best"))
-    return best.where("best.ok").select(*obs.columns, F.col("best.tile").alias("tile"))
+    parts = F.struct("tile", "com_lon", "com_lat", "min_lon", "max_lon", "min_lat", "max_lat")
+    listed = with_cell(tiles, grid, "com_lon", "com_lat").join(bounded_cells(tiles, grid), ["ci", "cj"]).groupBy("ci", "cj").agg(F.collect_list(parts).alias("__tiles"))
+    lon, lat = F.col("lon"), F.col("lat")
+    mx, my = (m if isinstance(m, Column) else F.lit(m) for m in (mx, my))
+
+    def near(t: Column) -> Column:
+        dx, dy = F.abs(lon - t["com_lon"]), F.abs(lat - t["com_lat"])
+        boxed = lon.between(t["min_lon"], t["max_lon"]) & lat.between(t["min_lat"], t["max_lat"])
+        return F.struct((dx + dy).alias("d"), t["tile"].alias("tile"), (boxed | ((dx <= mx) & (dy <= my))).alias("ok"))
+
+    best = points.join(listed, ["ci", "cj"]).withColumn("__best", F.array_min(F.transform("__tiles", near)))
+    return best.where("__best.ok").select(*obs.columns, F.col("__best.tile").alias("tile"))
 
 
 def assign_tile_fov(obs: DataFrame, tiles: DataFrame, grid: LatLonGrid, fov: float, units: str = "deg", shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -196,13 +214,13 @@ def min_extent(tiles: DataFrame) -> DataFrame:
 
 def class_lookup(tiles: DataFrame, parameters: DataFrame, coarse: list[str]) -> DataFrame:
     """Parameter by class; a class without one takes the most usual valid class of the coarse cell, the smallest of equals."""
-    valid = tiles.join(F.broadcast(parameters.select("class")), "class", "left_semi")
+    valid = tiles.join(parameters.select("class"), "class", "left_semi")
     counts = valid.groupBy(*coarse, "class").agg(F.count("*").alias("n"))
     usual = counts.groupBy(*coarse).agg(F.max_by("class", F.struct("n", -F.col("class"))).alias("usual"))
     known = parameters.select("class", F.lit(True).alias("__known"))
-    out = tiles.join(F.broadcast(known), "class", "left").join(usual, coarse, "left")
+    out = tiles.join(known, "class", "left").join(usual, coarse, "left")
     out = out.withColumn("used", F.when(F.col("__known"), F.col("class")).otherwise(F.col("usual")))
-    return out.join(F.broadcast(parameters.withColumnRenamed("class", "used")), "used", "left").drop("__known", "usual")
+    return out.join(parameters.withColumnRenamed("class", "used"), "used", "left").drop("__known", "usual")
 
 
 def pair_covariance(obs: DataFrame, group: list[str], grid: LatLonGrid, xc: float, yc: float, reach: float = 3.0) -> DataFrame:

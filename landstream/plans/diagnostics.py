@@ -177,14 +177,14 @@ def collect_obs(spark, sf):
 _CAT = "(SELECT row_number() OVER (ORDER BY k) AS ordinal, k AS descr FROM (SELECT DISTINCT event_type AS k FROM events {}))"
 
 
-@R.add(f"SELECT ordinal, a.descr, b.descr AS descr2 FROM {_CAT.format('')} a FULL JOIN {_CAT.format("WHERE value < 0.02 OR event_type > 'd'")} b USING (ordinal) WHERE a.descr IS DISTINCT FROM b.descr")
+@R.add(f"SELECT ordinal, a.descr, b.descr AS descr2 FROM {_CAT.format('')} a FULL JOIN {_CAT.format("WHERE event_type > 'd'")} b USING (ordinal) WHERE a.descr IS DISTINCT FROM b.descr")
 def match_species_catalogues(spark, sf):
     from pyspark.sql import Window
 
     events = spark.read.parquet(f"{sf}/events.parquet")
     number = F.row_number().over(Window.orderBy("descr")).cast("long").alias("ordinal")
     listed = lambda df: df.select(F.col("event_type").alias("descr")).distinct().select(number, "descr")
-    return D.catalogue_mismatches(listed(events), listed(events.where("value < 0.02 OR event_type > 'd'")))
+    return D.catalogue_mismatches(listed(events), listed(events.where("event_type > 'd'")))
 
 
 @R.add(f"SELECT DISTINCT tile FROM {sql(OBS)} ORDER BY tile")

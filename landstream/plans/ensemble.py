@@ -9,7 +9,7 @@ from ..operators import analysis as A
 from ..operators import ensemble as E
 from ..operators import forcing as W
 from ..streaming import state as T
-from .fixtures import ENSEMBLE_DUCK, ENSEMBLE_SPARK, OBS, POINTS, SERIES, TILES, frame, sql
+from .fixtures import ENSEMBLE_DUCK, ENSEMBLE_SPARK, OBS, ORDER, POINTS, SERIES, TILES, bias_sql, frame, sql
 from .register import Registry
 
 R = Registry()
@@ -91,13 +91,20 @@ def recenter_forcing(spark, sf):
     return E.recenter(df, central, ["id"], ["t"], ["r", "s", "u"], "sw")
 
 
+_PAIRS = "(SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN CAST(s_nationkey AS DOUBLE) END AS a, 1 + CAST(s_suppkey % 3 AS DOUBLE) * (1 + CAST(s_suppkey % 2 AS DOUBLE) / 50000) AS b FROM supplier)"
+_NEAR = "(({0} IS NULL AND lag({0}) OVER w IS NULL) OR coalesce(abs({0} - lag({0}) OVER w) <= 1e-4 * abs(lag({0}) OVER w), FALSE))"
+
+
 @R.add(
-    """SELECT s_suppkey, "group" FROM supplier JOIN (SELECT a, b, CAST(sum(new) OVER (ORDER BY a, b) AS BIGINT) AS "group" FROM (SELECT a, b, CASE WHEN abs(a - lag(a) OVER (ORDER BY a, b)) <= 1e-4 * abs(lag(a) OVER (ORDER BY a, b))
-    AND abs(b - lag(b) OVER (ORDER BY a, b)) <= 1e-4 * abs(lag(b) OVER (ORDER BY a, b)) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT CAST(s_nationkey AS DOUBLE) AS a, CAST(s_suppkey % 3 AS DOUBLE) AS b FROM supplier)))
-    ON a = s_nationkey AND b = s_suppkey % 3"""
-)
+    f"""SELECT p.s_suppkey, n."group" FROM {_PAIRS} p JOIN (SELECT a, b, CAST(sum(new) OVER (ORDER BY a NULLS FIRST, b) AS BIGINT) AS "group" FROM
+    (SELECT a, b, CASE WHEN row_number() OVER w > 1 AND {_NEAR.format("a")} AND {_NEAR.format("b")} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT a, b FROM {_PAIRS}) WINDOW w AS (ORDER BY a NULLS FIRST, b))) n
+    ON p.a IS NOT DISTINCT FROM n.a AND p.b = n.b"""
+)
 def unique_pairs(spark, sf):
-    df = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").cast("double").alias("a"), (F.col("s_suppkey") % 3).cast("double").alias("b"))
+    """Pairs with nulls, and pairs that differ by less than the tolerance."""
+    key = F.col("s_suppkey")
+    b = 1 + (key % 3).cast("double") * (1 + (key % 2).cast("double") / 50000)
+    df = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.when(F.col("s_nationkey") % 5 > 0, F.col("s_nationkey").cast("double")).alias("a"), b.alias("b"))
     return E.unique_groups(df, ["a", "b"]).select("s_suppkey", "group")
 
 
@@ -177,30 +184,62 @@ def freeze_thaw_increment(spark, sf):
 
 
 # Recursive state.
+#: One row a day, tile and species, at a time of day by order; one observation value is missing.
+_BIAS_ROWS = f"""SELECT tile, species, CAST((t // 10800 + CASE WHEN t % 10800 >= 5400 THEN 1 ELSE 0 END) % 8 + 1 AS INT) AS slot, t, obs, pred, assim, fcst, ana, fcstvar, obsvar FROM
+ (SELECT tile, species, CAST(epoch(time) AS BIGINT) + l_orderkey % 16 * 5400 AS t, NULLIF(obs, 13) AS obs, fcst AS pred, assim, fcst, ana, fcstvar, obsvar,
+  row_number() OVER (PARTITION BY time, tile, species ORDER BY {", ".join(f"{c} DESC" for c in ORDER)}) AS rn FROM {sql(OBS)}) WHERE rn = 1"""
+
+
 def bias_rows(spark, sf):
+    from ..functions.calendar import tod_slot
     from ..operators.observations import last_by
 
-    df = last_by(frame(spark, sf, OBS), ["time", "tile", "species"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"])
-    return df.select("tile", "species", F.lit(1).alias("slot"), F.unix_seconds("time").alias("t"), "obs", F.col("fcst").alias("pred"), "assim", "fcst", "ana", "fcstvar", "obsvar")
+    df = last_by(frame(spark, sf, OBS), ["time", "tile", "species"], ORDER)
+    df = df.withColumns({"t": F.unix_seconds(F.col("time").cast("timestamp")) + F.col("l_orderkey") % 16 * 5400, "obs": F.nullif("obs", F.lit(13.0)), "pred": F.col("fcst")})
+    return df.withColumn("slot", tod_slot(F.timestamp_seconds("t"), 8)).select("tile", "species", "slot", "t", "obs", "pred", "assim", "fcst", "ana", "fcstvar", "obsvar")
+
+
+_BIAS = T.obs_bias(10800, 30 * 86400.0, 60 * 86400)
 
 
-@R.add()
+@R.add(bias_sql(_BIAS_ROWS, "tile, species, slot", "t", _BIAS).format(columns="tile, species, slot, t"), "obs bias")
 def obs_bias(spark, sf):
     keys = ["tile", "species", "slot"]
-    return T.fold(bias_rows(spark, sf), keys, ["t"], T.obs_bias(10800, 30 * 86400, 60 * 86400), "tile long, species int, slot int, t long, obs double, bias double, assim boolean", ["t"])
+    return T.fold(bias_rows(spark, sf), keys, ["t"], _BIAS, "tile long, species int, slot int, t long, obs double, bias double, assim boolean", ["t"])
 
 
-@R.add()
+_FOLLOW = "greatest(least({f} * CASE WHEN {b} > 0 THEN least(greatest({a} / {b}, 1 / CAST(1.01 AS DOUBLE)), 1.01) ELSE 1 END, 5), 0.2)"
+
+
+@R.add(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tile, species ORDER BY t) AS r FROM ({_BIAS_ROWS})),
+    x AS (SELECT tile, species, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS ab, CAST(0 AS DOUBLE) AS hph, CAST(0 AS DOUBLE) AS oa, CAST(0 AS DOUBLE) AS rr, CAST(1 AS DOUBLE) AS pf, CAST(1 AS DOUBLE) AS rf FROM e WHERE r = 1
+      UNION ALL SELECT tile, species, r, ab, hph, oa, rr, CASE WHEN known THEN {_FOLLOW.format(f="pf", a="ab", b="hph")} ELSE pf END, CASE WHEN known THEN {_FOLLOW.format(f="rf", a="oa", b="rr")} ELSE rf END FROM
+        (SELECT e.tile, e.species, e.r, e.obs IS NOT NULL AS known, x.pf, x.rf, x.ab + CASE WHEN e.obs IS NOT NULL THEN 0.05 * ((e.ana - e.fcst) * (e.obs - e.fcst) - x.ab) ELSE 0 END AS ab,
+          x.hph + CASE WHEN e.obs IS NOT NULL THEN 0.05 * (e.fcstvar - x.hph) ELSE 0 END AS hph, x.oa + CASE WHEN e.obs IS NOT NULL THEN 0.05 * ((e.obs - e.ana) * (e.obs - e.fcst) - x.oa) ELSE 0 END AS oa,
+          x.rr + CASE WHEN e.obs IS NOT NULL THEN 0.05 * (e.obsvar - x.rr) ELSE 0 END AS rr FROM x JOIN e ON e.tile = x.tile AND e.species = x.species AND e.r = x.r + 1))
+    SELECT tile, species, t, pf AS p_factor, rf AS r_factor FROM x JOIN e USING (tile, species, r)""", "p_factor r_factor"
+)
 def adaptive_factors(spark, sf):
     return T.fold(bias_rows(spark, sf), ["tile", "species"], ["t"], T.adaptive_factors(0.05, 0.05), "tile long, species int, t long, p_factor double, r_factor double", ["t"])
 
 
-@R.add()
+_ANGLE = "(hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 2 * pi() / 86400"
+
+
+@R.add(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, CAST(k AS DOUBLE) / 100 AS incr, cos({_ANGLE}) AS c2, sin({_ANGLE}) AS c3, row_number() OVER (PARTITION BY user_id ORDER BY ts, obs_id) AS r FROM {P}),
+    x AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS flux, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2, CAST(0 AS DOUBLE) AS b3 FROM e WHERE r = 1
+      UNION ALL SELECT e.user_id, e.r, b1 + b2 * e.c2 + b3 * e.c3, b1 * 0.9875 - 0.01 * e.incr / 10800, b2 * 0.9875 - 0.01 * e.incr / 10800 * e.c2, b3 * 0.9875 - 0.01 * e.incr / 10800 * e.c3
+      FROM x JOIN e ON e.user_id = x.user_id AND e.r = x.r + 1)
+    SELECT user_id, obs_id, value - flux * 10800 AS x, flux * 10800 AS taken FROM x JOIN e USING (user_id, r)""", "x taken"
+)
 def state_bias(spark, sf):
     from ..functions.calendar import diurnal_harmonics
 
-    df = frame(spark, sf, POINTS).select("user_id", F.unix_micros("ts").alias("t"), F.col("value").alias("x"), (F.col("k") / 100).alias("increment"), F.array(*diurnal_harmonics(F.col("ts"), 3)).alias("c"))
-    return T.fold(df, ["user_id"], ["t"], T.state_bias(10800.0, 864000.0, 0.01, 3), "user_id long, t long, x double, flux double", ["t"])
+    df = frame(spark, sf, POINTS).select("user_id", "obs_id", "ts", F.col("value").alias("x"), (F.col("k") / 100).alias("increment"), F.array(*diurnal_harmonics(F.col("ts"), 3)).alias("c"))
+    out = T.fold(df, ["user_id"], ["ts", "obs_id"], T.state_bias(10800.0, 864000.0, 0.01, 3), "user_id long, obs_id long, x double, flux double", ["obs_id"])
+    return out.select("user_id", "obs_id", "x", (F.col("flux") * 10800).alias("taken"))
 
 
 @R.add(

@@ -50,6 +50,24 @@ SELECT o_custkey % 50 AS tile, o_orderdate AS time, o_totalprice AS value, o_ord
 ENSEMBLE_SPARK = "SELECT CAST(label AS BIGINT) AS tile, vec_id AS id, m + 1 AS ens, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) AS m, x"
 ENSEMBLE_DUCK = "SELECT CAST(label AS BIGINT) AS tile, vec_id AS id, CAST(unnest(generate_series(1, len(embedding))) AS INT) AS ens, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
 
+def bias_sql(rows: str, keys: str, order: str, fold) -> str:
+    """SQL of streaming.state.obs_bias over rows (keys, order, t, obs, pred, assim), with {columns} to choose.
+
+    Times since the last observation are windows over the rows that have one; the bias is a recursion along the row numbers.
+    """
+    most, known = 365 * 86400, "obs IS NOT NULL AND pred IS NOT NULL AND t IS NOT NULL"
+    window = f"(PARTITION BY {keys} ORDER BY {order})"
+    same = " AND ".join(f"r.{k} = x.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, row_number() OVER {window} AS r_, {known} AS known_ FROM ({rows})),
+    last_ AS (SELECT *, lag(CASE WHEN known_ THEN t END IGNORE NULLS) OVER {window} AS last FROM rows_),
+    since_ AS (SELECT *, CASE WHEN NOT known_ THEN NULL WHEN last IS NULL THEN {most} ELSE least(greatest(t - last, {fold.dt}), {most}) END AS since FROM last_),
+    gaps_ AS MATERIALIZED (SELECT *, coalesce(lag(since IGNORE NULLS) OVER {window}, {most}) AS gap FROM since_),
+    bias_ AS (SELECT {keys}, CAST(0 AS BIGINT) AS r_, CAST(0 AS DOUBLE) AS bias FROM gaps_ WHERE r_ = 1
+      UNION ALL SELECT r.{", r.".join(keys.split(", "))}, r.r_, x.bias + CASE WHEN r.known_ THEN (1 - exp(-r.since / CAST({fold.relax} AS DOUBLE))) * (r.obs - x.bias - r.pred) ELSE 0 END
+      FROM bias_ x JOIN gaps_ r ON {same} AND r.r_ = x.r_ + 1)
+    SELECT {{columns}}, CASE WHEN known_ THEN obs - bias END AS obs, bias, assim AND known_ AND least(since + gap, {most}) < {fold.cutoff} AS assim FROM gaps_ JOIN bias_ USING ({keys}, r_)"""
+
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -52,10 +52,17 @@ def qc_cygnss(spark, sf):
     return O.qc_cygnss(df, ["f1", "f2"]).select("obs_id")
 
 
-@R.add(f"SELECT obs_id FROM {P} WHERE value * 5 + 90 > 100 AND value * 5 + 90 < 320 AND CAST(k % 10 AS DOUBLE) < 7 AND k % 4 >= 2")
+@R.add(
+    f"""SELECT obs_id, 'tb_regular' AS product FROM {P} WHERE value * 5 + 90 > 100 AND value * 5 + 90 < 320 AND CAST(k % 10 AS DOUBLE) < 7 AND k % 24 >= 2
+    UNION ALL SELECT obs_id, 'tb_fitted' FROM {P} WHERE value * 5 + 90 > 100 AND value * 5 + 90 < 320 AND CAST(k % 10 AS DOUBLE) < 5 AND k % 24 >= 20
+    UNION ALL SELECT obs_id, 'sm' FROM {P} WHERE value / 50 > 0 AND value / 50 < 0.6 AND CAST(k % 10 AS DOUBLE) / 20 < 0.2 AND k % 24 >= 2 AND CAST(k % 7 AS DOUBLE) / 20 > 0 AND CAST(k % 7 AS DOUBLE) / 20 < 0.2"""
+)
 def qc_smos(spark, sf):
-    df = points(spark, sf).withColumns({"value": F.col("value") * 5 + 90, "std": (F.col("k") % 10).cast("double"), "n": F.col("k") % 4})
-    return O.qc_smos(df, "tb_regular").select("obs_id")
+    v, k = F.col("value"), F.col("k")
+    tb = points(spark, sf).withColumns({"value": v * 5 + 90, "std": (k % 10).cast("double"), "n": k % 24})
+    sm = points(spark, sf).withColumns({"value": v / 50, "std": (k % 10).cast("double") / 20, "n": k % 24, "dqx": (k % 7).cast("double") / 20})
+    parts = [O.qc_smos(df, p).select("obs_id", F.lit(p).alias("product")) for p, df in (("tb_regular", tb), ("tb_fitted", tb), ("sm", sm))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @R.add(
@@ -74,9 +81,11 @@ def thin_grid(spark, sf):
     return O.thin_grid(points(spark, sf).withColumns({"row": F.col("k"), "col": F.col("user_id")})).select("obs_id")
 
 
-@R.add(f"SELECT obs_id FROM (SELECT *, var_samp(value * 4 - k) OVER (PARTITION BY user_id) AS v FROM {P}) WHERE NOT coalesce(v > 6400, FALSE)")
+@R.add(f"SELECT obs_id FROM (SELECT *, var_samp((value - k) * (user_id % 10)) OVER (PARTITION BY user_id) AS v FROM {P}) WHERE NOT coalesce(v > 6400, FALSE)")
 def reject_file_if_spread(spark, sf):
-    df = points(spark, sf).withColumns({"file": F.col("user_id"), "tb_fore": F.col("value") * 4, "tb_aft": F.col("k").cast("double")})
+    """Files of which some have a small spread and some a large one."""
+    scale = (F.col("user_id") % 10).cast("double")
+    df = points(spark, sf).withColumns({"file": F.col("user_id"), "tb_fore": F.col("value") * scale, "tb_aft": F.col("k") * scale})
     return O.reject_file_if_spread(df, "file", 80.0).select("obs_id")
 
 
@@ -136,10 +145,20 @@ def keep_if_all_members(spark, sf):
     return O.keep_if_all_members(points(spark, sf).withColumn("pred", F.when(F.col("value") > 0.5, F.col("value"))), ["user_id"])
 
 
-@R.add(f"SELECT obs_id, CASE WHEN k % 2 > 0 OR k % 3 > 1 OR species > 3 THEN 1 ELSE 0 END AS mask FROM {P}")
+@R.add(
+    f"""SELECT obs_id, CASE WHEN w <> 0 THEN 1 ELSE s END AS mode1, s AS mode2, w AS mode3, CASE WHEN w <> 0 OR v <> 0 THEN 1 ELSE s END AS mode4
+    FROM (SELECT obs_id, k % 4 AS s, CASE WHEN k % 3 > 1 THEN 1 ELSE 0 END AS w, CASE WHEN species > 3 THEN 1 ELSE 0 END AS v FROM {P})"""
+)
 def combine_masks(spark, sf):
     k = F.col("k")
-    return points(spark, sf).select("obs_id", O.combine_masks(k % 2, F.when(k % 3 > 1, 1).otherwise(0), F.when(F.col("species") > 3, 1).otherwise(0)).alias("mask"))
+    masks = k % 4, F.when(k % 3 > 1, 1).otherwise(0), F.when(F.col("species") > 3, 1).otherwise(0)
+    return points(spark, sf).select("obs_id", *(O.combine_masks(*masks, mode).alias(f"mode{mode}") for mode in (1, 2, 3, 4)))
+
+
+@R.add(f"SELECT obs_id FROM {P} WHERE k % 3 = 0 AND species > 3")
+def both_groups(spark, sf):
+    df = points(spark, sf).select("obs_id", F.when(F.col("k") % 3 == 0, F.col("value")).alias("first"), F.when(F.col("species") > 3, F.col("value")).alias("second"))
+    return O.both_groups(df, "first", "second").select("obs_id")
 
 
 _WIN = "to_timestamp(ceil((epoch_us(ts) / CAST(1000000 AS DOUBLE) - 5400) / 10800) * 10800 + 5400)::TIMESTAMP"

@@ -19,9 +19,6 @@ def cell(c: str, low: int, n: int) -> str:
 
 
 TC = f"(SELECT *, {cell('com_lon', 180, 36)} AS ci, {cell('com_lat', 90, 18)} AS cj FROM {T})"
-#: Points that are users: fewer, for joins that grow with pairs.
-USERS = "SELECT user_id AS obs_id, min(lon) AS lon, min(lat) AS lat FROM ({}) GROUP BY user_id"
-UC = "(" + USERS.format(P) + ")"
 
 
 def points(spark, sf):
@@ -32,10 +29,6 @@ def tiles(spark, sf):
     return frame(spark, sf, TILES)
 
 
-def users(spark, sf):
-    return points(spark, sf).groupBy(F.col("user_id").alias("obs_id")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
-
-
 @R.add(f"SELECT ci, cj, count(*) AS n, list_sort(list(tile)) AS tiles FROM {TC} GROUP BY ci, cj")
 def tiles_by_cell(spark, sf):
     return S.tiles_by_cell(tiles(spark, sf), GRID)
@@ -52,22 +45,29 @@ def assign_tile(spark, sf):
     return S.assign_tile(points(spark, sf), tiles(spark, sf), GRID, 2.0).select("obs_id", "tile")
 
 
+@R.add(f"SELECT p.lon, p.lat, a.tile, count(*) AS n FROM {_ASSIGN.format(x=2, y=2)} a JOIN {P} p USING (obs_id), (SELECT unnest([1, 2])) WHERE rn = 1 AND ok GROUP BY ALL", "lon lat")
+def assign_tile_repeated(spark, sf):
+    """Observations that are equal in all columns stay as many as they were."""
+    places = points(spark, sf).select("lon", "lat")
+    return S.assign_tile(places.unionByName(places), tiles(spark, sf), GRID, 2.0).groupBy("lon", "lat", "tile").agg(F.count("*").alias("n"))
+
+
 @R.add(f"SELECT obs_id, tile FROM {_ASSIGN.format(x='150 * 180 / (pi() * 6371) / cos(radians(p.lat))', y='150 * 180 / (pi() * 6371)')} WHERE rn = 1 AND ok")
 def assign_tile_fov(spark, sf):
     return S.assign_tile_fov(points(spark, sf), tiles(spark, sf), GRID, 300.0, "km").select("obs_id", "tile")
 
 
-_ELLIPSE = f"(SELECT u.obs_id, t.tile, t.area, ((t.com_lon - u.lon) / 15) ** 2 + ((t.com_lat - u.lat) / 9) ** 2 AS d2 FROM {UC} u JOIN {TC} t ON ((t.com_lon - u.lon) / 15) ** 2 + ((t.com_lat - u.lat) / 9) ** 2 <= 1)"
+_ELLIPSE = f"(SELECT u.obs_id, t.tile, t.area, ((t.com_lon - u.lon) / 15) ** 2 + ((t.com_lat - u.lat) / 9) ** 2 AS d2 FROM {P} u JOIN {TC} t ON ((t.com_lon - u.lon) / 15) ** 2 + ((t.com_lat - u.lat) / 9) ** 2 <= 1)"
 
 
 @R.add(f"SELECT obs_id, tile, d2 FROM {_ELLIPSE}", "d2")
 def tiles_in_ellipse(spark, sf):
-    return S.in_ellipse(users(spark, sf), tiles(spark, sf), GRID, F.lit(15.0), F.lit(9.0)).select("obs_id", "tile", "d2")
+    return S.in_ellipse(points(spark, sf).select("obs_id", "lon", "lat"), tiles(spark, sf), GRID, F.lit(15.0), F.lit(9.0)).select("obs_id", "tile", "d2")
 
 
-@R.add(f"SELECT u.obs_id, t.tile FROM {UC} u JOIN {TC} t ON (t.com_lon - u.lon) ** 2 + (t.com_lat - u.lat) ** 2 <= 144")
+@R.add(f"SELECT u.obs_id, t.tile FROM {P} u JOIN {TC} t ON (t.com_lon - u.lon) ** 2 + (t.com_lat - u.lat) ** 2 <= 144")
 def neighbours_in_radius(spark, sf):
-    return S.in_ellipse(users(spark, sf), tiles(spark, sf), GRID, F.lit(12.0), F.lit(12.0)).select("obs_id", "tile")
+    return S.in_ellipse(points(spark, sf).select("obs_id", "lon", "lat"), tiles(spark, sf), GRID, F.lit(12.0), F.lit(12.0)).select("obs_id", "tile")
 
 
 _STATE = f"(SELECT tile, ens, CASE WHEN (tile * ens) % 97 <> 0 THEN CAST((tile * 7 + ens * 13) % 31 AS DOUBLE) END AS x FROM {T}, (SELECT unnest(generate_series(1, 8)) AS ens))"
@@ -75,13 +75,13 @@ _STATE = f"(SELECT tile, ens, CASE WHEN (tile * ens) % 97 <> 0 THEN CAST((tile *
 
 @R.add(
     f"""SELECT obs_id, CAST(ens AS INT) AS ens, CASE WHEN count(x) = count(*) THEN sum(w * x) / sum(w) END AS pred FROM
-    (SELECT u.obs_id, t.tile, t.area AS w FROM {UC} u JOIN {T} t ON ((t.com_lon - u.lon) / 10) ** 2 + ((t.com_lat - u.lat) / 10) ** 2 <= 1) JOIN {_STATE} USING (tile) GROUP BY ALL""", "pred"
+    (SELECT u.obs_id, t.tile, t.area AS w FROM {P} u JOIN {T} t ON ((t.com_lon - u.lon) / 10) ** 2 + ((t.com_lat - u.lat) / 10) ** 2 <= 1) JOIN {_STATE} USING (tile) GROUP BY ALL""", "pred"
 )
 def predict_obs(spark, sf):
     t = tiles(spark, sf)
     state = t.select("tile", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ens"))
     state = state.withColumn("x", F.when((F.col("tile") * F.col("ens")) % 97 != 0, ((F.col("tile") * 7 + F.col("ens") * 13) % 31).cast("double")))
-    return S.predict_obs(users(spark, sf), t, state, GRID, 10.0)
+    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, GRID, 10.0)
 
 
 @R.add(f"SELECT t.tile, p.obs_id FROM {T} t JOIN {P} p ON abs(p.lon - t.com_lon) <= 3 AND abs(p.lat - t.com_lat) <= 3 AND p.species IN (1, 3)")
@@ -203,10 +203,10 @@ def class_lookup(spark, sf):
 
 @R.add(
     f"""SELECT a.obs_id, b.obs_id AS obs_id_b, CASE WHEN a.obs_id = b.obs_id THEN a.v ELSE sqrt(a.v * b.v) * exp(-0.5 * (((a.lon - b.lon) / 4) ** 2 + ((a.lat - b.lat) / 4) ** 2)) END AS cov
-    FROM (SELECT *, 1 + obs_id % 3 AS v, obs_id % 2 AS s FROM {UC}) a JOIN (SELECT *, 1 + obs_id % 3 AS v, obs_id % 2 AS s FROM {UC}) b ON a.s = b.s AND abs(a.lon - b.lon) <= 12 AND abs(a.lat - b.lat) <= 12""", "cov"
+    FROM (SELECT *, CAST(ts AS DATE) AS g, 1 + obs_id % 3 AS v, obs_id % 2 AS s FROM {P}) a JOIN (SELECT *, CAST(ts AS DATE) AS g, 1 + obs_id % 3 AS v, obs_id % 2 AS s FROM {P}) b ON a.s = b.s AND a.g = b.g AND abs(a.lon - b.lon) <= 12 AND abs(a.lat - b.lat) <= 12""", "cov"
 )
 def obs_pairs_cov(spark, sf):
-    df = users(spark, sf).withColumns({"obsvar": (1 + F.col("obs_id") % 3).cast("double"), "species": (F.col("obs_id") % 2).cast("int"), "g": F.lit(0)})
+    df = points(spark, sf).select("obs_id", "lon", "lat", (1 + F.col("obs_id") % 3).cast("double").alias("obsvar"), (F.col("obs_id") % 2).cast("int").alias("species"), F.to_date("ts").alias("g"))
     return S.pair_covariance(df, ["g"], GRID, 4.0, 4.0).select("obs_id", "obs_id_b", "cov")
 
 

@@ -10,7 +10,7 @@ from ..sources.paths import shared
 from ..streaming import state as T
 from ..streaming import windows as W
 from . import diagnostics as Q
-from .fixtures import OBS, POINTS, SERIES, TILES, frame, sql
+from .fixtures import OBS, POINTS, SERIES, TILES, bias_sql, frame, sql
 from .register import Registry
 
 R = Registry()
@@ -23,17 +23,54 @@ def events(spark, sf):
     return W.replay(spark, f"{sf}/event[s].parquet", _EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: When rows arrive: in batches of five days, one in ten a batch too late.
+BATCHED = f"SELECT *, CAST(floor((epoch_us(ts) - 1704067200000000) / CAST(432000000000 AS DOUBLE)) + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END AS INT) AS batch FROM {P}"
+_FILES = 4
+
+
+def batched(spark, sf):
+    days = F.floor((F.unix_micros("ts") - 1704067200000000) / 432000000000)
+    return frame(spark, sf, POINTS).withColumn("batch", (days + F.when(F.col("k") % 10 == 0, 1).otherwise(0)).cast("int"))
+
+
+def arrivals(spark, sf):
+    """The events as a stream of files in the order of arrival, a batch a time."""
+    path, df = shared(spark, "arrivals"), batched(spark, sf).select("obs_id", "ts", "user_id", "kind", "value", "batch")
+    for (batch,) in df.select("batch").distinct().orderBy("batch").collect():  # one row for each five days
+        df.where(F.col("batch") == batch).repartition(_FILES).write.mode("append").parquet(path)
+    return W.replay(spark, path, df.schema, _FILES)
+
+
+def append_sql(keys: str, time: str, start: str, end: str, late: int) -> str:
+    """Windows that the watermark has passed at the end, of rows that came before their window was closed.
+
+    A batch drops rows by the watermark that closed windows at the end of the batch before it.
+    """
+    us = late * 1_000_000
+    return f"""(WITH a AS (SELECT *, {time} AS m, {end} AS ends, {start} AS begins FROM ({BATCHED})),
+    b AS (SELECT batch, max(m) AS top FROM a GROUP BY batch),
+    w AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS seen FROM b)
+    SELECT begins, {keys}, avg(value) AS value, count(*) AS n FROM a JOIN w USING (batch)
+    WHERE (seen IS NULL OR ends > seen // 1000 * 1000 - {us}) AND ends <= (SELECT max(top) FROM b) // 1000 * 1000 - {us} GROUP BY begins, {keys})"""
+
+
+_CENTRE = "CAST(ceil((epoch_us(ts) / CAST(1000000 AS DOUBLE) - 5400) / 10800) * 10800 AS BIGINT)"
+
+
 @R.add(
-    f"""SELECT to_timestamp(ceil((epoch_us(ts) / CAST(1000000 AS DOUBLE) - 5400) / 10800) * 10800)::TIMESTAMP AS analysis_time, user_id, avg(value) AS value, count(*) AS n FROM {P} GROUP BY ALL""", "value"
-)
+    f"SELECT to_timestamp(begins)::TIMESTAMP AS analysis_time, user_id, value, n FROM {append_sql('user_id', 'epoch_us(ts) - 1', _CENTRE, f'({_CENTRE} + 5400) * 1000000', 3000)}", "value"
+)
 def streaming_super_obs(spark, sf):
-    stream = W.streaming_super_obs(events(spark, sf), 10800, ["user_id"], ["value"])
+    stream = W.streaming_super_obs(arrivals(spark, sf), 10800, ["user_id"], ["value"])
     return W.run_to_table(stream, shared(spark, "super-obs"))
 
 
-@R.add(f"SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, avg(value) AS value, count(*) AS n FROM events GROUP BY ALL", "value")
+_HOUR = "CAST(epoch_us(ts) // 3600000000 AS BIGINT)"
+
+
+@R.add(f"SELECT kind, to_timestamp(begins * 3600)::TIMESTAMP AS start, value, n FROM {append_sql('kind', 'epoch_us(ts)', _HOUR, f'({_HOUR} + 1) * 3600000000', 3600)}", "value")
 def streaming_time_average(spark, sf):
-    return W.run_to_table(W.streaming_time_average(events(spark, sf), 3600, ["event_type"], ["value"]), shared(spark, "time-average"))
+    return W.run_to_table(W.streaming_time_average(arrivals(spark, sf), 3600, ["kind"], ["value"]), shared(spark, "time-average"))
 
 
 @R.add("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, user_id, count(*) AS n, sum(value) AS value_sum, sum(value * value) AS value_sum2 FROM events GROUP BY ALL", "value_sum value_sum2")
@@ -44,20 +81,32 @@ def incremental_sums(spark, sf):
     return W.merged(spark, path, keys)
 
 
-@R.add()
+BIAS = T.obs_bias(10800, 864000.0, 5 * 86400)
+BIAS_SCHEMA = "user_id long, event_id long, t long, obs double, bias double, assim boolean"
+
+
+def bias_events(df):
+    """Rows of obs_bias from events; one observation in eleven is missing."""
+    return df.select("user_id", "event_id", F.unix_seconds("ts").alias("t"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("obs"), (F.col("value") * 0.9).alias("pred"), F.lit(True).alias("assim"))
+
+
+@R.add(
+    bias_sql("""SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_id % 11 <> 0 THEN value END AS obs, value * 0.9 AS pred, TRUE AS assim FROM events""", "user_id", "t, event_id", BIAS)
+    .format(columns="user_id, event_id, t"), "obs bias"
+)
 def streaming_obs_bias(spark, sf):
     """obs_bias as a stream: state is kept between micro-batches by the RocksDB provider."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = events(spark, sf).select("user_id", F.unix_micros("ts").alias("t"), F.col("value").alias("obs"), (F.col("value") * 0.9).alias("pred"), F.lit(True).alias("assim"))
-    step = T.obs_bias(10800, 864000.0, 5 * 86400)
-    out = T.fold_stream(rows, ["user_id"], ["t"], step, "user_id long, t long, obs double, bias double, assim boolean", ["t"])
-    return W.run_to_table(out, shared(spark, "obs-bias"), "append")
+    out = T.fold_stream(bias_events(events(spark, sf)), ["user_id"], ["t", "event_id"], BIAS, BIAS_SCHEMA, ["event_id", "t"])
+    return W.run_to_table(out, shared(spark, "obs-bias"))
 
 
-@R.add(f"SELECT obs_id FROM {P} WHERE epoch(ts) < (SELECT epoch(max(ts)) FROM {P}) - 86400 * 20")
+@R.add(
+    f"""SELECT obs_id, batch FROM ({BATCHED}) JOIN (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM (SELECT batch, max(ts) AS top FROM ({BATCHED}) GROUP BY batch)) USING (batch) WHERE ts < seen - INTERVAL 50 MINUTE"""
+)
 def late_rows(spark, sf):
-    df = frame(spark, sf, POINTS)
-    return W.late_rows(df, df, 86400 * 20).select("obs_id")
+    return W.late_rows(batched(spark, sf), 3000).select("obs_id", "batch")
 
 
 @R.add(f"SELECT month, tile, species, n, obs_sum, oxf_sum FROM {Q.SUMS}", "obs_sum oxf_sum")

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; in local tests, a temporary folder."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; in local tests, a temporary folder.
+
+    On a cluster each machine has temporary folders of its own, so there a missing setting is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ def write_monthly_sums(sums: DataFrame, path: str) -> list[str]:
     dated = sums.withColumn("month", F.date_format("month", "yyyy-MM-dd"))
     done = _read(spark, f"{path}/manifest")
     if done is not None:
-        dated = dated.join(F.broadcast(done.select("month")), "month", "left_anti")
+        dated = dated.join(done.select("month"), "month", "left_anti")
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/sums")
     written = spark.read.parquet(f"{path}/sums").select(F.date_format(F.col("month").cast("date"), "yyyy-MM-dd").alias("month")).distinct()
     if done is not None:

@@ -267,8 +267,7 @@ def test_fold_keeps_keys_apart_over_batches(spark):
 def test_stream_and_batch_agree(spark, sf_dir):
     from landstream.plans import streams as Q
 
-    stream = {(r["user_id"], r["t"]): r["bias"] for r in Q.streaming_obs_bias(spark, sf_dir).collect()}
+    stream = {r["event_id"]: r["bias"] for r in Q.streaming_obs_bias(spark, sf_dir).collect()}
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = events.select("user_id", F.unix_micros("ts").alias("t"), F.col("value").alias("obs"), (F.col("value") * 0.9).alias("pred"), F.lit(True).alias("assim"))
-    batch = T.fold(rows, ["user_id"], ["t"], T.obs_bias(10800, 864000.0, 5 * 86400), "user_id long, t long, obs double, bias double, assim boolean", ["t"]).collect()
-    assert len(batch) == len(stream) == events.count() and all(stream[r["user_id"], r["t"]] == pytest.approx(r["bias"]) for r in batch)
+    batch = T.fold(Q.bias_events(events), ["user_id"], ["t", "event_id"], Q.BIAS, Q.BIAS_SCHEMA, ["event_id", "t"]).collect()
+    assert len(batch) == len(stream) == events.count() and all(stream[r["event_id"]] == pytest.approx(r["bias"]) for r in batch)
