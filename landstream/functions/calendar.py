@@ -22,8 +22,9 @@ def pentad(ts: Column) -> Column:
 
 
 def eight_day_slot(ts: Column) -> Column:
-    """1 to 46; the last slot is short."""
-    return F.least(F.floor((F.dayofyear(ts) - 1) / 8) + 1, F.lit(46)).cast("int")
+    """1 to 46, each beginning on the same calendar date in all years: the leap day lengthens the slot it is in."""
+    doy = F.dayofyear(ts) - F.when(is_leap_year(F.year(ts)) & (F.dayofyear(ts) >= 60), 1).otherwise(0)
+    return (F.floor((doy - 1) / 8) + 1).cast("int")
 
 
 def add_seconds(ts: Column, seconds: Column) -> Column:

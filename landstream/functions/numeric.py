@@ -62,6 +62,11 @@ def all_valid(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
 
 
+def combine(df: DataFrame, columns: list[str], other: str, how: Callable[[Column, Column], Column]) -> DataFrame:
+    """The same expression over the fields of two records; the second's have a prefix."""
+    return df.withColumns({c: how(F.col(c), F.col(f"{other}{c}")) for c in columns})
+
+
 def closest(x: Column, options: list[float]) -> Column:
     """The listed value that is nearest; of equals the first in order of size."""
     return F.array_min(F.array(*(F.struct(F.abs(x - o).alias("d"), F.lit(float(o)).alias("v")) for o in options)))["v"]

@@ -41,10 +41,15 @@ def backfill_par(df: DataFrame) -> DataFrame:
 
 
 def fill_from_next_tile(df: DataFrame, keys: list[str], value: str, most: float = 0.5) -> DataFrame:
-    """Null values take the next tile's if that is within `most` degrees."""
+    """Null values take the next tile's if that is within `most` degrees; see unfilled_tiles() for those that stay null."""
     w = Window.partitionBy(*keys).orderBy("tile")
-    d = F.greatest(F.abs(F.lead("lon").over(w) - F.col("lon")), F.abs(F.lead("lat").over(w) - F.col("lat")))
-    return df.withColumn(value, F.coalesce(F.col(value), F.when(d <= most, F.lead(value).over(w))))
+    d2 = (F.lead("lon").over(w) - F.col("lon")) ** 2 + (F.lead("lat").over(w) - F.col("lat")) ** 2
+    return df.withColumn(value, F.coalesce(F.col(value), F.when(d2 <= most * most, F.lead(value).over(w))))
+
+
+def unfilled_tiles(filled: DataFrame, value: str) -> DataFrame:
+    """Tiles without a value after filling: what a list of tiles to exclude takes, and a strict job refuses to go on with."""
+    return filled.where(F.col(value).isNull()).select("tile").distinct()
 
 
 def bracket_regular(times: DataFrame, forcing: DataFrame, keys: list[str], step: int, values: list[str]) -> DataFrame:
@@ -79,10 +84,18 @@ def step_weight(since: Column, step: int, mode: str = "step") -> Column:
     return F.when(since == step // 2, 0.5).otherwise(F.floor((since - 1) / (step // 2)).cast("double"))
 
 
-def interp_time(df: DataFrame, step: int, states: list[str], fluxes: list[str], wind: str = "wind", radiation: tuple[str, ...] = (), mode: str = "step") -> DataFrame:
+#: Mean sun angles below this count as none, and the least angle of the cap on radiation.
+NO_SUN, LEAST_SUN = 1e-6, 0.01
+
+
+def interp_time(
+    df: DataFrame, step: int, states: list[str], fluxes: list[str], wind: str = "wind", radiation: tuple[str, ...] = (), mode: str = "step", capped: str = "swdown",
+) -> DataFrame:
     """States between two records, fluxes of the earlier, wind of the earlier if there is no later one, radiation by sun angle.
 
-    Columns x_prv and x_nxt, since (seconds), zth and zenav (cosine of the sun's angle now and its mean over the step).
+    Columns x_prv and x_nxt, since (seconds), zth and zenav (cosine of the sun's angle now and its mean over the step). By day
+    radiation scales with zth / zenav, by night it is the earlier record's, where only now is dark it is 0; the column `capped`
+    stays below the solar constant times the angle. A sun that shines now but not on the mean is an error.
     """
     w = step_weight(F.col("since"), step, mode)
     mixed = lambda v: (1 - w) * F.col(f"{v}_prv") + w * F.col(f"{v}_nxt")
@@ -90,9 +103,12 @@ def interp_time(df: DataFrame, step: int, states: list[str], fluxes: list[str],
     if f"{wind}_prv" in df.columns:
         values[wind] = F.when(F.col(f"{wind}_nxt").isNotNull(), mixed(wind)).otherwise(F.col(f"{wind}_prv"))
     for v in radiation:
-        lit_ = F.least(F.col(f"{v}_prv") * F.col("zth") / F.col("zenav"), SOLAR * F.col("zth"))
-        dark = F.when((F.col("zth") <= 0) & (F.col("zenav") <= 0), F.greatest(F.col(f"{v}_prv"), F.lit(0.0))).otherwise(0.0)
-        values[v] = F.when((F.col("zth") > 0) & (F.col("zenav") > 0), lit_).otherwise(dark)
+        none = F.abs("zenav") <= NO_SUN
+        zth, zenav = F.when(none, 0.0).otherwise(F.col("zth")), F.when(none, 0.0).otherwise(F.col("zenav"))
+        ratio = F.when(zenav > 0, zth / zenav).otherwise(F.raise_error(F.lit("the sun shines now but not on the mean")).cast("double"))
+        night = F.when(zenav <= 0, F.greatest(F.col(f"{v}_prv"), F.lit(0.0))).otherwise(0.0)
+        shone = F.when(zth > 0, F.col(f"{v}_prv") * ratio).otherwise(night)
+        values[v] = F.least(shone, SOLAR * F.greatest(F.col("zth"), F.lit(LEAST_SUN))) if v == capped else shone
     rest = [c for c in df.columns if not c.endswith(("_prv", "_nxt")) and c not in values]
     return df.select(*rest, *(x.alias(v) for v, x in values.items()))
 

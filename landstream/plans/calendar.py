@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -12,12 +14,15 @@ from .register import Registry
 
 R = Registry()
 P, S = sql(POINTS), sql(SERIES)
+#: The first days of the eight-day slots, as month and day.
+_SLOT_BEGINS = [f"{month:02d}{day:02d}" for month, day in ((d.month, d.day) for d in (date(2001, 1, 1) + timedelta(8 * k) for k in range(46)))]
+_SLOT = f"CAST(len(list_filter({_SLOT_BEGINS}, lambda b: b <= strftime(time, '%m%d'))) AS INT)"
 _LEAP = "(year(time) % 4 = 0 AND (year(time) % 100 <> 0 OR year(time) % 400 = 0))"
 
 
 @R.add(
     f"""SELECT id, {_LEAP} AS leap, day(last_day(time)) AS days, CAST(floor((dayofyear(time) - CASE WHEN {_LEAP} AND dayofyear(time) >= 59 THEN 2 ELSE 1 END) / CAST(5 AS DOUBLE)) + 1 AS INT) AS pentad,
-    CAST(least(floor((dayofyear(time) - 1) / CAST(8 AS DOUBLE)) + 1, 46) AS INT) AS slot, time + INTERVAL 5400 SECOND AS later FROM {S}"""
+    {_SLOT} AS slot, time + INTERVAL 5400 SECOND AS later FROM {S}"""
 )
 def calendar_columns(spark, sf):
     t = F.col("time")
@@ -26,10 +31,10 @@ def calendar_columns(spark, sf):
     return frame(spark, sf, SERIES).select("id", C.is_leap_year(F.year(t)).alias("leap"), days.cast("long").alias("days"), C.pentad(t).alias("pentad"), C.eight_day_slot(t).alias("slot"), later.alias("later"))
 
 
-@R.add(f"SELECT obs_id, to_timestamp(CAST(round(value * 1000000 + 946727935.816) AS BIGINT))::TIMESTAMP AS tt12, to_timestamp(CAST(round(value * 1000000) + 946684800 AS BIGINT))::TIMESTAMP AS ut00 FROM {P}")
+@R.add(f"SELECT obs_id, to_timestamp(CAST(round(value * 1000000 + 946727935.816) AS BIGINT))::TIMESTAMP AS tt12, to_timestamp(CAST(round(value * 1000000) + 946684800 AS BIGINT))::TIMESTAMP AS ut00, to_timestamp(CAST(round(value * 1000000) + 946728000 AS BIGINT))::TIMESTAMP AS ut12 FROM {P}")
 def j2000_columns(spark, sf):
     s = F.col("value") * 1000000
-    return frame(spark, sf, POINTS).select("obs_id", C.from_j2000(s, "TT12").alias("tt12"), C.from_j2000(F.round(s), "UT00").alias("ut00"))
+    return frame(spark, sf, POINTS).select("obs_id", C.from_j2000(s, "TT12").alias("tt12"), C.from_j2000(F.round(s), "UT00").alias("ut00"), C.from_j2000(F.round(s), "UT12").alias("ut12"))
 
 
 _SOD = "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT)"
@@ -81,24 +86,39 @@ def latlon_cells(spark, sf):
     return frame(spark, sf, POINTS).select("obs_id", i.alias("ci"), j.alias("cj"), dx.alias("dx"), dy.alias("dy"))
 
 
-def _ease_sql() -> str:
+def _ease_sql(grid: str) -> str:
     n = lambda x: f"{x!r}e0" if "e" not in repr(x) else repr(x)
-    scale, cols, rows = G.EASE2["M36"]
+    scale, cols, rows = G.EASE2[grid]
     e, r = G.ECCENTRICITY, n(G.RADIUS)
     q = f"({n(1 - G._E2)} * (s / (1 - {n(G._E2)} * s * s) - {n(1 / (2 * e))} * ln((1 - {n(e)} * s) / (1 + {n(e)} * s))))"
-    return f"""SELECT obs_id, CAST(round({n((rows - 1) / 2)} - {r} * {q} / (2 * {n(G._KZ)}) / {n(scale)}) AS INT) AS "row",
-    CAST(least(greatest(round({n((cols - 1) / 2)} + {r} * {n(G._KZ)} * radians(lon) / {n(scale)}), 0), {cols - 1}) AS INT) AS col FROM (SELECT *, sin(radians(lat)) AS s FROM {P})"""
-
-
-@R.add(_ease_sql())
+    if grid[0] == "M":
+        x, y, here = f"{r} * {n(G._KZ)} * radians(lon)", f"{r} * {q} / (2 * {n(G._KZ)})", "TRUE"
+        col = f"least(greatest(round({n((cols - 1) / 2)} + {x} / {n(scale)}), 0), {cols - 1})"
+    else:
+        sign = 1 if grid[0] == "N" else -1
+        rho = f"({r} * sqrt(greatest({n(G._POLE)} - ({sign}) * {q}, 0)))"
+        x, y, here = f"{rho} * sin(radians(lon))", f"(-({sign}) * {rho} * cos(radians(lon)))", f"lat * ({sign}) >= 0"
+        col = f"round({n((cols - 1) / 2)} + {x} / {n(scale)})"
+    return f"""SELECT obs_id, '{grid}' AS grid, CASE WHEN {here} THEN CAST(round({n((rows - 1) / 2)} - {y} / {n(scale)}) AS INT) END AS "row", CASE WHEN {here} THEN CAST({col} AS INT) END AS col
+    FROM (SELECT *, sin(radians(lat)) AS s FROM {P})"""
+
+
+@R.add(" UNION ALL ".join(map(_ease_sql, G.EASE2)))
 def ease2_cells(spark, sf):
-    row, col = G.ease2_cell(F.col("lat"), F.col("lon"), "M36")
-    return frame(spark, sf, POINTS).select("obs_id", row.alias("row"), col.alias("col"))
+    """Cells of each point in all grids, by one pass over the points."""
+    cells = []
+    for grid in G.EASE2:
+        row, col = G.ease2_cell(F.col("lat"), F.col("lon"), grid)
+        cells.append(F.struct(F.lit(grid).alias("grid"), row.alias("row"), col.alias("col")))
+    return frame(spark, sf, POINTS).select("obs_id", F.inline(F.array(*cells)))
 
 
-@R.add(f"SELECT obs_id, 2 * value + 1 AS value, 2 * lon + 1 AS lon FROM {P}", "value lon")
+@R.add(f"SELECT obs_id, (2 * value + 1) * lon AS value, (2 * lon + 1) * value AS lon FROM {P}", "value lon")
 def record_arithmetic(spark, sf):
-    return N.elementwise(frame(spark, sf, POINTS), ["value", "lon"], lambda x: 2 * x + 1).select("obs_id", "value", "lon")
+    """A record times a constant plus one, then times another record, field by field."""
+    df = frame(spark, sf, POINTS).withColumns({"other_value": F.col("lon"), "other_lon": F.col("value")})
+    grown = N.elementwise(df, ["value", "lon"], lambda x: 2 * x + 1)
+    return N.combine(grown, ["value", "lon"], "other_", lambda x, y: x * y).select("obs_id", "value", "lon")
 
 
 @R.add(f"SELECT obs_id, CASE WHEN value <= 6 THEN 3 WHEN value <= 22.5 THEN 9 ELSE 36 END AS resolution FROM {P}", "resolution")

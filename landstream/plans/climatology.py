@@ -14,7 +14,7 @@ R = Registry()
 S, P, T = sql(SERIES), sql(POINTS), sql(TILES)
 _LEAP = "(year(time) % 4 = 0 AND (year(time) % 100 <> 0 OR year(time) % 400 = 0))"
 PENTAD = f"CAST(floor((dayofyear(time) - CASE WHEN {_LEAP} AND dayofyear(time) >= 59 THEN 2 ELSE 1 END) / CAST(5 AS DOUBLE)) + 1 AS INT)"
-SLOT = "CAST(least(floor((dayofyear(time) - 1) / CAST(8 AS DOUBLE)) + 1, 46) AS INT)"
+SLOT = f"CAST(floor((dayofyear(time) - CASE WHEN {_LEAP} AND dayofyear(time) >= 60 THEN 2 ELSE 1 END) / CAST(8 AS DOUBLE)) + 1 AS INT)"
 POOLED = f"(SELECT tile, value, (p0 - 1 + d + 73) % 73 + 1 AS pentad FROM (SELECT tile, value, {PENTAD} AS p0, CAST(unnest([-2, -1, 0, 1, 2]) AS INT) AS d FROM {S}))"
 
 

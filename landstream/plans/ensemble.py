@@ -140,6 +140,42 @@ def enkf_increments(spark, sf):
     return A.enkf_increments(tiles, state, at, pred.withColumnRenamed("tile", "obs_id"), LatLonGrid(dlon=1.0, dlat=1.0, n_lon=360, n_lat=180), ["x"], 0.25, 0.25, tapered=False)
 
 
+# Updates by all observations around a tile: no SQL; held against dense algebra on a small table in the tests.
+FIELDS = ["srfexc", "rzexc"]
+UPDATE_GRID = LatLonGrid()
+
+
+def local(spark, sf, fields, members=8):
+    """Tiles with porosity, state, observations and predictions for update_mode() and enkf_increments()."""
+    tiles = frame(spark, sf, TILES).withColumn("porosity", F.when(F.col("tile") % 3 == 0, 0.9).otherwise(0.5)).select("tile", "com_lon", "com_lat", "porosity")
+    ens = F.explode(F.sequence(F.lit(1), F.lit(members))).alias("ens")
+    state = tiles.select("tile", ens).select("tile", "ens", *(F.sin(F.col("tile") * (i + 1) + F.col("ens") * (2 * i + 3)).alias(f) for i, f in enumerate(fields)))
+    kind = F.element_at(F.array(*map(F.lit, ("sfmc", "sfds", "tskin", "tb", "tb"))), F.col("species"))
+    obs = frame(spark, sf, POINTS).select("obs_id", "lon", "lat", "species", (F.col("value") / 50).alias("obs"), (0.3 + F.col("k") / 200).alias("obsvar"), kind.alias("varname"), F.col("user_id").alias("tile"))
+    pred = obs.select("obs_id", "obs", ens).select("obs_id", "ens", (F.col("obs") * 0.8 + F.sin(F.col("obs_id") * 7 + F.col("ens") * 5) / 2).alias("pred"), (F.cos(F.col("obs_id") + F.col("ens") * 3) / 10).alias("eps"))
+    return tiles, state, obs, pred
+
+
+@R.add()
+def enkf_local(spark, sf):
+    """Several observations a tile, with taper, correlated errors and inflation."""
+    tiles, state, obs, pred = local(spark, sf, FIELDS)
+    return A.enkf_increments(tiles, state, obs.drop("tile", "varname"), pred, UPDATE_GRID, FIELDS, 3.0, 3.0, corr=(1.0, 1.0), inflation=1.2)
+
+
+@R.add()
+def update_modes(spark, sf):
+    """The increments of every mode, a row for each field that it may move."""
+    out = None
+    for mode, m in A.MODES.items():
+        fields = [*m.fields, *m.with_tb, *m.peat]
+        tiles, state, obs, pred = local(spark, sf, fields, 4)
+        made = A.update_mode(mode, tiles, state, obs, pred, UPDATE_GRID, 1.5, 1.5)
+        rows = made.select(F.lit(mode).alias("mode"), "tile", "ens", F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f))))).alias("field", "increment"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @R.add(f"SELECT s.tile, s.ens, s.x + CASE WHEN s.tile % 2 = 0 THEN i.d ELSE 0 END AS x FROM {_SINGLE} s JOIN ({_SINGLE_SQL.format(name='d')}) i ON s.tile = i.tile AND s.ens = i.ens", "x")
 def apply_increments(spark, sf):
     state, obs, pred = single(spark, sf)
@@ -303,12 +339,21 @@ def backfill_par(spark, sf):
 
 
 @R.add(
-    f"""SELECT species, tile, coalesce(v, CASE WHEN greatest(abs(lead(lon) OVER w - lon), abs(lead(lat) OVER w - lat)) <= 30 THEN lead(v) OVER w END) AS v FROM
+    f"""SELECT species, tile, coalesce(v, CASE WHEN (lead(lon) OVER w - lon) ** 2 + (lead(lat) OVER w - lat) ** 2 <= 1600 THEN lead(v) OVER w END) AS v FROM
     (SELECT species, user_id AS tile, min(lon) AS lon, min(lat) AS lat, CASE WHEN user_id % 3 <> 0 THEN avg(value) END AS v FROM {P} GROUP BY species, user_id) WINDOW w AS (PARTITION BY species ORDER BY tile)""", "v"
 )
 def fill_from_next_tile(spark, sf):
     df = frame(spark, sf, POINTS).groupBy("species", F.col("user_id").alias("tile")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.avg("value").alias("v"))
-    return W.fill_from_next_tile(df.withColumn("v", F.when(F.col("tile") % 3 != 0, F.col("v"))), ["species"], "v", 30.0).select("species", "tile", "v")
+    return W.fill_from_next_tile(df.withColumn("v", F.when(F.col("tile") % 3 != 0, F.col("v"))), ["species"], "v", 40.0).select("species", "tile", "v")
+
+
+@R.add(
+    f"""SELECT DISTINCT tile FROM (SELECT tile, v, (lead(lon) OVER w - lon) ** 2 + (lead(lat) OVER w - lat) ** 2 AS d2, lead(v) OVER w AS nv FROM
+    (SELECT species, user_id AS tile, min(lon) AS lon, min(lat) AS lat, CASE WHEN user_id % 3 <> 0 THEN avg(value) END AS v FROM {P} GROUP BY species, user_id) WINDOW w AS (PARTITION BY species ORDER BY tile))
+    WHERE v IS NULL AND NOT coalesce(d2 <= 1600 AND nv IS NOT NULL, FALSE)"""
+)
+def unfilled_tiles(spark, sf):
+    return W.unfilled_tiles(fill_from_next_tile(spark, sf), "v")
 
 
 _HOURLY = f"(SELECT species AS tile, CAST(floor(epoch(ts) / 10800) AS BIGINT) AS h, avg(value) AS v, avg(k) AS f FROM {P} WHERE species < 5 OR k > 30 GROUP BY ALL)"
@@ -329,6 +374,27 @@ def interp_forcing(spark, sf):
     return W.interp_time(W.bracket_regular(times, _hourly(spark, sf), ["tile"], 10800, ["v", "f"]), 10800, ["v"], ["f"]).select("obs_id", "v", "f")
 
 
+_LINEAR = f"""(SELECT p.obs_id, a.v, a.f, CASE WHEN p.h % 3 > 0 THEN b.v END AS nv, CAST(s - p.h * 10800 AS DOUBLE) / 10800 AS w, CAST(k - 40 AS DOUBLE) / 60 AS zth,
+ CASE WHEN k <= 40 AND k % 2 = 0 THEN CAST(-0.1 AS DOUBLE) WHEN k % 5 = 4 AND k <= 40 THEN CAST(0 AS DOUBLE) ELSE CAST(k + 5 AS DOUBLE) / 200 END AS zenav
+ FROM (SELECT obs_id, species, k, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts) / 10800) AS BIGINT) AS h FROM {P}) p LEFT JOIN {_HOURLY} a ON p.species = a.tile AND p.h = a.h LEFT JOIN {_HOURLY} b ON p.species = b.tile AND p.h + 1 = b.h)"""
+_SUN = "CASE WHEN zth > 0 THEN {0} * zth / zenav WHEN zenav <= 0 THEN greatest({0}, 0) ELSE 0 END"
+
+
+@R.add(
+    f"""SELECT obs_id, CASE WHEN nv IS NULL THEN v ELSE (1 - w) * v + w * nv END AS wind, CASE WHEN x IS NULL THEN NULL ELSE least(x, 1360 * greatest(zth, 0.01)) END AS swdown, y AS pardrct
+    FROM (SELECT *, CASE WHEN v IS NOT NULL THEN {_SUN.format("(v * 20 - 300)")} END AS x, CASE WHEN f IS NOT NULL THEN {_SUN.format("(f - 30)")} END AS y FROM {_LINEAR})""", "wind swdown pardrct"
+)
+def interp_radiation(spark, sf):
+    """Wind that sometimes lacks the later record, radiation by sun angles by day, by night and between, and the linear weight."""
+    k = F.col("k")
+    zenav = F.when((k <= 40) & (k % 2 == 0), -0.1).when((k % 5 == 4) & (k <= 40), 0.0).otherwise((k + 5) / 200)
+    times = frame(spark, sf, POINTS).select("obs_id", F.col("species").alias("tile"), F.col("ts").alias("time"), ((k - 40) / 60).alias("zth"), zenav.alias("zenav"))
+    hours = _hourly(spark, sf).select("tile", "time", F.col("v").alias("wind"), (F.col("v") * 20 - 300).alias("swdown"), (F.col("f") - 30).alias("pardrct"))
+    found = W.bracket_regular(times, hours, ["tile"], 10800, ["wind", "swdown", "pardrct"])
+    found = found.withColumn("wind_nxt", F.when(F.floor(F.unix_seconds("time") / 10800) % 3 > 0, F.col("wind_nxt")))
+    return W.interp_time(found, 10800, [], [], radiation=("swdown", "pardrct"), mode="linear").select("obs_id", "wind", "swdown", "pardrct")
+
+
 @R.add(
     f"""SELECT p.obs_id, a.ts AS prv_time, a.value AS v_prv FROM {P} p ASOF LEFT JOIN (SELECT user_id, ts, value FROM {P} WHERE species = 3) a ON p.user_id = a.user_id AND p.ts >= a.ts""", "v_prv"
 )
@@ -376,6 +442,11 @@ def time_average(spark, sf):
     return W.time_average(frame(spark, sf, POINTS).withColumn("time", F.col("ts")), ["species"], 10800, ["value"])
 
 
+@R.add(f"SELECT obs_id, value FROM {P} WHERE CAST(floor(epoch(ts)) AS BIGINT) % 300 = 0", "value")
+def instantaneous(spark, sf):
+    return W.instantaneous(frame(spark, sf, POINTS).withColumn("time", F.col("ts")), 300).select("obs_id", "value")
+
+
 @R.add(f"SELECT p.obs_id, m.cj, p.value FROM {P} p JOIN (SELECT DISTINCT k AS position, k % 18 AS cj FROM {P} WHERE k % 2 = 0) m ON p.k = m.position", "value")
 def scatter_compressed(spark, sf):
     df = frame(spark, sf, POINTS)

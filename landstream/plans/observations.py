@@ -205,3 +205,14 @@ def files_in_window(spark, sf):
     digits = F.when(k % 9 == 0, F.lit("2024013X000000")).when(k % 9 == 1, F.lit("20061231235959")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
     names = points(spark, sf).select(F.concat(F.lit("ab_"), digits, F.lit(".bin")).alias("name"))
     return ingest.files_in_window(names, "2024-01-03 00:00:00", "2024-01-04 00:00:00", {"ab_": 4, "other_": 7}).select("name", "ts")
+
+
+@R.add(
+    f"""SELECT DISTINCT 'ab_' || strftime(ts, '%Y%m%d%H%M%S') || '.bin' AS name, date_trunc('second', ts) AS ts FROM {P}
+    WHERE date_trunc('second', ts) > TIMESTAMP '2024-01-03 21:00:00' AND date_trunc('second', ts) <= TIMESTAMP '2024-01-04 03:00:00'"""
+)
+def files_over_midnight(spark, sf):
+    """The files of a window that spans midnight, from the listings of both days, which share some names."""
+    names = points(spark, sf).select(F.concat(F.lit("ab_"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit(".bin")).alias("name"), F.to_date("ts").alias("day"))
+    before, now = (names.where(F.col("day").isin(*days)) for days in (("2024-01-03",), ("2024-01-03", "2024-01-04")))
+    return ingest.files_in_window(ingest.listed_over(before, now), "2024-01-03 21:00:00", "2024-01-04 03:00:00", {"ab_": 4}).select("name", "ts")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
+from ..operators.observations import last_by
 from ..sources import ingest, sinks
 from ..sources.paths import shared
 from ..streaming import state as T
 from ..streaming import windows as W
 from . import diagnostics as Q
-from .fixtures import OBS, POINTS, SERIES, TILES, bias_sql, frame, sql
+from .fixtures import OBS, ORDER, POINTS, SERIES, TILES, bias_sql, frame, sql
 from .register import Registry
 
 R = Registry()
@@ -159,6 +160,62 @@ def state_snapshot(spark, sf):
     return sinks.read_state(spark, path)
 
 
+def kept(df, path):
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@R.add(
+    f"""SELECT time, assim, CAST(species AS BIGINT) AS species, tile AS tilenum, CAST(CAST(obs AS FLOAT) AS DOUBLE) AS obs, CASE WHEN assim THEN CAST(CAST(obsvar AS FLOAT) AS DOUBLE) END AS obsvar, CAST(CAST(fcst AS FLOAT) AS DOUBLE) AS fcst,
+    CAST(CAST(ana AS FLOAT) AS DOUBLE) AS ana, 'x' AS exp FROM (SELECT *, row_number() OVER (PARTITION BY time, tile, species ORDER BY {", ".join(f"{c} DESC" for c in ORDER)}) AS rn FROM {sql(OBS)}) WHERE rn = 1""", "obs obsvar fcst ana", 3
+)
+def ingest_obs_fcst_ana(spark, sf):
+    """Binary files of observations, one for each analysis time, made of the table and decoded again."""
+    df = last_by(frame(spark, sf, OBS), ["time", "tile", "species"], ORDER)
+    rows = df.select("time", F.col("assim").cast("int").alias("assim"), "species", F.col("tile").alias("tilenum"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), "obs", F.when(F.col("assim"), F.col("obsvar")).alias("obsvar"), "fcst", "fcstvar", "ana", "anavar")
+    files = kept(ingest.encode_obs_fcst_ana(rows.withColumn("time", F.col("time").cast("timestamp"))), shared(spark, "obs-files"))
+    return ingest.decode_obs_fcst_ana(files, "x").select("time", "assim", "species", "tilenum", "obs", "obsvar", "fcst", "ana", "exp")
+
+
+@R.add(f"SELECT tile AS tile_id, CAST(100 AS BIGINT) AS typ, com_lon, com_lat, max_lon, frac_cell, area FROM {sql(TILES)}", "com_lon com_lat max_lon frac_cell area", 3)
+def ingest_tiles(spark, sf):
+    """Tile catalogues of ten thousand tiles each, encoded and decoded."""
+    t = frame(spark, sf, TILES)
+    whole = {"tile_id": F.col("tile"), "typ": F.lit(100), "pfaf": F.lit(0), "i_indg": F.lit(1), "j_indg": F.lit(1), "frac_pfaf": F.lit(0.0)}
+    files = kept(ingest.encode_tiles(t.withColumns({**whole, "block": F.floor(F.col("tile") / 10_000)}), "block"), shared(spark, "tile-files"))
+    return ingest.decode_tiles(files).select("tile_id", "typ", "com_lon", "com_lat", "max_lon", "frac_cell", "area")
+
+
+@R.add(
+    """SELECT scope, 'LatLon' AS gridtype, CAST(CASE WHEN scope = 'global' THEN 36 ELSE n END AS INT) AS n_lon, CASE WHEN scope = 'global' THEN CAST(-180 AS DOUBLE) ELSE CAST(-180 + nation AS DOUBLE) END AS ll_lon
+    FROM (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY ALL), (SELECT unnest(['global', 'domain']) AS scope)""", "ll_lon", 3
+)
+def ingest_grids(spark, sf):
+    """The global and a domain grid of each nation, encoded and decoded."""
+    n = spark.read.parquet(f"{sf}/supplier.parquet").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    df = n.withColumn("scope", F.explode(F.array(F.lit("global"), F.lit("domain"))))
+    whole = F.col("scope") == "global"
+    ints = {"ind_base": 1, "i_dir": 1, "j_dir": -1, "n_lat": 18, "i_offg": 0, "j_offg": 0}
+    doubles = {"ll_lat": -90.0, "ur_lon": 180.0, "ur_lat": 90.0, "dlon": 10.0, "dlat": 10.0}
+    df = df.withColumns({"gridtype": F.lit("LatLon"), "n_lon": F.when(whole, 36).otherwise(F.col("n")).cast("int"), "ll_lon": F.when(whole, -180.0).otherwise(-180.0 + F.col("nation")), **{c: F.lit(v) for c, v in {**ints, **doubles}.items()}})
+    files = kept(ingest.encode_grids(df, "nation"), shared(spark, "grid-files"))
+    return ingest.decode_grids(files).select("scope", "gridtype", "n_lon", "ll_lon")
+
+
+@R.add("SELECT kind AS descr, CAST(row_number() OVER (ORDER BY kind) AS INT) AS species, n % 2 = 0 AS assim, n / 2 AS errstd, [CAST(40 AS DOUBLE), n] AS ang FROM (SELECT event_type AS kind, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL)", "errstd")
+def ingest_species(spark, sf):
+    """A catalogue of species as text, written and read."""
+    from pyspark.sql import Window
+
+    path = shared(spark, "species")
+    kinds = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("descr")).agg(F.count("*").cast("double").alias("n"))
+    df = kinds.withColumns({"species": F.row_number().over(Window.orderBy("descr")), "assim": F.col("n") % 2 == 0, "errstd": F.col("n") / 2, "ang": F.array(F.lit(40.0), F.col("n"))})
+    blank = {"t": F.lit(""), "d": F.lit(0.0), "i": F.lit(0), "b": F.lit(False)}
+    df = df.withColumns({name: blank[kind] for name, kind in ingest._SPECIES if name not in df.columns})
+    ingest.species_text(df).write.text(path)
+    return ingest.read_species(spark, path).select("descr", "species", "assim", "errstd", "ang")
+
+
 @R.add(f"SELECT DISTINCT k AS tile FROM {P} WHERE k % 2 = 0 ORDER BY tile")
 def tile_list(spark, sf):
     """A text list of tiles, written and read; other lines are left out."""

@@ -271,3 +271,128 @@ def test_stream_and_batch_agree(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch = T.fold(Q.bias_events(events), ["user_id"], ["t", "event_id"], Q.BIAS, Q.BIAS_SCHEMA, ["event_id", "t"]).collect()
     assert len(batch) == len(stream) == events.count() and all(stream[r["event_id"]] == pytest.approx(r["bias"]) for r in batch)
+
+
+def dense_update(tile, state, obs, pred, fields, reach, tapered, corr, inflation):
+    """The update of one tile, member by member and observation by observation, in plain loops."""
+    near = sorted((o for o in obs if abs(o["lon"] - tile["com_lon"]) <= reach and abs(o["lat"] - tile["com_lat"]) <= reach), key=lambda o: o["obs_id"])
+    members = sorted(state)
+    n = len(members)
+    g = lambda dx, dy: float(A._taper(np.array([dx]), np.array([dy]), reach, reach)[0]) if tapered else 1.0
+    mean = lambda xs: sum(xs) / len(xs)
+    xp = {f: [inflation * (state[e][f] - mean([state[k][f] for k in members])) for e in members] for f in fields}
+    yp = [[inflation * (pred[o["obs_id"], e]["pred"] - mean([pred[o["obs_id"], k]["pred"] for k in members])) for e in members] for o in near]
+    w = np.zeros((len(near), len(near)))
+    for i, a in enumerate(near):
+        for j, b in enumerate(near):
+            dx, dy = a["lon"] - b["lon"], a["lat"] - b["lat"]
+            w[i, j] = sum(p * q for p, q in zip(yp[i], yp[j], strict=True)) / (n - 1) * g(dx, dy)
+            if i == j:
+                w[i, j] += a["obsvar"]
+            elif corr and a["species"] == b["species"]:
+                w[i, j] += math.sqrt(a["obsvar"] * b["obsvar"]) * math.exp(-0.5 * ((dx / corr) ** 2 + (dy / corr) ** 2))
+    out = {}
+    for m, e in enumerate(members):
+        rhs = [o["obs"] + pred[o["obs_id"], e]["eps"] - pred[o["obs_id"], e]["pred"] - (1 - inflation) * yp[i][m] for i, o in enumerate(near)]
+        b = np.linalg.solve(w, rhs)
+        for f in fields:
+            gain = sum(b[i] * g(o["lon"] - tile["com_lon"], o["lat"] - tile["com_lat"]) * sum(p * q for p, q in zip(xp[f], yp[i], strict=True)) for i, o in enumerate(near))
+            out[e, f] = gain / (n - 1) + (1 - 1 / inflation) * xp[f][m]
+    return out if near else {}
+
+
+def tables(spark, sf_dir, fields, members):
+    from landstream.plans import ensemble as Q
+
+    tiles, state, obs, pred = (df.collect() for df in Q.local(spark, sf_dir, fields, members))
+    by_tile = {}
+    for r in state:
+        by_tile.setdefault(r["tile"], {})[r["ens"]] = r
+    return tiles, by_tile, obs, {(r["obs_id"], r["ens"]): r for r in pred}
+
+
+def test_local_update_with_taper_correlation_and_inflation(spark, sf_dir):
+    from landstream.plans import ensemble as Q
+
+    got = {(r["tile"], r["ens"]): r for r in Q.enkf_local(spark, sf_dir).collect()}
+    tiles, state, obs, pred = tables(spark, sf_dir, Q.FIELDS, 8)
+    several = 0
+    for t in tiles:
+        want = dense_update(t, state[t["tile"]], obs, pred, Q.FIELDS, 3.0, True, 1.0, 1.2)
+        several += len(want) > 0
+        assert {e for e, _ in want} == {e for tile, e in got if tile == t["tile"]}
+        assert all(got[t["tile"], e][f] == pytest.approx(v, abs=2e-6) for (e, f), v in want.items())
+    assert several > 3
+
+
+def test_all_update_modes(spark, sf_dir):
+    from landstream.plans import ensemble as Q
+
+    got = {}
+    for r in Q.update_modes(spark, sf_dir).collect():
+        got[r["mode"], r["tile"], r["ens"], r["field"]] = r["increment"]
+    want = {}
+    for mode, m in A.MODES.items():
+        fields = [*m.fields, *m.with_tb, *m.peat]
+        tiles, state, obs, pred = tables(spark, sf_dir, fields, 4)
+        for t in tiles:
+            kind = [o for o in obs if o["varname"] in m.variables]
+            if m.local:
+                reach, tb = 1.5, any(o["varname"] == "tb" and abs(o["lon"] - t["com_lon"]) <= 1.5 and abs(o["lat"] - t["com_lat"]) <= 1.5 for o in kind)
+            else:
+                reach, tb = 1e-6, False
+                kind = [{**o.asDict(), "lon": t["com_lon"], "lat": t["com_lat"]} for o in kind if o["tile"] == t["tile"]]
+            for (e, f), v in dense_update(t, state[t["tile"]], kind, pred, fields, reach, m.local, None, 1.0).items():
+                off = (f in m.peat and t["porosity"] < 0.85) or (f in m.with_tb and not tb)
+                want[mode, t["tile"], e, f] = 0.0 if off else v
+    assert want.keys() == got.keys() and len({k[0] for k in want}) == len(A.MODES)
+    assert all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+
+
+def test_rows_without_a_value_change_no_state(spark):
+    rows = [(1, t, None if t % 3 == 0 else float(t), 1.0, True) for t in range(10)]
+    df = spark.createDataFrame(rows, "k int, t long, obs double, pred double, assim boolean")
+    step, schema = T.obs_bias(1, 4.0, 20000), "k int, t long, obs double, bias double, assim boolean"
+    got = {r["t"]: r for r in T.fold(df, ["k"], ["t"], step, schema, ["t"]).collect()}
+    left = {r["t"]: r for r in T.fold(df.where("obs IS NOT NULL"), ["k"], ["t"], step, schema, ["t"]).collect()}
+    assert all(got[t]["assim"] == r["assim"] and got[t]["bias"] == pytest.approx(r["bias"]) for t, r in left.items()) and all(got[t]["obs"] is None and not got[t]["assim"] for t in (0, 3, 6, 9))
+    assert got[3]["bias"] == got[2]["bias"]
+    ar = spark.createDataFrame([(1, t, None if t in (0, 2) else 1.0) for t in range(5)], "k int, time int, eps double")
+    x = [r["x"] for r in sorted(T.ar1(ar, ["k"], 1.0, 2.0).collect(), key=lambda r: r["time"])]
+    c = math.exp(-0.5)
+    assert x[0] is None and x[1] == 1.0 and x[2] is None and x[3] == pytest.approx(c + math.sqrt(1 - c * c))
+
+
+def test_scans_are_the_loops():
+    rng = np.random.default_rng(5)
+    a, b, m = rng.uniform(0, 1, 300), rng.normal(size=300), rng.uniform(0.5, 2, 300)
+    starts, before = np.array([0, 1, 90, 200]), rng.uniform(0.5, 2, 4)
+    x, y = T.affine_scan(a, b, starts, before), T.clipped_scan(m, 0.5, 2.0, starts, before)
+    for k, (i, j) in enumerate(zip(starts, [1, 90, 200, 300], strict=True)):
+        u = v = before[k]
+        for r in range(i, j):
+            u, v = a[r] * u + b[r], min(max(v * m[r], 0.5), 2.0)
+            assert x[r] == pytest.approx(u) and y[r] == pytest.approx(v)
+
+
+def test_groups_with_nulls_and_across_ranges(spark):
+    rows = [(None, 1.0), (None, 1.00001), (1.0, None), (1.0, 2.0), (1.0, 2.0), (5.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = sorted(((r["a"], r["b"], r["group"]) for r in E.unique_groups(df, ["a", "b"]).collect()), key=repr)
+    assert len(got) == 6 and len({g for _, _, g in got}) == 4
+    many = spark.range(2000).select((F.col("id") / 2 * 1e-5 + 1).alias("a"))
+    assert E.unique_groups(many, ["a"]).agg(F.max("group")).first()[0] == 1  # a chain of near values is one group over all ranges
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from landstream.sources import paths
+
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="must name a folder"):
+        paths.shared(Elsewhere, "x")
