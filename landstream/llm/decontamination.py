@@ -1,11 +1,18 @@
-"""Benchmark decontamination: every part of a text within the edit limit of an item is found, by pieces of the item that stay whole.
-
-An item with k edits allowed is cut into k + 1 pieces; k edits leave one of them whole, so a text that holds the item has one of
-its pieces as it stands, whatever the edits are. Pieces are byte strings: words and spaces don't matter, nor do scripts without
-spaces. The places of pieces in a text are found by their first eight bytes (and their last, if they are longer), then checked in
-two steps that lose nothing either: neighbouring pieces are joined to sections of at most 64 bytes, one of which has fewer edits
-than pieces, which a bit-parallel edit distance tells for many places at once; what is left is compared with the whole item.
-A text holds an item if some part of it is within `edits` of the item's length from it.
+"""Benchmark decontamination by random-walk embeddings and bit sampling, with exact verification by edit distance.
+
+A walk reads a text from some first byte: at each step it takes the letter it stands at, and a random function of the step and
+the letter says whether it moves on to the next. Two strings within a few edits are read by the same walk into sequences that
+agree in most steps, since walks that an edit has set apart meet again. So edit distance becomes Hamming distance, for which
+hashes of some sampled steps are a locality-sensitive index.
+
+Item-sized windows of the texts are embedded at every offset. The random functions repeat after `steps` steps, so what a walk
+reads in a block of so many steps depends only on the place where the block begins; all windows whose walks come to a place share
+it, and the blocks of all windows of a text are made in `steps` passes over its bytes, however long the items are. A hash samples
+letters of one block of the embedding. Items are embedded from each of their first FIRST bytes. Several walks (repetitions) are
+made, for items of at least 64 bytes, and for shorter ones with shorter blocks. Where a block of a text and one of an item agree, the window that begins as far before it is compared: first a section
+of at most 64 bytes of the item about the block, by a bit-parallel edit distance for many places at once (SECTION_EDITS of its 64
+bytes may differ, or the whole item's limit if that is less), then the whole item, exactly. A text holds an item if some part of
+it is within `edits` of the item's length from it.
 
 Items are a stated query set: they are broadcast in blocks of at most BLOCK_BYTES, each against all documents. Nothing else is
 shuffled.
@@ -18,6 +25,7 @@ rows are found each for itself; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +33,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, table
-from .textkit import _LOWER, GROUP_BYTES, groups, utf8
+from .textkit import _LOWER, groups, utf8
 
 EDITS = 0.1
 BLOCK_BYTES = 16 << 20
-#: Bytes of a section: one machine word has a bit for each.
-SECTION = 64
+#: Bytes of a section (one machine word has a bit for each), and how many of them may differ.
+SECTION, SECTION_EDITS = 64, 20
+#: By the least bytes of an item: steps of a block, sampled steps, and repetitions. Chosen on evenly spread edits at the limit.
+WALKS = {64: (24, 14, 2), 16: (14, 14, 2), 10: (6, 6, 3), 8: (8, 8, 1), 4: (4, 4, 1), 2: (2, 2, 1), 1: (1, 1, 1)}
+#: First bytes from which an item is embedded.
+FIRST = 8
+#: Bytes that a walk takes at once: its arrays stay in a processor's cache.
+STRETCH = 1 << 14
 #: Places that are expanded or compared at once.
 PLACES, LANES = 1 << 16, 2048
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint32(0x9E3779B1)
 
 
 def plain(raw: np.ndarray) -> bytes:
@@ -42,88 +56,143 @@ def plain(raw: np.ndarray) -> bytes:
     return b" ".join(_LOWER[raw].tobytes().split())
 
 
-def _eights(body: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one number, but for the last seven places."""
-    x = body.astype(np.uint64)
-    for k in (1, 2, 4):
-        x = (x[:-k] << np.uint64(8 * k)) | x[k:]
-    return x
-
-
-def _eights_at(body: np.ndarray, at: np.ndarray) -> np.ndarray:
-    code = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        code = (code << np.uint64(8)) | body[at + k]
-    return code
-
+@dataclass
+class Walk:
+    """One repetition: `moves` has a bit for each step and letter, `codes` a number for each letter that is hashed."""
+
+    steps: int
+    sampled: list[bool]
+    moves: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def draw(cls, steps: int, samples: int, seed: int) -> Walk:
+        rng = np.random.default_rng([steps, seed])
+        at = set(rng.choice(steps, samples, replace=False).tolist())
+        return cls(steps, [j in at for j in range(steps)], rng.integers(0, 1 << 32, 256, dtype=np.uint32), rng.integers(0, 1 << 32, 256, dtype=np.uint32))
+
+    def hashes(self, body: np.ndarray) -> np.ndarray:
+        """Hash of the sampled letters of the block that begins at each byte, but for the last `steps` bytes.
+
+        The last step's is made first, for all places; a step before it takes that of its own place or of the next.
+        """
+        moves, codes = self.moves[body].view(np.int32), self.codes[body]
+        out, mask, other = np.zeros(len(body), np.uint32), np.zeros(len(body), np.int32), np.zeros(len(body), np.uint32)
+        for j in range(self.steps - 1, -1, -1):
+            np.left_shift(moves, 31 - j, out=mask)
+            np.right_shift(mask, 31, out=mask)
+            np.bitwise_xor(out[:-1], out[1:], out=other[:-1])
+            np.bitwise_and(other, mask.view(np.uint32), out=other)
+            np.bitwise_xor(out, other, out=out)
+            if self.sampled[j]:
+                np.multiply(out, _ODD, out=out)
+                np.add(out, codes, out=out)
+        return (out * _ODD)[: len(body) - self.steps]
+
+    def goes(self, body: bytes, at: int) -> int:
+        """Where the block that begins at a place ends."""
+        for j in range(self.steps):
+            if at >= len(body):
+                return len(body) + 1
+            at += int(self.moves[body[at]]) >> j & 1
+        return at
+
+    def blocks(self, body: bytes, first: int) -> list[int]:
+        """Places at which the blocks of an item's embeddings begin; a block reads nothing beyond the item."""
+        places = set()
+        for at in range(min(first, len(body))):
+            while at not in places:
+                end = self.goes(body, at)
+                if end > len(body):
+                    break
+                places.add(at)
+                if end == at:  # a walk that doesn't move would read the same block for ever
+                    end += 1
+                at = end
+        return sorted(places)
+
+
+@dataclass
+class Index:
+    """The blocks of all items that one walk reads, in the order of their hashes: place in the item, and section."""
+
+    walk: Walk
+    values: np.ndarray
+    inside: np.ndarray
+    section: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.values, kind="stable")
+        self.values, self.inside, self.section = self.values[order], self.inside[order], self.section[order]
+        self.bits = min(24, max(12, (16 * len(order)).bit_length()))
+        self.filter = np.zeros(1 << self.bits, bool)
+        self.filter[self.values >> np.uint32(32 - self.bits)] = True
 
-def _values(eights: np.ndarray, size: int) -> np.ndarray:
-    """Spread value of the first `size` bytes of the eight."""
-    return ((eights >> np.uint64(64 - 8 * size)) + np.uint64((size * 0x632BE59BD9B4E019) % (1 << 64))) * _ODD
+    def places(self, body: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Place in body (padded by the walk's steps) and number of each block that agrees, some at a time."""
+        steps, held, size = self.walk.steps, [], 0
+        for low in range(0, len(body) - steps, STRETCH):
+            value = self.walk.hashes(body[low : low + STRETCH + steps])
+            at = np.flatnonzero(self.filter[value >> np.uint32(32 - self.bits)])
+            first, end = (np.searchsorted(self.values, value[at], side) for side in ("left", "right"))
+            at, first, end = (x[first < end] for x in (at + low, first, end))
+            if not len(at):
+                continue
+            held.append((at, first, end))
+            size += int((end - first).sum())
+            if size >= PLACES:
+                yield from _expanded(held)
+                held, size = [], 0
+        if held:
+            yield from _expanded(held)
+
+
+def _expanded(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place and number of each block of the ranges first..end at the places, about PLACES at a time."""
+    at, first, end = (np.concatenate(x) for x in zip(*held, strict=True))
+    total = np.concatenate([[0], np.cumsum(end - first)])
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PLACES, "right")) - 1)
+        many = end[a:b] - first[a:b]
+        yield np.repeat(at[a:b], many), np.repeat(first[a:b] - (total[a:b] - total[a]), many) + np.arange(total[b] - total[a])
+        a = b
 
 
 class Items:
-    """A block of items: their pieces in the order of their values, and the sections that the pieces are parts of."""
+    """A block of items: the sections that are compared first, and an index of the blocks of their embeddings for each walk."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
         self.ids, self.texts, self.limits = [], [], []
-        pieces, sections, at, n = [], [], 0, 0
+        sections, found, begin, n = [], {}, 0, 0
+        walks = {least: [Walk.draw(steps, samples, seed) for seed in range(times)] for least, (steps, samples, times) in WALKS.items()}
         for i, text in items:
             body = plain(np.frombuffer((text or "").encode(), np.uint8))
             if not body:
                 continue
             size, k = len(body), min(int(edits * len(body)), len(body) - 1)
-            cuts = np.arange(k + 2) * size // (k + 1)
-            many = -(-(k + 1) // max(1, SECTION // -(-size // (k + 1))))
-            ends = np.arange(many + 1) * (k + 1) // many
-            of = np.repeat(np.arange(many), np.diff(ends))
-            pieces.append(np.stack([cuts[:-1], np.diff(cuts), n + of, np.full(k + 1, at)], 1))
-            sections.append(np.stack([cuts[ends[:-1]], cuts[ends[1:]] - cuts[ends[:-1]], np.diff(ends) - 1, np.full(many, len(self.ids)), np.full(many, at)], 1))
-            n, at = n + many, at + size
+            last = max(0, size - SECTION)
+            inside = np.append(np.arange(0, last, SECTION // 2), last)
+            sections.append(np.stack([inside, np.full(len(inside), min(size, SECTION)), np.full(len(inside), min(k, SECTION_EDITS)), np.full(len(inside), len(self.ids)), np.full(len(inside), begin)], 1))
+            least = next(x for x in WALKS if x <= size)
+            raw = np.frombuffer(body + bytes(WALKS[least][0]), np.uint8)
+            for seed, walk in enumerate(walks[least]):
+                at = np.array(walk.blocks(body, FIRST if least >= SECTION else size), np.int64)
+                middle = np.clip((at - SECTION // 4) // (SECTION // 2), 0, len(inside) - 1)
+                found.setdefault((least, seed), []).append((walk.hashes(raw)[at], at, n + middle))
+            n, begin = n + len(inside), begin + size
             self.ids.append(i)
             self.texts.append(body)
             self.limits.append(k)
         self.raw = np.frombuffer(b"".join(self.texts) + bytes(8), np.uint8)
-        self.inside, self.size, self.section, begin = (np.concatenate(pieces) if pieces else np.zeros((0, 4), np.int64)).T
         #: Of a section: its place in the item, bytes, edits allowed, item, and where the item begins in `raw`.
         self.sections = np.concatenate(sections) if sections else np.zeros((0, 5), np.int64)
-        short = np.minimum(self.size, 8)
-        values, eights = np.zeros(len(short), np.uint64), _eights_at(self.raw, begin + self.inside)
-        self.sizes = sorted(set(short.tolist()))
-        for s in self.sizes:
-            values[short == s] = _values(eights[short == s], s)
-        last = _eights_at(self.raw, begin + self.inside + self.size - short)
-        order = np.argsort(values, kind="stable")
-        self.values, self.last = values[order], last[order]
-        self.inside, self.size, self.section = (x[order] for x in (self.inside, self.size, self.section))
-        self.bits = min(24, max(12, (16 * len(order)).bit_length()))
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[(self.values >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    def places(self, body: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Place in body (eight bytes longer than the texts) and number of each piece that may stand there, some at a time."""
-        n = len(body) - 8
-        for low in range(0, n, GROUP_BYTES):
-            eights = _eights(body[low : min(n, low + GROUP_BYTES) + 7])
-            for s in self.sizes:
-                value = _values(eights, s)
-                at = np.flatnonzero(self.filter[(value >> np.uint64(64 - self.bits)).astype(np.int64)])
-                first, end = (np.searchsorted(self.values, value[at], side) for side in ("left", "right"))
-                at, first, end = (x[first < end] for x in (at, first, end))
-                total = np.concatenate([[0], np.cumsum(end - first)])
-                a = 0
-                while a < len(at):
-                    b = max(a + 1, int(np.searchsorted(total, total[a] + PLACES, "right")) - 1)
-                    many = end[a:b] - first[a:b]
-                    piece = np.repeat(first[a:b] - (total[a:b] - total[a]), many) + np.arange(total[b] - total[a])
-                    yield np.repeat(at[a:b] + low, many), piece
-                    a = b
+        self.indexes = [Index(walks[least][seed], *(np.concatenate(x) for x in zip(*parts, strict=True))) for (least, seed), parts in sorted(found.items())]
 
     def near_sections(self, section: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, body: np.ndarray) -> np.ndarray:
         """Whether the section is within its edits of some part of the text low..high about the place where it would begin."""
         out = np.ones(len(section), bool)
-        check = np.flatnonzero((self.sections[section, 1] <= SECTION) & (self.sections[section, 2] > 0))
-        check = check[np.argsort(self.sections[section[check], 1], kind="stable")]
+        check = np.argsort(self.sections[section, 1], kind="stable")
         for a in range(0, len(check), LANES):
             part = check[a : a + LANES]
             used, row = np.unique(section[part], return_inverse=True)
@@ -140,7 +209,7 @@ class Items:
             best = score.copy()
             for j in range(int((size + 2 * edits).max())):
                 p = at + j
-                letter = np.where((p >= lo) & (p < hi), body[np.clip(p, 0, len(body) - 1)], 255)
+                letter = np.where((p >= lo) & (p < hi), body[np.minimum(np.maximum(p, 0), len(body) - 1)], 255)
                 x = equal[row + letter] | down
                 d = (((x & up) + up) ^ up) | x
                 less, more = up & d, down | ~(up | d)
@@ -178,25 +247,21 @@ def find_in_group(items: Items, offsets: np.ndarray, raw: np.ndarray) -> list[tu
     """(text, item, distance, end) for each text of a group and item that it holds, at its nearest part."""
     texts = [plain(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     edge = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    body = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    body = np.frombuffer(b"".join(texts) + bytes(SECTION), np.uint8)
     wanted = set()
-    for at, piece in items.places(body):
-        doc = np.searchsorted(edge, at, "right") - 1
-        size = items.size[piece]
-        whole = at + size <= edge[doc + 1]
-        at, piece, doc, size = at[whole], piece[whole], doc[whole], size[whole]
-        short = np.minimum(size, 8)
-        same = _eights_at(body, at + size - short) >> (64 - 8 * short).astype(np.uint64) == items.last[piece] >> (64 - 8 * short).astype(np.uint64)
-        at, piece, doc = at[same], piece[same], doc[same]
-        # Pieces of one section that say the same begin are one place.
-        _, once = np.unique(items.section[piece] * (2 * len(body) + len(items.raw)) + at - items.inside[piece] + len(items.raw), return_index=True)
-        at, piece, doc = at[once], piece[once], doc[once]
-        section = items.section[piece]
-        begin = at - items.inside[piece]
-        near = items.near_sections(section, begin + items.sections[section, 0], edge[doc], edge[doc + 1], body)
-        item = items.sections[section[near], 3]
-        step = np.maximum(16, np.array([items.limits[i] for i in item.tolist()], np.int64))
-        wanted.update(zip(doc[near].tolist(), item.tolist(), ((begin[near] - edge[doc[near]]) // step).tolist(), step.tolist(), strict=True))
+    for index in items.indexes:
+        for at, block in index.places(body):
+            doc = np.searchsorted(edge, at, "right") - 1
+            inside = doc < len(texts)
+            at, block, doc = at[inside], block[inside], doc[inside]
+            # Blocks of one section that say the same begin are one place.
+            begin = at - index.inside[block]
+            _, once = np.unique(index.section[block] * (2 * len(body) + len(items.raw)) + begin + len(items.raw), return_index=True)
+            section, begin, doc = index.section[block][once], begin[once], doc[once]
+            near = items.near_sections(section, begin + items.sections[section, 0], edge[doc], edge[doc + 1], body)
+            item = items.sections[section[near], 3]
+            step = np.maximum(16, np.array([items.limits[i] for i in item.tolist()], np.int64))
+            wanted.update(zip(doc[near].tolist(), item.tolist(), ((begin[near] - edge[doc[near]]) // step).tolist(), step.tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for t, i, b, step in sorted(wanted):
         k, n = items.limits[i], len(items.texts[i])
