@@ -1,24 +1,21 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
 
-Both dictionaries hold the same ordinary text. The toxic one ends with segments that toxic training texts have and ordinary
-ones don't: word beginnings, picked greedily until the toxic texts are covered, each completed to its most usual form. The
-ordinary one ends with as many zero bytes, so that lengths differ only where a window matches toxic segments. A window's
-evidence is how many bytes less it takes with the toxic dictionary. The compressor copies strings of LEAST_MATCH bytes or more;
-a window that holds none of the toxic segments' strings of that length or more but such as ordinary text has as well counts as 0
-without being compressed. All windows of the whole text are looked at.
-
-A text's score is a logistic function of the evidence of its best windows and of its number of windows, fitted on training
-texts that did not choose the segments.
-
-Cases: a null or empty text has no evidence; a training set without toxic or without ordinary texts gives a score of 0 to all
+Two dictionaries of equal size are trained by zstandard, one on toxic and one on ordinary training texts: on the passages made of
+strings that recur in texts of the class (LEAST_TEXTS of them or more) and that the other class hasn't. Before compressing, both
+are followed by the same sample of ordinary text, so that what both classes share costs the same and lengths differ by what is
+one class's own. Every window of every text is compressed with both; a window's evidence is how many bytes less it takes with the
+toxic dictionary. Thresholds on that difference are calibrated on training texts that were not used for the dictionaries: the
+differences that one in a hundred, a thousand and ten thousand ordinary windows exceed, and a few fixed ones. A text's score is a
+logistic function, fitted on the same texts, of how many of its windows pass each threshold.
+
+Cases: a null or empty text has no windows; a training set without toxic or without ordinary texts gives a score of 0 to all
 texts; labels that are null are not learned from; repeated labels of a document count once each; an empty table gives an empty
 result. Texts are scored one by one, so nothing is shuffled for it.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,18 +30,23 @@ from .common import bound_batches, hash_below, table
 from .textkit import groups, utf8
 
 WINDOW, STRIDE = 64, 48
-LEAST_MATCH = 3
 #: Bounds of the training sample: documents of each kind, and bytes of all of them.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 4500, 48 << 20
-BASE_BYTES = 100_000
+#: Bytes of the ordinary text that follows both dictionaries, and of each dictionary.
+BASE_BYTES, TRAINED_BYTES = 400_000, 4096
+#: Strings that are looked for in both classes have GRAM bytes; those that LEAST_TEXTS texts of one class alone have are trained on.
+GRAM, LEAST_TEXTS = 6, 4
+#: Passages that a dictionary is trained on, at most.
+MAX_PASSAGES = 60_000
 #: Bytes of the parts that are drawn from a training text that is over its class's share.
 PART = 1024
-MAX_SEGMENTS = 1024
+#: Differences in bytes that are thresholds beside the calibrated ones, and windows that are counted beyond one.
+FIXED, MOST = (1, 2, 4), 6
 PREDICT_AT = 0.3
+#: Windows that are compressed in one call.
+CALL = 20_000
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
-
-
+_GRAM_BITS = 22
 #: Letters A-Z to lower case, all else of ASCII but letters to spaces; other bytes stay.
 _PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint8)
 
@@ -53,119 +55,113 @@ def _lower(text: bytes) -> bytes:
     return _PLAIN[np.frombuffer(text, np.uint8)].tobytes()
 
 
-def _beginnings(text: bytes) -> set[bytes]:
-    return {b" " + w[:n] for w in set(_WORD.findall(text)) for n in range(3, min(len(w), 12) + 1)}
-
-
-def choose_segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 60.0) -> list[bytes]:
-    """Word beginnings that are `ratio` times as usual in toxic texts, picked until each has three or none is left that helps."""
-    sets = [_beginnings(t) for t in toxic]
-    usual, plain = Counter(), Counter()
-    for s in sets:
-        usual.update(s)
-    for t in ordinary:
-        plain.update(_beginnings(t))
-    least = max(4, 0.002 * len(toxic))
-    good = {s for s, n in usual.items() if n >= least and n / len(toxic) >= ratio * (plain[s] + 0.5) / len(ordinary)}
-    good = {s for s in good if s[:-1] not in good}  # the shortest of each chain covers the most texts
-    texts = defaultdict(list)
-    for i, s in enumerate(sets):
-        for g in s & good:
-            texts[g].append(i)
-    need, chosen = np.full(len(sets), 3), []
-    while texts and len(chosen) < MAX_SEGMENTS:
-        gain, best = max(((need[i] > 0).sum(), g) for g, i in texts.items())
-        if gain < least:
-            break
-        need[texts.pop(best)] -= 1
-        chosen.append(best)
+def _gram_codes(text: bytes) -> np.ndarray:
+    """Hashes of all strings of GRAM bytes."""
+    raw = np.frombuffer(text, np.uint8)
+    if len(raw) < GRAM:
+        return np.zeros(0, np.int64)
+    code = np.zeros(len(raw) - GRAM + 1, np.uint32)
+    for i in range(GRAM):
+        code = code * np.uint32(0x01000193) ^ raw[i : len(raw) - GRAM + 1 + i]
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - _GRAM_BITS)).astype(np.int64)
+
+
+def text_counts(texts: list[bytes]) -> np.ndarray:
+    """In how many texts each string of GRAM bytes stands, by its hash."""
+    out = np.zeros(1 << _GRAM_BITS, np.uint16)
+    for t in texts:
+        out[_gram_codes(t)] += 1  # a place that is named twice counts once
+    return out
+
+
+def own_passages(texts: list[bytes], own: np.ndarray, other: np.ndarray) -> list[bytes]:
+    """Passages of the texts that are covered by strings of their class alone; a text's equal passages count once."""
     out = []
-    for g in chosen:  # go on while one form makes up most of the uses
-        while longer := [(n, s) for s, n in usual.items() if len(s) == len(g) + 1 and s.startswith(g) and n > 0.7 * usual[g]]:
-            g = max(longer)[1]
-        out.append(g)
+    for t in texts:
+        codes = _gram_codes(t)
+        at = np.flatnonzero((own[codes] >= LEAST_TEXTS) & (other[codes] == 0))
+        if len(at):
+            new = np.append(True, at[1:] > at[:-1] + GRAM)
+            begins, ends = at[new], at[np.append(new[1:], True)] + GRAM
+            out.extend(dict.fromkeys(t[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)))
     return out
 
 
+def train_dictionary(passages: list[bytes]) -> bytes:
+    """What zstandard trains on the passages, of TRAINED_BYTES; if they are too few to train on, the passages themselves."""
+    if len(passages) > MAX_PASSAGES:
+        passages = [passages[i] for i in sorted(np.random.default_rng(7).choice(len(passages), MAX_PASSAGES, replace=False).tolist())]
+    try:
+        made = zstandard.train_dictionary(TRAINED_BYTES, passages, k=12, d=6).as_bytes()
+    except zstandard.ZstdError:
+        made = b" ".join(dict.fromkeys(passages))
+    return made[-TRAINED_BYTES:].rjust(TRAINED_BYTES, b"\0")
+
+
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of every window of texts that follow each other, and the number of the text it is of."""
+    sizes = np.diff(offsets)
+    many = np.where(sizes > 0, 1 + np.maximum(-(-(sizes - WINDOW) // STRIDE), 0), 0)
+    of = np.repeat(np.arange(len(sizes)), many)
+    begin = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
+    return np.stack([offsets[:-1][of] + begin, np.minimum(WINDOW, sizes[of] - begin)], 1), of
+
+
 @dataclass
 class ToxicModel:
     base: bytes
+    ordinary: bytes
     toxic: bytes
-    weights: np.ndarray
+    thresholds: tuple[int, ...] = FIXED
+    weights: np.ndarray | None = None
 
     def __post_init__(self):
         self._ready = None
 
     def __getstate__(self):
-        return {"base": self.base, "toxic": self.toxic, "weights": self.weights, "_ready": None}
+        return {**self.__dict__, "_ready": None}
 
-    def _load(self):
+    def _compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         if self._ready is None:
-            marks: dict[int, np.ndarray] = {}
-            # From each place of the toxic end, the shortest string that ordinary text hasn't: all longer ones begin with it.
-            for i in range(len(self.toxic)):
-                for n in range(LEAST_MATCH, len(self.toxic) - i + 1):
-                    if self.base.find(g := self.toxic[i : i + n]) < 0:
-                        marks.setdefault(n, np.zeros(1 << 20, bool))[_gram_codes(np.frombuffer(g, np.uint8), n)] = True
-                        break
-            self._ready = marks, self._compressor(bytes(len(self.toxic))), self._compressor(self.toxic)
+            self._ready = self._compressor(self.ordinary), self._compressor(self.toxic)
         return self._ready
 
-    def _compressor(self, tail: bytes) -> zstandard.ZstdCompressor:
+    def _compressor(self, trained: bytes) -> zstandard.ZstdCompressor:
         how = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=LEAST_MATCH, target_length=32,
-            strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=19, chain_log=16, hash_log=16, search_log=3, min_match=4, target_length=16,
+            strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
-        held = zstandard.ZstdCompressionDict(self.base + tail, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # The trained part stands first, where its strings are no nearer, and so no cheaper, than those of the common text.
+        held = zstandard.ZstdCompressionDict(trained + self.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def evidence(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        """Per text: evidence of its three best windows, and the logarithm of its number of windows."""
-        marks, plain, toxic = self._load()
-        n = len(offsets) - 1
-        out = np.zeros((n, 4))
-        sizes = np.diff(offsets)
-        out[:, 3] = np.log1p(np.maximum(np.ceil((sizes - WINDOW) / STRIDE), 0))
-        raw, windows = _PLAIN[raw], np.zeros((0, 2), np.int64)
-        for size, mark in marks.items():
-            at = np.flatnonzero(mark[_gram_codes(raw, size)])
-            doc = np.searchsorted(offsets, at, "right") - 1
-            inside = at + size <= offsets[doc + 1]
-            at, doc = at[inside], doc[inside]
-            # The windows of the grid that hold the string: the last that begins before it, and the one before if it reaches as far.
-            last = (at - offsets[doc]) // STRIDE
-            before = (last > 0) & (at - offsets[doc] + size <= (last - 1) * STRIDE + WINDOW)
-            windows = np.unique(np.concatenate([windows, np.stack([doc, last], 1), np.stack([doc, last - 1], 1)[before]]), axis=0)
-        found = defaultdict(list)
-        for d, k in windows.tolist():
-            begin = int(offsets[d]) + k * STRIDE
-            piece = raw[begin : min(begin + WINDOW, int(offsets[d + 1]))].tobytes()
-            found[d].append(len(plain.compress(piece)) - len(toxic.compress(piece)))
-        for d, x in found.items():
-            best = sorted(x, reverse=True)[:3]
-            out[d, : len(best)] = np.maximum(best, 0)
+    def differences(self, raw: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """How many bytes less each window (begin, length) takes with the toxic dictionary."""
+        out = np.zeros(len(parts), np.int64)
+        for a in range(0, len(parts), CALL):
+            some = parts[a : a + CALL]
+            low, high = int(some[0, 0]), int(some[-1].sum())
+            data = zstandard.BufferWithSegments(_PLAIN[raw[low:high]].tobytes(), (some - [low, 0]).astype(np.uint64).tobytes())
+            plain, toxic = (c.multi_compress_to_buffer(data) for c in self._compressors())
+            out[a : a + CALL] = [len(plain[i]) - len(toxic[i]) for i in range(len(some))]
         return out
 
+    def evidence(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Per text and threshold: how many windows pass it, up to MOST."""
+        parts, of = windows(offsets)
+        return self._counts(self.differences(raw, parts), of, len(offsets) - 1)
+
+    def _counts(self, differences: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        return np.column_stack([np.minimum(np.bincount(of[differences >= x], minlength=n), MOST) for x in self.thresholds])
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
         z = _features(evidence) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _gram_codes(raw: np.ndarray, size: int) -> np.ndarray:
-    """20-bit hashes of all strings of `size` bytes."""
-    if len(raw) < size:
-        return np.zeros(0, np.int64)
-    code = np.zeros(len(raw) - size + 1, np.uint32)
-    for i in range(size):
-        code = code * np.uint32(0x01000193) ^ raw[i : len(raw) - size + 1 + i]
-    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64)
-
-
 def _features(evidence: np.ndarray) -> np.ndarray:
-    best = np.minimum(evidence[:, :3], 12) / 4
-    total = best.sum(1)
-    return np.column_stack([np.ones(len(best)), best[:, 0], total, best[:, 0] > 0, total * total / 8, evidence[:, 3]])
+    return np.column_stack([np.ones(len(evidence)), evidence])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -187,18 +183,24 @@ def train(texts: list[bytes], toxic: list[int], share: dict[int, float]) -> Toxi
         return None
     fit = np.arange(len(y)) % 3 != 2
     by = [list(dict.fromkeys(t for t, k, f in zip(texts, toxic, fit, strict=True) if f and k == kind)) for kind in (0, 1)]
-    segments = choose_segments(by[1], by[0])
+    counts = [text_counts(x) for x in by]
+    trained = [train_dictionary(own_passages(by[k], counts[k], counts[1 - k])) for k in (0, 1)]
     base, size = [], 0
     for t in by[0]:  # parts of many texts rather than a few whole ones
-        base.append(t[:1500])
+        base.append(even_parts(t, 2 * PART + 1))
         size += len(base[-1])
         if size > BASE_BYTES:
             break
-    model = ToxicModel(b" ".join(base)[:BASE_BYTES], b"".join(reversed(segments)) + b" ", np.zeros(6))
+    model = ToxicModel(b" ".join(base)[:BASE_BYTES], *trained)
     held = np.flatnonzero(~fit)
     parts = [texts[i] for i in held]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in parts])])
-    evidence = model.evidence(offsets, np.frombuffer(b"".join(parts), np.uint8))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in parts], dtype=np.int64)])
+    spans, of = windows(offsets)
+    differences = model.differences(np.frombuffer(b"".join(parts), np.uint8), spans)
+    ordinary = differences[y[held][of] == 0]
+    passed = [int(np.quantile(ordinary, q)) + 1 for q in (0.99, 0.999, 0.9999)] if len(ordinary) else []
+    model.thresholds = tuple(sorted({*FIXED, *(x for x in passed if x > 0)}))
+    evidence = model._counts(differences, of, len(held))
     model.weights = _logistic(_features(evidence), y[held], np.array([1 / share[k] for k in y[held]]))
     return model
 

@@ -64,21 +64,46 @@ def test_part_distance_is_the_edit_distance():
 
 
 # Toxicity
-def test_stems_of_four_bytes_are_seen():
-    rng = np.random.default_rng(12)
-    word = lambda n: "".join(rng.choice(list("aeioulmnrst"), n))
-    plain = [word(6) for _ in range(300)]
-    model = toxicity.ToxicModel(" ".join(rng.choice(plain, 3000)).encode(), b" zkb qxw vgf ", np.zeros(6))
-    seen = 0
-    for _ in range(50):  # one match of four bytes need not save a whole byte, three often do
-        w = list(rng.choice(plain, 4))
-        for stem in ("zkb", "qxw", "vgf"):
-            w.insert(int(rng.integers(1, len(w))), stem + word(3))
-        piece = " ".join(w).encode()[:64]
-        seen += model.evidence(np.array([0, len(piece)]), np.frombuffer(piece, np.uint8))[0, 0] > 0
-    assert seen >= 10
-    none = " ".join(rng.choice(plain, 8)).encode()
-    assert model.evidence(np.array([0, len(none)]), np.frombuffer(none, np.uint8))[0, 0] == 0
+def test_every_window_is_compressed_with_both_dictionaries(spark):
+    """Lengths, counts and scores of the query's model against plain loops over the windows."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert len(model.ordinary) == len(model.toxic) == toxicity.TRAINED_BYTES
+    odd = [(-1, None), (-2, ""), (-3, "x"), (-4, "y" * 64), (-5, "z " * 33), (-6, "long text " * 20_000)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()][:60] + odd
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), model).collect()}
+    how = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=19, chain_log=16, hash_log=16, search_log=3, min_match=4, target_length=16,
+        strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    length = []
+    for trained in (model.ordinary, model.toxic):
+        held = zstandard.ZstdCompressionDict(trained + model.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=how)
+        length.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how))
+    for doc, t in rows:
+        body = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in (t or "").encode())
+        saved, at = [], 0
+        while at < len(body):
+            piece = body[at : at + 64]
+            saved.append(len(length[0].compress(piece)) - len(length[1].compress(piece)))
+            if at + 64 >= len(body):
+                break
+            at += 48
+        z = model.weights[0] + sum(w * min(6, sum(s >= x for s in saved)) for w, x in zip(model.weights[1:], model.thresholds, strict=True))
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_strings_of_one_class_alone_are_trained_on():
+    texts = [f"{text(i, 30)} zorkblat {text(i + 100, 30)}".encode() for i in range(10)], [f"{text(i + 200, 60)} plainly".encode() for i in range(10)]
+    counts = [toxicity.text_counts(x) for x in texts]
+    passages = toxicity.own_passages(texts[0], counts[0], counts[1])
+    assert len(passages) >= 10 and all(b"orkbla" in p for p in passages) and max(map(len, passages)) < 20
+    assert toxicity.own_passages(texts[0], counts[0], counts[0]) == [] and toxicity.own_passages([b"", b"short"], counts[0], counts[1]) == []
+    assert b"zorkbla" in toxicity.train_dictionary(passages) and len(toxicity.train_dictionary([])) == toxicity.TRAINED_BYTES
 
 
 def test_a_long_document_does_not_end_the_training(spark, monkeypatch):
