@@ -15,9 +15,10 @@ an empty table gives no archives and an empty result.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,10 @@ END = "\r\n"
 #: The alphabet of base32 (RFC 4648).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bounds the files, and with them what a task reads at once.
-RECORDS_PER_FILE = 10_000
+#: Bounds of the files, and with them of what a task reads at once: records, and bytes of payloads (or one record).
+RECORDS_PER_FILE, BYTES_PER_FILE = 10_000, 1 << 30
+#: Bytes that are decompressed at once.
+CHUNK = 1 << 20
 
 
 def base32_of(hexadecimal: Column) -> Column:
@@ -90,27 +93,66 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write records (see record_text) as gzip-compressed archives of at most RECORDS_PER_FILE records."""
-    lines = records.select(record_text(date).alias("value"))
-    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
+def write_archives(records: DataFrame, path: str, date: str | None = None, longest: int | None = None) -> None:
+    """Write records (see record_text) as gzip-compressed archives within RECORDS_PER_FILE and BYTES_PER_FILE.
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        head = data[at:stop].decode("utf-8").split(END)
+    date: of the new headers, now if it isn't given. longest: bytes of the longest payload, if known.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    if longest is None:
+        longest = records.agg(F.max("payload_bytes")).first()[0]
+    most = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // max(1, longest or 0)))
+    lines = records.select(record_text(date).alias("value"))
+    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or several members, some at a time."""
+    while data:
+        one = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        while not one.eof:
+            made = one.decompress(data, CHUNK)
+            if not made and not one.unconsumed_tail and not one.eof:
+                raise ValueError("archive ends inside a member")
+            data = one.unconsumed_tail
+            yield made
+        data = one.unused_data
+
+
+def parse_archive(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a stream of bytes; one record is held at a time."""
+    held, at = bytearray(), 0
+    parts = iter(parts)
+
+    def need(n: int) -> bool:
+        nonlocal held, at
+        while len(held) - at < n:
+            part = next(parts, None)
+            if part is None:
+                return False
+            if at > CHUNK:
+                del held[:at]
+                at = 0
+            held += part
+        return True
+
+    while need(1):
+        searched = at
+        while (stop := held.find(b"\r\n\r\n", max(at, searched - 3))) < 0:
+            size = len(held) - at
+            if not need(size + 1):
+                raise ValueError("archive ends inside a header")
+            searched = at + size
+        head = held[at:stop].decode("utf-8").split(END)
         if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one should begin")
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in head[1:])}
-        begin = stop + 4
-        at = begin + int(fields["content-length"])
-        yield fields, data[begin:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record without its end at byte {at}")
-        at += 4
+        n = int(fields["content-length"])
+        at = stop + 4
+        if not need(n + 4) or held[at + n : at + n + 4] != b"\r\n\r\n":
+            raise ValueError("record without its end")
+        yield fields, bytes(held[at : at + n])
+        at += n + 4
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +166,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 out, held = [], 0
-                for fields, block in parse_archive(gzip.decompress(content)):
+                for fields, block in parse_archive(_inflated(content)):
                     kind, digest, n = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
                     if kind == "response" and (base64.b32encode(hashlib.sha1(block).digest()).decode() != digest or len(block) != n):
                         raise ValueError(f"payload of record {fields['warc-record-id']} disagrees with its header")
@@ -150,15 +192,16 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return out
 
 
-def deduplicate_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write pages (page_id, url, payload) as deduplicated archives at path, and read them back."""
+def deduplicate_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str | None = None) -> DataFrame:
+    """Write pages (page_id, url, payload) as deduplicated archives at path, with headers of a date (now), and read them back."""
     payload = F.coalesce("payload", F.lit(""))
     full = pages.select("page_id", "url", "payload", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
     kinds = resolve_revisits(full.select("page_id", "payload_digest", "payload_bytes"), min_bytes)
     kinds = kinds.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "record_type", "refers_to")
     records = full.join(kinds, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")))
     # Headers are matched by hexadecimal digests; only records that are written need the longer way to base32.
-    write_archives(records.withColumn("payload_digest", base32_of(F.col("payload_digest"))), path)
+    longest = pages.agg(F.max(F.octet_length("payload"))).first()[0]
+    write_archives(records.withColumn("payload_digest", base32_of(F.col("payload_digest"))), path, date, longest)
     return read_archives(pages.sparkSession, path)
 
 
