@@ -59,8 +59,9 @@ def mix_sources(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2,
     The rows are range-partitioned by (source, size, doc_id), so that a large source spreads over many tasks, and are written
     once: the ranks are local row numbers plus the counts of the ranges before.
     """
-    sized = docs.withColumn("__size", size)
-    ranged = sized.repartitionByRange(F.col("source").asc_nulls_last(), "__size", "doc_id")
+    # Rows that agree in size and id, but not in the rest, have an order too.
+    sized = docs.withColumn("__size", size).withColumn("__tie", F.xxhash64(*docs.columns))
+    ranged = sized.repartitionByRange(F.col("source").asc_nulls_last(), "__size", "doc_id", "__tie")
     ranged = written(ranged.withColumn("__range", F.spark_partition_id()), "mix")
     parts = ranged.groupBy("__range", "source").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"))
     sizes = parts.groupBy("source").agg(F.sum("__words").alias("source_size"))
@@ -70,7 +71,7 @@ def mix_sources(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2,
     known = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
         F.col("p.__range").alias("__at"), F.col("p.source").alias("__of"), "p.__ahead", F.col("t.source_size").alias("__source_size"), F.col("t.target").alias("__target")
     )
-    rank = F.row_number().over(Window.partitionBy("__range", "source").orderBy("__size", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("__range", "source").orderBy("__size", "doc_id", "__tie"))
     ranked = ranged.withColumn("__rank", rank).join(known, (F.col("__range") == F.col("__at")) & F.col("source").eqNullSafe(F.col("__of")))
     rank = F.col("__ahead") + F.col("__rank")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
@@ -87,7 +88,8 @@ def emitted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n_words"))
-    mixed = mix_sources(sized, F.col("n_words"))
+    # Written first: both the bounds of the ranges and the ranges themselves are made from the words counted once.
+    mixed = mix_sources(written(sized, "sized"), F.col("n_words"))
     return mixed.select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
