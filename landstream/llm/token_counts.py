@@ -2,12 +2,14 @@
 
 A pre-token is the word mark followed by a word. Its tokens are the pieces of the segmentation with the largest sum of piece
 scores; bytes that no piece covers cost UNKNOWN each and count one token each, like a byte fallback. Of segmentations with equal
-sums, the one with fewer tokens counts.
+sums, the one with fewer tokens counts. Scores are the vocabulary file's. The public file that the query takes is of a model
+that merges pairs, and its scores are ranks of merges: the counts are those of the segmentation with the best sum of these, and
+not what that model's own encoder gives.
 
-Each task handles a group of texts at once: its distinct words become a trie, built depth by depth, in which a node is a distinct
-prefix; the best score and count of a prefix are computed once, from its ancestors, for all words that begin with it, and the
-counts of the nodes where words end are stored. The texts' counts are sums of those. A group is bounded in bytes, so the trie
-is; nothing is shuffled, and a word that is in all texts costs each task one path.
+Each task handles a group of texts at once: its distinct new words become a trie, built depth by depth, in which a node is a
+distinct prefix; the best score and count of a prefix are computed once, from its ancestors, for all words that begin with it. The
+counts of the nodes where words end are stored for all the task's further texts (MAX_WORDS of them). The texts' counts are sums of
+those. A group is bounded in bytes, so the trie is; nothing is shuffled, and a word that is in all texts costs each task one path.
 
 Cases: a null, empty or blank text has 0 tokens; a word of any length is one path; repeated rows are counted each for itself; an
 empty table gives an empty result; other columns pass through, and an input column n_tokens is replaced.
@@ -34,6 +36,8 @@ UNKNOWN = -100_000.0
 GROUP_BYTES = 8 << 20
 #: The vocabulary is broadcast; this bounds it.
 MAX_PIECES = 2_000_000
+#: Distinct words whose counts a task keeps.
+MAX_WORDS = 2_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,9 +80,7 @@ class PieceTable:
         # Per depth, of its nodes: prefix hash, best score, tokens, and the node above.
         prefix, best, tokens, above = [np.zeros(1, np.uint64)], [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         alive = np.arange(len(starts))
-        powers = [np.uint64(1)]
-        for _ in range(self.longest):
-            powers.append(powers[-1] * _STEP)
+        powers = [np.uint64(pow(int(_STEP), k, 1 << 64)) for k in range(self.longest + 1)]
         depth = 0
         while len(alive):
             if depth < mark:
@@ -119,13 +121,36 @@ def _hash_of(piece: bytes) -> int:
     return int(mix(np.array([(int(h) + len(piece)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
 
-def count_group(pieces: PieceTable, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+class KnownWords:
+    """Terminal counts of the distinct words that a task has met, by hash; begun anew beyond MAX_WORDS."""
+
+    def __init__(self):
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def counts_of(self, pieces: PieceTable, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Tokens of distinct words, in order of their hashes; only new ones go through the trie."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        old = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.zeros(len(hashes), np.int64)
+        out[old] = self.counts[at[old]]
+        new = ~old
+        if new.any():
+            out[new] = pieces.terminal_counts(starts[new], sizes[new], raw)
+            if len(self.hashes) + int(new.sum()) > MAX_WORDS:
+                self.hashes, self.counts = hashes, out
+            else:
+                place = np.searchsorted(self.hashes, hashes[new])
+                self.hashes, self.counts = np.insert(self.hashes, place, hashes[new]), np.insert(self.counts, place, out[new])
+        return out
+
+
+def count_group(pieces: PieceTable, offsets: np.ndarray, raw: np.ndarray, known: KnownWords | None = None) -> np.ndarray:
     """Tokens of each text of a group."""
     start, end, doc = words(offsets, raw)
     if not len(start):
         return np.zeros(len(offsets) - 1, np.int64)
-    _, first, which = np.unique(range_hash(prefix_hash(raw), start, end), return_index=True, return_inverse=True)
-    counts = pieces.terminal_counts(start[first], (end - start)[first], raw)
+    hashes, first, which = np.unique(range_hash(prefix_hash(raw), start, end), return_index=True, return_inverse=True)
+    counts = (known or KnownWords()).counts_of(pieces, hashes, start[first], (end - start)[first], raw)
     return np.bincount(doc, weights=counts[which], minlength=len(offsets) - 1).astype(np.int64)
 
 
@@ -138,11 +163,12 @@ def count_tokens(docs: DataFrame, vocabulary: dict[bytes, float]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(PieceTable(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownWords()
         for batch in batches:
             offsets, raw = utf8(batch.column(at))
             counts = np.zeros(batch.num_rows, np.int64)
             for a, b in groups(offsets, GROUP_BYTES):
-                counts[a:b] = count_group(held.value, offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])
+                counts[a:b] = count_group(held.value, offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]], known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=[*kept, "n_tokens"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))
