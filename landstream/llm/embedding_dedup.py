@@ -2,7 +2,7 @@
 
 Equal vectors of one label are one class; only classes are compared. Each tree splits the unit vectors again and again by the
 median of a random projection; vectors within a margin of the threshold go to both sides. The splits are fitted on a bounded
-sample, deep enough for the number of all vectors, and every vector descends every tree. Classes of one label that share a leaf
+sample, as deep as the largest label asks for and the sample allows, and every vector descends every tree. Classes of one label that share a leaf
 are compared exactly, in double precision; a pair that shares several leaves counts in the first of them only, which both sides
 can tell from their own lists of leaves. So links are counted and merged inside the leaves, and no list of pairs is made. Leaves
 with more than BLOCK classes are split into pairs of blocks that go to different tasks.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, hash_below, table, written
 
 COSINE = 0.98
 TREES = 6
@@ -78,12 +78,41 @@ def grow(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPIL
     return Forest(normals, bounds, margins, depth)
 
 
-def _unit(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, list[np.ndarray | None]]:
-    out = []
-    for v in batch.column(column).to_pylist():
-        x = np.array([np.nan if y is None else y for y in v or ()], np.float64)
-        out.append(x / n if len(x) and np.isfinite(x).all() and 0 < (n := np.linalg.norm(x)) < np.inf else None)
-    return np.array([x is not None for x in out], bool), out
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and components of a list column in double precision; null components are NaN, null lists are empty."""
+    if not pa.types.is_list(column.type):
+        column = column.cast(pa.list_(column.type.value_type))
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), values + 0.0  # one zero
+
+
+def unit_vectors(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have a direction, and all components over their vector's length.
+
+    A vector is first divided by its largest component, so that no square overflows or vanishes.
+    """
+    sizes = np.diff(offsets)
+    some = np.flatnonzero(sizes > 0)
+    most = np.zeros(len(sizes))
+    if len(some):
+        most[some] = np.maximum.reduceat(np.abs(values), offsets[some])
+    good = np.isfinite(most) & (most > 0)
+    scaled = values / np.repeat(np.where(good, most, 1.0), sizes)
+    norm = np.zeros(len(sizes))
+    if len(some):
+        norm[some] = np.sqrt(np.add.reduceat(np.where(np.repeat(good, sizes), scaled, 0.0) ** 2, offsets[some]))
+    return good, scaled / np.repeat(np.where(good, norm, 1.0), sizes)
+
+
+def sampling_share(n: int, sample: int = SAMPLE) -> int:
+    """The largest 64-bit hash that a draw of about `sample` of n classes takes."""
+    return hash_below(min(1.0, sample / max(1, n)))
+
+
+def tree_depth(largest: int, sampled: int) -> int:
+    """Levels that bring the classes of the largest label down to LEAF in a leaf, as far as the sample has 8 vectors for each."""
+    return max(0, min(int(np.ceil(np.log2(max(1, largest / LEAF)))), int(np.log2(max(2, sampled / 8)))))
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -91,14 +120,14 @@ def classes(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, _ = _unit(batch, 1)
-            labels, keys = batch.column(2).to_pylist(), []
-            for ok, label, v in zip(good, labels, batch.column(1).to_pylist(), strict=True):
+            offsets, values = _flat(batch.column(1))
+            good, _ = unit_vectors(offsets, values)
+            labels, keys, whole = batch.column(2).to_pylist(), [], values.tobytes()
+            for i, (ok, label) in enumerate(zip(good.tolist(), labels, strict=True)):
                 if not ok or label is None:
                     keys.append(None)
                     continue
-                x = np.array(v, np.float64) + 0.0  # one zero
-                h = hashlib.blake2b(x.tobytes() + repr(label).encode(), digest_size=8).digest()
+                h = hashlib.blake2b(whole[8 * offsets[i] : 8 * offsets[i + 1]] + repr(label).encode(), digest_size=8).digest()
                 keys.append(int.from_bytes(h, "little", signed=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["vec_id", "embedding", "label", "class"])
 
@@ -115,24 +144,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     lengths = {r["d"]: r["n"] for r in sizes.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}
     forests = {}
     for d, n in lengths.items():
-        share = int(1_000_000 * min(1.0, sample / n))
-        drawn = sizes.where((F.col("d") == d) & (F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < share)).select("embedding").limit(2 * sample)
-        x = np.array([r[0] for r in drawn.collect()] or np.zeros((1, d)), np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        labels = max(1, sizes.where(F.col("d") == d).agg(F.approx_count_distinct("label")).first()[0])
-        depth = max(0, int(np.ceil(np.log2(max(1, n / labels / LEAF)))))
-        forests[d] = grow(x, min(depth, int(np.log2(max(2, len(x) / 8)))), trees)
+        drawn = sizes.where((F.col("d") == d) & (F.xxhash64("class") <= sampling_share(n, sample))).select("embedding").limit(2 * sample)
+        rows = [r[0] for r in drawn.collect()] or [[1.0] * d]
+        x = unit_vectors(np.arange(len(rows) + 1) * d, np.array(rows, np.float64).ravel())[1].reshape(-1, d)
+        largest = sizes.where(F.col("d") == d).groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        forests[d] = grow(x, tree_depth(largest, len(x)), trees)
     held = spark.sparkContext.broadcast(forests)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, unit = _unit(batch, 2)
+            offsets, values = _flat(batch.column(2))
+            unit, lengths = unit_vectors(offsets, values)[1], np.diff(offsets)
             keys, label = batch.column(0).to_numpy(), [repr(x) for x in batch.column(3).to_pylist()]
-            by: dict[int, list[int]] = {}
-            for i, x in enumerate(unit):
-                by.setdefault(len(x), []).append(i)
-            for d, i in by.items():
-                x, i = np.stack([unit[k] for k in i]), np.array(i)
+            for d in np.unique(lengths).tolist():
+                i = np.flatnonzero(lengths == d)
+                x = unit[offsets[i][:, None] + np.arange(d)]
                 row, leaf = held.value[d].leaves(x)
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
