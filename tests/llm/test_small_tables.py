@@ -54,7 +54,7 @@ def test_no_pages(spark):
 
 def test_broken_archives_are_errors():
     with pytest.raises(ValueError, match="no WARC record"):
-        list(warc.parse_archive(b"GET / HTTP/1.1\r\n\r\n"))
+        list(warc.parse_archive(iter([b"GET / HTTP/1.1\r\n\r\n"])))
 
 
 # N-gram join
