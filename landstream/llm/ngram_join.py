@@ -37,7 +37,11 @@ THRESHOLD = 75
 #: Bytes of all text for a fragment of the sift, and for one of the sets that are left, so that a fragment fits a task.
 FRAGMENT_BYTES, LEFT_BYTES = 16 << 20, 64 << 20
 #: Members of a meeting that one task compares with each other.
-BLOCK = 1024
+BLOCK = 256
+#: Rows of meetings that one task compares, about.
+MEETING_ROWS = 2000
+#: Bytes of text for a bucket of sets or pairs.
+BUCKET_BYTES = 128 << 20
 #: Pairs that a task counts at once.
 PAIRS_AT_ONCE = 2_000_000
 
@@ -356,11 +360,13 @@ def rest(postings: DataFrame, known: DataFrame, threshold: int, buckets: int) ->
     """Packed pairs of sets that meet and are in different components."""
     placed = postings.join(known.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_ = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("token", "m")
+    open_ = written(open_, "open")
+    rows = open_.agg(F.sum(F.col("m") * F.ceil(F.col("m") / F.lit(BLOCK)))).first()[0] or 0
     met = placed.join(open_, "token").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
     met = met.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    met = met.withColumn("task", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(buckets * 4)).cast("int"))
+    met = met.withColumn("task", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(max(buckets, rows // MEETING_ROWS))).cast("int"))
 
     def cross(group: pa.Table) -> pa.Table:
         token, key, n, component, mine, lo, hi = (group.column(c).to_numpy() for c in ("token", "key", "n", "component", "mine", "lo", "hi"))
@@ -391,7 +397,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRES
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    buckets = partitions(spark)
+    buckets = max(partitions(spark), total // BUCKET_BYTES)
     fragments, parts = max(buckets, total // FRAGMENT_BYTES), max(4, total // LEFT_BYTES)
     ids, left = sift(docs, width, threshold, fragments, buckets)
     named = ids.where("doc_id IS NOT NULL AND key IS NOT NULL")
