@@ -15,8 +15,8 @@ strings. So only suffixes that begin at minimizers are sorted, about one in 77,
    that holds give the covered bytes around each seed.
 5. Intervals return to their texts, are united, and cut out.
 
-Only the texts' exchange holds whole texts, and the two joins with it are made by one key, so that Spark can use it twice.
-Equal texts are one class with a count; with two copies every byte of a text of LENGTH bytes or more goes.
+Only the texts' exchange holds whole texts, and the two joins with it are made by one key, so that Spark can use it twice. Of
+equal texts one takes part; its copies stay where they are, since every byte of a text of LENGTH bytes or more with a copy goes.
 
 Cases: a null text is empty: 0 bytes, nothing removed; texts shorter than LENGTH never change; repeated rows are copies of each
 other; a null doc_id is a row like others; an empty table gives an empty result. Exact up to collisions of 64-bit hashes of seeds and of the bytes
@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, partitions, table
+from .common import bound_batches, partitions, table, written
 from .textkit import groups, mix, prefix_hash, range_hash, utf8
 
 LENGTH, SEED = 200, 48
@@ -387,8 +387,8 @@ def covered(spans: DataFrame, length: int, seed: int) -> DataFrame:
         return pa.Table.from_batches([_batch(parts, schema)])
 
     schema = pa.schema([("key", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
-    blocks = F.ceil(F.sum("entries").over(Window.partitionBy("span")) / F.lit(BLOCK)).cast("int")
-    dealt = spans.withColumn("__blocks", blocks).withColumn("__mine", F.pmod(F.xxhash64("keys", "places"), F.col("__blocks")).cast("int"))
+    sizes = spans.groupBy(F.col("span").alias("__span")).agg(F.ceil(F.sum("entries") / F.lit(BLOCK)).cast("int").alias("__blocks"))
+    dealt = spans.join(sizes, F.col("span") == F.col("__span")).withColumn("__mine", F.pmod(F.xxhash64("keys", "places"), F.col("__blocks")).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     pair = [F.least("__mine", "__other").alias("__low"), F.greatest("__mine", "__other").alias("__high")]
     dealt = dealt.select(*spans.columns, *pair)
@@ -420,26 +420,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
     buckets, spans = (max(partitions(spark), total // n) for n in (BUCKET_BYTES, RANGE_BYTES))
     names = docs.columns
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    key_text = keyed.select(F.col("__key").alias("key"), "text")
-    found = marks(key_text, length, seed, buckets)
-    exchanged = keyed.repartition(max(partitions(spark), total // (64 << 20)), "__key")
+    several = keyed.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__key").alias("__same"))
+    several, same = written(several, "copies"), F.col("__key") == F.col("__same")
+    copies = keyed.join(several, same, "left_semi")
+    # One row a text goes on: those that have no copy, and one for each group of copies.
+    first = copies.groupBy("__key").agg(F.first("text").alias("__text"))
+    blank = [(F.col("__text") if f.name == "text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in docs.schema]
+    one = keyed.join(several, same, "left_anti").withColumn("__single", F.lit(True)).unionByName(first.select(*blank, "__key", F.lit(False).alias("__single")))
+    found = marks(one.select(F.col("__key").alias("key"), "text"), length, seed, buckets)
+    exchanged = one.repartition(max(partitions(spark), total // (64 << 20)), "__key")
     text_at = names.index("text")
     found = found.select(F.col("key").alias("__mark"), F.col("positions").alias("__positions"))
-    marked = exchanged.join(found, F.col("__key") == F.col("__mark")).select(*names, "__key", "__positions")
-    spread = runs(marked, len(names), text_at, length, seed, spans)
+    marked = exchanged.join(found, F.col("__key") == F.col("__mark")).select(*names, "__key", "__single", "__positions")
+    spread = written(runs(marked, len(names), text_at, length, seed, spans), "runs")
     holes = covered(spread, length, seed).select(F.col("key").alias("__hole"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    copies = keyed.groupBy(F.col("__key").alias("__same")).agg(F.count("*").alias("__copies"))
-    full = exchanged.join(copies, F.col("__key") == F.col("__same")).join(holes, F.col("__key") == F.col("__hole"), "left")
+    alone = exchanged.join(holes, F.col("__key") == F.col("__hole"), "left").select(*names, "__single", F.lit(False).alias("__copied"), "__starts", "__ends")
+    nothing = F.lit(None).cast("array<binary>")
+    copied = copies.select(*names, F.lit(True).alias("__single"), F.lit(True).alias("__copied"), nothing.alias("__starts"), nothing.alias("__ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Rows that stand for groups of copies leave here, and not before, so that both joins see one exchange.
+            batch = batch.filter(batch.column(len(names)))
             offsets, raw = utf8(batch.column(text_at))
-            copies, starts, ends = (batch.column(len(names) + i).to_pylist() for i in range(3))
+            copied, starts, ends = (batch.column(len(names) + i).to_pylist() for i in (1, 2, 3))
             kept, numbers = [], []
             for i in range(batch.num_rows):
                 text = raw[offsets[i] : offsets[i + 1]]
                 n = len(text)
-                if copies[i] > 1 and n >= length:
+                if copied[i] and n >= length:
                     s, e = np.zeros(1, np.int64), np.full(1, n, np.int64)
                 elif starts[i]:
                     s, e = united(*(np.concatenate([np.frombuffer(x, "i4") for x in part]).astype(np.int64) for part in (starts[i], ends[i])))
@@ -455,7 +464,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = base + ", __n_bytes long, __n_removed long, __n_spans long, __sha256 string"
-    return full.select(*names, "__copies", "__starts", "__ends").mapInArrow(cut, schema)
+    return alone.mapInArrow(cut, schema).unionByName(copied.mapInArrow(cut, schema))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
