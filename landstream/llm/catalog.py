@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc_revisits": warc.SQL,
+    "op2_ngram_join": ngram_join.SQL,
     "op3_mix_sources": mixing.SQL,
+    "op6_embedding_dedup": embedding_dedup.SQL,
     "op9_url_rules": url_rules.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }

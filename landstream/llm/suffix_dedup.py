@@ -467,6 +467,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, byte
     return alone.mapInArrow(cut, schema).unionByName(copied.mapInArrow(cut, schema))
 
 
+SQL = """
+WITH bodies AS MATERIALIZED (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), texts AS (
+  SELECT doc_id, n, hex(b) AS h FROM bodies
+), starts AS MATERIALIZED (
+  SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS INT), 400)) AS v FROM (SELECT doc_id, h, unnest(range(n - 199)) AS i FROM texts WHERE n >= 200)
+), again AS (
+  SELECT v FROM starts GROUP BY v HAVING count(*) > 1
+), hits AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS fresh FROM starts SEMI JOIN again USING (v)
+), spans AS MATERIALIZED (
+  SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits) GROUP BY doc_id, k
+), kept AS (
+  SELECT doc_id, s AS place, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS begins, s AS ends FROM spans
+  UNION ALL SELECT doc_id, n, max(e), n FROM spans JOIN bodies USING (doc_id) GROUP BY doc_id, n
+), rests AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * begins + 1 AS INT), CAST(2 * (ends - begins) AS INT)), '' ORDER BY place) AS h FROM kept JOIN texts USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(e - s) AS gone, count(*) AS many FROM spans GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(s.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.many, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(r.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN sums s ON s.doc_id = t.doc_id LEFT JOIN rests r ON r.doc_id = t.doc_id
+"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), bytes_only=True)
     return done.select(
