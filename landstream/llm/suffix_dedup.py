@@ -390,9 +390,9 @@ def covered(spans: DataFrame, length: int, seed: int) -> DataFrame:
     sizes = spans.groupBy(F.col("span").alias("__span")).agg(F.ceil(F.sum("entries") / F.lit(BLOCK)).cast("int").alias("__blocks"))
     dealt = spans.join(sizes, F.col("span") == F.col("__span")).withColumn("__mine", F.pmod(F.xxhash64("keys", "places"), F.col("__blocks")).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    pair = [F.least("__mine", "__other").alias("__low"), F.greatest("__mine", "__other").alias("__high")]
-    dealt = dealt.select(*spans.columns, *pair)
-    found = dealt.groupBy("span", "__low", "__high").applyInArrow(combine, "key binary, starts binary, ends binary")
+    # One name for span and blocks: dealing rows out by the span alone doesn't do for it.
+    pair = F.concat_ws("/", "span", F.least("__mine", "__other"), F.greatest("__mine", "__other"))
+    found = dealt.select(*spans.columns, pair.alias("__pair")).groupBy("__pair").applyInArrow(combine, "key binary, starts binary, ends binary")
     return found.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
 
