@@ -95,7 +95,7 @@ def interp_time(
 
     Columns x_prv and x_nxt, since (seconds), zth and zenav (cosine of the sun's angle now and its mean over the step). By day
     radiation scales with zth / zenav, by night it is the earlier record's, where only now is dark it is 0; the column `capped`
-    stays below the solar constant times the angle. A sun that shines now but not on the mean is an error.
+    stays below the solar constant times the angle; without an earlier record it is null. A sun that shines now but not on the mean is an error.
     """
     w = step_weight(F.col("since"), step, mode)
     mixed = lambda v: (1 - w) * F.col(f"{v}_prv") + w * F.col(f"{v}_nxt")
@@ -108,7 +108,9 @@ def interp_time(
         ratio = F.when(zenav > 0, zth / zenav).otherwise(F.raise_error(F.lit("the sun shines now but not on the mean")).cast("double"))
         night = F.when(zenav <= 0, F.greatest(F.col(f"{v}_prv"), F.lit(0.0))).otherwise(0.0)
         shone = F.when(zth > 0, F.col(f"{v}_prv") * ratio).otherwise(night)
-        values[v] = F.least(shone, SOLAR * F.greatest(F.col("zth"), F.lit(LEAST_SUN))) if v == capped else shone
+        if v == capped:
+            shone = F.least(shone, SOLAR * F.greatest(F.col("zth"), F.lit(LEAST_SUN)))
+        values[v] = F.when(F.col(f"{v}_prv").isNotNull(), shone)
     rest = [c for c in df.columns if not c.endswith(("_prv", "_nxt")) and c not in values]
     return df.select(*rest, *(x.alias(v) for v, x in values.items()))
 
