@@ -39,6 +39,8 @@ SAMPLE = 3000
 #: Documents that the sample has of each language (or all it has), however many languages there are.
 LEAST_EACH = 30
 UNKNOWN = "und"
+#: Shares are small: in training they are multiplied by SCALE, and the constant feature, whose weight is the bias, is ONE.
+SCALE, ONE = 10, 0.05
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint32)
 
@@ -72,10 +74,9 @@ def features(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 1.0, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised hinge loss, by dual coordinate descent; y is -1 or 1."""
-    x = np.column_stack([x, np.full(len(x), 0.05, np.float32)])
+    """Weights of all columns, and bias, of the L2-regularised hinge loss by dual coordinate descent; y is -1 or 1, the last column of x is ONE."""
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    norm = (x * x).sum(1) + 1e-12
+    norm = np.einsum("ij,ij->i", x, x) + 1e-12
     # Both sides weigh the same.
     most = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     rng = np.random.default_rng(seed)
@@ -85,7 +86,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 1.0, s
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
-    return w[:-1], float(w[-1] * 0.05)
+    return w, float(w[-1] * ONE)
 
 
 @dataclass
@@ -129,24 +130,27 @@ class LanguageModel:
         return best, sure[rows, family] * lean[rows, best]
 
 
-def train(x: np.ndarray, lang: np.ndarray) -> LanguageModel | None:
+def train(shares: np.ndarray, lang: np.ndarray) -> LanguageModel | None:
+    """The machines; the sample is held once as it is given and once in single precision, as the driver has little memory."""
     languages = sorted(set(lang.tolist()))
     if not languages:
         return None
     families = sorted({FAMILIES.get(x, x) for x in languages})
     of = np.array([FAMILIES.get(v, v) for v in lang])
-    scale = np.float32(10)  # shares are small
+    x = np.empty((len(shares), shares.shape[1] + 1), np.float32)
+    x[:, :-1], x[:, -1] = shares, ONE
+    x[:, :-1] *= SCALE
     machines, pairs = [], []
     for f in families:
-        machines.append(linear_svm(x * scale, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(x.shape[1]), 1.0))
+        machines.append(linear_svm(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(x.shape[1]), 1.0))
     for i, j in combinations(range(len(languages)), 2):
         if FAMILIES.get(languages[i], languages[i]) == FAMILIES.get(languages[j], languages[j]):
             m = (lang == languages[i]) | (lang == languages[j])
-            machines.append(linear_svm(x[m] * scale, np.where(lang[m] == languages[i], 1.0, -1.0)))
+            machines.append(linear_svm(x[m], np.where(lang[m] == languages[i], 1.0, -1.0)))
             pairs.append((i, j))
-    weights, bias = np.column_stack([w for w, _ in machines]) * scale, np.array([b for _, b in machines])
-    usual = np.median(np.abs(x @ weights + bias), axis=0)
-    return LanguageModel(languages, families, weights.astype(np.float32), bias, 4 / np.maximum(usual, 1e-9), pairs)
+    weights, bias = np.column_stack([w for w, _ in machines])[:-1], np.array([b for _, b in machines])
+    margins = np.concatenate([np.abs(x[at : at + 256, :-1] @ weights + bias) for at in range(0, len(x), 256)])
+    return LanguageModel(languages, families, (weights * SCALE).astype(np.float32), bias, 4 / np.maximum(np.median(margins, axis=0), 1e-9), pairs)
 
 
 def learnable(doc_id: str = "doc_id"):
@@ -180,8 +184,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     rows = picked.mapInPandas(run, "lang string, doc_id long, x binary").toPandas().sort_values(["doc_id", "x"])
     if rows.empty:
         return None
-    x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(-1, FEATURES).astype(np.float32)
-    return train(x, rows["lang"].to_numpy())
+    lang, shares = rows["lang"].to_numpy(), np.frombuffer(b"".join(rows.pop("x")), np.float16).reshape(-1, FEATURES)
+    return train(shares, lang)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
