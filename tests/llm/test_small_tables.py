@@ -274,11 +274,22 @@ def test_toxicity_without_labels(spark):
     assert model is None and toxicity.score_toxicity(docs, model).first()["score"] == 0
 
 
-def test_toxicity_on_held_out_documents(spark):
+@pytest.fixture(scope="module")
+def toxic_hits(spark):
+    """Of the held-out documents: those that are rightly said to be toxic, those that are, and those said to be."""
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out")
-    r = held.agg(F.sum((F.col("toxic") * F.col("predicted"))).alias("hit"), F.sum("toxic").alias("bad"), F.sum("predicted").alias("said")).first()
-    # Nearly half of these toxic documents hold nothing that ordinary ones haven't: their stems stand inside ordinary words.
+    return held.agg(F.sum((F.col("toxic") * F.col("predicted"))).alias("hit"), F.sum("toxic").alias("bad"), F.sum("predicted").alias("said")).first()
+
+
+@pytest.mark.xfail(strict=True, reason="recall is 0.44: nearly half of these toxic documents hold only stems that stand inside ordinary words")
+def test_toxicity_on_held_out_documents(toxic_hits):
+    r = toxic_hits
+    assert r["hit"] >= 0.6 * r["bad"] and r["hit"] >= 0.75 * r["said"]
+
+
+def test_toxicity_finds_no_less_than_it_did(toxic_hits):
+    r = toxic_hits
     assert r["hit"] >= 0.35 * r["bad"] and r["hit"] >= 0.85 * r["said"]
 
 
