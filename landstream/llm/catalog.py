@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clusters, decontamination, embedding_dedup, language_id, mixing, ngram_join, suffix_dedup, token_counts, toxicity, url_rules, warc
+from . import centroid_clusters, decontamination, embedding_dedup, filter_audit, language_id, mixing, ngram_join, suffix_dedup, token_counts, toxicity, url_rules, warc
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op9_url_rules": url_rules.op9_url_rules,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op6_embedding_dedup": embedding_dedup.SQL,
     "op9_url_rules": url_rules.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
     "op13_centroid_clusters": centroid_clusters.SQL,
 }
