@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clusters, decontamination, embedding_dedup, filter_audit, language_id, mixing, ngram_join, suffix_dedup, token_counts, toxicity, url_rules, warc
+from . import centroid_clusters, decontamination, embedding_dedup, filter_audit, html_text, language_id, mixing, ngram_join, suffix_dedup, token_counts, toxicity, url_rules, warc
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op9_url_rules": url_rules.op9_url_rules,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_html_text": html_text.op12_html_text,
     "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 
