@@ -60,7 +60,8 @@ def flags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         too_short(body).alias("A"), too_repetitive(body).alias("B"), too_many_capitals(body).alias("C"), has_symbols(body).alias("D"),
     )
     told = written(told, "flags")
-    first = told.groupBy("__digest").agg(F.min("id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__digest", "__first")
+    # Written, so that both sides of the join have an exchange of their own and Spark can split a text with very many copies.
+    first = written(told.groupBy("__digest").agg(F.min("id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__digest", "__first"), "copied")
     marked = told.join(first, "__digest", "left").withColumn("E", F.coalesce(F.col("id") > F.col("__first"), F.lit(False)))
     label = labels.groupBy(F.col(key).alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     marked = marked.join(label, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
