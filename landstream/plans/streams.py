@@ -8,6 +8,7 @@ from ..operators import diagnostics as D
 from ..operators.observations import last_by
 from ..sources import ingest, sinks
 from ..sources.paths import shared
+from ..streaming import events as E
 from ..streaming import state as T
 from ..streaming import windows as W
 from . import diagnostics as Q
@@ -16,17 +17,10 @@ from .register import Registry
 
 R = Registry()
 P = sql(POINTS)
-_EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
-
-
-def events(spark, sf):
-    """The event table as a stream of files."""
-    return W.replay(spark, f"{sf}/event[s].parquet", _EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 #: When rows arrive: in batches of five days, one in ten a batch too late.
 BATCHED = f"SELECT *, CAST(floor((epoch_us(ts) - 1704067200000000) / CAST(432000000000 AS DOUBLE)) + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END AS INT) AS batch FROM {P}"
-_FILES = 4
 
 
 def batched(spark, sf):
@@ -34,12 +28,27 @@ def batched(spark, sf):
     return frame(spark, sf, POINTS).withColumn("batch", (days + F.when(F.col("k") % 10 == 0, 1).otherwise(0)).cast("int"))
 
 
-def arrivals(spark, sf):
-    """The events as a stream of files in the order of arrival, a batch a time."""
-    path, df = shared(spark, "arrivals"), batched(spark, sf).select("obs_id", "ts", "user_id", "kind", "value", "batch")
-    for (batch,) in df.select("batch").distinct().orderBy("batch").collect():  # one row for each five days
-        df.where(F.col("batch") == batch).repartition(_FILES).write.mode("append").parquet(path)
-    return W.replay(spark, path, df.schema, _FILES)
+def publish(df, path, batch="batch"):
+    """Files in the order of arrival: one write, a file a batch, whose times are set to the batches' order."""
+    df.repartition(batch).write.partitionBy(batch).parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    for folder in files.globStatus(jvm.org.apache.hadoop.fs.Path(path, f"{batch}=*")):  # a folder a batch
+        at = 1_600_000_000_000 + int(folder.getPath().getName().split("=")[1]) * 60_000
+        for file in files.listStatus(folder.getPath()):
+            files.setTimes(file.getPath(), at, -1)
+
+
+ARRIVALS = "obs_id LONG, ts TIMESTAMP, user_id LONG, kind STRING, value DOUBLE"
+
+
+def arrivals(spark, sf, upto=None, path=None):
+    """The events as a stream of files in the order of arrival, a batch a time; `upto`: only batches below that."""
+    path = path or shared(spark, "arrivals")
+    df = batched(spark, sf).select("obs_id", "ts", "user_id", "kind", "value", "batch")
+    publish(df if upto is None else df.where(F.col("batch") < upto), path)
+    return W.replay(spark, f"{path}/batch=*", ARRIVALS)
 
 
 def append_sql(keys: str, time: str, start: str, end: str, late: int) -> str:
@@ -78,30 +87,126 @@ def streaming_time_average(spark, sf):
 def incremental_sums(spark, sf):
     path, keys = shared(spark, "sums"), ["day", "user_id"]
     partial = lambda df: df.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value_sum"), F.sum(F.col("value") ** 2).alias("value_sum2"))
-    W.incremental_sums(events(spark, sf), path, partial, keys)
+    W.incremental_sums(arrivals(spark, sf), path, partial, keys)
     return W.merged(spark, path, keys)
 
 
 BIAS = T.obs_bias(10800, 864000.0, 5 * 86400)
-BIAS_SCHEMA = "user_id long, event_id long, t long, obs double, bias double, assim boolean"
+BIAS_SCHEMA = "obs_id long, us long, obs double, bias double, assim boolean"
 
+LATE = 3000
 
-def bias_events(df):
-    """Rows of obs_bias from events; one observation in eleven is missing."""
-    return df.select("user_id", "event_id", F.unix_seconds("ts").alias("t"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("obs"), (F.col("value") * 0.9).alias("pred"), F.lit(True).alias("assim"))
 
+def bias_rows(df):
+    """Rows of obs_bias; one observation in eleven is missing."""
+    return df.select("user_id", "obs_id", "ts", F.unix_seconds("ts").alias("t"), F.when(F.col("obs_id") % 11 != 0, F.col("value")).alias("obs"), (F.col("value") * 0.9).alias("pred"), F.lit(True).alias("assim"))
 
-@R.add(
-    bias_sql("""SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_id % 11 <> 0 THEN value END AS obs, value * 0.9 AS pred, TRUE AS assim FROM events""", "user_id", "t, event_id", BIAS)
-    .format(columns="user_id, event_id, t"), "obs bias"
-)
+
+def seen_sql(back: int = 2, joint: int = -1) -> str:
+    """The watermark (microseconds, null before the first) that decides about a batch's late rows: of the batches up to the one
+    `back` before it; just before `joint` a stream ended, and the batch after it knows all before."""
+    us = LATE * 1_000_000
+    top = "max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND {} PRECEDING)".format
+    return f"SELECT batch, (CASE WHEN batch = {joint} THEN {top(1)} ELSE {top(back)} END) // 1000 * 1000 - {us} AS seen FROM (SELECT batch, max(epoch_us(ts)) AS top FROM ({BATCHED}) GROUP BY batch)"
+
+
+#: The watermark at the end.
+_LAST = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {LATE * 1_000_000} FROM ({BATCHED}))"
+_ROWS = "SELECT user_id, obs_id, epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t, CASE WHEN obs_id % 11 <> 0 THEN value END AS obs, value * 0.9 AS pred, TRUE AS assim"
+_IN_TIME = f"{_ROWS} FROM ({BATCHED}) JOIN ({seen_sql()}) USING (batch) WHERE (seen IS NULL OR epoch_us(ts) > seen) AND epoch_us(ts) <= {_LAST}"
+
+
+@R.add(bias_sql(_IN_TIME, "user_id", "us, obs_id", BIAS).format(columns="user_id, obs_id, us"), "obs bias")
 def streaming_obs_bias(spark, sf):
-    """obs_bias as a stream: state is kept between micro-batches by the RocksDB provider."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = T.fold_stream(bias_events(events(spark, sf)), ["user_id"], ["t", "event_id"], BIAS, BIAS_SCHEMA, ["event_id", "t"])
+    """obs_bias in event time over batches that arrive out of order: as the batch fold of the rows that came in time."""
+    out = E.fold_events(bias_rows(arrivals(spark, sf)), ["user_id"], "ts", ["obs_id"], BIAS, BIAS_SCHEMA, ["obs_id", "us"])
     return W.run_to_table(out, shared(spark, "obs-bias"))
 
 
+def factor_rows(df):
+    v, n = F.col("value"), F.col("obs_id")
+    return df.select("user_id", "obs_id", "ts", v.alias("obs"), (v * 0.9 + n % 7).alias("fcst"), (v * 0.95 + n % 5).alias("ana"), (n % 3 + 1.0).alias("fcstvar"), (n % 4 + 1.0).alias("obsvar"))
+
+
+FACTORS = T.adaptive_factors(0.05, 0.05)
+_FACTORS = f"""WITH RECURSIVE f AS (SELECT user_id, obs_id, epoch_us(ts) AS us, value AS obs, value * 0.9 + obs_id % 7 AS fcst, value * 0.95 + obs_id % 5 AS ana, obs_id % 3 + CAST(1 AS DOUBLE) AS fcstvar, obs_id % 4 + CAST(1 AS DOUBLE) AS obsvar
+    FROM ({BATCHED}) JOIN ({seen_sql()}) USING (batch) WHERE (seen IS NULL OR epoch_us(ts) > seen) AND epoch_us(ts) <= {_LAST}),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, obs_id) AS r FROM f),
+    x AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS obs_id, CAST(0 AS DOUBLE) AS ab, CAST(0 AS DOUBLE) AS hph, CAST(0 AS DOUBLE) AS oa, CAST(0 AS DOUBLE) AS rr, CAST(1 AS DOUBLE) AS p, CAST(1 AS DOUBLE) AS q FROM r WHERE r = 1
+      UNION ALL SELECT user_id, r, obs_id, ab, hph, oa, rr,
+        least(greatest(p * CASE WHEN hph > 0 THEN least(greatest(ab / hph, 1 / 1.01e0), 1.01e0) ELSE 1 END, 0.2e0), 5e0), least(greatest(q * CASE WHEN rr > 0 THEN least(greatest(oa / rr, 1 / 1.01e0), 1.01e0) ELSE 1 END, 0.2e0), 5e0)
+      FROM (SELECT r.user_id, r.r, r.obs_id, 0.95e0 * ab + 0.05e0 * (ana - fcst) * (obs - fcst) AS ab, 0.95e0 * hph + 0.05e0 * fcstvar AS hph, 0.95e0 * oa + 0.05e0 * (obs - ana) * (obs - fcst) AS oa, 0.95e0 * rr + 0.05e0 * obsvar AS rr, p, q
+        FROM x JOIN r ON r.user_id = x.user_id AND r.r = x.r + 1))
+    SELECT user_id, obs_id, p AS p_factor, q AS r_factor FROM x WHERE r > 0"""
+
+
+@R.add(_FACTORS, "p_factor r_factor")
+def streaming_adaptive_factors(spark, sf):
+    """Adaptive factors in event time."""
+    out = E.fold_events(factor_rows(arrivals(spark, sf)), ["user_id"], "ts", ["obs_id"], FACTORS, "obs_id long, p_factor double, r_factor double", ["obs_id"])
+    return W.run_to_table(out, shared(spark, "factors"))
+
+
+@R.add(f"SELECT obs_id, batch - (SELECT min(batch) FROM ({BATCHED})) AS batch, coalesce(epoch_us(ts) <= seen, FALSE) AS late FROM ({BATCHED}) JOIN ({seen_sql()}) USING (batch)")
+def streaming_late_rows(spark, sf):
+    """Main and side table of a stream over arrivals: together every row once."""
+    main, side = E.late_split(arrivals(spark, sf), shared(spark, "late"))
+    return main.withColumn("late", F.lit(False)).unionByName(side.withColumn("late", F.lit(True))).select("obs_id", "batch", "late")
+
+
+@R.add(bias_sql(_IN_TIME, "user_id", "us, obs_id", BIAS).format(columns="user_id, obs_id, us"), "obs bias")
+def streaming_restart(spark, sf):
+    """A stream that is stopped after half of its batches, without closing what waits, and goes on from its checkpoint: as unbroken."""
+    path, files = shared(spark, "restart"), shared(spark, "arrivals")
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    df = batched(spark, sf).select("obs_id", "ts", "user_id", "kind", "value", "batch")
+    was, half = spark.conf.get(setting), 3
+    try:
+        for begun in (False, True):
+            spark.conf.set(setting, str(begun).lower())
+            publish(df.where(F.col("batch") >= half if begun else F.col("batch") < half), f"{files}/{begun}")
+            stream = W.replay(spark, f"{files}/*/batch=*", ARRIVALS)
+            out = W.run_to_table(E.fold_events(bias_rows(stream), ["user_id"], "ts", ["obs_id"], BIAS, BIAS_SCHEMA, ["obs_id", "us"]), path)
+    finally:
+        spark.conf.set(setting, was)
+    return out
+
+
+_BREAK = 1704067200 + 10 * 86400
+_AFTER = f"""SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000 * 1000 - {LATE * 1_000_000} AS seen
+    FROM (SELECT batch, max(epoch_us(ts)) AS top FROM ({BATCHED}) WHERE epoch_us(ts) >= {_BREAK}000000 GROUP BY batch)"""
+
+
+@R.add(
+    f"""SELECT * FROM ({bias_sql(f"{_ROWS} FROM ({BATCHED}) WHERE epoch_us(ts) < {_BREAK}000000 UNION ALL {_ROWS} FROM ({BATCHED}) JOIN ({_AFTER}) USING (batch) WHERE epoch_us(ts) >= {_BREAK}000000 AND (seen IS NULL OR epoch_us(ts) > seen) AND epoch_us(ts) <= {_LAST}",
+    "user_id", "us, obs_id", BIAS).format(columns="user_id, obs_id, us")}) WHERE us >= {_BREAK}000000""", "obs bias"
+)
+def batch_then_stream(spark, sf):
+    """A batch fold over the past, its state saved and read, and a stream that starts from it: as one fold."""
+    path, files = shared(spark, "handover"), shared(spark, "arrivals")
+    df = batched(spark, sf).select("obs_id", "ts", "user_id", "kind", "value", "batch")
+    past = bias_rows(df.where(F.unix_seconds("ts") < _BREAK))
+    sinks.write_state(T.last_state(past, ["user_id"], ["ts", "obs_id"], BIAS, "user_id long"), f"{path}/state", 1)
+    publish(df.where(F.unix_seconds("ts") >= _BREAK), files)
+    stream = E.fold_events(bias_rows(W.replay(spark, f"{files}/batch=*", ARRIVALS)), ["user_id"], "ts", ["obs_id"], BIAS, BIAS_SCHEMA, ["obs_id", "us"], start=sinks.read_state(spark, f"{path}/state"))
+    return W.run_to_table(stream, path)
+
+
+@R.add(
+    f"""SELECT user_id, max(n) AS waiting, max_by(bias, ROW(us, obs_id)) AS bias, CAST(max_by(t, ROW(us, obs_id)) FILTER (obs IS NOT NULL) AS DOUBLE) AS last
+    FROM ({bias_sql(_IN_TIME, "user_id", "us, obs_id", BIAS).format(columns="user_id, obs_id, us, t")}) LEFT JOIN (SELECT user_id, count(*) AS n FROM ({BATCHED}) JOIN ({seen_sql()}) USING (batch)
+    WHERE (seen IS NULL OR epoch_us(ts) > seen) AND epoch_us(ts) > {_LAST} GROUP BY user_id) USING (user_id) GROUP BY user_id""", "bias"
+)
+def stream_state(spark, sf):
+    """The state of a stream, read through the state data source: each key's fold, and how many rows still wait."""
+    path = shared(spark, "state")
+    out = E.fold_events(bias_rows(arrivals(spark, sf)), ["user_id"], "ts", ["obs_id"], BIAS, "obs_id long, bias double", ["obs_id"])
+    W.run_to_table(out.select("user_id", "obs_id", "bias"), path)
+    state = E.saved_state(spark, f"{path}/log", ["user_id"], "user_id long").select("user_id", F.from_json("state", "bias double, last double, gap double").alias("s"))
+    waiting = E.held_rows(spark, f"{path}/log", ["user_id"], "user_id long").groupBy("user_id").agg(F.count("*").alias("waiting"))
+    return state.join(waiting, "user_id", "left").select("user_id", "waiting", "s.bias", "s.last")
+
+
 @R.add(
     f"""SELECT obs_id, batch FROM ({BATCHED}) JOIN (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
     FROM (SELECT batch, max(ts) AS top FROM ({BATCHED}) GROUP BY batch)) USING (batch) WHERE ts < seen - INTERVAL 50 MINUTE"""

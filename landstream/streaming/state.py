@@ -2,8 +2,7 @@
 
 Each recursion is a chain of maps that can be joined before they are applied (affine ones, and products that are clipped), so a
 batch of rows is folded by doubling over whole arrays, however its rows are spread over keys. The batch form streams sorted
-partitions; the streaming form keeps the state between micro-batches with transformWithStateInPandas. The state can be read
-back and saved as a table.
+partitions; the streaming form, in event time, is in events.py. The state can be read back and saved as a table.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Counters of time since the last observations stop at a year.
 MOST_SECONDS = 365 * 86400
@@ -297,34 +295,6 @@ def last_state(df: DataFrame, keys: list[str], order: list[str], step: Fold, key
     return _in_order(df, keys, order).mapInPandas(run, f"{keys_schema}, state string")
 
 
-class Folding(StatefulProcessor):
-    """The streaming form of a fold: the state is one JSON value per key."""
-
-    def __init__(self, step: Fold, keys: list[str], keep: list[str], order: list[str]):
-        self.step, self.keys, self.keep, self.order = step, keys, keep, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("state", "state string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(self.order)
-        before = self.step.states(1)
-        if self.held.exists():
-            for name, value in self.step.load(self.held.get()[0]).items():
-                before[name][0] = value
-        out, after = self.step.run({c: frame[c].to_numpy() for c in frame.columns}, np.zeros(1, np.int64), before)
-        self.held.update((self.step.dump({k: v[0] for k, v in after.items()}),))
-        yield pd.DataFrame({**{c: frame[c].to_numpy() for c in (*self.keys, *self.keep)}, **out})
-
-    def close(self) -> None:
-        pass
-
-
-def fold_stream(df: DataFrame, keys: list[str], order: list[str], step: Fold, schema: str, keep: list[str]) -> DataFrame:
-    """Needs spark.sql.streaming.stateStore.providerClass to be the RocksDB provider."""
-    return df.groupBy(*keys).transformWithStateInPandas(Folding(step, keys, keep, order), schema, "Append", "None")
-
-
 def ar1(df: DataFrame, keys: list[str], dt: float, tau: float) -> DataFrame:
     """x = c x + sqrt(1 - c^2) eps along time, c = exp(-dt / tau), from x = eps; white noise where tau is 0."""
     if tau == 0:

@@ -264,15 +264,6 @@ def test_fold_keeps_keys_apart_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
-def test_stream_and_batch_agree(spark, sf_dir):
-    from landstream.plans import streams as Q
-
-    stream = {r["event_id"]: r["bias"] for r in Q.streaming_obs_bias(spark, sf_dir).collect()}
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = T.fold(Q.bias_events(events), ["user_id"], ["t", "event_id"], Q.BIAS, Q.BIAS_SCHEMA, ["event_id", "t"]).collect()
-    assert len(batch) == len(stream) == events.count() and all(stream[r["event_id"]] == pytest.approx(r["bias"]) for r in batch)
-
-
 def dense_update(tile, state, obs, pred, fields, reach, tapered, corr, inflation):
     """The update of one tile, member by member and observation by observation, in plain loops."""
     near = sorted((o for o in obs if abs(o["lon"] - tile["com_lon"]) <= reach and abs(o["lat"] - tile["com_lat"]) <= reach), key=lambda o: o["obs_id"])
