@@ -13,6 +13,11 @@ def null_if_nodata(x: Column, nodata: float = -9999.0, share: float = 1e-4) -> C
     return F.when(F.abs(x - nodata) >= abs(nodata * share), x)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0: one such row must not end a job."""
+    return F.try_divide(a, b)
+
+
 def clip_abs(x: Column, most: float | Column) -> Column:
     return F.signum(x) * F.least(F.abs(x), most if isinstance(most, Column) else F.lit(most))
 

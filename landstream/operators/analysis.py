@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import ratio
 from ..functions.grid import LatLonGrid
 from .spatial import local_obs
 
@@ -121,11 +122,14 @@ def enkf_increments(
 
 
 def enkf_single_obs(state: DataFrame, obs: DataFrame, pred: DataFrame, field: str) -> DataFrame:
-    """The update by one observation in the tile itself, by aggregates only. obs: tile, obs, obsvar; pred: tile, ens, pred, eps."""
+    """The update by one observation in the tile itself, by aggregates only. obs: tile, obs, obsvar; pred: tile, ens, pred, eps.
+
+    Without any variance there is no increment (null).
+    """
     joined = state.join(pred, ["tile", "ens"])
     gain = joined.groupBy("tile").agg(F.covar_samp(field, "pred").alias("c"), F.var_samp("pred").alias("v"))
     out = joined.join(gain, "tile").join(obs, "tile")
-    return out.select("tile", "ens", (F.col("c") / (F.col("v") + F.col("obsvar")) * (F.col("obs") + F.col("eps") - F.col("pred"))).alias("increment"))
+    return out.select("tile", "ens", (ratio(F.col("c"), F.col("v") + F.col("obsvar")) * (F.col("obs") + F.col("eps") - F.col("pred"))).alias("increment"))
 
 
 def update_mode(mode: int, tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, grid: LatLonGrid, xc: float, yc: float, peat: float = 0.85) -> DataFrame:
@@ -157,18 +161,24 @@ def apply_increments(state: DataFrame, increments: DataFrame, fields: list[str],
     return out.drop(*(f"__{f}" for f in fields))
 
 
-#: Fixed values of the snow cover update: bias adjustments of the two cases, and the largest increment, kg m-2.
-SNOW_ALPHA, SNOW_BETA, SNOW_MOST = 0.60, 0.55, 5.0
+#: Fixed values of the snow cover update: bias adjustments of the two cases, the largest increment and the least snow water, kg m-2.
+SNOW_ALPHA, SNOW_BETA, SNOW_MOST, SNOW_LEAST = 0.60, 0.55, 5.0, 0.013
 
 
-def snow_cover_increments(state: DataFrame, obs: DataFrame, alpha: float = SNOW_ALPHA, beta: float = SNOW_BETA, most: float = SNOW_MOST) -> DataFrame:
-    """Layers of snow water after the update. state: tile, ens, asnow, wesn (array); obs: tile, obs (mean cover)."""
+def snow_cover_increments(state: DataFrame, obs: DataFrame, alpha: float = SNOW_ALPHA, beta: float = SNOW_BETA, most: float = SNOW_MOST, least: float = SNOW_LEAST) -> DataFrame:
+    """Layers of snow water after the update. state: tile, ens, asnow, wesn (array); obs: tile, obs (mean cover).
+
+    Without a change layers stay. An analysis below `least` has no snow cover, and so no snow; a forecast below it says
+    nothing of layers, and the analysis is spread over them evenly; otherwise each layer keeps its share.
+    """
     fc, y = F.col("asnow"), F.col("obs")
-    incr = F.when(fc < y * alpha, most * (y - fc / alpha)).when(y < beta, -most * fc * (1 - y / beta)).otherwise(0.0)
+    adds, takes = fc < y * alpha, y < beta
+    incr = F.when(adds, most * (y - fc / alpha)).when(takes, -most * fc * (1 - y / beta)).otherwise(0.0)
     total = F.aggregate("wesn", F.lit(0.0), lambda a, x: a + x)
     out = state.join(obs.select("tile", "obs"), "tile").withColumns({"swe": total, "incr": incr})
     out = out.withColumn("swe_ana", F.greatest(F.col("swe") + F.col("incr"), F.lit(0.0)))
-    layers = F.when(F.col("swe") > 0, F.transform("wesn", lambda x: x * F.col("swe_ana") / F.col("swe"))).otherwise(F.transform("wesn", lambda x: F.col("swe_ana") / F.size("wesn")))
+    of = lambda x: F.when(F.col("swe_ana") < least, 0.0).when(F.col("swe") < least, ratio(F.col("swe_ana"), F.size("wesn"))).otherwise(x * ratio(F.col("swe_ana"), F.col("swe")))
+    layers = F.when(adds | takes, F.transform("wesn", of)).otherwise(F.col("wesn"))
     return out.select("tile", "ens", "swe", "incr", "swe_ana", layers.alias("wesn_ana"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import eight_day_slot, pentad
+from ..functions.numeric import ratio
 
 PENTADS, SLOTS, DAYS = 73, 46, 365
 
@@ -68,8 +69,8 @@ def sliding_day_stats(daily: DataFrame, keys: list[str], width: int, least: int,
     ok = F.col("n") >= least
     if inner:
         ok = ok & (F.col("inner_n") >= least / 2.5)
-    mean = F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
+    mean = ratio(F.col("s"), F.col("n"))
+    sd = F.sqrt(F.greatest(ratio(F.col("ss"), F.col("n")) - mean * mean, F.lit(0.0)))
     out = out.where(F.col("doy") >= width).withColumn("middle", middle).where((F.col("middle") + 2) % 5 == 0)
     return out.select(*keys, ((F.col("middle") + 2) / 5).cast("int").alias("pentad"), "n", F.when(ok, mean).alias("mean"), F.when(ok, sd).alias("stdv"))
 
@@ -101,7 +102,8 @@ def clim_at(points: DataFrame, clim: DataFrame, keys: list[str], value: str) ->
 
 
 def to_wetness(df: DataFrame, tiles: DataFrame, value: str) -> DataFrame:
-    return df.join(tiles.select("tile", "porosity"), "tile").withColumn(value, F.col(value) / F.col("porosity")).drop("porosity")
+    """Contents as a share of the porosity; null where that is 0."""
+    return df.join(tiles.select("tile", "porosity"), "tile").withColumn(value, ratio(F.col(value), F.col("porosity"))).drop("porosity")
 
 
 def clamp_fractions(clim: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip_abs
+from ..functions.numeric import clip_abs, ratio
 from ..sources.paths import shared
 
 
@@ -40,7 +40,8 @@ def center_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def scale_to_std(df: DataFrame, keys: list[str], value: str, std: float) -> DataFrame:
-    return df.withColumn(value, F.col(value) * std / F.stddev_samp(value).over(Window.partitionBy(*keys)))
+    """Members scaled to a standard deviation; null where they have none to scale."""
+    return df.withColumn(value, ratio(F.col(value) * std, F.stddev_samp(value).over(Window.partitionBy(*keys))))
 
 
 def perturb_fields(df: DataFrame, roots: list[list[float]], fields: list[str], kinds: list[int], means: list[float], stds: list[float], most: float) -> DataFrame:

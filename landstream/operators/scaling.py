@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import LatLonGrid
-from ..functions.numeric import clip, polyval
+from ..functions.numeric import clip, polyval, ratio as divide
 
 
 def scale_zscore(obs: DataFrame, parameters: DataFrame, keys: list[str], mean_only: bool = False) -> DataFrame:
@@ -16,7 +16,7 @@ def scale_zscore(obs: DataFrame, parameters: DataFrame, keys: list[str], mean_on
     """
     p = parameters.select(*keys, "mean_obs", "std_obs", "mean_mod", "std_mod")
     valid = (F.col("mean_obs") > 0) & (F.col("mean_mod") > 0) & (F.col("std_obs") > 0) & (F.col("std_mod") >= 0)
-    ratio = F.lit(1.0) if mean_only else F.col("std_mod") / F.col("std_obs")
+    ratio = F.lit(1.0) if mean_only else divide(F.col("std_mod"), F.col("std_obs"))
     out = obs.join(p, keys, "left").withColumns({"obs": F.when(valid, F.col("mean_mod") + ratio * (F.col("obs") - F.col("mean_obs"))), "errstd": F.when(valid, ratio * F.col("errstd"))})
     return out.drop("mean_obs", "std_obs", "mean_mod", "std_mod")
 
@@ -25,23 +25,26 @@ def scale_zscore_grid(obs: DataFrame, parameters: DataFrame, grid: LatLonGrid) -
     """scale_zscore by pentad and cell, kept within the model's range. parameters: pentad, i, j, o_mean ... m_max."""
     i, j = grid.cell(F.col("lon"), F.col("lat"))
     valid = (F.col("o_mean") > 0) & (F.col("m_mean") > 0) & (F.col("o_std") > 0) & (F.col("m_std") >= 0)
-    ratio = F.col("m_std") / F.col("o_std")
+    ratio = divide(F.col("m_std"), F.col("o_std"))
     scaled = clip(F.col("m_mean") + ratio * (F.col("obs") - F.col("o_mean")), F.col("m_min"), F.col("m_max"))
     out = obs.withColumns({"i": i, "j": j}).join(parameters, ["pentad", "i", "j"], "left")
     return out.select(*obs.columns, F.when(valid, scaled).alias("scaled"), F.when(valid, ratio * F.col("errstd")).alias("scaled_errstd"))
 
 
 def scale_cdf(obs: DataFrame, parameters: DataFrame, edge_min: float, edge_max: float) -> DataFrame:
-    """A polynomial between min_obs and max_obs, straight lines from there to the edges, null beyond."""
+    """A polynomial between min_obs and max_obs, straight lines from there to the edges, null beyond.
+
+    A std_obs of 0 gives no error.
+    """
     out = obs.join(parameters, "tile", "left")
     x = F.col("obs")
     y = polyval(F.col("coeff"), clip(x, F.col("min_obs"), F.col("max_obs")))
-    below = (y - edge_min) / (F.col("min_obs") - edge_min) * (x - edge_min) + edge_min
-    above = (edge_max - y) / (edge_max - F.col("max_obs")) * (x - F.col("max_obs")) + y
+    below = divide(y - edge_min, F.col("min_obs") - edge_min) * (x - edge_min) + edge_min
+    above = divide(edge_max - y, edge_max - F.col("max_obs")) * (x - F.col("max_obs")) + y
     value = F.when(x < F.col("min_obs"), below).when(x > F.col("max_obs"), above).otherwise(y)
     valid = x.between(edge_min, edge_max) & F.col("coeff").isNotNull()
     value = F.when(valid & value.between(edge_min, edge_max), value)
-    return out.select(*obs.columns, value.alias("scaled"), F.when(valid, F.col("std_mod") / F.col("std_obs") * F.col("errstd")).alias("scaled_errstd"))
+    return out.select(*obs.columns, value.alias("scaled"), F.when(valid, divide(F.col("std_mod"), F.col("std_obs")) * F.col("errstd")).alias("scaled_errstd"))
 
 
 def daily_sums(df: DataFrame, keys: list[str]) -> DataFrame:

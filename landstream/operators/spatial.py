@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import LatLonGrid, km_to_deg
+from ..functions.numeric import ratio
 
 #: Cells that one search may cover; near the poles a radius in kilometres covers ever more longitudes.
 MAX_CELLS = 10_000
+#: Fields of view below this, in degrees or kilometres, are points.
+LEAST_FOV = 1e-4
 #: Tiles that one cell may hold as a list; a grid whose cells hold more is too coarse for these tiles.
 MAX_TILES = 10_000
 
@@ -97,8 +100,12 @@ def in_ellipse(points: DataFrame, tiles: DataFrame, grid: LatLonGrid, rx: Column
 def predict_obs(points: DataFrame, tiles: DataFrame, state: DataFrame, grid: LatLonGrid, fov: float, units: str = "deg") -> DataFrame:
     """Footprint mean of a state per point and member: area weights within the ellipse; in km, twice the field and a Gaussian too.
 
-    A null tile in the footprint makes the whole prediction null. points: obs_id, lon, lat; state: tile, ens, x.
+    A null tile in the footprint makes the whole prediction null, and so does an area of 0. A field below LEAST_FOV is the
+    observation's own tile: points' column `tile`, or else the nearest of their cell. points: obs_id, lon, lat; state: tile, ens, x.
     """
+    if fov < LEAST_FOV:
+        own = points if "tile" in points.columns else assign_tile(points, tiles, grid, (F.lit(float("inf")), F.lit(float("inf"))))
+        return own.select("obs_id", "tile").join(state, "tile").select("obs_id", "ens", F.col("x").alias("pred"))
     if units == "km":
         rx, ry = km_to_deg(2 * fov, F.col("lat"))
         weight = F.col("area") * F.exp(-2 * F.col("d2"))  # the search reaches 2 fields, so d2 there is a quarter of the field's
@@ -107,7 +114,7 @@ def predict_obs(points: DataFrame, tiles: DataFrame, state: DataFrame, grid: Lat
         weight = F.col("area")
     found = in_ellipse(points, tiles, grid, rx, ry).select("obs_id", "tile", weight.alias("w"))
     sums = found.join(state, "tile").groupBy("obs_id", "ens").agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("w"), F.count("x").alias("n"), F.count("*").alias("m"))
-    return sums.select("obs_id", "ens", F.when(F.col("n") == F.col("m"), F.col("wx") / F.col("w")).alias("pred"))
+    return sums.select("obs_id", "ens", F.when(F.col("n") == F.col("m"), ratio(F.col("wx"), F.col("w"))).alias("pred"))
 
 
 def local_obs(tiles: DataFrame, obs: DataFrame, grid: LatLonGrid, xc: float, yc: float, species: list[int] | None = None) -> DataFrame:
@@ -130,9 +137,9 @@ def nearest_point(cells: DataFrame, points: DataFrame, grid: LatLonGrid, reach:
 
 
 def tile_to_grid(df: DataFrame, value: str, weight: str = "frac_cell") -> DataFrame:
-    """Weighted mean by cell; nulls are in neither sum."""
+    """Weighted mean by cell; nulls are in neither sum, and weights that sum to 0 give null."""
     w = F.when(F.col(value).isNotNull(), F.col(weight))
-    return df.groupBy("ci", "cj").agg((F.sum(F.col(value) * F.col(weight)) / F.sum(w)).alias(value))
+    return df.groupBy("ci", "cj").agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(w)).alias(value))
 
 
 def tile_to_grid_last(df: DataFrame, value: str, order: str = "tile") -> DataFrame:

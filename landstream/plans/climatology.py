@@ -111,9 +111,9 @@ def clim_at_date(spark, sf):
     return C.clim_at(series(spark, sf).select("id", "tile", "time"), clim, ["tile"], "value").select("id", "value")
 
 
-@R.add(f"SELECT t.tile, o.time, o.value / (1 + t.tile % 4) AS value FROM {S} o JOIN {T} t ON o.tile = t.tile", "value")
+@R.add(f"SELECT t.tile, o.time, o.value / NULLIF(t.tile % 4, 0) AS value FROM {S} o JOIN {T} t ON o.tile = t.tile", "value")
 def to_wetness(spark, sf):
-    tiles = frame(spark, sf, TILES).select("tile", (1 + F.col("tile") % 4).cast("double").alias("porosity"))
+    tiles = frame(spark, sf, TILES).select("tile", (F.col("tile") % 4).cast("double").alias("porosity"))
     return C.to_wetness(series(spark, sf), tiles, "value").select("tile", "time", "value")
 
 
@@ -194,11 +194,12 @@ _Y = "((0.01 * c + 0.5) * c + 2)"
 
 
 @R.add(
-    f"""SELECT obs_id, CASE WHEN y BETWEEN 0 AND 100 THEN y END AS scaled, CASE WHEN x BETWEEN 0 AND 100 THEN CAST(1.5 AS DOUBLE) END AS scaled_errstd FROM
-    (SELECT obs_id, x, CASE WHEN NOT x BETWEEN 0 AND 100 THEN NULL WHEN x < 5 THEN {_Y} / 5 * x WHEN x > 60 THEN (100 - {_Y}) / 40 * (x - 60) + {_Y} ELSE {_Y} END AS y FROM
-      (SELECT obs_id, value - 1 AS x, least(greatest(value - 1, 5), 60) AS c FROM {P}))""", "scaled scaled_errstd"
+    f"""SELECT obs_id, CASE WHEN y BETWEEN 0 AND 100 THEN y END AS scaled, CASE WHEN x BETWEEN 0 AND 100 AND tile % 5 <> 0 THEN CAST(1.5 AS DOUBLE) END AS scaled_errstd FROM
+    (SELECT obs_id, tile, x, CASE WHEN NOT x BETWEEN 0 AND 100 THEN NULL WHEN x < lo THEN {_Y} / NULLIF(lo, 0) * x WHEN x > hi THEN (100 - {_Y}) / NULLIF(100 - hi, 0) * (x - hi) + {_Y} ELSE {_Y} END AS y FROM
+      (SELECT *, least(greatest(x, lo), hi) AS c FROM (SELECT obs_id, user_id AS tile, value - 1 AS x, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 5 END AS lo, CASE WHEN user_id % 7 = 0 THEN 100 ELSE 60 END AS hi FROM {P})))""", "scaled scaled_errstd"
 )
 def scale_cdf(spark, sf):
+    """Some tiles have no deviation, and some have extremes on the edges."""
     df = frame(spark, sf, POINTS).select("obs_id", F.col("user_id").alias("tile"), (F.col("value") - 1).alias("obs"), F.lit(1.0).alias("errstd"))
-    parameters = df.select("tile").distinct().withColumns({"std_obs": F.lit(2.0), "std_mod": F.lit(3.0), "min_obs": F.lit(5.0), "max_obs": F.lit(60.0), "coeff": F.array(F.lit(0.01), F.lit(0.5), F.lit(2.0))})
+    parameters = df.select("tile").distinct().withColumns({"std_obs": F.when(F.col("tile") % 5 == 0, 0.0).otherwise(2.0), "std_mod": F.lit(3.0), "min_obs": F.when(F.col("tile") % 3 == 0, 0.0).otherwise(5.0), "max_obs": F.when(F.col("tile") % 7 == 0, 100.0).otherwise(60.0), "coeff": F.array(F.lit(0.01), F.lit(0.5), F.lit(2.0))})
     return Z.scale_cdf(df, parameters, 0.0, 100.0).select("obs_id", "scaled", "scaled_errstd")

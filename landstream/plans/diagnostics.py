@@ -109,20 +109,24 @@ def missing_months(spark, sf):
 
 
 def _qa_sql(fields: str, weight: str, source: str) -> str:
-    return f"""SELECT species, field, sum(w * value) / sum(w) AS mean, sqrt(greatest(sum(w * value * value) / sum(w) - (sum(w * value) / sum(w)) * (sum(w * value) / sum(w)), 0)) AS stdv,
+    return f"""SELECT species, field, sum(w * value) / NULLIF(sum(w), 0) AS mean, CASE WHEN sum(w) <> 0 THEN sqrt(greatest(sum(w * value * value) / NULLIF(sum(w), 0) - (sum(w * value) / NULLIF(sum(w), 0)) * (sum(w * value) / NULLIF(sum(w), 0)), 0)) END AS stdv,
  min(value) AS min, max(value) AS max, count(*) AS n, sum(w) / count(*) AS mean_weight
  FROM (SELECT species, {weight} AS w, field, value FROM {source} UNPIVOT (value FOR field IN ({fields}))) WHERE value IS NOT NULL AND w IS NOT NULL GROUP BY species, field"""
 
 
-@R.add(_qa_sql("obs, fcst, ana", "obsvar", f"(SELECT species, obsvar, NULLIF(obs, 13) AS obs, fcst, ana FROM {sql(OBS)})"), QA)
+@R.add(_qa_sql("obs, fcst, ana", "obsvar", f"(SELECT species, CASE WHEN species = 2 THEN 0 ELSE obsvar END AS obsvar, NULLIF(obs, 13) AS obs, fcst, ana FROM {sql(OBS)})"), QA)
 def qa_summary(spark, sf):
-    df = frame(spark, sf, OBS).withColumn("obs", F.nullif("obs", F.lit(13.0)))
+    """All weights of one species are 0."""
+    df = frame(spark, sf, OBS).withColumns({"obs": F.nullif("obs", F.lit(13.0)), "obsvar": F.when(F.col("species") == 2, 0.0).otherwise(F.col("obsvar"))})
     return D.qa_summary(df, ["species"], ["obs", "fcst", "ana"], "obsvar")
 
 
-@R.add(_qa_sql("omf, omf_norm", "obsvar", f"(SELECT species, obsvar, obs - fcst AS omf, (obs - fcst) / sqrt(obsvar + fcstvar) AS omf_norm FROM {sql(OBS)})"), QA)
+@R.add(_qa_sql("omf, omf_norm", "obsvar", f"(SELECT species, w AS obsvar, obs - fcst AS omf, (obs - fcst) / NULLIF(sqrt(v), 0) AS omf_norm FROM (SELECT *, CASE WHEN tile % 9 = 0 THEN 0 ELSE obsvar END AS w, CASE WHEN tile % 9 = 0 THEN 0 ELSE obsvar + fcstvar END AS v FROM {sql(OBS)}))"), QA)
 def qa_innovations(spark, sf):
-    return D.qa_innovations(frame(spark, sf, OBS), ["species"], "obsvar")
+    """Some tiles have no variance."""
+    exact = F.col("tile") % 9 == 0
+    df = frame(spark, sf, OBS).withColumns({c: F.when(exact, 0.0).otherwise(F.col(c)) for c in ("obsvar", "fcstvar")})
+    return D.qa_innovations(df, ["species"], "obsvar")
 
 
 @R.add(f"SELECT time, tile, species, count(*) AS n FROM {sql(OBS)} GROUP BY ALL HAVING count(*) > 1")

@@ -49,9 +49,11 @@ def center_members(spark, sf):
     return E.center_members(members(spark, sf).withColumn("zeromean", F.col("tile") % 2 == 0), ["id"], "x").select("id", "ens", "x")
 
 
-@R.add(f"SELECT id, ens, x * 2 / stddev_samp(x) OVER (PARTITION BY id) AS x FROM {M}", "x")
+@R.add(f"SELECT id, ens, x * 2 / NULLIF(stddev_samp(x) OVER (PARTITION BY id), 0) AS x FROM (SELECT id, ens, CASE WHEN id % 6 = 0 THEN 1 ELSE x END AS x FROM {M})", "x")
 def scale_to_std(spark, sf):
-    return E.scale_to_std(members(spark, sf), ["id"], "x", 2.0).select("id", "ens", "x")
+    """Some ensembles have no spread."""
+    df = members(spark, sf).withColumn("x", F.when(F.col("id") % 6 == 0, 1.0).otherwise(F.col("x")))
+    return E.scale_to_std(df, ["id"], "x", 2.0).select("id", "ens", "x")
 
 
 _CLIP = "(sign({0}) * least(abs({0}), 1.5))"
@@ -189,16 +191,16 @@ def increment_stats(spark, sf):
     return A.increment_stats(A.enkf_single_obs(state, obs, pred, "x"), "increment")
 
 
-_SNOW = f"(SELECT id AS tile, ens, least(1, abs(x) * 4) AS asnow, 10 * abs(x) AS w1, 5 * abs(x) AS w2, CAST(id % 10 AS DOUBLE) / 10 AS y FROM {M})"
+_SNOW = f"(SELECT id AS tile, ens, least(1, abs(x) * 4) AS asnow, CASE WHEN id % 13 = 0 THEN 0.004e0 ELSE 10 * abs(x) END AS w1, CASE WHEN id % 13 = 0 THEN 0.002e0 ELSE 5 * abs(x) END AS w2, CAST(id % 10 AS DOUBLE) / 10 AS y FROM {M})"
 
 
 @R.add(
-    f"""SELECT tile, ens, swe, incr, greatest(swe + incr, 0) AS swe_ana, CASE WHEN swe > 0 THEN w1 * greatest(swe + incr, 0) / swe ELSE greatest(swe + incr, 0) / 2 END AS layer1 FROM
+    f"""SELECT tile, ens, swe, incr, greatest(swe + incr, 0) AS swe_ana, CASE WHEN NOT (asnow < y * 0.6 OR y < 0.55) THEN w1 WHEN swe + incr < 0.013e0 THEN 0 WHEN swe < 0.013e0 THEN (swe + incr) / 2 ELSE w1 * (swe + incr) / swe END AS layer1 FROM
     (SELECT *, w1 + w2 AS swe, CASE WHEN asnow < y * 0.6 THEN 5 * (y - asnow / CAST(0.6 AS DOUBLE)) WHEN y < 0.55 THEN -5 * asnow * (1 - y / CAST(0.55 AS DOUBLE)) ELSE 0 END AS incr FROM {_SNOW})""", "swe incr swe_ana layer1"
 )
 def snow_cover_increment(spark, sf):
     x = F.abs("x")
-    state = members(spark, sf).select(F.col("id").alias("tile"), "ens", F.least(F.lit(1.0), x * 4).alias("asnow"), F.array(10 * x, 5 * x).alias("wesn"))
+    state = members(spark, sf).select(F.col("id").alias("tile"), "ens", F.least(F.lit(1.0), x * 4).alias("asnow"), F.when(F.col("id") % 13 == 0, F.array(F.lit(0.004), F.lit(0.002))).otherwise(F.array(10 * x, 5 * x)).alias("wesn"))
     obs = state.select("tile").distinct().withColumn("obs", (F.col("tile") % 10).cast("double") / 10)
     return A.snow_cover_increments(state, obs).select("tile", "ens", "swe", "incr", "swe_ana", F.col("wesn_ana")[0].alias("layer1"))
 

@@ -114,6 +114,15 @@ def nearest_point_grid(spark, sf):
     return S.nearest_point(cells, points(spark, sf).select("lon", "lat", "value"), GRID, 1.5)
 
 
+@R.add(f"SELECT a.obs_id, CAST(ens AS INT) AS ens, x AS pred FROM (SELECT obs_id, tile FROM {_ASSIGN.format(x=0, y=0)} WHERE rn = 1) a JOIN {_STATE} USING (tile)", "pred")
+def predict_obs_point(spark, sf):
+    """A field of view of 0 is the observation's own tile."""
+    t = tiles(spark, sf)
+    state = t.select("tile", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ens"))
+    state = state.withColumn("x", F.when((F.col("tile") * F.col("ens")) % 97 != 0, ((F.col("tile") * 7 + F.col("ens") * 13) % 31).cast("double")))
+    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, GRID, 0.0)
+
+
 _V = f"(SELECT *, CASE WHEN tile % 5 <> 0 THEN elev END AS v FROM {TC})"
 
 
@@ -121,9 +130,10 @@ def valued(spark, sf):
     return S.with_cell(tiles(spark, sf), GRID, "com_lon", "com_lat").withColumn("v", F.when(F.col("tile") % 5 != 0, F.col("elev")))
 
 
-@R.add(f"SELECT ci, cj, sum(v * frac_cell) / sum(CASE WHEN v IS NOT NULL THEN frac_cell END) AS v FROM {_V} GROUP BY ci, cj", "v")
+@R.add(f"SELECT ci, cj, sum(v * w) / NULLIF(sum(CASE WHEN v IS NOT NULL THEN w END), 0) AS v FROM (SELECT *, CASE WHEN ci % 4 = 0 THEN 0 ELSE frac_cell END AS w FROM {_V}) GROUP BY ci, cj", "v")
 def tile_to_grid(spark, sf):
-    return S.tile_to_grid(valued(spark, sf), "v")
+    """Some cells have no weight."""
+    return S.tile_to_grid(valued(spark, sf).withColumn("frac_cell", F.when(F.col("ci") % 4 == 0, 0.0).otherwise(F.col("frac_cell"))), "v")
 
 
 @R.add(f"SELECT ci, cj, arg_max(elev, tile) AS elev FROM {TC} GROUP BY ci, cj", "elev")
