@@ -32,6 +32,9 @@ class LatLonGrid:
     i_dir: int = 1
     j_dir: int = 1
 
+    #: Whether each cell is a tile; then one with several is an error.
+    one_tile = False
+
     def cell(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         """Indices by ceiling: a point on an edge belongs to the cell below it."""
         i, j = F.ceil((lon - self.ll_lon) / self.dlon), F.ceil((lat - self.ll_lat) / self.dlat)
@@ -103,3 +106,48 @@ def ease2_latlon(row: Column, col: Column, grid: str) -> tuple[Column, Column]:
         return lat, lon
     here = lat >= 0 if grid[0] == "N" else lat <= 0
     return F.when(here, lat), F.when(here, lon)
+
+
+@dataclass(frozen=True)
+class EaseGrid:
+    """An equal-area grid by name (M36, M09, N09, ...); columns and rows are numbered from 0, rows from the north."""
+
+    name: str
+
+    one_tile = True
+
+    def cell(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """(column, row) of a point; of those beyond the grid, rows are beyond its rows, or null where a polar grid has none."""
+        row, col = ease2_cell(lat, lon, self.name)
+        return col, row
+
+    def clamped(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        _, cols, rows = EASE2[self.name]
+        bound = lambda x, n: F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(x, F.lit(n - 1))))
+        col, row = self.cell(lon, lat)
+        return bound(col, cols), bound(row, rows)
+
+    def inside(self, lon: Column, lat: Column) -> Column:
+        _, cols, rows = EASE2[self.name]
+        col, row = self.cell(lon, lat)
+        return F.coalesce(lon.between(-180, 180) & col.between(0, cols - 1) & row.between(0, rows - 1), F.lit(False))
+
+    def centre(self, col: Column, row: Column) -> tuple[Column, Column]:
+        lat, lon = ease2_latlon(row, col, self.name)
+        return lon, lat
+
+
+Grid = LatLonGrid | EaseGrid
+
+
+def neighbours(grid: Grid, i: Column, j: Column, reach: int = 1) -> Column:
+    """Cells within reach of one, itself included, as an array of (i, j); columns of a grid around the globe go on over its edge."""
+    if isinstance(grid, EaseGrid):
+        (_, cols, rows), first, around = EASE2[grid.name], 0, grid.name[0] == "M"
+    else:
+        cols, rows, first, around = grid.n_lon, grid.n_lat, 1, abs(grid.n_lon * grid.dlon - 360) < 1e-9
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    turned = lambda x: F.pmod(x - first, F.lit(cols)) + first if around else x
+    pairs = F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct(turned(i + a).alias("i"), (j + b).alias("j")))))
+    within = lambda c: c["i"].between(first, first + cols - 1) & c["j"].between(first, first + rows - 1)
+    return F.array_distinct(F.filter(pairs, within))

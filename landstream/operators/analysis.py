@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from ..functions.grid import LatLonGrid
 from .spatial import local_obs
 
 
@@ -75,7 +74,7 @@ def solve_tile(x: np.ndarray, y: np.ndarray, innovations: np.ndarray, r: np.ndar
 
 
 def enkf_increments(
-    tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, grid: LatLonGrid, fields: list[str], xc: float, yc: float,
+    tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, fields: list[str], xc: float, yc: float,
     tapered: bool = True, corr: tuple[float, float] | None = None, inflation: float = 1.0,
 ) -> DataFrame:
     """(tile, ens, increments of fields) for tiles with observations in their box.
@@ -87,7 +86,7 @@ def enkf_increments(
     block = F.floor(F.col("tile") / BLOCK)
     members = pred.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("ens", "pred", "eps"))).alias("m"))
     members = members.select("obs_id", F.col("m.pred").alias("pred"), F.col("m.eps").alias("eps"))
-    near = local_obs(tiles, obs.select("obs_id", "lon", "lat"), grid, xc, yc).select(block.alias("block"), "obs_id").distinct()
+    near = local_obs(tiles, obs.select("obs_id", "lon", "lat"), xc, yc).select(block.alias("block"), "obs_id").distinct()
     near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar").join(members, "obs_id"), "obs_id")
     placed = state.select("tile", "ens", *fields).join(tiles.select("tile", "com_lon", "com_lat"), "tile").withColumn("block", block)
 
@@ -132,7 +131,7 @@ def enkf_single_obs(state: DataFrame, obs: DataFrame, pred: DataFrame, field: st
     return out.select("tile", "ens", (ratio(F.col("c"), F.col("v") + F.col("obsvar")) * (F.col("obs") + F.col("eps") - F.col("pred"))).alias("increment"))
 
 
-def update_mode(mode: int, tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, grid: LatLonGrid, xc: float, yc: float, peat: float = 0.85) -> DataFrame:
+def update_mode(mode: int, tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, xc: float, yc: float, peat: float = 0.85) -> DataFrame:
     """Increments of a numbered mode; obs has varname, tiles has porosity. Own-tile modes take observations assigned to the tile."""
     m = MODES[mode]
     wanted = obs.where(F.col("varname").isin(*m.variables))
@@ -143,12 +142,12 @@ def update_mode(mode: int, tiles: DataFrame, state: DataFrame, obs: DataFrame, p
         wanted = wanted.join(centres, "tile").withColumns({"lon": F.col("__x"), "lat": F.col("__y")}).drop("__x", "__y", "tile")
     else:
         wanted = wanted.drop("tile")
-    out = enkf_increments(tiles, state, wanted, pred, grid, fields, *reach, tapered=m.local)
+    out = enkf_increments(tiles, state, wanted, pred, fields, *reach, tapered=m.local)
     if m.peat:
         out = out.join(tiles.select("tile", "porosity"), "tile")
         out = out.withColumns({f: F.when(F.col("porosity") >= peat, F.col(f)).otherwise(0.0) for f in m.peat}).drop("porosity")
     if m.with_tb:
-        found = local_obs(tiles, wanted.where("varname = 'tb'"), grid, *reach).select("tile").distinct().withColumn("__tb", F.lit(True))
+        found = local_obs(tiles, wanted.where("varname = 'tb'"), *reach).select("tile").distinct().withColumn("__tb", F.lit(True))
         out = out.join(found, "tile", "left").withColumns({f: F.when(F.col("__tb"), F.col(f)).otherwise(0.0) for f in m.with_tb}).drop("__tb")
     return out
 
@@ -182,9 +181,9 @@ def snow_cover_increments(state: DataFrame, obs: DataFrame, alpha: float = SNOW_
     return out.select("tile", "ens", "swe", "incr", "swe_ana", layers.alias("wesn_ana"))
 
 
-def freeze_thaw_increments(tiles: DataFrame, state: DataFrame, obs: DataFrame, grid: LatLonGrid, reach: float, freezing: float = 273.16) -> DataFrame:
+def freeze_thaw_increments(tiles: DataFrame, state: DataFrame, obs: DataFrame, reach: float, freezing: float = 273.16) -> DataFrame:
     """Temperature changes where observed and modelled freezing disagree. state: tile, ens, teff, asnow; obs: lon, lat, value."""
-    mean = local_obs(tiles, obs, grid, reach, reach).groupBy("tile").agg(F.avg("value").alias("ft"))
+    mean = local_obs(tiles, obs, reach, reach).groupBy("tile").agg(F.avg("value").alias("ft"))
     thaw, frozen = F.col("ft") <= 0.5, (F.col("ft") > 0.5) & (F.col("asnow") <= 0.15)
     change = F.when(thaw, F.greatest(F.lit(freezing - 1) - F.col("teff"), F.lit(0.0))).when(frozen, F.least(F.lit(freezing + 1) - F.col("teff"), F.lit(0.0))).otherwise(0.0)
     return state.join(mean, "tile").select("tile", "ens", change.alias("dt"))

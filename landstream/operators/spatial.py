@@ -1,44 +1,50 @@
 """Spatial joins by cell: nearest tile, ellipses, footprints, halos, and mapping between tiles and grids.
 
-Range joins explode the covering cells of one side and join on the cell, so Spark sees an equi-join; the exact test follows.
+Range joins explode the covering cells of one side and join on the cell, so Spark sees an equi-join; the exact test follows. The
+cells of a search are about as large as its radius, whatever that is: the search grid has levels, and each row takes the level of its
+own radius (meet()), so that it meets the tiles of nine cells at most.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import LatLonGrid, km_to_deg
+from ..functions.grid import Grid, km_to_deg
 from ..functions.numeric import ratio
 
-#: Cells that one search may cover; near the poles a radius in kilometres covers ever more longitudes.
-MAX_CELLS = 10_000
+#: At level k a search grid has 2^k cells around the circle of longitudes, or along the half circle of latitudes.
+MAX_LEVEL = 24
 #: Fields of view below this, in degrees or kilometres, are points.
 LEAST_FOV = 1e-4
 #: Tiles that one cell may hold as a list; a grid whose cells hold more is too coarse for these tiles.
 MAX_TILES = 10_000
 
 
-def with_cell(df: DataFrame, grid: LatLonGrid, lon: str, lat: str, names: tuple[str, str] = ("ci", "cj")) -> DataFrame:
+def with_cell(df: DataFrame, grid: Grid, lon: str, lat: str, names: tuple[str, str] = ("ci", "cj")) -> DataFrame:
     i, j = grid.clamped(F.col(lon), F.col(lat))
     return df.withColumns({names[0]: i, names[1]: j})
 
 
-def tiles_by_cell(tiles: DataFrame, grid: LatLonGrid) -> DataFrame:
+def tiles_by_cell(tiles: DataFrame, grid: Grid) -> DataFrame:
     """Per cell: number and sorted list of tiles. Cells with more than MAX_TILES are an error, before any list is made."""
     counts = bounded_cells(tiles, grid)
     listed = with_cell(tiles, grid, "com_lon", "com_lat").join(counts, ["ci", "cj"])
     return listed.groupBy("ci", "cj", "n").agg(F.array_sort(F.collect_list("tile")).alias("tiles"))
 
 
-def bounded_cells(tiles: DataFrame, grid: LatLonGrid) -> DataFrame:
-    """(ci, cj, n) of the cells with tiles; one with more than MAX_TILES is an error."""
+def bounded_cells(tiles: DataFrame, grid: Grid) -> DataFrame:
+    """(ci, cj, n) of the cells with tiles; one with more than MAX_TILES, or than 1 where tiles are cells, is an error."""
     counts = with_cell(tiles, grid, "com_lon", "com_lat").groupBy("ci", "cj").agg(F.count("*").alias("n"))
-    few = F.when(F.col("n") <= MAX_TILES, F.col("n")).otherwise(F.raise_error(F.lit("a cell holds too many tiles; take a finer grid")).cast("long"))
-    return counts.select("ci", "cj", few.alias("n"))
+    most = 1 if grid.one_tile else MAX_TILES
+    # As a filter: a column that nobody reads would be pruned, and the error with it.
+    few = F.when(F.col("n") <= most, True).otherwise(F.raise_error(F.lit(f"a cell holds more than {most} tiles; take a finer grid")).cast("boolean"))
+    return counts.where(few)
 
 
-def assign_tile(obs: DataFrame, tiles: DataFrame, grid: LatLonGrid, max_dist: Column | float | tuple[Column, Column] = 0.0) -> DataFrame:
+def assign_tile(obs: DataFrame, tiles: DataFrame, grid: Grid, max_dist: Column | float | tuple[Column, Column] = 0.0) -> DataFrame:
     """The tile of an observation's cell that is nearest by Manhattan distance, the smallest id of equals.
 
     Observations outside the grid go; so do those outside the tile's box and farther than max_dist in longitude or latitude.
@@ -61,47 +67,89 @@ def assign_tile(obs: DataFrame, tiles: DataFrame, grid: LatLonGrid, max_dist: Co
     return best.where("__best.ok").select(*obs.columns, F.col("__best.tile").alias("tile"))
 
 
-def assign_tile_fov(obs: DataFrame, tiles: DataFrame, grid: LatLonGrid, fov: float, units: str = "deg", shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+def assign_tile_fov(obs: DataFrame, tiles: DataFrame, grid: Grid, fov: float, units: str = "deg", shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """assign_tile within half a field of view, in degrees or kilometres, after an optional shift of longitude and latitude."""
     moved = obs.withColumns({"lon": F.col("lon") + shift[0], "lat": F.col("lat") + shift[1]})
     reach = km_to_deg(fov / 2, F.col("lat")) if units == "km" else (F.lit(fov / 2), F.lit(fov / 2))
     return assign_tile(moved, tiles, grid, reach)
 
 
-def cells_around(df: DataFrame, grid: LatLonGrid, lon: str, lat: str, rx: Column, ry: Column, wrap: bool = False) -> DataFrame:
-    """df once for each cell that the box around its point touches. Spans beyond MAX_CELLS are an error, not a slow job."""
-    x, y = F.col(lon), F.col(lat)
-    low_i, high_i = F.ceil((x - rx - grid.ll_lon) / grid.dlon), F.ceil((x + rx - grid.ll_lon) / grid.dlon)
-    low_j, high_j = F.ceil((y - ry - grid.ll_lat) / grid.dlat), F.ceil((y + ry - grid.ll_lat) / grid.dlat)
-    if not wrap:
-        low_i, high_i = F.greatest(low_i, F.lit(1)), F.least(high_i, F.lit(grid.n_lon))
-    low_j, high_j = F.greatest(low_j, F.lit(1)), F.least(high_j, F.lit(grid.n_lat))
-    size = (high_i - low_i + 1) * (high_j - low_j + 1)
-    cells = F.when(size > MAX_CELLS, F.raise_error(F.lit("a search covers too many cells"))).otherwise(
-        F.when((high_i >= low_i) & (high_j >= low_j), F.flatten(F.transform(F.sequence(low_i, high_i), lambda i: F.transform(F.sequence(low_j, high_j), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    )
-    out = df.withColumn("__cell", F.explode(cells))
-    i = F.pmod(F.col("__cell.i") - 1, F.lit(grid.n_lon)) + 1 if wrap else F.col("__cell.i")
-    return out.withColumns({"ci": i.cast("int"), "cj": F.col("__cell.j").cast("int")}).drop("__cell")
+def search_level(radius: Column | float, whole: float) -> Column | int:
+    """The finest level whose cells, parts of `whole` degrees, aren't smaller than the radius."""
+    if not isinstance(radius, Column):
+        return min(max(math.floor(math.log2(whole / max(radius, 1e-9))), 0), MAX_LEVEL)
+    level = F.floor(F.log2(F.lit(whole) / F.greatest(radius, F.lit(1e-9))))
+    return F.when(radius.isNotNull(), F.greatest(F.least(level, F.lit(MAX_LEVEL)), F.lit(0)).cast("int"))
+
 
+def _index(x: Column, level: Column | int, whole: float) -> tuple[Column, Column]:
+    """(number of a cell, unbounded; how many cells there are)."""
+    n = F.lit(float(2**level)) if isinstance(level, int) else F.pow(F.lit(2.0), level)
+    return F.floor(x * n / whole), n.cast("long")
 
-def in_ellipse(points: DataFrame, tiles: DataFrame, grid: LatLonGrid, rx: Column, ry: Column, wrap: bool = False) -> DataFrame:
-    """(points, tiles within the ellipse, normalised square distance). points: id columns, lon, lat."""
-    spread = cells_around(points.withColumns({"__rx": rx, "__ry": ry}), grid, "lon", "lat", F.col("__rx"), F.col("__ry"), wrap)
-    celled = with_cell(tiles, grid, "com_lon", "com_lat")
+
+def _between(low: Column, high: Column, n: Column, wrap: bool) -> Column:
+    if wrap:
+        return F.when(high - low + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(low, high), lambda i: F.pmod(i, n)))
+    inside = lambda i: F.greatest(F.least(i, n - 1), F.lit(0))
+    return F.sequence(inside(low), inside(high))
+
+
+def meet(
+    points: DataFrame, others: DataFrame, rx: Column | float, ry: Column | float, wrap: bool = False, on: tuple[str, ...] = (),
+    names: tuple[str, str] = ("lon", "lat"), others_names: tuple[str, str] = ("com_lon", "com_lat"),
+) -> DataFrame:
+    """Each point with the others in the cells that the box of its radii (degrees) touches: all within, and few beyond.
+
+    Cells aren't smaller than the radius, so a box touches three of them each way at most. Where radii are columns (kilometres
+    that widen towards the poles), the levels in use are found first, a row each, with the latitudes over which they are needed; the
+    others then stand once in each level that is needed at their latitude. A null radius or place meets nothing. wrap: longitudes
+    go on over the dateline.
+    """
+    fixed = not isinstance(rx, Column) and not isinstance(ry, Column)
+    lon, lat = (F.col(c) for c in names)
+    level_x, level_y = search_level(rx, 360.0), search_level(ry, 180.0)
+    spread = points.withColumns({"__rx": rx if isinstance(rx, Column) else F.lit(float(rx)), "__ry": ry if isinstance(ry, Column) else F.lit(float(ry))})
+    if fixed:
+        keyed = others
+    else:
+        as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+        spread = spread.withColumns({"__lx": as_col(level_x), "__ly": as_col(level_y)})
+        used = spread.where(F.col("__lx").isNotNull() & F.col("__ly").isNotNull()).groupBy("__lx", "__ly").agg(F.min(lat - F.col("__ry")).alias("a"), F.max(lat + F.col("__ry")).alias("b"))
+        levels = [(r["__lx"], r["__ly"], r.a, r.b) for r in used.collect() if r.a is not None]  # a row a pair of levels, 25 x 25 at most
+        listed = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for x, y, a, b in levels or [(0, 0, 1.0, 0.0)]))
+        at = F.col(others_names[1])
+        keyed = others.withColumn("__l", F.explode(F.filter(listed, lambda v: at.between(v["a"], v["b"]))))
+        keyed = keyed.withColumns({"__lx": F.col("__l.x"), "__ly": F.col("__l.y")}).drop("__l")
+        level_x, level_y = F.col("__lx"), F.col("__ly")
+    reach_x = F.least(F.col("__rx"), F.lit(360.0))
+    (low_i, n), (high_i, _) = _index(lon - reach_x + 180, level_x, 360.0), _index(lon + reach_x + 180, level_x, 360.0)
+    (low_j, m), (high_j, _) = _index(lat - F.least(F.col("__ry"), F.lit(180.0)) + 90, level_y, 180.0), _index(lat + F.least(F.col("__ry"), F.lit(180.0)) + 90, level_y, 180.0)
+    rows = _between(low_j, high_j, m, False)
+    cells = F.flatten(F.transform(_between(low_i, high_i, n, wrap), lambda i: F.transform(rows, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    spread = spread.withColumn("__cell", F.explode(cells)).withColumns({"__i": F.col("__cell.i"), "__j": F.col("__cell.j")}).drop("__cell")
+    (i, _), (j, _) = _index(F.col(others_names[0]) + 180, level_x, 360.0), _index(F.col(others_names[1]) + 90, level_y, 180.0)
+    i = F.pmod(i, n) if wrap else F.greatest(F.least(i, n - 1), F.lit(0))
+    keyed = keyed.withColumns({"__i": i, "__j": F.greatest(F.least(j, m - 1), F.lit(0))})
+    keys = ["__i", "__j", *([] if fixed else ["__lx", "__ly"])]
+    return spread.join(keyed, [*keys, *on]).drop(*keys)
+
+
+def in_ellipse(points: DataFrame, tiles: DataFrame, rx: Column | float, ry: Column | float, wrap: bool = False) -> DataFrame:
+    """(points, tiles within the ellipse, normalised square distance). points: id columns, lon, lat. A radius of 0 holds nothing."""
     dx = F.col("com_lon") - F.col("lon")
     if wrap:
         dx = F.pmod(dx + 180, F.lit(360.0)) - 180
     dy = F.col("com_lat") - F.col("lat")
-    d2 = (dx / F.col("__rx")) ** 2 + (dy / F.col("__ry")) ** 2
-    return spread.join(celled, ["ci", "cj"]).withColumn("d2", d2).where("d2 <= 1").drop("ci", "cj", "__rx", "__ry")
+    d2 = ratio(dx, F.col("__rx")) ** 2 + ratio(dy, F.col("__ry")) ** 2
+    return meet(points, tiles, rx, ry, wrap).withColumn("d2", d2).where("d2 <= 1").drop("__rx", "__ry")
 
 
-def predict_obs(points: DataFrame, tiles: DataFrame, state: DataFrame, grid: LatLonGrid, fov: float, units: str = "deg") -> DataFrame:
+def predict_obs(points: DataFrame, tiles: DataFrame, state: DataFrame, fov: float, units: str = "deg", grid: Grid | None = None) -> DataFrame:
     """Footprint mean of a state per point and member: area weights within the ellipse; in km, twice the field and a Gaussian too.
 
     A null tile in the footprint makes the whole prediction null, and so does an area of 0. A field below LEAST_FOV is the
-    observation's own tile: points' column `tile`, or else the nearest of their cell. points: obs_id, lon, lat; state: tile, ens, x.
+    observation's own tile: points' column `tile`, or else the nearest of their cell of `grid`. points: obs_id, lon, lat; state: tile, ens, x.
     """
     if fov < LEAST_FOV:
         own = points if "tile" in points.columns else assign_tile(points, tiles, grid, (F.lit(float("inf")), F.lit(float("inf"))))
@@ -110,28 +158,25 @@ def predict_obs(points: DataFrame, tiles: DataFrame, state: DataFrame, grid: Lat
         rx, ry = km_to_deg(2 * fov, F.col("lat"))
         weight = F.col("area") * F.exp(-2 * F.col("d2"))  # the search reaches 2 fields, so d2 there is a quarter of the field's
     else:
-        rx = ry = F.lit(fov)
+        rx = ry = fov
         weight = F.col("area")
-    found = in_ellipse(points, tiles, grid, rx, ry).select("obs_id", "tile", weight.alias("w"))
+    found = in_ellipse(points, tiles, rx, ry).select("obs_id", "tile", weight.alias("w"))
     sums = found.join(state, "tile").groupBy("obs_id", "ens").agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("w"), F.count("x").alias("n"), F.count("*").alias("m"))
     return sums.select("obs_id", "ens", F.when(F.col("n") == F.col("m"), ratio(F.col("wx"), F.col("w"))).alias("pred"))
 
 
-def local_obs(tiles: DataFrame, obs: DataFrame, grid: LatLonGrid, xc: float, yc: float, species: list[int] | None = None) -> DataFrame:
+def local_obs(tiles: DataFrame, obs: DataFrame, xc: float, yc: float, species: list[int] | None = None) -> DataFrame:
     """Observations within the box of (xc, yc) around each tile, inclusive."""
     if species:
         obs = obs.where(F.col("species").isin(*species))
-    spread = cells_around(obs, grid, "lon", "lat", F.lit(xc), F.lit(yc))
-    celled = with_cell(tiles.select("tile", "com_lon", "com_lat"), grid, "com_lon", "com_lat")
     near = (F.abs(F.col("lon") - F.col("com_lon")) <= xc) & (F.abs(F.col("lat") - F.col("com_lat")) <= yc)
-    return spread.join(celled, ["ci", "cj"]).where(near).drop("ci", "cj")
+    return meet(obs, tiles.select("tile", "com_lon", "com_lat"), xc, yc).where(near).drop("__rx", "__ry")
 
 
-def nearest_point(cells: DataFrame, points: DataFrame, grid: LatLonGrid, reach: float = 0.14) -> DataFrame:
+def nearest_point(cells: DataFrame, points: DataFrame, reach: float = 0.14) -> DataFrame:
     """Each cell's nearest point's value; null when none is within reach. cells: id, com_lon, com_lat; points: lon, lat, value."""
-    spread = cells_around(points, grid, "lon", "lat", F.lit(reach), F.lit(reach))
     d = F.sqrt((F.col("lon") - F.col("com_lon")) ** 2 + (F.col("lat") - F.col("com_lat")) ** 2)
-    found = spread.join(with_cell(cells, grid, "com_lon", "com_lat"), ["ci", "cj"]).withColumn("d", d).where(F.col("d") <= reach)
+    found = meet(points, cells, reach, reach).withColumn("d", d).where(F.col("d") <= reach)
     best = found.groupBy("id").agg(F.min(F.struct("d", "value")).alias("best"))
     return cells.join(best, "id", "left").select("id", F.col("best.value").alias("value"))
 
@@ -146,7 +191,7 @@ def tile_to_grid_last(df: DataFrame, value: str, order: str = "tile") -> DataFra
     return df.groupBy("ci", "cj").agg(F.max_by(value, order).alias(value))
 
 
-def tile_to_latlon(df: DataFrame, value: str, grid: LatLonGrid) -> DataFrame:
+def tile_to_latlon(df: DataFrame, value: str, grid: Grid) -> DataFrame:
     """Plain mean over the tiles of each cell."""
     return with_cell(df, grid, "com_lon", "com_lat").groupBy("ci", "cj").agg(F.avg(value).alias(value))
 
@@ -161,9 +206,9 @@ def mask_to_tiles(cells: DataFrame, tiles: DataFrame, value: str) -> DataFrame:
     return cells.join(has, ["ci", "cj"], "left").withColumn(value, F.when(F.col("__has"), F.col(value))).drop("__has")
 
 
-def coarsen_cells(df: DataFrame, factor: int, value: str, most: float = 0.01) -> DataFrame:
-    """Coarse cells: a representative value (of the first fine cell), the mean, the deviation, and whether it is too large."""
-    up = lambda c: F.floor((F.col(c) - 1) / factor + 1).cast("int")
+def coarsen_cells(df: DataFrame, factor: int, value: str, most: float = 0.01, first: int = 1) -> DataFrame:
+    """Cells are numbered from `first`. Coarse cells: a representative value (of the first fine cell), the mean, the deviation, and whether it is too large."""
+    up = lambda c: (F.floor((F.col(c) - first) / factor) + first).cast("int")
     out = df.groupBy(up("ci").alias("gi"), up("cj").alias("gj")).agg(
         F.min_by(value, F.struct("cj", "ci")).alias("representative"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdv")
     )
@@ -230,14 +275,14 @@ def class_lookup(tiles: DataFrame, parameters: DataFrame, coarse: list[str]) ->
     return out.join(parameters.withColumnRenamed("class", "used"), "used", "left").drop("__known", "usual")
 
 
-def pair_covariance(obs: DataFrame, group: list[str], grid: LatLonGrid, xc: float, yc: float, reach: float = 3.0) -> DataFrame:
+def pair_covariance(obs: DataFrame, group: list[str], xc: float, yc: float, reach: float = 3.0) -> DataFrame:
     """Covariances of observation errors of one species within `reach` correlation lengths; the variance on the diagonal."""
-    a = cells_around(obs, grid, "lon", "lat", F.lit(reach * xc), F.lit(reach * yc))
-    b = with_cell(obs, grid, "lon", "lat").select("ci", "cj", *group, "species", *(F.col(c).alias(f"{c}_b") for c in ("obs_id", "lon", "lat", "obsvar")))
+    b = obs.select(*group, "species", *(F.col(c).alias(f"{c}_b") for c in ("obs_id", "lon", "lat", "obsvar")))
     dx, dy = (F.col("lon") - F.col("lon_b")) / xc, (F.col("lat") - F.col("lat_b")) / yc
     r = F.sqrt(F.col("obsvar") * F.col("obsvar_b")) * F.exp(-0.5 * (dx * dx + dy * dy))
     near = (F.abs(dx) <= reach) & (F.abs(dy) <= reach)
-    return a.join(b, ["ci", "cj", *group, "species"]).where(near).select(*group, "species", "obs_id", "obs_id_b", F.when(F.col("obs_id") == F.col("obs_id_b"), F.col("obsvar")).otherwise(r).alias("cov"))
+    met = meet(obs, b, reach * xc, reach * yc, on=(*group, "species"), others_names=("lon_b", "lat_b"))
+    return met.where(near).select(*group, "species", "obs_id", "obs_id_b", F.when(F.col("obs_id") == F.col("obs_id_b"), F.col("obsvar")).otherwise(r).alias("cov"))
 
 
 def swath_longitudes(start: Column, end: Column, local_hour: float) -> tuple[Column, Column]:

@@ -139,12 +139,11 @@ def enkf_increments(spark, sf):
     place = lambda df: df.withColumns({"com_lon": (F.col("tile") % 340).cast("double") - 170 + 0.5, "com_lat": F.floor(F.col("tile") / 340).cast("double") % 160 - 80 + 0.5})
     tiles = place(obs.select("tile"))
     at = place(obs).select(F.col("tile").alias("obs_id"), F.col("com_lon").alias("lon"), F.col("com_lat").alias("lat"), F.lit(1).alias("species"), "obs", "obsvar")
-    return A.enkf_increments(tiles, state, at, pred.withColumnRenamed("tile", "obs_id"), LatLonGrid(dlon=1.0, dlat=1.0, n_lon=360, n_lat=180), ["x"], 0.25, 0.25, tapered=False)
+    return A.enkf_increments(tiles, state, at, pred.withColumnRenamed("tile", "obs_id"), ["x"], 0.25, 0.25, tapered=False)
 
 
 # Updates by all observations around a tile: no SQL; held against dense algebra on a small table in the tests.
 FIELDS = ["srfexc", "rzexc"]
-UPDATE_GRID = LatLonGrid()
 
 
 def local(spark, sf, fields, members=8):
@@ -162,7 +161,7 @@ def local(spark, sf, fields, members=8):
 def enkf_local(spark, sf):
     """Several observations a tile, with taper, correlated errors and inflation."""
     tiles, state, obs, pred = local(spark, sf, FIELDS)
-    return A.enkf_increments(tiles, state, obs.drop("tile", "varname"), pred, UPDATE_GRID, FIELDS, 3.0, 3.0, corr=(1.0, 1.0), inflation=1.2)
+    return A.enkf_increments(tiles, state, obs.drop("tile", "varname"), pred, FIELDS, 3.0, 3.0, corr=(1.0, 1.0), inflation=1.2)
 
 
 @R.add()
@@ -172,7 +171,7 @@ def update_modes(spark, sf):
     for mode, m in A.MODES.items():
         fields = [*m.fields, *m.with_tb, *m.peat]
         tiles, state, obs, pred = local(spark, sf, fields, 4)
-        made = A.update_mode(mode, tiles, state, obs, pred, UPDATE_GRID, 1.5, 1.5)
+        made = A.update_mode(mode, tiles, state, obs, pred, 1.5, 1.5)
         rows = made.select(F.lit(mode).alias("mode"), "tile", "ens", F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f))))).alias("field", "increment"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -218,7 +217,7 @@ def freeze_thaw_increment(spark, sf):
     state = tiles.select("tile", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ens"))
     state = state.withColumns({"teff": 268 + ((F.col("tile") + F.col("ens")) % 11).cast("double"), "asnow": ((F.col("tile") * F.col("ens")) % 5).cast("double") / 10})
     obs = frame(spark, sf, POINTS).select("lon", "lat", (F.col("value") / 50).alias("value"), F.col("obs_id"), "species")
-    return A.freeze_thaw_increments(tiles, state, obs, LatLonGrid(), 4.0)
+    return A.freeze_thaw_increments(tiles, state, obs, 4.0)
 
 
 # Recursive state.

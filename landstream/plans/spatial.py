@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.grid import LatLonGrid
+from ..functions.grid import EASE2, ECCENTRICITY, RADIUS, EaseGrid, LatLonGrid, neighbours
 from ..operators import spatial as S
 from .fixtures import POINTS, TILES, frame, sql
 from .register import Registry
@@ -62,12 +62,12 @@ _ELLIPSE = f"(SELECT u.obs_id, t.tile, t.area, ((t.com_lon - u.lon) / 15) ** 2 +
 
 @R.add(f"SELECT obs_id, tile, d2 FROM {_ELLIPSE}", "d2")
 def tiles_in_ellipse(spark, sf):
-    return S.in_ellipse(points(spark, sf).select("obs_id", "lon", "lat"), tiles(spark, sf), GRID, F.lit(15.0), F.lit(9.0)).select("obs_id", "tile", "d2")
+    return S.in_ellipse(points(spark, sf).select("obs_id", "lon", "lat"), tiles(spark, sf), 15.0, 9.0).select("obs_id", "tile", "d2")
 
 
 @R.add(f"SELECT u.obs_id, t.tile FROM {P} u JOIN {TC} t ON (t.com_lon - u.lon) ** 2 + (t.com_lat - u.lat) ** 2 <= 144")
 def neighbours_in_radius(spark, sf):
-    return S.in_ellipse(points(spark, sf).select("obs_id", "lon", "lat"), tiles(spark, sf), GRID, F.lit(12.0), F.lit(12.0)).select("obs_id", "tile")
+    return S.in_ellipse(points(spark, sf).select("obs_id", "lon", "lat"), tiles(spark, sf), 12.0, 12.0).select("obs_id", "tile")
 
 
 _STATE = f"(SELECT tile, ens, CASE WHEN (tile * ens) % 97 <> 0 THEN CAST((tile * 7 + ens * 13) % 31 AS DOUBLE) END AS x FROM {T}, (SELECT unnest(generate_series(1, 8)) AS ens))"
@@ -81,7 +81,7 @@ def predict_obs(spark, sf):
     t = tiles(spark, sf)
     state = t.select("tile", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ens"))
     state = state.withColumn("x", F.when((F.col("tile") * F.col("ens")) % 97 != 0, ((F.col("tile") * 7 + F.col("ens") * 13) % 31).cast("double")))
-    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, GRID, 10.0)
+    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, 10.0)
 
 
 _KM = "(40 * 180 / (pi() * 6371))"
@@ -97,12 +97,81 @@ def predict_obs_km(spark, sf):
     t = tiles(spark, sf)
     state = t.select("tile", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ens"))
     state = state.withColumn("x", F.when((F.col("tile") * F.col("ens")) % 97 != 0, ((F.col("tile") * 7 + F.col("ens") * 13) % 31).cast("double")))
-    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, GRID, 20.0, "km")
+    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, 20.0, "km")
 
 
 @R.add(f"SELECT t.tile, p.obs_id FROM {T} t JOIN {P} p ON abs(p.lon - t.com_lon) <= 3 AND abs(p.lat - t.com_lat) <= 3 AND p.species IN (1, 3)")
 def local_obs(spark, sf):
-    return S.local_obs(tiles(spark, sf), points(spark, sf), GRID, 3.0, 3.0, [1, 3]).select("tile", "obs_id")
+    return S.local_obs(tiles(spark, sf), points(spark, sf), 3.0, 3.0, [1, 3]).select("tile", "obs_id")
+
+
+def ease_cell(grid: str, lon: str = "lon", lat: str = "lat") -> tuple[str, str]:
+    """(column, row) of a cylindrical equal-area grid, by its formulas."""
+    scale, cols, rows = EASE2[grid]
+    e, s = f"CAST({ECCENTRICITY!r} AS DOUBLE)", f"sin(radians({lat}))"
+    k = f"(cos(radians(30)) / sqrt(1 - {e} * {e} * sin(radians(30)) * sin(radians(30))))"
+    q = f"((1 - {e} * {e}) * ({s} / (1 - {e} * {e} * {s} * {s}) - 1 / (2 * {e}) * ln((1 - {e} * {s}) / (1 + {e} * {s}))))"
+    col = f"CAST(least(greatest(round({(cols - 1) / 2} + {RADIUS} * {k} * radians({lon}) / CAST({scale!r} AS DOUBLE)), 0), {cols - 1}) AS INT)"
+    return col, f"CAST(round({(rows - 1) / 2} - {RADIUS} * {q} / (2 * {k}) / CAST({scale!r} AS DOUBLE)) AS INT)"
+
+
+def _ease(grid: str) -> str:
+    i, j = ease_cell(grid)
+    return f"SELECT obs_id, value, user_id, {i} AS ci, {j} AS cj FROM {P} WHERE lon > -180 AND lon < 180"
+
+
+def ease_tiles(spark, sf, grid):
+    """Cells that some points of two thirds of the users are in, as tiles: id, centre, and a box of no size."""
+    col, row = grid.cell(F.col("lon"), F.col("lat"))
+    cells = points(spark, sf).where("user_id % 3 <> 0").where(grid.inside(F.col("lon"), F.col("lat"))).select(col.alias("i"), row.alias("j")).distinct()
+    lon, lat = grid.centre(F.col("i"), F.col("j"))
+    t = cells.select((F.col("j").cast("long") * EASE2[grid.name][1] + F.col("i")).alias("tile"), lon.alias("com_lon"), lat.alias("com_lat"))
+    return t.select("tile", "com_lon", "com_lat", F.col("com_lon").alias("min_lon"), F.col("com_lon").alias("max_lon"), F.col("com_lat").alias("min_lat"), F.col("com_lat").alias("max_lat"))
+
+
+def _ease_sql(grid: str) -> str:
+    cols = EASE2[grid][1]
+    return f"SELECT obs_id, CAST(cj AS BIGINT) * {cols} + ci AS tile FROM ({_ease(grid)}) SEMI JOIN (SELECT DISTINCT ci, cj FROM ({_ease(grid)}) WHERE user_id % 3 <> 0) USING (ci, cj)"
+
+
+@R.add(_ease_sql("M36"))
+def assign_tile_ease36(spark, sf):
+    grid = EaseGrid("M36")
+    return S.assign_tile(points(spark, sf), ease_tiles(spark, sf, grid), grid, 1.0).select("obs_id", "tile")
+
+
+@R.add(_ease_sql("M09"))
+def assign_tile_ease9(spark, sf):
+    grid = EaseGrid("M09")
+    return S.assign_tile(points(spark, sf), ease_tiles(spark, sf, grid), grid, 1.0).select("obs_id", "tile")
+
+
+@R.add(f"SELECT ci, cj, count(*) AS n, list_sort(list(tile)) AS tiles FROM (SELECT DISTINCT ci, cj, CAST(cj AS BIGINT) * {EASE2['M09'][1]} + ci AS tile FROM ({_ease('M09')}) WHERE user_id % 3 <> 0) GROUP BY ci, cj")
+def tiles_by_cell_ease(spark, sf):
+    grid = EaseGrid("M09")
+    return S.tiles_by_cell(ease_tiles(spark, sf, grid), grid)
+
+
+@R.add(
+    f"""SELECT ci // 4 AS gi, cj // 4 AS gj, arg_min(g, CAST(cj AS BIGINT) * 10000 + ci) AS representative, avg(g) AS mean, coalesce(stddev_samp(g), 0) AS stdv, coalesce(stddev_samp(g), 0) > 0.01 AS uneven
+    FROM (SELECT ci, cj, avg(value) AS g FROM ({_ease('M09')}) GROUP BY ALL) GROUP BY ALL""", "representative mean stdv"
+)
+def coarsen_cells_ease(spark, sf):
+    """Cells of the 9 km grid nest in those of the 36 km grid, four each way."""
+    df = S.with_cell(points(spark, sf), EaseGrid("M09"), "lon", "lat").groupBy("ci", "cj").agg(F.avg("value").alias("g"))
+    return S.coarsen_cells(df, 4, "g", first=0)
+
+
+@R.add(
+    f"""WITH c AS MATERIALIZED (SELECT ci, cj, avg(value) AS g FROM ({_ease('M36')}) GROUP BY ALL) SELECT a.ci, a.cj, avg(b.g) AS g FROM c a JOIN c b
+    ON abs(a.cj - b.cj) <= 1 AND least(abs(a.ci - b.ci), {EASE2['M36'][1]} - abs(a.ci - b.ci)) <= 1 GROUP BY a.ci, a.cj""", "g"
+)
+def neighbour_mean_ease(spark, sf):
+    """Mean over a cell and its neighbours, around the globe."""
+    grid = EaseGrid("M36")
+    df = S.with_cell(points(spark, sf), grid, "lon", "lat").groupBy("ci", "cj").agg(F.avg("value").alias("g"))
+    spread = df.select("g", F.explode(neighbours(grid, F.col("ci"), F.col("cj"))).alias("c")).groupBy(F.col("c.i").alias("ci"), F.col("c.j").alias("cj")).agg(F.avg("g").alias("g"))
+    return df.select("ci", "cj").join(spread, ["ci", "cj"]).select("ci", "cj", "g")
 
 
 _NEAR = f"(SELECT t.tile, p.value, row_number() OVER (PARTITION BY t.tile ORDER BY sqrt((p.lon - t.com_lon) ** 2 + (p.lat - t.com_lat) ** 2), p.value) AS rn FROM {T} t JOIN {P} p ON sqrt((p.lon - t.com_lon) ** 2 + (p.lat - t.com_lat) ** 2) <= 1.5)"
@@ -111,7 +180,7 @@ _NEAR = f"(SELECT t.tile, p.value, row_number() OVER (PARTITION BY t.tile ORDER
 @R.add(f"SELECT t.tile AS id, n.value FROM {T} t LEFT JOIN (SELECT * FROM {_NEAR} WHERE rn = 1) n ON n.tile = t.tile", "value")
 def nearest_point_grid(spark, sf):
     cells = tiles(spark, sf).select(F.col("tile").alias("id"), "com_lon", "com_lat")
-    return S.nearest_point(cells, points(spark, sf).select("lon", "lat", "value"), GRID, 1.5)
+    return S.nearest_point(cells, points(spark, sf).select("lon", "lat", "value"), 1.5)
 
 
 @R.add(f"SELECT a.obs_id, CAST(ens AS INT) AS ens, x AS pred FROM (SELECT obs_id, tile FROM {_ASSIGN.format(x=0, y=0)} WHERE rn = 1) a JOIN {_STATE} USING (tile)", "pred")
@@ -120,7 +189,7 @@ def predict_obs_point(spark, sf):
     t = tiles(spark, sf)
     state = t.select("tile", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ens"))
     state = state.withColumn("x", F.when((F.col("tile") * F.col("ens")) % 97 != 0, ((F.col("tile") * 7 + F.col("ens") * 13) % 31).cast("double")))
-    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, GRID, 0.0)
+    return S.predict_obs(points(spark, sf).select("obs_id", "lon", "lat"), t, state, 0.0, grid=GRID)
 
 
 _V = f"(SELECT *, CASE WHEN tile % 5 <> 0 THEN elev END AS v FROM {TC})"
@@ -233,7 +302,7 @@ def class_lookup(spark, sf):
 )
 def obs_pairs_cov(spark, sf):
     df = points(spark, sf).select("obs_id", "lon", "lat", (1 + F.col("obs_id") % 3).cast("double").alias("obsvar"), (F.col("obs_id") % 2).cast("int").alias("species"), F.to_date("ts").alias("g"))
-    return S.pair_covariance(df, ["g"], GRID, 4.0, 4.0).select("obs_id", "obs_id_b", "cov")
+    return S.pair_covariance(df, ["g"], 4.0, 4.0).select("obs_id", "obs_id_b", "cov")
 
 
 _LO = "((13.5 - (hour(ts) + 1 + CAST(minute(ts) AS DOUBLE) / 60 + CAST(second(ts) AS DOUBLE) / 3600)) * 15 + 180)"

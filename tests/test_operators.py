@@ -99,14 +99,59 @@ def test_nearest_tile_takes_the_smaller_of_equals(spark):
 def test_ellipse_across_the_dateline(spark):
     p = spark.createDataFrame([(1, 179.0, 0.0)], "obs_id int, lon double, lat double")
     t = spark.createDataFrame([(1, -179.5, 0.0), (2, 178.0, 0.0)], "tile int, com_lon double, com_lat double")
-    found = lambda wrap: sorted(r["tile"] for r in S.in_ellipse(p, t, G.LatLonGrid(), F.lit(3.0), F.lit(3.0), wrap).collect())
+    found = lambda wrap: sorted(r["tile"] for r in S.in_ellipse(p, t, 3.0, 3.0, wrap).collect())
     assert found(False) == [2] and found(True) == [1, 2]
 
 
-def test_wide_searches_are_refused(spark):
-    p = spark.createDataFrame([(1, 0.0, 89.9)], "obs_id int, lon double, lat double")
-    with pytest.raises(Exception, match="too many cells"):
-        S.cells_around(p, G.LatLonGrid(dlon=0.01, dlat=0.01, n_lon=36000, n_lat=18000), "lon", "lat", F.lit(170.0), F.lit(1.0)).count()
+def searched(spark, km, wrap=True):
+    """(points, tiles, met, found) of a search in kilometres, points up to the poles."""
+    rng = np.random.default_rng(4)
+    places = [(i, float(rng.uniform(-180, 180)), float(v)) for i, v in enumerate([*rng.uniform(-90, 90, 150), 89.99, -89.99, 90.0, 88.0, -87.5, 0.0])]
+    tiles = [(i, float(rng.uniform(-180, 180)), float(math.degrees(math.asin(rng.uniform(-1, 1))))) for i in range(3000)] + [(9000 + i, i * 30.0 - 180, 89.9) for i in range(12)]
+    p = spark.createDataFrame(places, "obs_id int, lon double, lat double")
+    t = spark.createDataFrame(tiles, "tile int, com_lon double, com_lat double")
+    rx, ry = G.km_to_deg(float(km), F.col("lat"))
+    met = S.meet(p, t, rx, ry, wrap).select("obs_id", "tile").collect()
+    found = S.in_ellipse(p, t, rx, ry, wrap).select("obs_id", "tile").collect()
+    return places, tiles, [tuple(r) for r in met], [tuple(r) for r in found]
+
+
+@pytest.mark.parametrize("km", [1, 40, 300, 3000])
+def test_searches_meet_few_cells_and_all_within(spark, km):
+    places, tiles, met, found = searched(spark, km)
+    ry = km * 180 / (math.pi * G.EARTH_KM)
+    want, most = set(), 0
+    for o, x, y in places:
+        rx = ry / math.cos(math.radians(y))
+        d = lambda a: (a + 180) % 360 - 180
+        want |= {(o, t) for t, a, b in tiles if (d(a - x) / rx) ** 2 + ((b - y) / ry) ** 2 <= 1}
+        # Cells are at most twice the radius wide; three of them each way, around the box.
+        most += sum(abs(b - y) <= 5 * ry and abs(d(a - x)) <= 5 * rx for _, a, b in ((t, a, b) for t, a, b in tiles))
+    assert set(found) == want and len(found) == len(want) and len(met) == len(set(met))
+    assert want <= set(met) and len(met) <= most
+
+
+def test_cells_follow_the_radius(spark):
+    """A small radius doesn't search large cells: candidates are in proportion to the area."""
+    _, _, wide, _ = searched(spark, 3000)
+    _, _, small, _ = searched(spark, 40)
+    assert len(small) < len(wide) / 200
+
+
+def test_search_columns_levels_and_nulls(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.0, 0.0, None), (3, None, 0.0, 1.0), (4, 0.0, 0.0, 0.0), (5, 0.0, 0.0, 200.0)], "obs_id int, lon double, lat double, r double")
+    t = spark.createDataFrame([(1, 0.5, 0.5), (2, 90.0, 80.0), (3, None, 0.0), (4, 0.0, 0.0)], "tile int, com_lon double, com_lat double")
+    got = sorted((r.obs_id, r.tile) for r in S.in_ellipse(p, t, F.col("r"), F.col("r")).collect())
+    assert got == [(1, 1), (1, 4), (5, 1), (5, 2), (5, 4)]
+    assert S.in_ellipse(p.where("false"), t, F.col("r"), F.col("r")).count() == 0
+
+
+def test_two_tiles_in_an_equal_area_cell_are_refused(spark):
+    t = spark.createDataFrame([(1, 0.1, 0.1, 0.0, 1.0, 0.0, 1.0), (2, 0.12, 0.1, 0.0, 1.0, 0.0, 1.0)], "tile int, com_lon double, com_lat double, min_lon double, max_lon double, min_lat double, max_lat double")
+    p = spark.createDataFrame([(1, 0.1, 0.1), (2, 0.1, 89.9), (3, 200.0, 0.0)], "obs_id int, lon double, lat double")
+    with pytest.raises(Exception, match="more than 1 tiles"):
+        S.assign_tile(p, t, G.EaseGrid("M36"), 1.0).count()
+    assert [r.obs_id for r in S.assign_tile(p, t.where("tile = 1"), G.EaseGrid("M36"), 1.0).collect()] == [1]
 
 
 def test_one_observation_is_the_closed_form():
@@ -123,10 +168,10 @@ def test_update_mode_only_moves_what_it_may(spark):
     state = spark.createDataFrame([(t, e, *(float(e * (k + 1)) for k in range(len(fields)))) for t in (1, 2) for e in range(1, 5)], "tile long, ens int, " + ", ".join(f"{f} double" for f in fields))
     obs = spark.createDataFrame([(1, 0.1, 0.0, 1, 9.0, 0.5, "sfmc", 1), (2, 40.1, 0.0, 2, 9.0, 0.5, "tb", 2)], "obs_id long, lon double, lat double, species int, obs double, obsvar double, varname string, tile long")
     pred = spark.createDataFrame([(o, e, float(e), 0.0) for o in (1, 2) for e in range(1, 5)], "obs_id long, ens int, pred double, eps double")
-    got = {(r["tile"], r["ens"]): r for r in A.update_mode(12, tiles, state, obs, pred, G.LatLonGrid(), 2.0, 2.0).collect()}
+    got = {(r["tile"], r["ens"]): r for r in A.update_mode(12, tiles, state, obs, pred, 2.0, 2.0).collect()}
     assert got[1, 1]["srfexc"] != 0 and got[1, 1]["tc1"] == 0 and got[1, 1]["catdef"] == 0
     assert got[2, 1]["tc1"] != 0 and got[2, 1]["catdef"] != 0
-    assert A.apply_increments(state, A.update_mode(1, tiles, state, obs, pred, G.LatLonGrid(), 2.0, 2.0), list(A.MODES[1].fields)).count() == 8
+    assert A.apply_increments(state, A.update_mode(1, tiles, state, obs, pred, 2.0, 2.0), list(A.MODES[1].fields)).count() == 8
 
 
 def test_centred_members(spark):
