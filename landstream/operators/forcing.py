@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import LatLonGrid
+from .ranges import carried, in_ranges, within
 
 #: Stefan-Boltzmann constant, solar constant, least wind.
 SIGMA, SOLAR, LEAST_WIND = 5.67e-8, 1360.0, 1e-4
@@ -41,10 +42,16 @@ def backfill_par(df: DataFrame) -> DataFrame:
 
 
 def fill_from_next_tile(df: DataFrame, keys: list[str], value: str, most: float = 0.5) -> DataFrame:
-    """Null values take the next tile's if that is within `most` degrees; see unfilled_tiles() for those that stay null."""
-    w = Window.partitionBy(*keys).orderBy("tile")
-    d2 = (F.lead("lon").over(w) - F.col("lon")) ** 2 + (F.lead("lat").over(w) - F.col("lat")) ** 2
-    return df.withColumn(value, F.coalesce(F.col(value), F.when(d2 <= most * most, F.lead(value).over(w))))
+    """Null values take the next tile's if that is within `most` degrees; see unfilled_tiles() for those that stay null.
+
+    Tiles stand in ranges (see ranges.py): the last of a range takes the first of the next one.
+    """
+    ranged = in_ranges(df, keys, ["tile"])
+    place = F.struct("lon", "lat", value)
+    ranged = carried(ranged, keys, ["tile"], after=place).withColumn("__next", F.coalesce(F.lead(place).over(within(keys, ["tile"])), "__after"))
+    d2 = (F.col("__next.lon") - F.col("lon")) ** 2 + (F.col("__next.lat") - F.col("lat")) ** 2
+    filled = F.coalesce(F.col(value), F.when(d2 <= most * most, F.col(f"__next.{value}")))
+    return ranged.select(*(filled.alias(c) if c == value else F.col(c) for c in df.columns))
 
 
 def unfilled_tiles(filled: DataFrame, value: str) -> DataFrame:
@@ -64,15 +71,21 @@ def bracket_regular(times: DataFrame, forcing: DataFrame, keys: list[str], step:
 
 
 def bracket_asof(times: DataFrame, forcing: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Each time with the last record at or before it and the first after it, by one union and windows: one sort, no pairs."""
+    """Each time with the last record at or before it and the first after it, by one union and windows: no pairs.
+
+    Rows stand in ranges of (keys, time), so a key may have any share of all rows (see ranges.py). Of records at one time the
+    one with the largest value counts, null as the least.
+    """
     both = forcing.select(*keys, "time", F.col(value).alias("__v"), F.lit(0).alias("__q")).unionByName(times.select(*keys, "time", F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q")))
-    w = Window.partitionBy(*keys).orderBy("time", "__q")
+    order = ["time", "__q", "__v"]
+    ranged = in_ranges(both, keys, ["time", "__q"])
     record = F.when(F.col("__q") == 0, F.struct("time", "__v"))
-    out = both.withColumns({
-        "prv": F.last(record, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "nxt": F.first(record, True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-    })
-    return out.where("__q = 1").select(
+    w = within(keys, order)
+    found = carried(ranged, keys, order, record, record).withColumns({
+        "prv": F.coalesce(F.last(record, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before"),
+        "nxt": F.coalesce(F.first(record, True).over(w.rowsBetween(1, Window.unboundedFollowing)), "__after"),
+    }).where("__q = 1")
+    return found.select(
         *keys, "time", F.col("prv.time").alias("prv_time"), F.col("prv.__v").alias(f"{value}_prv"), F.col("nxt.time").alias("nxt_time"), F.col("nxt.__v").alias(f"{value}_nxt")
     )
 
