@@ -1,8 +1,12 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
 Equal vectors of one label are one class; only classes are compared. Each tree splits the unit vectors again and again by the
-median of a random projection; vectors within a margin of the threshold go to both sides. The splits are fitted on a bounded
-sample, as deep as the largest label asks for and the sample allows, and every vector descends every tree. Classes of one label that share a leaf
+median of a random projection; vectors within a margin of the threshold go to both sides. Two unit vectors of the threshold's
+cosine differ by s = sqrt(2 - 2 cosine), and the projection of that difference on a random direction of d dimensions deviates by
+s / sqrt(d), wherever the vectors lie; from it and from how densely a node's vectors lie at its split follows how many such pairs a margin
+loses. Each node takes the least margin that keeps the share that RECALL over all trees asks of it, and isn't split where that margin
+would send most of its vectors to both sides. The splits are fitted on a bounded sample, as deep as the largest label asks for and the
+sample allows, and every vector descends every tree. Classes of one label that share a leaf
 are compared exactly, in double precision; a pair that shares several leaves counts in the first of them only, which both sides
 can tell from their own lists of leaves. So links are counted and merged inside the leaves, and no list of pairs is made. Leaves
 with more than BLOCK classes are split into pairs of blocks that go to different tasks.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,10 +33,14 @@ from .common import components, hash_below, table, written
 
 COSINE = 0.98
 TREES = 6
-#: Vectors within this share of a projection's standard deviation of a split go to both sides.
-SPILL = 0.12
-#: Vectors that the splits are fitted on, at most.
-SAMPLE = 20_000
+#: The share of pairs at the threshold that meet in a leaf of at least one tree, by the splits' own estimate; closer pairs meet more often.
+RECALL = 0.95
+#: A node isn't split if its children would take more than this share of it each.
+MOST = 0.85
+#: Vectors that the splits of a length are fitted on, at most, and bytes of the sample and of all splits of a length.
+SAMPLE, BYTES = 20_000, 64 << 20
+#: Lengths of vectors that have trees, those with the largest labels; of others all pairs of a label are compared.
+LENGTHS = 16
 #: Classes of a leaf that the depth of the trees aims at, and that one task compares with each other at most.
 LEAF, BLOCK = 400, 1500
 
@@ -59,22 +68,48 @@ class Forest:
         return np.concatenate(rows), np.concatenate(out)
 
 
-def grow(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 5) -> Forest:
+def _lost(side: np.ndarray, bound: float, margin: float, apart: np.ndarray) -> float:
+    """The share of pairs, with projections `apart`, whose lower one is by `side` (sorted) and that a split with this margin parts."""
+    below = np.searchsorted(side, bound - margin)
+    from_ = np.searchsorted(side, bound + margin - apart)
+    return float(np.maximum(below - from_, 0).mean()) / len(side)
+
+
+#: Quantiles of the half-normal distribution, in the middle of 16 equal shares.
+_HALF = np.array([NormalDist().inv_cdf(0.5 + (k + 0.5) / 32) for k in range(16)])
+
+
+def grow(sample: np.ndarray, depth: int, trees: int = TREES, cosine: float = COSINE, recall: float = RECALL, seed: int = 5) -> Forest:
+    """Splits fitted on unit vectors; a node that isn't split sends all to its left child."""
     rng = np.random.default_rng(seed)
     inner, d = (1 << depth) - 1, sample.shape[1]
     normals = rng.standard_normal((trees, inner, d))
     normals /= np.linalg.norm(normals, axis=2, keepdims=True)
-    bounds, margins = np.zeros((trees, inner)), np.zeros((trees, inner))
+    bounds, margins = np.full((trees, inner), np.inf), np.zeros((trees, inner))
+    apart = np.sqrt(max(0.0, 2 - 2 * cosine) / d) * _HALF
+    # A tree may lose so much that all of them together reach the recall, and each of its levels a part of that.
+    allowed = 1 - (1 - (1 - recall) ** (1 / trees)) ** (1 / max(depth, 1))
     for t in range(trees):
         held = {0: np.arange(len(sample))}
         for node in range(inner):
             i = held.pop(node)
-            if not len(i):
-                held[2 * node + 1] = held[2 * node + 2] = i
+            children = 2 * node + 1, 2 * node + 2
+            held[children[0]], held[children[1]] = i, i[:0]
+            if len(i) < 8:
                 continue
             side = sample[i] @ normals[t, node]
-            bounds[t, node], margins[t, node] = np.median(side), spill * side.std() + 1e-12
-            held[2 * node + 1], held[2 * node + 2] = i[side < bounds[t, node]], i[side >= bounds[t, node]]
+            ranked = np.sort(side)
+            bound = ranked[len(ranked) // 2]
+            low, high = 0.0, float(apart[-1]) / 2  # at the upper end no pair is lost
+            for _ in range(7):
+                middle = (low + high) / 2
+                low, high = (low, middle) if _lost(ranked, bound, middle, apart) <= allowed else (middle, high)
+            margin = (0.0 if _lost(ranked, bound, 0.0, apart) <= allowed else high) + 1e-12
+            left, right = side - bound < margin, side - bound >= -margin
+            if max(left.sum(), right.sum()) > MOST * len(i):
+                continue
+            bounds[t, node], margins[t, node] = bound, margin
+            held[children[0]], held[children[1]] = i[left], i[right]
     return Forest(normals, bounds, margins, depth)
 
 
@@ -110,9 +145,11 @@ def sampling_share(n: int, sample: int = SAMPLE) -> int:
     return hash_below(min(1.0, sample / max(1, n)))
 
 
-def tree_depth(largest: int, sampled: int) -> int:
-    """Levels that bring the classes of the largest label down to LEAF in a leaf, as far as the sample has 8 vectors for each."""
-    return max(0, min(int(np.ceil(np.log2(max(1, largest / LEAF)))), int(np.log2(max(2, sampled / 8)))))
+def tree_depth(largest: int, sampled: int, d: int = 1, trees: int = TREES) -> int:
+    """Levels that bring the classes of the largest label down to LEAF in a leaf, as far as the sample has 8 vectors for each, and
+    as the splits' normals fit in BYTES."""
+    fits = int(np.log2(max(1.0, BYTES / (8 * d * trees))))
+    return max(0, min(int(np.ceil(np.log2(max(1, largest / LEAF)))), int(np.log2(max(2, sampled / 8))), fits))
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -141,14 +178,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     named = written(classes(vectors.select("vec_id", "embedding", "label")), "classes")
     sizes = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
     sizes = written(sizes.withColumn("d", F.size("embedding")), "classes")
-    lengths = {r["d"]: r["n"] for r in sizes.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}
+    # Lengths whose labels are all small need no trees; a row for each of the others, LENGTHS at most.
+    labels = sizes.groupBy("d", "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("largest"), F.sum("n").alias("n"))
     forests = {}
-    for d, n in lengths.items():
-        drawn = sizes.where((F.col("d") == d) & (F.xxhash64("class") <= sampling_share(n, sample))).select("embedding").limit(2 * sample)
-        rows = [r[0] for r in drawn.collect()] or [[1.0] * d]
+    for r in labels.where(F.col("largest") > LEAF).orderBy(F.desc("largest"), "d").limit(LENGTHS).collect():
+        d, most = r["d"], max(1, min(sample, BYTES // (8 * r["d"])))
+        drawn = sizes.where((F.col("d") == d) & (F.xxhash64("class") <= sampling_share(r["n"], most))).select("embedding").limit(2 * most)
+        rows = [x[0] for x in drawn.collect()] or [[1.0] * d]
         x = unit_vectors(np.arange(len(rows) + 1) * d, np.array(rows, np.float64).ravel())[1].reshape(-1, d)
-        largest = sizes.where(F.col("d") == d).groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        forests[d] = grow(x, tree_depth(largest, len(x)), trees)
+        forests[d] = grow(x, tree_depth(r["largest"], len(x), d, trees), trees, cosine)
     held = spark.sparkContext.broadcast(forests)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +197,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
             for d in np.unique(lengths).tolist():
                 i = np.flatnonzero(lengths == d)
                 x = unit[offsets[i][:, None] + np.arange(d)]
-                row, leaf = held.value[d].leaves(x)
+                row, leaf = held.value[d].leaves(x) if d in held.value else (np.arange(len(i)), np.zeros(len(i), np.int64))
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
                 at = np.searchsorted(row, np.arange(len(i) + 1))

@@ -31,24 +31,70 @@ def test_vectors_whose_squares_overflow_or_vanish():
     assert np.allclose(unit[[0, 1, 2, 3]], np.tile([1, 2], 2) / np.sqrt(5)) and np.allclose(unit[10:12], [0.6, 0.8])
 
 
-@pytest.mark.parametrize("depth", [8, 10])
-def test_recall_of_the_forest_at_depth(depth):
-    rng = np.random.default_rng(depth)
-    x = rng.standard_normal((12_000, 64))
+def planted(kind, n, pairs, seed, d=64):
+    """Unit vectors, of which `pairs` have a partner at cosine 0.98 to 0.985 further on: isotropic, about a common mean, or with a
+    spectrum that falls off."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d))
+    if kind == "spectrum":
+        x *= np.arange(1, d + 1) ** -0.5
+        x += 2.6 * np.eye(d)[0]
+    elif kind:
+        common = np.ones(d) / np.sqrt(d)
+        x = np.sqrt(1 - kind) * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(kind) * common
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    off = rng.standard_normal((600, 64))
-    off -= (off * x[:600]).sum(1, keepdims=True) * x[:600]
+    off = rng.standard_normal((pairs, d)) if kind != "spectrum" else rng.standard_normal((pairs, d)) * np.arange(1, d + 1) ** -0.5
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
     off /= np.linalg.norm(off, axis=1, keepdims=True)
-    cosine = rng.uniform(0.98, 0.985, (600, 1))
-    near = cosine * x[:600] + np.sqrt(1 - cosine**2) * off
+    cosine = rng.uniform(0.98, 0.985, (pairs, 1))
+    return x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * off
+
+
+@pytest.mark.parametrize("depth", [8, 11])
+@pytest.mark.parametrize("kind", [0, 0.9, 0.94, "spectrum"])
+def test_recall_of_the_forest_at_depth(kind, depth):
+    x, near = planted(kind, 20_000, 600, depth)
     forest = embedding_dedup.grow(x, depth)
-    row, leaf = forest.leaves(np.concatenate([x, near]))
-    leaves = [set() for _ in range(len(x) + 600)]
+    both = np.concatenate([x[:4000], near])
+    row, leaf = forest.leaves(both)
+    leaves = [set() for _ in range(len(both))]
+    for r, v in zip(row.tolist(), leaf.tolist(), strict=True):
+        leaves[r].add(v)
+    assert sum(bool(leaves[i] & leaves[4000 + i]) for i in range(600)) >= 0.9 * 600
+    if kind == 0:  # leaves do prune: unrelated vectors seldom share one
+        assert np.mean([bool(leaves[i] & leaves[i + 1500]) for i in range(2000)]) < 0.5
+
+
+def test_vectors_that_are_all_near_one_another_stay_together():
+    """All pairs are links: hardly a node is split, and all pairs but few meet, at any depth."""
+    rng = np.random.default_rng(1)
+    x = np.ones((5000, 32)) + 0.01 * rng.standard_normal((5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = embedding_dedup.grow(x, 6)
+    row, leaf = forest.leaves(x)
+    leaves = [set() for _ in range(5000)]
     for r, v in zip(row.tolist(), leaf.tolist(), strict=True):
         leaves[r].add(v)
-    assert sum(bool(leaves[i] & leaves[len(x) + i]) for i in range(600)) >= 0.9 * 600
-    # Leaves do prune: unrelated vectors seldom share one.
-    assert np.mean([bool(leaves[i] & leaves[i + 5000]) for i in range(2000)]) < 0.3
+    assert np.isinf(forest.bounds).mean() > 0.8
+    assert np.mean([bool(leaves[i] & leaves[i + 2500]) for i in range(2500)]) >= 0.95
+
+
+@pytest.mark.parametrize("kind", [0, 0.9, "spectrum"])
+def test_whole_job_at_depth_against_all_pairs(spark, monkeypatch, kind):
+    """near_duplicates() with splits: at least 0.9 of the links of all pairs, and none else; components from them."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 20)
+    x, near = planted(kind, 2500, 400, 3)
+    rows = np.concatenate([x, near])
+    assert embedding_dedup.tree_depth(len(rows), len(rows), 64) >= 7
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    close = rows @ rows.T >= 0.98
+    np.fill_diagonal(close, False)
+    want = close.sum(1)
+    assert len(got) == len(rows) and all(got[i].n_links <= want[i] for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * want.sum() > 0
+    linked = {i for i in got if got[i].component_id != i}
+    assert all(want[i] for i in linked) and all(got[i].kept == (i not in linked) for i in got)
 
 
 def test_a_shared_folder_is_needed_on_a_cluster():
