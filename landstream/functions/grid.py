@@ -151,3 +151,15 @@ def neighbours(grid: Grid, i: Column, j: Column, reach: int = 1) -> Column:
     pairs = F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct(turned(i + a).alias("i"), (j + b).alias("j")))))
     within = lambda c: c["i"].between(first, first + cols - 1) & c["j"].between(first, first + rows - 1)
     return F.array_distinct(F.filter(pairs, within))
+
+
+def curve(lon: Column, lat: Column, bits: int = 20) -> Column:
+    """A place's number along a curve that keeps neighbours together: the bits of its cell's column and row in turn."""
+
+    def apart(x: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    cell = lambda x, whole: F.greatest(F.least(F.floor(x / whole * (1 << bits)), F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
+    return apart(cell(lon + 180, 360.0)).bitwiseOR(F.shiftleft(apart(cell(lat + 90, 180.0)), 1))

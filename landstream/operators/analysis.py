@@ -6,10 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..functions.grid import curve
+from ..sources.paths import kept
+from .ranges import RANGE, in_ranges, within
 from .spatial import local_obs
 
 
@@ -42,8 +45,8 @@ MODES = {
 }
 
 
-#: Tiles that are solved in one group.
-BLOCK = 64
+#: Pairs of a tile and an observation that are solved in one group.
+BLOCK = 2048
 
 
 def _taper(dx: np.ndarray, dy: np.ndarray, xc: float, yc: float) -> np.ndarray:
@@ -73,6 +76,22 @@ def solve_tile(x: np.ndarray, y: np.ndarray, innovations: np.ndarray, r: np.ndar
     return out + (1 - 1 / inflation) * dx
 
 
+def blocks(tiles: DataFrame, met: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(tile, com_lon, com_lat, n, block) of tiles that meet observations. met: tile, obs_id.
+
+    Tiles stand along a curve that keeps neighbours together, and prefix sums of their numbers of observations cut it into blocks of
+    about `size` pairs: so blocks take equal work, and an observation goes to the few blocks around it. The sums are of ranges of the
+    curve first, and then within each range.
+    """
+    weighted = tiles.select("tile", "com_lon", "com_lat").join(met.groupBy("tile").agg(F.count("*").alias("n")), "tile")
+    ranged = in_ranges(weighted.withColumn("__curve", curve(F.col("com_lon"), F.col("com_lat"))), [], ["__curve", "tile"])
+    totals = ranged.groupBy(RANGE).agg(F.sum("n").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    before = F.sum("n").over(within([], ["__curve", "tile"])) - F.col("n")
+    placed = ranged.join(totals.select(RANGE, ahead.alias("__ahead")), RANGE).withColumn("__before", before)
+    return placed.select("tile", "com_lon", "com_lat", "n", F.floor((F.col("__ahead") + F.col("__before")) / F.lit(size)).alias("block"))
+
+
 def enkf_increments(
     tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, fields: list[str], xc: float, yc: float,
     tapered: bool = True, corr: tuple[float, float] | None = None, inflation: float = 1.0,
@@ -80,15 +99,16 @@ def enkf_increments(
     """(tile, ens, increments of fields) for tiles with observations in their box.
 
     state: tile, ens, fields; obs: obs_id, lon, lat, species, obs, obsvar; pred: obs_id, ens, pred, eps (observation noise).
-    Tiles are solved in blocks of BLOCK neighbouring numbers: only pairs of ids meet in the join by cells, then each block takes
-    each of its observations once, with its members as arrays. corr: correlation lengths of observation errors within a species.
+    Tiles are solved in blocks of neighbours with equal work (see blocks()): only pairs of ids meet in the join by cells, then each
+    block takes each of its observations once, with its members as arrays. corr: correlation lengths of observation errors within a species.
     """
-    block = F.floor(F.col("tile") / BLOCK)
     members = pred.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("ens", "pred", "eps"))).alias("m"))
     members = members.select("obs_id", F.col("m.pred").alias("pred"), F.col("m.eps").alias("eps"))
-    near = local_obs(tiles, obs.select("obs_id", "lon", "lat"), xc, yc).select(block.alias("block"), "obs_id").distinct()
+    met = kept(local_obs(tiles, obs.select("obs_id", "lon", "lat"), xc, yc).select("tile", "obs_id"), "pairs")
+    dealt = kept(blocks(tiles, met), "blocks")
+    near = met.join(dealt.select("tile", F.col("block").alias("at")), "tile").select("at", "obs_id").distinct()
     near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar").join(members, "obs_id"), "obs_id")
-    placed = state.select("tile", "ens", *fields).join(tiles.select("tile", "com_lon", "com_lat"), "tile").withColumn("block", block)
+    placed = state.select("tile", "ens", *fields).join(dealt.select("tile", "com_lon", "com_lat", "block"), "tile")
 
     def solve(key: tuple, s: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({c: [] for c in ("tile", "ens", *fields)})]
@@ -117,7 +137,7 @@ def enkf_increments(
         return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
     schema = ", ".join(["tile long", "ens int", *(f"{f} double" for f in fields)])
-    return placed.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(solve, schema)
+    return placed.groupBy("block").cogroup(near.groupBy("at")).applyInPandas(solve, schema)
 
 
 def enkf_single_obs(state: DataFrame, obs: DataFrame, pred: DataFrame, field: str) -> DataFrame:

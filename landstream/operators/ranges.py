@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.paths import shared
+from ..sources.paths import kept
 
 RANGE = "__range"
 
@@ -20,9 +20,7 @@ RANGE = "__range"
 def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df with the number of its range; ranges follow the order of (keys, order), and equal rows share one."""
     ranged = df.repartitionByRange(*(F.col(k).asc_nulls_first() for k in keys), *(F.col(c).asc_nulls_first() for c in order)).withColumn(RANGE, F.spark_partition_id())
-    path = shared(df.sparkSession, "ranges")
-    ranged.write.parquet(path)
-    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+    return kept(ranged, "ranges")
 
 
 def within(keys: list[str], order: list[str]) -> Window:

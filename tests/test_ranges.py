@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from landstream.functions.grid import curve
+from landstream.operators import analysis as A
 from landstream.operators import forcing as W
+from landstream.operators import spatial as S
 from landstream.operators.ranges import in_ranges
 
 
@@ -59,3 +62,33 @@ def test_next_tile_over_borders(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, time int, v double")
     assert W.bracket_asof(none, none, ["k"], "v").count() == 0
+
+
+def test_blocks_have_equal_work_and_follow_place(spark):
+    """Blocks by prefix sums along the curve: none has more than twice the median's pairs, and an observation is in few of them."""
+    rng = random.Random(9)
+    tiles = [(rng.randrange(10**9), rng.gauss(0, 40) % 360 - 180, max(-89.0, min(89.0, rng.gauss(20, 25)))) for _ in range(3000)]
+    obs = [(i, rng.gauss(0, 40) % 360 - 180, max(-89.0, min(89.0, rng.gauss(20, 25)))) for i in range(4000)]
+    t = spark.createDataFrame(tiles, "tile long, com_lon double, com_lat double")
+    met = S.local_obs(t, spark.createDataFrame(obs, "obs_id int, lon double, lat double"), 3.0, 3.0).select("tile", "obs_id").cache()
+    made = A.blocks(t, met, 512).collect()
+    counts = {r[0]: r[1] for r in met.groupBy("tile").count().collect()}
+    assert {r.tile: r.n for r in made} == counts
+    work = {}
+    for r in made:
+        work[r.block] = work.get(r.block, 0) + r.n
+    inner = sorted(v for k, v in work.items() if k != max(work))  # the last block is what is left
+    assert len(work) > 20 and inner[-1] <= 2 * inner[len(inner) // 2]
+    of = {r.tile: r.block for r in made}
+    shared, by_number, ordered = {}, {}, sorted(of)
+    place = {x: i // (len(ordered) // len(work)) for i, x in enumerate(ordered)}
+    for r in met.collect():
+        shared.setdefault(r.obs_id, set()).add(of[r.tile])
+        by_number.setdefault(r.obs_id, set()).add(place[r.tile])
+    mean = lambda d: sum(map(len, d.values())) / len(d)
+    assert mean(shared) < 5 and mean(shared) < mean(by_number) / 2
+
+
+def test_the_curve_interleaves_bits(spark):
+    row = spark.range(1).select(curve(F.lit(-180.0 + 360 * 5 / 8), F.lit(-90.0 + 180 * 3 / 8), 3).alias("a"), curve(F.lit(180.0), F.lit(90.0)).alias("b"), curve(F.lit(-180.0), F.lit(-90.0)).alias("c")).first()
+    assert row.a == 0b011011 and row.b == (1 << 40) - 1 and row.c == 0
