@@ -11,6 +11,7 @@ from ..sources.paths import shared
 from ..streaming import events as E
 from ..streaming import state as T
 from ..streaming import windows as W
+from ..streaming.compaction import MonthlySums
 from . import diagnostics as Q
 from .fixtures import OBS, ORDER, POINTS, SERIES, TILES, bias_sql, frame, sql
 from .register import Registry
@@ -91,6 +92,18 @@ def incremental_sums(spark, sf):
     return W.merged(spark, path, keys)
 
 
+def monthly_partial(df):
+    return df.groupBy(F.trunc("ts", "week").alias("month"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value_sum"), F.sum(F.col("value") ** 2).alias("value_sum2"))
+
+
+@R.add("SELECT CAST(date_trunc('week', ts) AS DATE) AS month, user_id, count(*) AS n, sum(value) AS value_sum, sum(value * value) AS value_sum2 FROM events GROUP BY ALL", "value_sum value_sum2")
+def compacted_sums(spark, sf):
+    """Sums of a stream that are compacted every other batch; weeks stand for months, as the table has one month."""
+    sums = MonthlySums(spark, shared(spark, "compacted"), monthly_partial, ["month", "user_id"], every=2)
+    sums.run(arrivals(spark, sf))
+    return sums.read()
+
+
 BIAS = T.obs_bias(10800, 864000.0, 5 * 86400)
 BIAS_SCHEMA = "obs_id long, us long, obs double, bias double, assim boolean"
 
