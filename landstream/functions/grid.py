@@ -130,7 +130,7 @@ class EaseGrid:
     def inside(self, lon: Column, lat: Column) -> Column:
         _, cols, rows = EASE2[self.name]
         col, row = self.cell(lon, lat)
-        return F.coalesce(lon.between(-180, 180) & col.between(0, cols - 1) & row.between(0, rows - 1), F.lit(False))
+        return F.coalesce((lon > -180) & (lon < 180) & col.between(0, cols - 1) & row.between(0, rows - 1), F.lit(False))
 
     def centre(self, col: Column, row: Column) -> tuple[Column, Column]:
         lat, lon = ease2_latlon(row, col, self.name)

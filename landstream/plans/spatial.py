@@ -115,9 +115,9 @@ def ease_cell(grid: str, lon: str = "lon", lat: str = "lat") -> tuple[str, str]:
     return col, f"CAST(round({(rows - 1) / 2} - {RADIUS} * {q} / (2 * {k}) / CAST({scale!r} AS DOUBLE)) AS INT)"
 
 
-def _ease(grid: str) -> str:
+def _ease(grid: str, edge: str = ">") -> str:
     i, j = ease_cell(grid)
-    return f"SELECT obs_id, value, user_id, {i} AS ci, {j} AS cj FROM {P} WHERE lon > -180 AND lon < 180"
+    return f"SELECT obs_id, value, user_id, {i} AS ci, {j} AS cj FROM {P} WHERE lon {edge} -180 AND lon < 180"
 
 
 def ease_tiles(spark, sf, grid):
@@ -154,7 +154,7 @@ def tiles_by_cell_ease(spark, sf):
 
 @R.add(
     f"""SELECT ci // 4 AS gi, cj // 4 AS gj, arg_min(g, CAST(cj AS BIGINT) * 10000 + ci) AS representative, avg(g) AS mean, coalesce(stddev_samp(g), 0) AS stdv, coalesce(stddev_samp(g), 0) > 0.01 AS uneven
-    FROM (SELECT ci, cj, avg(value) AS g FROM ({_ease('M09')}) GROUP BY ALL) GROUP BY ALL""", "representative mean stdv"
+    FROM (SELECT ci, cj, avg(value) AS g FROM ({_ease('M09', '>=')}) GROUP BY ALL) GROUP BY ALL""", "representative mean stdv"
 )
 def coarsen_cells_ease(spark, sf):
     """Cells of the 9 km grid nest in those of the 36 km grid, four each way."""
@@ -163,7 +163,7 @@ def coarsen_cells_ease(spark, sf):
 
 
 @R.add(
-    f"""WITH c AS MATERIALIZED (SELECT ci, cj, avg(value) AS g FROM ({_ease('M36')}) GROUP BY ALL) SELECT a.ci, a.cj, avg(b.g) AS g FROM c a JOIN c b
+    f"""WITH c AS MATERIALIZED (SELECT ci, cj, avg(value) AS g FROM ({_ease('M36', '>=')}) GROUP BY ALL) SELECT a.ci, a.cj, avg(b.g) AS g FROM c a JOIN c b
     ON abs(a.cj - b.cj) <= 1 AND least(abs(a.ci - b.ci), {EASE2['M36'][1]} - abs(a.ci - b.ci)) <= 1 GROUP BY a.ci, a.cj""", "g"
 )
 def neighbour_mean_ease(spark, sf):
