@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import eight_day_slot, pentad
 from ..functions.numeric import ratio
+from .order_stats import order_statistics
 
 PENTADS, SLOTS, DAYS = 73, 46, 365
 
@@ -27,25 +28,27 @@ def to_pentads(daily: DataFrame, days: int) -> DataFrame:
     return spread.withColumn("pentad", (F.pmod(F.col("pentad") - 1, F.lit(PENTADS)) + 1).cast("int"))
 
 
-def circular_pentads(df: DataFrame, k: int, time: str = "time") -> DataFrame:
-    """Each sample once for each of the k pentads around its own; all years pool."""
-    return df.withColumn("pentad", F.explode(around(pentad(F.col(time)), k // 2, PENTADS)))
-
-
 def clim_stats(df: DataFrame, keys: list[str], value: str, k: int = 5, least: int = 1) -> DataFrame:
-    """Mean, sample deviation, extremes and number per key and pentad, over a circular window of k pentads; nulls don't count."""
-    pooled = circular_pentads(df.where(F.col(value).isNotNull()), k)
-    stats = pooled.groupBy(*keys, "pentad").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdv"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("n"))
+    """Mean, sample deviation, extremes and number per key and pentad, over a circular window of k pentads; nulls don't count.
+
+    Each pentad is summed up by itself, and windows add up k sums in place of k copies of each sample; squares are about the
+    pentads' own means.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys, pentad(F.col("time")).alias("pentad"))
+    sums = own.agg(F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ss"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("c"))
+    w = Window.partitionBy(*keys, "pentad")
+    pooled = sums.withColumn("pentad", F.explode(around(F.col("pentad"), k // 2, PENTADS)))
+    pooled = pooled.withColumn("mean", F.sum(F.col("m") * F.col("c")).over(w) / F.sum("c").over(w))
+    squares = F.sum(F.col("ss") + F.col("c") * (F.col("m") - F.col("mean")) ** 2)
+    stats = pooled.groupBy(*keys, "pentad").agg(F.first("mean").alias("mean"), F.sqrt(F.try_divide(squares, F.nullif(F.sum("c") - 1, F.lit(0)))).alias("stdv"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("c").alias("n"))
     return stats.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("mean", "stdv", "min", "max")})
 
 
 def clim_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], k: int = 5) -> DataFrame:
-    """Values at rank round(p / 100 * N), at least 1, by row numbers: a group of any size is sorted and spilled, never collected."""
-    pooled = circular_pentads(df.where(F.col(value).isNotNull()), k)
-    w = Window.partitionBy(*keys, "pentad")
-    ranked = pooled.select(*keys, "pentad", value, F.row_number().over(w.orderBy(value)).alias("rank"), F.count("*").over(w).alias("n"))
-    rank = {p: F.greatest(F.floor((F.lit(p) * F.col("n") + 50) / 100), F.lit(1)) for p in percents}
-    return ranked.groupBy(*keys, "pentad").agg(F.first("n").alias("n"), *(F.max(F.when(F.col("rank") == rank[p], F.col(value))).alias(f"p{p:02d}") for p in percents))
+    """Values at rank round(p / 100 * N), at least 1, of circular windows of k pentads: exact, by order_statistics()."""
+    placed = df.withColumn("pentad", pentad(F.col("time")))
+    ranks = {f"p{p:02d}": lambda n, p=p: F.greatest(F.floor((n * p + 50) / 100), F.lit(1)) for p in percents}
+    return order_statistics(placed, keys, value, ranks, "pentad", around(F.col("pentad"), k // 2, PENTADS))
 
 
 def day_spine(df: DataFrame, keys: list[str], days: int = DAYS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip_abs, ratio
 from ..sources.paths import shared
+from .order_stats import order_statistics
 
 
 def mean_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -27,10 +28,9 @@ def moments(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def five_number(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Smallest, lower quartile, median, upper quartile, largest, by order statistics: of N sorted values those at ceil(N/4),
     ceil(N/2), and N + 1 - ceil(N/4)."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    at = {"min": F.lit(1), "q1": F.ceil(F.col("n") / 4), "median": F.ceil(F.col("n") / 2), "q3": F.col("n") + 1 - F.ceil(F.col("n") / 4), "max": F.col("n")}
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("r") == c, F.col(value))).alias(k) for k, c in at.items()))
+    quarter = lambda n: F.ceil(n / 4)
+    ranks = {"min": lambda n: F.lit(1), "q1": quarter, "median": lambda n: F.ceil(n / 2), "q3": lambda n: n + 1 - quarter(n), "max": lambda n: n}
+    return order_statistics(df, keys, value, ranks).drop("n")
 
 
 def center_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
