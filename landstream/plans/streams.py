@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
@@ -295,6 +297,23 @@ def ingest_obs_fcst_ana(spark, sf):
     return ingest.decode_obs_fcst_ana(files, "x").select("time", "assim", "species", "tilenum", "obs", "obsvar", "fcst", "ana", "exp")
 
 
+@R.add(
+    f"""SELECT 'x' AS exp, time, CAST(species AS BIGINT) AS species, tile AS tilenum, CAST(CAST(obs AS FLOAT) AS DOUBLE) AS obs, CASE WHEN assim THEN CAST(CAST(obsvar AS FLOAT) AS DOUBLE) END AS obsvar
+    FROM (SELECT *, row_number() OVER (PARTITION BY time, tile, species ORDER BY {", ".join(f"{c} DESC" for c in ORDER)}) AS rn FROM {sql(OBS)})
+    WHERE rn = 1 AND time > TIMESTAMP '2024-01-10 00:00:00' AND time <= TIMESTAMP '2024-01-20 00:00:00'""", "obs obsvar", 3
+)
+def obs_files_window(spark, sf):
+    """Files of two experiments on disk; the source opens those of one in a window of time, and decodes four of eleven records."""
+    from ..sources import obs_source
+
+    df = last_by(frame(spark, sf, OBS), ["time", "tile", "species"], ORDER)
+    rows = df.select(F.col("time").cast("timestamp").alias("time"), F.col("assim").cast("int").alias("assim"), "species", F.col("tile").alias("tilenum"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), "obs", F.when(F.col("assim"), F.col("obsvar")).alias("obsvar"), "fcst", "fcstvar", "ana", "anavar")
+    both = F.explode(F.array(*(F.concat(F.lit(f"{exp}/{exp}.obs."), F.col("path")) for exp in "xy")))
+    folder = shared(spark, "obs-source")
+    obs_source.write_files(ingest.encode_obs_fcst_ana(rows).withColumn("path", both), folder)
+    return obs_source.read_window(spark, folder, datetime(2024, 1, 10), datetime(2024, 1, 20), ["x"], ["exp", "time", "species", "tilenum", "obs", "obsvar"])
+
+
 @R.add(f"SELECT tile AS tile_id, CAST(100 AS BIGINT) AS typ, com_lon, com_lat, max_lon, frac_cell, area FROM {sql(TILES)}", "com_lon com_lat max_lon frac_cell area", 3)
 def ingest_tiles(spark, sf):
     """Tile catalogues of ten thousand tiles each, encoded and decoded."""
