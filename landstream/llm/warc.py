@@ -32,6 +32,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bounds of the files, and with them of what a task reads at once: records, and bytes of payloads (or one record).
 RECORDS_PER_FILE, BYTES_PER_FILE = 10_000, 1 << 30
+#: Classes of payloads by size: class 0 takes all that fit a full file of records, each further one twice the size.
+CLASSES = 16
 #: Bytes that are decompressed at once.
 CHUNK = 1 << 20
 
@@ -93,17 +95,34 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str | None = None, longest: int | None = None) -> None:
-    """Write records (see record_text) as gzip-compressed archives within RECORDS_PER_FILE and BYTES_PER_FILE.
+def size_class(payload_bytes: Column) -> Column:
+    """The class of a payload's length (null: 0): class k holds lengths up to 2^k shares of a file, so long ones don't shorten other files."""
+    share = BYTES_PER_FILE // RECORDS_PER_FILE
+    found = F.lit(CLASSES - 1)
+    for k in reversed(range(CLASSES - 1)):
+        found = F.when(F.coalesce(payload_bytes, F.lit(0)) <= share << k, k).otherwise(found)
+    return found
 
-    date: of the new headers, now if it isn't given. longest: bytes of the longest payload, if known.
+
+def size_classes(payload_bytes: DataFrame) -> list[int]:
+    """The classes in a table of one column of lengths: CLASSES numbers at most."""
+    return sorted(r[0] for r in payload_bytes.select(size_class(F.col(payload_bytes.columns[0]))).distinct().collect())
+
+
+def write_archives(records: DataFrame, path: str, date: str | None = None, classes: list[int] | None = None) -> None:
+    """Write records (see record_text) as gzip-compressed archives within RECORDS_PER_FILE and BYTES_PER_FILE, or one record.
+
+    date: of the new headers, now if it isn't given. classes: those of the payloads' sizes, if known; each is a write of
+    its own.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    if longest is None:
-        longest = records.agg(F.max("payload_bytes")).first()[0]
-    most = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // max(1, longest or 0)))
-    lines = records.select(record_text(date).alias("value"))
-    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    if classes is None:
+        classes = size_classes(records.select("payload_bytes"))
+    for at, k in enumerate(classes or [0]):
+        mine = records.where(size_class(F.col("payload_bytes")) == k) if len(classes) > 1 else records
+        lines = mine.select(record_text(date).alias("value"))
+        out = lines.write.mode("append" if at else "error").option("lineSep", END + END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> k)).text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -200,8 +219,8 @@ def deduplicate_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str
     kinds = kinds.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "record_type", "refers_to")
     records = full.join(kinds, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")))
     # Headers are matched by hexadecimal digests; only records that are written need the longer way to base32.
-    longest = pages.agg(F.max(F.octet_length("payload"))).first()[0]
-    write_archives(records.withColumn("payload_digest", base32_of(F.col("payload_digest"))), path, date, longest)
+    classes = size_classes(pages.select(F.octet_length("payload")))
+    write_archives(records.withColumn("payload_digest", base32_of(F.col("payload_digest"))), path, date, classes)
     return read_archives(pages.sparkSession, path)
 
 

@@ -137,3 +137,22 @@ def test_words_are_counted_once_a_task(monkeypatch):
     assert seen == [3, 1]
     monkeypatch.setattr(token_counts, "MAX_WORDS", 2)
     assert token_counts.count_group(pieces, np.array([0, 9]), np.frombuffer(b"ab abab a", np.uint8), known).tolist() == [5]
+
+
+def test_a_long_page_leaves_other_files_full(spark, tmp_path):
+    """One page of 50 MB among 3000 of 4 bytes or less: the others stay in one file for each task."""
+    long = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789"), 5_000_000).alias("payload"))
+    short = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("payload"))
+    path = tmp_path / "archives"
+    back = warc.deduplicate_pages(short.unionByName(long), str(path))
+    assert back.agg(F.count("*"), F.sum("payload_bytes"), F.countDistinct("page_id")).first()[:] == (3001, 50_000_000 + 10 + 180 + 2700 + 8000, 3001)
+    counts = sorted(sum(1 for _ in warc.parse_archive(warc._inflated(f.read_bytes()))) for f in path.glob("*.gz"))
+    # Up to four tasks write the short ones; a task without rows may leave an empty file.
+    assert sum(counts) == 3001 and counts.count(1) == 1 and len([n for n in counts if n > 1]) <= 4
+
+
+@pytest.mark.parametrize("n", [None, 0, 1, 107_374, 107_375, 214_748, 214_749, 2**31 - 1])
+def test_classes_bound_the_bytes_of_files(spark, n):
+    k = warc.size_classes(spark.createDataFrame([(n,)], "n long"))[0]
+    assert max(1, warc.RECORDS_PER_FILE >> k) * (n or 0) <= warc.BYTES_PER_FILE or warc.RECORDS_PER_FILE >> k <= 1
+    assert k == 0 or (n or 0) > (warc.BYTES_PER_FILE // warc.RECORDS_PER_FILE) << (k - 1)
