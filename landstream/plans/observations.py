@@ -10,6 +10,7 @@ from ..functions.numeric import null_if_nodata
 from ..operators import observations as O
 from ..operators.spatial import with_cell
 from ..sources import ingest
+from ..sources.paths import shared
 from .fixtures import POINTS, frame, sql
 from .register import Registry
 
@@ -186,9 +187,10 @@ def suppress_species(spark, sf):
     return O.suppress_species(df, [(1, 2), (4, 7)], [1, 2, 4]).select("obs_id", "assim")
 
 
-@R.add(
-    f"SELECT strftime(date_trunc('hour', ts), '%Y%m%d_%H%M%Sz') AS analysis_time, kind AS descr, 'reader' || (k % 2) AS reader, CAST(count(*) AS INT) AS n_obs, 'file' || (user_id % 3) AS file FROM {P} GROUP BY ALL"
-)
+_LOG = f"SELECT strftime(date_trunc('hour', ts), '%Y%m%d_%H%M%Sz') AS analysis_time, kind AS descr, 'reader' || (k % 2) AS reader, CAST(count(*) AS INT) AS n_obs, 'file' || (user_id % 3) AS file FROM {P} GROUP BY ALL"
+
+
+@R.add(_LOG)
 def obs_log(spark, sf):
     df = points(spark, sf).select(
         F.date_trunc("hour", "ts").alias("analysis_time"), F.col("kind").alias("descr"), F.concat(F.lit("reader"), F.col("k") % 2).alias("reader"), F.concat(F.lit("file"), F.col("user_id") % 3).alias("file")
@@ -196,6 +198,16 @@ def obs_log(spark, sf):
     return ingest.obs_log(df)
 
 
+@R.add(f"SELECT descr, reader, CAST(count(DISTINCT analysis_time) AS INT) AS n_times, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM ({_LOG}) GROUP BY ALL")
+def read_obs_log(spark, sf):
+    """Logs written as text with blanks around their fields, as they are padded in files, and read again: observations by species and reader."""
+    path = shared(spark, "obs-log")
+    padded = obs_log(spark, sf).select(*(F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("analysis_time", "descr", "reader", "n_obs", "file")))
+    padded.write.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    log = ingest.read_obs_log(spark, path)
+    return log.groupBy("descr", "reader").agg(F.countDistinct("analysis_time").cast("int").alias("n_times"), F.sum("n_obs").alias("n_obs"))
+
+
 @R.add(
     f"""SELECT name, ts FROM (SELECT 'ab_' || CASE WHEN k % 9 = 0 THEN '2024013X000000' WHEN k % 9 = 1 THEN '20061231235959' ELSE strftime(ts, '%Y%m%d%H%M%S') END || '.bin' AS name,
     date_trunc('second', ts) AS ts, k FROM {P}) WHERE k % 9 > 1 AND ts > TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-04 00:00:00'"""
