@@ -23,7 +23,7 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["assign_tile", "tiles_in_ellipse", "local_obs", "predict_obs", "temporal_stats", "clim_stats", "enkf_single_obs", "interp_bilinear"])
+@pytest.mark.parametrize("name", ["assign_tile", "tiles_in_ellipse", "local_obs", "predict_obs", "temporal_stats", "clim_stats", "clim_percentiles", "five_number", "enkf_single_obs", "interp_bilinear"])
 def test_native_plans(spark, sf_dir, name):
     """No Python, no products of all pairs: range joins are equi-joins on cells."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
