@@ -3,6 +3,9 @@
 Range joins explode the covering cells of one side and join on the cell, so Spark sees an equi-join; the exact test follows. The
 cells of a search are about as large as its radius, whatever that is: the search grid has levels, and each row takes the level of its
 own radius (meet()), so that it meets the tiles of nine cells at most.
+
+Rows that share a place share the search: it runs over distinct places, and rows, or sums over the rows of a place, are joined to
+what their place found. So its work grows with the places, not with the product of the rows that stand at them.
 """
 
 from __future__ import annotations
@@ -48,23 +51,29 @@ def assign_tile(obs: DataFrame, tiles: DataFrame, grid: Grid, max_dist: Column |
     """The tile of an observation's cell that is nearest by Manhattan distance, the smallest id of equals.
 
     Observations outside the grid go; so do those outside the tile's box and farther than max_dist in longitude or latitude.
-    Each cell's tiles are one row, so each observation meets one row at most: equal observations stay apart, and nothing is
-    shuffled after the join.
+    The search is of distinct places (and distances): of tiles at one centre only the smallest id can win, and each cell's
+    centres are one row, so each place meets one row at most, and observations take the tile of their place, equal ones apart.
     """
     mx, my = max_dist if isinstance(max_dist, tuple) else (max_dist, max_dist)
-    points = with_cell(obs.where(grid.inside(F.col("lon"), F.col("lat"))), grid, "lon", "lat")
-    parts = F.struct("tile", "com_lon", "com_lat", "min_lon", "max_lon", "min_lat", "max_lat")
-    listed = with_cell(tiles, grid, "com_lon", "com_lat").join(bounded_cells(tiles, grid), ["ci", "cj"]).groupBy("ci", "cj").agg(F.collect_list(parts).alias("__tiles"))
-    lon, lat = F.col("lon"), F.col("lat")
     mx, my = (m if isinstance(m, Column) else F.lit(m) for m in (mx, my))
+    here = ["lon", "lat", "__mx", "__my"]
+    placed = obs.where(grid.inside(F.col("lon"), F.col("lat"))).withColumns({"__mx": mx, "__my": my})
+    points = with_cell(placed.select(*here).distinct(), grid, "lon", "lat")
+    box = ["min_lon", "max_lon", "min_lat", "max_lat"]
+    centres = with_cell(tiles, grid, "com_lon", "com_lat").groupBy("ci", "cj", "com_lon", "com_lat").agg(F.min(F.struct("tile", *box)).alias("t"))
+    parts = F.struct("t.tile", "com_lon", "com_lat", *(f"t.{c}" for c in box))
+    listed = centres.join(bounded_cells(tiles, grid), ["ci", "cj"]).groupBy("ci", "cj").agg(F.collect_list(parts).alias("__tiles"))
+    lon, lat, mx, my = (F.col(c) for c in here)
 
     def near(t: Column) -> Column:
         dx, dy = F.abs(lon - t["com_lon"]), F.abs(lat - t["com_lat"])
         boxed = lon.between(t["min_lon"], t["max_lon"]) & lat.between(t["min_lat"], t["max_lat"])
         return F.struct((dx + dy).alias("d"), t["tile"].alias("tile"), (boxed | ((dx <= mx) & (dy <= my))).alias("ok"))
 
-    best = points.join(listed, ["ci", "cj"]).withColumn("__best", F.array_min(F.transform("__tiles", near)))
-    return best.where("__best.ok").select(*obs.columns, F.col("__best.tile").alias("tile"))
+    best = points.join(listed, ["ci", "cj"]).withColumn("__best", F.array_min(F.transform("__tiles", near))).where("__best.ok")
+    best = best.select(*(F.col(c).alias(f"{c}_at") for c in here), F.col("__best.tile").alias("__tile"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_at")) if c.startswith("__") else F.col(c) == F.col(f"{c}_at") for c in here]  # a distance may be null
+    return placed.join(best, same).select(*obs.columns, F.col("__tile").alias("tile"))
 
 
 def assign_tile_fov(obs: DataFrame, tiles: DataFrame, grid: Grid, fov: float, units: str = "deg", shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
