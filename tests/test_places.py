@@ -46,3 +46,25 @@ def test_tiles_are_assigned_to_places(spark, monkeypatch):
         if best and abs(best[2] - x) <= 1:
             want[o] = best[1]
     assert len(want) > 400 and sorted((r.obs_id, r.tile) for r in made.collect()) == sorted(want.items()) and sizes[0] == 30
+
+
+def test_ellipses_search_places_and_give_all_pairs(spark, monkeypatch):
+    t, p, tiles, points = crowd(spark)
+    found, sizes = listed_most(spark, monkeypatch, lambda: S.in_ellipse(p, t, 3.5, 2.0).select("obs_id", "tile").collect())
+    want = {(o, u[0]) for o, x, y, _ in points for u in tiles if ((u[1] - x) / 3.5) ** 2 + ((u[2] - y) / 2) ** 2 <= 1}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want and sizes == [(30, 3)]
+
+
+@pytest.mark.parametrize("units", ["deg", "km"])
+def test_footprints_add_up_by_place(spark, monkeypatch, units):
+    t, p, tiles, points = crowd(spark)
+    state = t.select("tile", F.explode(F.array(F.lit(1), F.lit(2))).alias("ens")).withColumn("x", (F.col("tile") % 7 + F.col("ens")).cast("double"))
+    got, sizes = listed_most(spark, monkeypatch, lambda: {(r.obs_id, r.ens): r.pred for r in S.predict_obs(p, t, state, 150.0 if units == "km" else 3.5, units).collect()})
+    assert sizes == [(30, 3)]
+    for o, x, y, _ in points:
+        ry = 3.5 if units == "deg" else 300 * 180 / (np.pi * 6371)
+        rx = ry if units == "deg" else ry / np.cos(np.radians(y))
+        near = [(u, ((u[1] - x) / rx) ** 2 + ((u[2] - y) / ry) ** 2) for u in tiles]
+        near = [(u, u[7] * (np.exp(-2 * d) if units == "km" else 1)) for u, d in near if d <= 1]
+        for e in (1, 2):
+            assert got[o, e] == pytest.approx(sum(w * (u[0] % 7 + e) for u, w in near) / sum(w for _, w in near))
