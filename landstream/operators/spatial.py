@@ -198,15 +198,21 @@ def local_obs(tiles: DataFrame, obs: DataFrame, xc: float, yc: float, species: l
     if species:
         obs = obs.where(F.col("species").isin(*species))
     near = (F.abs(F.col("lon") - F.col("com_lon")) <= xc) & (F.abs(F.col("lat") - F.col("com_lat")) <= yc)
-    return meet(obs, tiles.select("tile", "com_lon", "com_lat"), xc, yc).where(near).drop("__rx", "__ry")
+    pairs = meet(obs.select("lon", "lat").distinct(), tiles.select(*PLACE).distinct(), xc, yc).where(near).select("lon", "lat", *PLACE)
+    return obs.join(pairs, ["lon", "lat"]).join(tiles.select("tile", *PLACE), PLACE).select(*obs.columns, "tile", *PLACE)
 
 
 def nearest_point(cells: DataFrame, points: DataFrame, reach: float = 0.14) -> DataFrame:
-    """Each cell's nearest point's value; null when none is within reach. cells: id, com_lon, com_lat; points: lon, lat, value."""
+    """Each cell's nearest point's value; null when none is within reach. cells: id, com_lon, com_lat; points: lon, lat, value.
+
+    Of points equally near the smallest value counts, so that a place needs its smallest only; a null is the last choice.
+    """
     d = F.sqrt((F.col("lon") - F.col("com_lon")) ** 2 + (F.col("lat") - F.col("com_lat")) ** 2)
-    found = meet(points, cells, reach, reach).withColumn("d", d).where(F.col("d") <= reach)
-    best = found.groupBy("id").agg(F.min(F.struct("d", "value")).alias("best"))
-    return cells.join(best, "id", "left").select("id", F.col("best.value").alias("value"))
+    best = F.min(F.struct("d", F.col("value").isNull().alias("none"), "value")).alias("best")
+    least = points.groupBy("lon", "lat").agg(F.min("value").alias("value"))
+    found = meet(least, cells.select(*PLACE).distinct(), reach, reach).withColumn("d", d).where(F.col("d") <= reach).groupBy(*PLACE).agg(best)
+    found = cells.join(found, PLACE).groupBy("id").agg(F.min("best").alias("best"))
+    return cells.join(found, "id", "left").select("id", F.col("best.value").alias("value"))
 
 
 def tile_to_grid(df: DataFrame, value: str, weight: str = "frac_cell") -> DataFrame:

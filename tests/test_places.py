@@ -68,3 +68,10 @@ def test_footprints_add_up_by_place(spark, monkeypatch, units):
         near = [(u, u[7] * (np.exp(-2 * d) if units == "km" else 1)) for u, d in near if d <= 1]
         for e in (1, 2):
             assert got[o, e] == pytest.approx(sum(w * (u[0] % 7 + e) for u, w in near) / sum(w for _, w in near))
+
+
+def test_the_nearest_of_many_points_at_one_place(spark, monkeypatch):
+    t, p, tiles, _ = crowd(spark)
+    got, sizes = listed_most(spark, monkeypatch, lambda: S.nearest_point(t.select(F.col("tile").alias("id"), "com_lon", "com_lat"), p, 1.5).collect())
+    # the first place of each ten is the tile's own; of its points k = 0 has no value, and a null is the last choice
+    assert len(got) == len(tiles) and {r.value for r in got} == {1.0} and sizes == [(30, 3)]
