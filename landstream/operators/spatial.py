@@ -321,14 +321,22 @@ def pair_covariance(obs: DataFrame, group: list[str], xc: float, yc: float, reac
 
 def swath_longitudes(start: Column, end: Column, local_hour: float) -> tuple[Column, Column]:
     """Longitudes at which it is the local hour at the end and at the start of a UTC window; the first exceeds the second where
-    the swath crosses the dateline."""
-    hours = lambda t: F.hour(t) + F.minute(t) / 60 + F.second(t) / 3600
-    at = lambda t: F.pmod((F.lit(local_hour) - hours(t)) * 15 + 180, F.lit(360.0)) - 180
+    the swath crosses the dateline. Hours count from the midnight before the window's middle, below 0 and over 24 too: a place on
+    the edge is in or out by the last bit, which another turn of the clock would change."""
+    day = F.to_date(F.timestamp_micros(F.floor((F.unix_micros(start) + F.unix_micros(end)) / 2).cast("long")))
+    hours = lambda t: F.datediff(F.to_date(t), day) * 24 + F.hour(t) + F.minute(t) / 60 + F.second(t) / 3600
+
+    def at(t: Column) -> Column:
+        x = (F.lit(local_hour) - hours(t)) * 15 + 180
+        return x - 360 * F.floor(x / 360) - 180
+
     return at(end), at(start)
 
 
 def in_swath(lon: Column, low: Column, high: Column) -> Column:
-    return F.when(low <= high, lon.between(low, high)).otherwise((lon >= low) | (lon <= high))
+    """Both longitudes are named once, in a struct, so that their long expressions aren't copied into each comparison."""
+    inside = lambda s: F.when(s["low"] <= s["high"], lon.between(s["low"], s["high"])).otherwise((lon >= s["low"]) | (lon <= s["high"]))
+    return F.exists(F.array(F.struct(low.alias("low"), high.alias("high"))), inside)
 
 
 def static_field_mean(df: DataFrame, tiles: DataFrame, value: str, reach: int) -> DataFrame:

@@ -34,6 +34,15 @@ def listed_most(spark, monkeypatch, make):
     return make(), got
 
 
+def test_a_swath_edge_is_in_or_out_as_in_sql(spark, tmp_path):
+    """Every twelve seconds the edges are hundredths of a degree; places stand on them, so the last bit decides."""
+    rows = "SELECT i, TIMESTAMP '2024-01-01' + to_seconds(12 * i) AS ts, CAST(round((((13.5 - 12 * i / 3600.0 - side) * 15 + 180) - 360 * floor(((13.5 - 12 * i / 3600.0 - side) * 15 + 180) / 360)) * 100) AS BIGINT) % 36000 AS c FROM range(7200) t(i), (SELECT unnest([-1, 1]) AS side)"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT row_number() OVER () * 100 + c % 100 AS event_id, ts, c // 100 * 253 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '1' AS props FROM ({rows})")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    assert differences(spark, str(tmp_path), catalog.QUERIES["swath_longitudes"], catalog.ORACLES["swath_longitudes"], con) == ""
+
+
 def test_tiles_are_assigned_to_places(spark, monkeypatch):
     t, p, tiles, points = crowd(spark)
     sizes, with_cell = [], S.with_cell
