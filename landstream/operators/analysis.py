@@ -59,21 +59,83 @@ def _taper(dx: np.ndarray, dy: np.ndarray, xc: float, yc: float) -> np.ndarray:
     return np.where((np.abs(dx) > xc) | (np.abs(dy) > yc), 0.0, np.where(d <= 1e-3, 1.0, out))
 
 
+def _gain(dy: np.ndarray, d: np.ndarray, r: np.ndarray, txy: np.ndarray | None, tyy: np.ndarray | None, exact: bool = True) -> np.ndarray:
+    """(members, members): deviations of a state times this are its increments. Otherwise than exact, the solution of least norm."""
+    n = dy.shape[1]
+    hph = dy @ dy.T / (n - 1)
+    a = (hph * tyy if tyy is not None else hph) + r
+    if exact:
+        z = np.linalg.solve(a, d)
+    else:
+        w, u = np.linalg.eigh((a + a.T) / 2)
+        some = np.abs(w) > len(w) * np.finfo(float).eps * np.abs(w).max()
+        z = u[:, some] @ ((u[:, some].T @ d) / w[some][:, None])
+    return (dy.T if txy is None else dy.T * txy) @ z / (n - 1)
+
+
 def solve_tile(x: np.ndarray, y: np.ndarray, innovations: np.ndarray, r: np.ndarray, taper_xy: np.ndarray | None = None, taper_yy: np.ndarray | None = None, inflation: float = 1.0) -> np.ndarray:
     """Increments of a state (fields by members) from predictions y (observations by members) and perturbed innovations.
 
     With inflation, deviations of state and predictions are stretched before the gain, the innovations are corrected for the
     stretched deviations of the predictions, and the increments refer to the state as it was before.
     """
-    n = x.shape[1]
     dx, dy = (x - x.mean(1, keepdims=True)) * inflation, (y - y.mean(1, keepdims=True)) * inflation
-    hph, xh = dy @ dy.T / (n - 1), dx @ dy.T / (n - 1)
-    if taper_yy is not None:
-        hph = hph * taper_yy
-    if taper_xy is not None:
-        xh = xh * taper_xy
-    out = xh @ np.linalg.solve(hph + r, innovations - (1 - inflation) * dy)
-    return out + (1 - 1 / inflation) * dx
+    return dx @ _gain(dy, innovations - (1 - inflation) * dy, r, taper_xy, taper_yy) + (1 - 1 / inflation) * dx
+
+
+def place_gain(
+    y: np.ndarray, innovations: np.ndarray, v: np.ndarray, kind: np.ndarray, at: np.ndarray, centre: np.ndarray, reach: tuple[float, float],
+    tapered: bool = True, corr: tuple[float, float] | None = None, inflation: float = 1.0,
+) -> np.ndarray:
+    """_gain() of all observations around a place; at: their longitudes and latitudes.
+
+    Tapers and correlations are those of sites, so the observations of a site are first brought together, with the same result.
+    Independent errors: sums of products of the members over the site, by the identity of Woodbury. Correlated ones: more
+    observations of a site than its members and species span are turned into as many as they span; then the system is singular (equal
+    species at one site are wholly correlated), and the solution is the one of least squares and least norm.
+    """
+    n, m = y.shape
+    dy = (y - y.mean(1, keepdims=True)) * inflation
+    d = innovations - (1 - inflation) * dy
+    if tapered or corr:
+        sites, of = np.unique(at, axis=0, return_inverse=True)
+        of = of.ravel()
+    else:
+        sites, of = centre[None, :], np.zeros(n, int)
+    between = sites[:, None, :] - sites[None, :, :]
+    t = _taper(*(sites - centre).T, *reach) if tapered else np.ones(len(sites))
+    tt = _taper(between[..., 0], between[..., 1], *reach) if tapered else np.ones((len(sites), len(sites)))
+    order = np.argsort(of, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+    if not corr:
+        if len(sites) * m >= n or not (v > 0).all():
+            return _gain(dy, d, np.diag(v), t[of], tt[np.ix_(of, of)])
+        w = np.stack([(dy[g] / v[g, None]).T @ dy[g] for g in groups])
+        b = np.stack([(dy[g] / v[g, None]).T @ d[g] for g in groups])
+        size = len(sites) * m
+        kw = np.einsum("ab,bij->aibj", tt, w).reshape(size, size) / (m - 1)
+        kb = np.einsum("ab,bij->aij", tt, b).reshape(size, m) / (m - 1)
+        q = np.linalg.solve(np.eye(size) + kw, kb).reshape(-1, m, m)
+        return np.einsum("s,sij->ij", t, b - w @ q) / (m - 1)
+    codes = pd.factorize(kind)[0]
+    codes = np.unique(np.where(codes < 0, n + np.arange(n), codes), return_inverse=True)[1].ravel()
+    e = np.zeros((n, codes.max() + 1))
+    e[np.arange(n), codes] = np.sqrt(v)
+    parts, exact = [], True
+    for s, g in enumerate(groups):
+        part = dy[g], e[g], d[g]
+        if len(g) > 1:
+            u, sv, _ = np.linalg.svd(np.hstack([dy[g], e[g]]), full_matrices=False)
+            rank = int((sv > 1e-10 * sv[0]).sum())
+            if rank < len(g):
+                part, exact = tuple(u[:, :rank].T @ x for x in part), False
+        parts.append((*part, np.full(len(part[0]), s)))
+    c = np.exp(-0.5 * ((between[..., 0] / corr[0]) ** 2 + (between[..., 1] / corr[1]) ** 2))
+    if exact:
+        r = np.where((codes[:, None] == codes[None, :]) & ~np.eye(n, dtype=bool), np.sqrt(np.outer(v, v)) * c[np.ix_(of, of)], np.diag(v))
+        return _gain(dy, d, r, t[of], tt[np.ix_(of, of)])
+    dy, e, d, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return _gain(dy, d, (e @ e.T) * c[np.ix_(of, of)], t[of], tt[np.ix_(of, of)], False)
 
 
 def blocks(tiles: DataFrame, met: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -94,46 +156,52 @@ def blocks(tiles: DataFrame, met: DataFrame, size: int = BLOCK) -> DataFrame:
 
 def enkf_increments(
     tiles: DataFrame, state: DataFrame, obs: DataFrame, pred: DataFrame, fields: list[str], xc: float, yc: float,
-    tapered: bool = True, corr: tuple[float, float] | None = None, inflation: float = 1.0,
+    tapered: bool = True, corr: tuple[float, float] | None = None, inflation: float = 1.0, own: bool = False,
 ) -> DataFrame:
-    """(tile, ens, increments of fields) for tiles with observations in their box.
+    """(tile, ens, increments of fields) for tiles with observations in their box; own: with observations of the tile, by obs' column tile.
 
     state: tile, ens, fields; obs: obs_id, lon, lat, species, obs, obsvar; pred: obs_id, ens, pred, eps (observation noise).
-    Tiles are solved in blocks of neighbours with equal work (see blocks()): only pairs of ids meet in the join by cells, then each
+    Tiles at one place see the same observations, so each place is solved once (place_gain()), and its tiles' states are multiplied.
+    Places are solved in blocks of neighbours with equal work (see blocks()): only pairs of ids meet in the join by cells, then each
     block takes each of its observations once, with its members as arrays. corr: correlation lengths of observation errors within a species.
     """
-    members = pred.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("ens", "pred", "eps"))).alias("m"))
+    members = pred.join(obs.select("obs_id"), "obs_id", "left_semi").groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("ens", "pred", "eps"))).alias("m"))
     members = members.select("obs_id", F.col("m.pred").alias("pred"), F.col("m.eps").alias("eps"))
-    met = kept(local_obs(tiles, obs.select("obs_id", "lon", "lat"), xc, yc).select("tile", "obs_id"), "pairs")
-    dealt = kept(blocks(tiles, met), "blocks")
+    spot = ["tile"] if own else ["com_lon", "com_lat"]
+    places = tiles if own else tiles.groupBy(*spot).agg(F.min("tile").alias("tile"))  # a place goes by its least tile
+    met = obs.select("tile", "obs_id").join(places.select("tile"), "tile", "left_semi") if own else local_obs(places, obs.select("obs_id", "lon", "lat"), xc, yc).select("tile", "obs_id")
+    met = kept(met, "pairs")
+    dealt = kept(blocks(places, met), "blocks")
     near = met.join(dealt.select("tile", F.col("block").alias("at")), "tile").select("at", "obs_id").distinct()
-    near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar").join(members, "obs_id"), "obs_id")
-    placed = state.select("tile", "ens", *fields).join(dealt.select("tile", "com_lon", "com_lat", "block"), "tile")
+    near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar", *(["tile"] if own else [])).join(members, "obs_id"), "obs_id")
+    placed = state.select("tile", "ens", *fields).join(tiles.select("tile", "com_lon", "com_lat"), "tile").join(dealt.select(*spot, "block"), spot)
 
     def solve(key: tuple, s: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({c: [] for c in ("tile", "ens", *fields)})]
         if len(s) and len(o):
-            s, o = s.sort_values(["tile", "ens"]), o.sort_values("obs_id")
+            s, o = s.sort_values([*spot, "tile", "ens"]), o.sort_values("obs_id")
             y_all, eps_all = np.stack(o["pred"]).astype(float), np.stack(o["eps"]).astype(float)
             lon_all, lat_all, v_all, obs_all = (o[c].to_numpy(float) for c in ("lon", "lat", "obsvar", "obs"))
-            kind_all = o["species"].to_numpy()
-            tile, x_all, ens = s["tile"].to_numpy(), s[fields].to_numpy(float), s["ens"].to_numpy()
-            edge = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            kind_all, mine = o["species"].to_numpy(), o.groupby("tile").indices if own else {}
+            x_all, tile = s[fields].to_numpy(float), s["tile"].to_numpy()
+            where = s[["com_lon", "com_lat"]].to_numpy(float)
+            place = s.groupby(spot, sort=False).ngroup().to_numpy()
+            d_all, some = np.zeros_like(x_all), np.zeros(len(s), bool)
+            edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             for a, b in zip(edge, np.append(edge[1:], len(tile)), strict=True):
-                cx, cy = s["com_lon"].iloc[a], s["com_lat"].iloc[a]
-                at = np.flatnonzero((np.abs(lon_all - cx) <= xc) & (np.abs(lat_all - cy) <= yc))
+                cx, cy = where[a]
+                at = mine.get(tile[a], []) if own else np.flatnonzero((np.abs(lon_all - cx) <= xc) & (np.abs(lat_all - cy) <= yc))
                 if not len(at):
                     continue
-                y, lon, lat, v, kind = y_all[at], lon_all[at], lat_all[at], v_all[at], kind_all[at]
-                r = np.diag(v)
-                ddx, ddy = lon[:, None] - lon[None, :], lat[:, None] - lat[None, :]
-                if corr:
-                    same = (kind[:, None] == kind[None, :]) & ~np.eye(len(v), dtype=bool)
-                    r = r + np.where(same, np.sqrt(np.outer(v, v)) * np.exp(-0.5 * ((ddx / corr[0]) ** 2 + (ddy / corr[1]) ** 2)), 0.0)
-                txy = _taper(lon - cx, lat - cy, xc, yc)[None, :] if tapered else None
-                tyy = _taper(ddx, ddy, xc, yc) if tapered else None
-                d = solve_tile(x_all[a:b].T, y, obs_all[at][:, None] + eps_all[at] - y, r, txy, tyy, inflation)
-                out.append(pd.DataFrame({"tile": tile[a:b], "ens": ens[a:b], **dict(zip(fields, d, strict=True))}))
+                y = y_all[at]
+                gain = place_gain(y, obs_all[at][:, None] + eps_all[at] - y, v_all[at], kind_all[at], np.column_stack([lon_all[at], lat_all[at]]), where[a], (xc, yc), tapered, corr, inflation)
+                starts = a + np.flatnonzero(np.append(True, tile[a + 1 : b] != tile[a : b - 1]))
+                for i, j in zip(starts, np.append(starts[1:], b), strict=True):
+                    x = x_all[i:j].T
+                    dx = (x - x.mean(1, keepdims=True)) * inflation
+                    d_all[i:j] = (dx @ gain + (1 - 1 / inflation) * dx).T
+                some[a:b] = True
+            out.append(pd.DataFrame({"tile": tile, "ens": s["ens"].to_numpy(), **dict(zip(fields, d_all.T, strict=True))})[some])
         return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
     schema = ", ".join(["tile long", "ens int", *(f"{f} double" for f in fields)])
@@ -156,18 +224,14 @@ def update_mode(mode: int, tiles: DataFrame, state: DataFrame, obs: DataFrame, p
     m = MODES[mode]
     wanted = obs.where(F.col("varname").isin(*m.variables))
     fields = [*m.fields, *m.with_tb, *m.peat]
-    reach = (xc, yc) if m.local else (1e-6, 1e-6)
-    if not m.local:  # an observation of the tile stands at its centre
-        centres = tiles.select("tile", F.col("com_lon").alias("__x"), F.col("com_lat").alias("__y"))
-        wanted = wanted.join(centres, "tile").withColumns({"lon": F.col("__x"), "lat": F.col("__y")}).drop("__x", "__y", "tile")
-    else:
-        wanted = wanted.drop("tile")
-    out = enkf_increments(tiles, state, wanted, pred, fields, *reach, tapered=m.local)
+    out = enkf_increments(tiles, state, wanted.drop("tile") if m.local else wanted, pred, fields, xc, yc, tapered=m.local, own=not m.local)
     if m.peat:
         out = out.join(tiles.select("tile", "porosity"), "tile")
         out = out.withColumns({f: F.when(F.col("porosity") >= peat, F.col(f)).otherwise(0.0) for f in m.peat}).drop("porosity")
     if m.with_tb:
-        found = local_obs(tiles, wanted.where("varname = 'tb'"), *reach).select("tile").distinct().withColumn("__tb", F.lit(True))
+        places = tiles.groupBy("com_lon", "com_lat").agg(F.min("tile").alias("tile"))
+        found = local_obs(places, wanted.where("varname = 'tb'").select("lon", "lat").distinct(), xc, yc).select("com_lon", "com_lat").distinct()
+        found = tiles.join(found, ["com_lon", "com_lat"]).select("tile").distinct().withColumn("__tb", F.lit(True))
         out = out.join(found, "tile", "left").withColumns({f: F.when(F.col("__tb"), F.col(f)).otherwise(0.0) for f in m.with_tb}).drop("__tb")
     return out
 
