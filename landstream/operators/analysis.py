@@ -173,7 +173,7 @@ def enkf_increments(
     met = kept(met, "pairs")
     dealt = kept(blocks(places, met), "blocks")
     near = met.join(dealt.select("tile", F.col("block").alias("at")), "tile").select("at", "obs_id").distinct()
-    near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar", *(["tile"] if own else [])).join(members, "obs_id"), "obs_id")
+    near = near.join(obs.select("obs_id", "lon", "lat", "species", "obs", "obsvar", *([F.col("tile").alias("owner")] if own else [])).join(members, "obs_id"), "obs_id")
     placed = state.select("tile", "ens", *fields).join(tiles.select("tile", "com_lon", "com_lat"), "tile").join(dealt.select(*spot, "block"), spot)
 
     def solve(key: tuple, s: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def enkf_increments(
             s, o = s.sort_values([*spot, "tile", "ens"]), o.sort_values("obs_id")
             y_all, eps_all = np.stack(o["pred"]).astype(float), np.stack(o["eps"]).astype(float)
             lon_all, lat_all, v_all, obs_all = (o[c].to_numpy(float) for c in ("lon", "lat", "obsvar", "obs"))
-            kind_all, mine = o["species"].to_numpy(), o.groupby("tile").indices if own else {}
+            kind_all, mine = o["species"].to_numpy(), o.groupby("owner").indices if own else {}
             x_all, tile = s[fields].to_numpy(float), s["tile"].to_numpy()
             where = s[["com_lon", "com_lat"]].to_numpy(float)
             place = s.groupby(spot, sort=False).ngroup().to_numpy()
