@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
-from ..operators.observations import last_by
 from ..sources import ingest, sinks
 from ..sources.paths import shared
 from ..streaming import events as E
@@ -291,7 +290,7 @@ def kept(df, path):
 )
 def ingest_obs_fcst_ana(spark, sf):
     """Binary files of observations, one for each analysis time, made of the table and decoded again."""
-    df = last_by(frame(spark, sf, OBS), ["time", "tile", "species"], ORDER)
+    (df,) = Q.last_rows(spark, sf, OBS)
     rows = df.select("time", F.col("assim").cast("int").alias("assim"), "species", F.col("tile").alias("tilenum"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), "obs", F.when(F.col("assim"), F.col("obsvar")).alias("obsvar"), "fcst", "fcstvar", "ana", "anavar")
     files = kept(ingest.encode_obs_fcst_ana(rows.withColumn("time", F.col("time").cast("timestamp"))), shared(spark, "obs-files"))
     return ingest.decode_obs_fcst_ana(files, "x").select("time", "assim", "species", "tilenum", "obs", "obsvar", "fcst", "ana", "exp")
@@ -306,7 +305,7 @@ def obs_files_window(spark, sf):
     """Files of two experiments on disk; the source opens those of one in a window of time, and decodes four of eleven records."""
     from ..sources import obs_source
 
-    df = last_by(frame(spark, sf, OBS), ["time", "tile", "species"], ORDER)
+    (df,) = Q.last_rows(spark, sf, OBS)
     rows = df.select(F.col("time").cast("timestamp").alias("time"), F.col("assim").cast("int").alias("assim"), "species", F.col("tile").alias("tilenum"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), "obs", F.when(F.col("assim"), F.col("obsvar")).alias("obsvar"), "fcst", "fcstvar", "ana", "anavar")
     both = F.explode(F.array(*(F.concat(F.lit(f"{exp}/{exp}.obs."), F.col("path")) for exp in "xy")))
     folder = shared(spark, "obs-source")
