@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import LatLonGrid
 from ..functions.numeric import clip, polyval, ratio as divide
+from .ranges import dealt, tasks
 
 
 def scale_zscore(obs: DataFrame, parameters: DataFrame, keys: list[str], mean_only: bool = False) -> DataFrame:
@@ -67,20 +68,24 @@ def stats_of_sums(sums: DataFrame, keys: list[str], least: int) -> DataFrame:
 def scaling_stats(df: DataFrame, keys: list[str], days: int, least: int) -> DataFrame:
     """Statistics of obs and mod per key and pentad, over a window of days around each pentad's middle, all years pooled.
 
-    Days are summed first; each daily sum then goes to the few pentads whose window holds it.
+    Days are summed first; each daily sum then goes to the few pentads whose window holds it. Rows move once, by keys: daily sums and
+    their copies stay in the task of their key.
     """
     from .climatology import to_pentads
 
-    spread = to_pentads(daily_sums(df, keys), days)
+    spread = to_pentads(daily_sums(dealt(df, keys, tasks(df)), keys), days)
     merged = spread.groupBy(*keys, "pentad").agg(*(F.sum(c).alias(c) for c in ("n", "so", "soo", "sm", "smm")), F.min("m_min").alias("m_min"), F.max("m_max").alias("m_max"))
     return stats_of_sums(merged, [*keys, "pentad"], least)
 
 
 def scaling_stats_combined(df: DataFrame, keys: list[str], species: str, days: int, least: int) -> DataFrame:
-    """scaling_stats per species, and with all species pooled (species null), in one pass of daily sums."""
+    """scaling_stats per species, and with all species pooled (species null), in one pass of daily sums.
+
+    Rows move once, by keys without the species, so that the species of a key are pooled where they are.
+    """
     from .climatology import to_pentads
 
-    spread = to_pentads(daily_sums(df, [*keys, species]), days)
+    spread = to_pentads(daily_sums(dealt(df, keys, tasks(df)), [*keys, species]), days)
     columns = ["n", "so", "soo", "sm", "smm"]
     both = spread.withColumn("__species", F.explode(F.array(F.col(species), F.lit(None)))).drop(species).withColumnRenamed("__species", species)
     merged = both.groupBy(*keys, species, "pentad").agg(*(F.sum(c).alias(c) for c in columns), F.min("m_min").alias("m_min"), F.max("m_max").alias("m_max"))

@@ -3,6 +3,7 @@
 import pytest
 
 from landstream.operators import ranges
+from landstream.plans import climatology as C
 from landstream.plans import diagnostics as Q
 
 
@@ -29,3 +30,9 @@ def test_sums_by_tasks_of_rows(spark, sf_dir, small_tasks, monkeypatch):
     got = sorted(map(tuple, stats.select("tile", "species", "n").collect()))
     monkeypatch.setattr(ranges, "TASK_ROWS", 10**9)
     assert got == sorted(map(tuple, Q.temporal_stats(spark, sf_dir).select("tile", "species", "n").collect()))
+
+
+def test_scaling_stats_move_rows_once(spark, sf_dir, small_tasks):
+    """Daily sums and their copies for windows and for all species stay where their tile is."""
+    for query in (C.scaling_stats, C.scaling_stats_combined):
+        assert exchanges(query(spark, sf_dir)) == 1
