@@ -17,13 +17,16 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_monthly_sums(sums: DataFrame, path: str) -> list[str]:
-    """Write months that the manifest lacks, each as a partition, then add them to it; the months that were written."""
+    """Write months that the manifest lacks, each as a partition, then add them to it; the months that were written.
+
+    Rows go by month before they are written, large months in parts, so that files don't grow with tasks times months.
+    """
     spark = sums.sparkSession
     dated = sums.withColumn("month", F.date_format("month", "yyyy-MM-dd"))
     done = _read(spark, f"{path}/manifest")
     if done is not None:
         dated = dated.join(done.select("month"), "month", "left_anti")
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/sums")
+    dated.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/sums")
     written = spark.read.parquet(f"{path}/sums").select(F.date_format(F.col("month").cast("date"), "yyyy-MM-dd").alias("month")).distinct()
     if done is not None:
         written = written.join(done.select("month"), "month", "left_anti")
