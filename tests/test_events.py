@@ -128,3 +128,18 @@ def test_late_split_keeps_every_row_once(spark):
 def test_reserved_columns_are_refused(spark):
     with pytest.raises(ValueError, match="underscore"):
         E.fold_events(spark.createDataFrame([], "k int, _n long, ts timestamp"), ["k"], "ts", [], FOLDS["ar1"][0], "x double", [])
+
+
+def test_keys_share_the_state_of_a_group(spark):
+    """2,000 keys have no more states than groups, and each its own fold."""
+    step, results = FOLDS["ar1"]
+    made = [(n % 2000, n, T0 + timedelta(seconds=n), float(n % 7), 0.0, [0.0, 0.0], n // 4000) for n in range(8000)]
+    path = shared(spark, "t")
+    schema = f"n long, {results}"
+    out = W.run_to_table(E.fold_events(columns(stream_of(spark, made, shared(spark, "t"))), ["k"], "ts", ["n"], step, schema, ["n"], "1 hour", groups=16), path).collect()
+    states = spark.read.format("statestore").option("stateVarName", "state").load(f"{path}/log")
+    assert 0 < states.count() <= 16
+    done = [r for r in made if r[1] <= 7999 - DELAY]
+    want = T.fold(columns(spark.createDataFrame(done, SCHEMA)), ["k"], ["ts", "n"], step, f"k int, {schema}", ["n"]).collect()
+    same(out, want)
+    assert E.saved_state(spark, f"{path}/log", ["k"], "k int").count() == len({r[0] for r in done})
