@@ -4,15 +4,20 @@ A document's set holds its distinct word shingles, as 64-bit hashes. The global
 each document's set falls into one segment a fragment, partial overlaps are counted in each fragment by itself, and the counts
 are summed per pair. What is compared are distinct sets; equal sets are one class, named by a 64-bit digest.
 
-1. Sift: each fragment of half of the order counts, per set, the shingles that no other set has; those that several sets of one
-   task have are known to it, and it sends them once. A set with a partner misses at most (100 - threshold) % of its own size, so sets that miss more are done. Nothing with a link is lost.
+1. Sift: of each distinct set one document is taken. Each fragment of half of the order counts, per set, the shingles that no other
+   set has; those that several sets of one chunk of documents have are known to it, and it sends them once. A set goes by its number
+   in its chunk, 2 bytes, not by its key, as with many fragments each shingle brings its set along. A set with a partner misses at
+   most (100 - threshold) % of its own size, so sets that miss more are done. Nothing with a link is lost.
 2. Prefixes: for the sets that are left, shingles stand in the order (number of sets that have it, hash), rarest first. Two sets
    that link share one of their first n - ceil(threshold * n) + 1 shingles: the prefix. So only sets that meet in a prefix
    shingle are compared.
 3. Stars: in each such meeting the sets are compared with one hub only; links found merge into components.
 4. Rest: in each meeting the sets that are still in different components are compared with each other. Sets that are in one
    component already need no comparison, since only components are returned; so a large group of near copies costs a star, not
-   all its pairs. A meeting of more than BLOCK sets is split into pairs of blocks that go to different tasks.
+   all its pairs. A meeting of more than BLOCK sets is split into pairs of blocks that go to different tasks. Meetings of a pair
+   are counted, and of the pairs only those that meet often enough are compared (_unique_pairs()): sets that share a passage don't.
+
+Texts move only where they may be wanted: rows are left out by a bitmap of ids before they are joined (common.marked()).
 
 Cases: a null or blank text has an empty set, is linked with nothing and its own component; a null doc_id gets its n_shingles,
 links with nothing and has a null component; rows that repeat a doc_id are one node with the links of all of them; an empty
@@ -25,21 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, partitions, table, written
+from .common import bound_batches, components, marked, partitions, table, written
 from .textkit import digest, groups, mix, shingles, utf8
 
 WIDTH = 5
 #: Link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Bytes of all text for a fragment of the sift, and for one of the sets that are left, so that a fragment fits a task.
-FRAGMENT_BYTES, LEFT_BYTES = 16 << 20, 64 << 20
+#: Bytes of all text for a fragment of the sift, and shingles of the sets that are left for one of theirs, so that a fragment fits a task.
+FRAGMENT_BYTES, LEFT_SHINGLES = 32 << 20, 1_400_000
 #: Members of a meeting that one task compares with each other.
 BLOCK = 256
-#: Rows of meetings that one task compares, about.
-MEETING_ROWS = 2000
+#: Rows of meetings that one task compares, about, and rows of meetings with one hub that stay together.
+MEETING_ROWS, HUB_ROWS = 2000, 100_000
 #: Bytes of text for a bucket of sets or pairs.
 BUCKET_BYTES = 128 << 20
 #: Pairs that a task counts at once.
@@ -71,108 +77,111 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()] or [np.zeros(0, kind)])
 
 
-def _repeated(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Marks values that more than one key has; (key, value) may repeat."""
-    order = np.lexsort((keys, values))
-    k, v = keys[order], values[order]
-    marks = np.zeros(len(v), bool)
-    other = (v[1:] == v[:-1]) & (k[1:] != k[:-1])
-    # A run of one value has another key if any two neighbours in it differ.
-    start = np.ones(len(v), bool)
-    start[1:] = v[1:] != v[:-1]
-    run = np.cumsum(start) - 1
-    some = np.zeros(run[-1] + 1 if len(run) else 0, bool)
-    some[run[1:][other]] = True
-    marks[order] = some[run] if len(run) else False
-    return marks
+IDS = "doc_id long, n int, key long"
+
+
+def document_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, size of its set, key of its set) of every row of (doc_id, text); an empty set has no key."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64())
+            for a, sizes, _, value in _sets(batch, 1, width):
+                ends = np.cumsum(sizes)
+                keys = [set_key(value[e - n : e]) if n else None for e, n in zip(ends, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sizes)), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "n", "key"])
 
+    return docs.select("doc_id", "text").mapInArrow(read, IDS)
 
-SIFT = "fragment int, doc_id long, n int, key long, keys binary, sizes binary, lengths binary, tails binary"
 
+def _runs(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted small numbers as runs: number (2 bytes) and length (1 byte); a longer run is several."""
+    number, length = np.unique(numbers, return_counts=True)
+    rows = -(-length // 255)
+    out = np.full(rows.sum(), 255)
+    out[np.cumsum(rows) - 1] = length - 255 * (rows - 1)
+    return _packed(np.repeat(number, rows), "u2"), _packed(out, "u1")
 
-def sift(docs: DataFrame, width: int, threshold: int, fragments: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key) of every document, and the keys of the sets that may have a partner."""
+
+#: Owner of a shingle that several sets of a chunk have.
+MANY = (1 << 16) - 1
+SIFT = "fragment int, chunk long, owners binary, lengths binary, tails binary, keys binary, sizes binary"
+
+
+def sift(texts: DataFrame, width: int, threshold: int, fragments: int, buckets: int) -> DataFrame:
+    """(key) of the sets that may have a partner. texts: (doc_id, text), a row for each distinct set; more rows of a set only let it pass.
+
+    Sets go by their number in their chunk, a task's group of documents, so that what a shingle costs doesn't grow with the fragments.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, sizes, owner, value in _sets(batch, 1, width):
+            for _, sizes, owner, value in _sets(batch, 1, width):
+                chunk += 1
                 ends = np.cumsum(sizes)
                 keys = np.array([set_key(value[e - n : e]) if n else 0 for e, n in zip(ends, sizes, strict=True)], np.int64)
-                out = [(-1 - (a + i) % buckets, ids[a + i], int(n), int(k) if n else None, None, None, None, None) for i, (n, k) in enumerate(zip(sizes, keys, strict=True))]
+                out = [(-1, chunk, None, None, None, _packed(keys, "i8"), _packed(sizes, "i4"))]
                 low = value < np.uint64(1 << 63)
-                owner, value = owner[low], value[low] << np.uint64(1)
-                owner, value = _met_here(keys, owner, value)
-                # A set counts even if none of its shingles is sent.
-                own = np.unique(keys[sizes > 0], return_index=True)
-                bucket = (mix(own[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                for f in np.unique(bucket):
-                    m = bucket == f
-                    out.append((-1 - int(f), None, None, None, _packed(own[0][m], "i8"), _packed(sizes[sizes > 0][own[1][m]], "i4"), _packed(np.zeros(m.sum()), "i4"), None))
+                owner, value = _met_here(owner[low], value[low] << np.uint64(1))
                 part = _fragment(value, fragments).astype(np.int64)
                 order = np.lexsort((owner, part))
                 owner, value, part = owner[order], value[order], part[order]
-                tails = value.view(np.uint8).reshape(-1, 8)[:, 1:6] if len(value) else np.zeros((0, 5), np.uint8)
+                tails = (value >> np.uint64(8)).astype(np.uint32)
                 bounds = np.searchsorted(part, np.arange(fragments + 1))
                 for f in np.flatnonzero(np.diff(bounds)):
                     s = slice(bounds[f], bounds[f + 1])
-                    who, lengths = np.unique(owner[s], return_counts=True)
-                    known = who >= 0
-                    out.append((int(f), None, None, None, _packed(np.where(known, keys[who], MANY), "i8"), _packed(np.where(known, sizes[who], 0), "i4"), _packed(lengths, "i4"), tails[s].tobytes()))
+                    out.append((int(f), chunk, *_runs(owner[s]), _packed(tails[s], "u4"), None, None))
                 yield _batch(out, cut_schema)
 
     def count(group: pa.Table) -> pa.Table:
+        """Per chunk, the sets whose shingles nobody else has in this fragment, a run each."""
         if group.column("fragment")[0].as_py() < 0:
             return group
-        keys, sizes, lengths = (_joined(group.column(c), k) for c, k in (("keys", "i8"), ("sizes", "i4"), ("lengths", "i4")))
-        tails = np.zeros((int(lengths.sum()), 8), np.uint8)
-        tails[:, :5] = _joined(group.column("tails"), "u1").reshape(-1, 5)
-        marks = ~_repeated(np.repeat(keys, lengths), tails.view(np.uint64).ravel())
-        at = np.cumsum(lengths) - lengths
-        missed = np.add.reduceat(marks.astype(np.int32), at) if len(at) else at
-        _, one = np.unique(keys, return_index=True)  # copies have the same counts
-        one = one[keys[one] != MANY]
-        keys, sizes, missed = keys[one], sizes[one], missed[one]
-        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        out = []
-        for b in np.unique(bucket):
-            m = bucket == b
-            out.append((int(b), None, None, None, _packed(keys[m], "i8"), _packed(sizes[m], "i4"), _packed(missed[m], "i4"), None))
+        chunks, owners, lengths, tails = (group.column(c).to_pylist() for c in ("chunk", "owners", "lengths", "tails"))
+        tails = [np.frombuffer(x, "u4") for x in tails]
+        _, to, held = np.unique(np.concatenate(tails), return_inverse=True, return_counts=True)
+        alone, at, out = (held == 1)[to], 0, []
+        for chunk, who, runs, tail in zip(chunks, owners, lengths, tails, strict=True):
+            owner = np.repeat(np.frombuffer(who, "u2"), np.frombuffer(runs, "u1"))
+            missed = owner[alone[at : at + len(tail)] & (owner != MANY)]
+            at += len(tail)
+            if len(missed):
+                out.append((-1, chunk, *_runs(missed), None, None, None))
         return pa.Table.from_batches([_batch(out, cut_schema)])
 
     def total(group: pa.Table) -> pa.Table:
-        keys, sizes, missed = (_joined(group.column(c), k) for c, k in (("keys", "i8"), ("sizes", "i4"), ("lengths", "i4")))
-        found, one, to = np.unique(keys, return_index=True, return_inverse=True)
-        missed = np.bincount(to, weights=missed, minlength=len(found))
-        left = found[100 * missed <= (100 - threshold) * sizes[one].astype(np.int64)]
-        return pa.table({"key": pa.array(left, pa.int64())})
+        group, left = group.sort_by("chunk"), [np.zeros(0, np.int64)]
+        chunks = group.column("chunk").to_numpy()
+        starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+        for at, end in zip(starts, np.append(starts[1:], len(chunks)), strict=True):
+            rows = group.slice(at, end - at)
+            keys, sizes = (_joined(rows.column(c).drop_null(), k) for c, k in (("keys", "i8"), ("sizes", "i4")))
+            owners, lengths = (_joined(rows.column(c).drop_null(), k) for c, k in (("owners", "u2"), ("lengths", "u1")))
+            missed = np.bincount(owners, weights=lengths, minlength=len(keys))
+            left.append(keys[(sizes > 0) & (100 * missed <= (100 - threshold) * sizes.astype(np.int64))])
+        return pa.table({"key": pa.array(np.unique(np.concatenate(left)), pa.int64())})
 
     cut_schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SIFT.split(", "))])
-    rows = docs.select("doc_id", "text").mapInArrow(cut, SIFT).groupBy("fragment").applyInArrow(count, SIFT)
-    rows = written(rows, "sift")
-    ids = rows.where("keys IS NULL").select("doc_id", "n", "key")
-    bucket = F.when(F.col("fragment") < 0, -1 - F.col("fragment")).otherwise(F.col("fragment"))
-    left = rows.where("keys IS NOT NULL").withColumn("fragment", bucket).groupBy("fragment").applyInArrow(total, "key long")
-    return ids, left
+    rows = texts.select("doc_id", "text").mapInArrow(cut, SIFT)
+    # What names a chunk's sets needs no counting, but it goes the same way, so that texts are read once.
+    rows = rows.withColumn("fragment", F.when(F.col("fragment") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.col("fragment")).cast("int"))
+    rows = rows.groupBy("fragment").applyInArrow(count, SIFT)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("chunk"), F.lit(buckets))).groupBy("bucket").applyInArrow(total, "key long")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(schema))], schema=schema)
 
 
-#: Stands for "several sets of one task" in place of a set's key.
-MANY = -(1 << 63)
-
+def _met_here(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sets of this chunk have are not missed by any of them: each is sent once, owned by MANY.
 
-def _met_here(keys: np.ndarray, owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sets of this task have are not missed by any of them: each is sent once, owned by nobody (-1).
-
-    So a shingle that very many documents have is sent once a task, not once a document.
+    So a shingle that very many documents have is sent once a chunk, not once a document.
     """
-    twice = _repeated(keys[owner], value)
-    common = np.unique(value[twice])
-    owner, value = np.concatenate([owner[~twice], np.full(len(common), -1)]), np.concatenate([value[~twice], common])
-    return owner, value
+    found, to, held = np.unique(value, return_inverse=True, return_counts=True)
+    one, common = (held == 1)[to], found[held > 1]
+    return np.concatenate([owner[one], np.full(len(common), MANY)]), np.concatenate([value[one], common])
 
 
 def segments(texts: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -246,6 +255,7 @@ def prefixes(cut: DataFrame, threshold: int, buckets: int) -> DataFrame:
 
 PAIRS = "bucket int, chunk int, a binary, b binary, na binary, nb binary"
 _PAIRS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((n, pa.binary()) for n in ("a", "b", "na", "nb"))])
+_MEETINGS = pa.schema([*_PAIRS, ("times", pa.binary())])
 
 
 def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, buckets: int) -> DataFrame:
@@ -317,12 +327,26 @@ def verified(pairs: DataFrame, cut: DataFrame, threshold: int, fragments: int, b
     return both.groupBy("bucket").applyInArrow(total, "a long, b long")
 
 
-def _unique_pairs(packed: DataFrame) -> DataFrame:
-    """Packed pairs, equal ones once; chunks of a bucket are numbered."""
+def _unique_pairs(packed: DataFrame, threshold: int | None = None) -> DataFrame:
+    """Packed pairs, equal ones once; chunks of a bucket are numbered.
+
+    threshold: of pairs with the times that they meet, those that meet too seldom to link go. A prefix leaves ceil(threshold * n) - 1
+    shingles, and where the prefix that ends first ends, the other has no more of them to come than its own prefix; so two sets
+    with an overlap of least shingles have least - max(ceil(threshold * n)) + 1 in both prefixes.
+    """
 
     def once(group: pa.Table) -> pa.Table:
         parts = [_joined(group.column(c), kind) for c, kind in (("a", "i8"), ("b", "i8"), ("na", "i4"), ("nb", "i4"))]
-        _, one = np.unique(np.stack(parts[:2], 1), axis=0, return_index=True)
+        order = np.lexsort((parts[1], parts[0]))
+        parts = [x[order] for x in parts]
+        starts = np.ones(len(order), bool)
+        starts[1:] = (parts[0][1:] != parts[0][:-1]) | (parts[1][1:] != parts[1][:-1])
+        one = np.flatnonzero(starts)
+        if threshold is not None and len(one):
+            times = np.add.reduceat(_joined(group.column("times"), "u4")[order].astype(np.int64), one)
+            na, nb = (x[one].astype(np.int64) for x in parts[2:])
+            least, most = -(-threshold * (na + nb) // (100 + threshold)), -(-threshold * np.maximum(na, nb) // 100)
+            one = one[times >= least - most + 1]
         bucket, out = group.column("bucket")[0].as_py(), []
         for i, at in enumerate(range(0, len(one), 50_000)):
             k = one[at : at + 50_000]
@@ -332,12 +356,12 @@ def _unique_pairs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(once, PAIRS)
 
 
-def _bucketed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, buckets: int) -> list[tuple]:
+def _bucketed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, buckets: int, times: np.ndarray | None = None) -> list[tuple]:
     """Pairs by a hash of both ends, so that a hub's pairs spread over all buckets."""
     bucket, out = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), []
     for x in np.unique(bucket):
         m = bucket == x
-        out.append((int(x), 0, _packed(a[m], "i8"), _packed(b[m], "i8"), _packed(na[m], "i4"), _packed(nb[m], "i4")))
+        out.append((int(x), 0, _packed(a[m], "i8"), _packed(b[m], "i8"), _packed(na[m], "i4"), _packed(nb[m], "i4"), *(() if times is None else (_packed(times[m], "u4"),))))
     return out
 
 
@@ -359,37 +383,49 @@ def stars(postings: DataFrame, threshold: int, buckets: int) -> DataFrame:
 def rest(postings: DataFrame, known: DataFrame, threshold: int, buckets: int) -> DataFrame:
     """Packed pairs of sets that meet and are in different components."""
     placed = postings.join(known.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("token", "m")
-    open_ = written(open_, "open")
-    rows = open_.agg(F.sum(F.col("m") * F.ceil(F.col("m") / F.lit(BLOCK)))).first()[0] or 0
-    met = placed.join(open_, "token").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    hub = F.min(F.xxhash64("key")).alias("hub")
+    open_ = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2"), hub).where("c1 != c2").select("token", "m", "hub")
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("m") / F.lit(BLOCK), F.lit(1))))).cast("int")
+    open_ = written(open_.withColumn("blocks", blocks), "open")
+    rows = open_.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    # Shingles of one passage mostly have one hub, so a pair's meetings in them are counted in one task and leave it once.
+    shares = open_.groupBy("hub").agg(F.ceil(F.sum(F.col("m") * F.col("blocks")) / F.lit(HUB_ROWS)).alias("shares"))
+    met = placed.join(open_.join(shares, "hub").withColumn("share", F.pmod(F.xxhash64("token"), F.col("shares"))).drop("m", "shares"), "token")
     met = met.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    met = met.withColumn("task", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(max(buckets, rows // MEETING_ROWS))).cast("int"))
+    met = met.withColumn("task", F.pmod(F.xxhash64("hub", "share", "lo", "hi"), F.lit(max(buckets, rows // MEETING_ROWS))).cast("int"))
 
     def cross(group: pa.Table) -> pa.Table:
         token, key, n, component, mine, lo, hi = (group.column(c).to_numpy() for c in ("token", "key", "n", "component", "mine", "lo", "hi"))
+        sets, one, at_set = np.unique(key, return_index=True, return_inverse=True)
         order = np.lexsort((hi, lo, token))
         bounds = np.flatnonzero(np.diff(token[order], prepend=token[order[0]] - 1) | np.diff(lo[order], prepend=-1) | np.diff(hi[order], prepend=-1))
-        found, held, out = [], 0, np.zeros((0, 4), np.int64)
+        found, held, out, times = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            new = np.concatenate([np.zeros(0, np.int64), *found])
+            pairs, to = np.unique(np.concatenate([out, new]), return_inverse=True)
+            return pairs, np.bincount(to, weights=np.concatenate([times, np.ones(len(new))]), minlength=len(pairs)).astype(np.int64)
+
         for at, end in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
             i = order[at:end]
             left, right = (i, i) if lo[i[0]] == hi[i[0]] else (i[mine[i] == lo[i[0]]], i[mine[i] != lo[i[0]]])
             x, y = n[left].astype(np.int64), n[right].astype(np.int64)
             fit = (component[left][:, None] != component[right][None, :]) & (100 * np.minimum(x[:, None], y) >= threshold * np.maximum(x[:, None], y))
             p, q = np.nonzero(np.triu(fit, 1) if left is right else fit)
-            pair = np.stack([key[left[p]], key[right[q]], x[p], y[q]], 1)
-            turn = pair[:, 0] > pair[:, 1]
-            pair[turn] = pair[turn][:, [1, 0, 3, 2]]
-            found.append(pair)
-            held += len(pair)
+            p, q = at_set[left[p]], at_set[right[q]]
+            found.append(np.minimum(p, q) * len(sets) + np.maximum(p, q))
+            held += len(p)
             if held > 2_000_000:
-                out, found, held = np.unique(np.concatenate([out, *found]), axis=0), [], 0
-        out = np.unique(np.concatenate([out, *found]), axis=0)
-        return pa.Table.from_batches([_batch(_bucketed(*out.T.copy(), buckets), _PAIRS)])
+                out, times = added()
+                found, held = [], 0
+        out, times = added()
+        a, b = one[out // len(sets)], one[out % len(sets)]
+        return pa.Table.from_batches([_batch(_bucketed(key[a], key[b], n[a], n[b], buckets, times), _MEETINGS)])
 
-    return _unique_pairs(met.select("task", "token", "key", "n", "component", "mine", "lo", "hi").groupBy("task").applyInArrow(cross, PAIRS))
+    met = met.select("task", "token", "key", "n", "component", "mine", "lo", "hi").groupBy("task").applyInArrow(cross, f"{PAIRS}, times binary")
+    return _unique_pairs(met, threshold)
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
@@ -398,11 +434,15 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRES
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(partitions(spark), total // BUCKET_BYTES)
-    fragments, parts = max(buckets, total // FRAGMENT_BYTES), max(4, total // LEFT_BYTES)
-    ids, left = sift(docs, width, threshold, fragments, buckets)
+    ids = written(document_sets(docs, width), "sets")
     named = ids.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    reps = named.join(left, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(reps, "doc_id")
+    docs = docs.select("doc_id", "text")
+    reps = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    first = marked(docs, "doc_id", reps.select("doc_id")).where("__maybe")
+    left = sift(first, width, threshold, max(buckets, total // FRAGMENT_BYTES), buckets)
+    reps = written(reps.join(left, "key", "left_semi"), "left")
+    parts = max(4, (reps.agg(F.sum("n")).first()[0] or 0) // LEFT_SHINGLES)
+    texts = marked(docs, "doc_id", reps.select("doc_id")).where("__maybe").join(reps.select("key", "doc_id"), "doc_id")
     cut = written(segments(texts, width, parts), "segments")
     postings = written(prefixes(cut, threshold, buckets), "postings")
     links = written(verified(written(stars(postings, threshold, buckets), "stars"), cut, threshold, parts, buckets), "links")
