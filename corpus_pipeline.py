@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landstream.llm import decontamination, language_id, mixing, ngram_join, suffix_dedup
-from landstream.llm.common import table, written
+from landstream.llm.common import marked, table, written
 
 #: Documents whose language is told with less than this go; those without a letter have no language.
 LEAST_SURE = 0.4
@@ -28,7 +28,9 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id stays; a null doc_id is in no group."""
     groups = ngram_join.ngram_components(docs.select("doc_id", "text"))
-    return docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    copies = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "copies")
+    told = marked(docs, "doc_id", copies)  # most documents surely stay, and needn't be shuffled for the join
+    return told.where("NOT __maybe").unionByName(told.where("__maybe").join(copies, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
